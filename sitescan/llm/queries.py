@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .near_dedup import near_duplicates
+from .spm import decode, encode
+
+#: The SentencePiece model of the registered queries.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +34,16 @@ SELECT doc_id, CAST(max(len(s)) AS BIGINT) AS n_shingles, min(r) AS component_id
 FROM sets JOIN reach USING (doc_id) GROUP BY doc_id
 """
 
-QUERIES = {"op4_near_dedup": op4_near_dedup}
+def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, ids, n_ids, text_sha256 of the decoded text and exact: decoding gave back the text (null: empty)."""
+    df = decode(encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return df.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"), same.alias("exact"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_near_dedup": op4_near_dedup, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op4_near_dedup": OP4_SQL}
