@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .spm import decode, encode
 
@@ -45,5 +46,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_near_dedup": op4_near_dedup, "op10_sentencepiece": op10_sentencepiece}
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op4_near_dedup": OP4_SQL}
