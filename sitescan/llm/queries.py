@@ -9,6 +9,7 @@ from .common import table
 from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .spm import decode, encode
+from .warc import through_warc
 
 #: The SentencePiece model of the registered queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,5 +51,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op10_sentencepiece": op10_sentencepiece}
-ORACLES = {"op4_near_dedup": OP4_SQL}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN b >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
+ORACLES = {"op4_near_dedup": OP4_SQL, "op8_warc": OP8_SQL}
