@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contained_items
 from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .spm import decode, encode
@@ -51,6 +52,25 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS (
+  SELECT side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+sets AS (
+  SELECT side, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+cells AS (SELECT side, id, len(s) AS n, unnest(s) AS c FROM sets)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(i.n AS BIGINT) AS n_item, count(*) AS n_shared
+FROM cells d JOIN cells i ON d.c = i.c AND d.side = 'd' AND i.side = 'i'
+GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -64,5 +84,5 @@ SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
-ORACLES = {"op4_near_dedup": OP4_SQL, "op8_warc": OP8_SQL}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
+ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}
