@@ -6,8 +6,9 @@ Data flow, all of it on Spark:
 2. texts with equal sets form one class, whose smallest id stands for it from then on, so exact copies cost one row;
 3. in each band bucket every class is paired with one centre only (never all pairs of a bucket); candidate pairs are
    verified on full sets, and links are grouped by union-find;
-4. buckets whose classes are still in different groups get further centres, and at last the pairs *between* groups, so no
-   link between different texts is lost, while nothing is spent on pairs inside a group.
+4. buckets whose classes are still in different groups get further centres, and at last what is still in different groups is
+   compared block by block under an exact bound, so no link between different texts is lost, while nothing is spent on
+   pairs inside a group.
 
 Nulls, empty and blank texts have an empty set and are linked with nothing. Rows with a null id come back with a null
 component and are kept. Rows that repeat an id count as one document. Other columns of the input are ignored.
@@ -27,6 +28,8 @@ from .common import GOLDEN, mix, shingles, times_golden, word_hashes, words_of,
 
 #: Elements handled at once: bounds the rank tables to a few MB.
 _CHUNK = 1 << 16
+#: Bits of a set's bitmap, and classes in a block of a bucket.
+_BITS, _BLOCK = 2048, 256
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -128,21 +131,57 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, cells binary")
 
 
-def _shared_cells(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """id, alone: how many shingles of each of these texts occur in none of the others. No pair can share those."""
-    sets = _sets(docs.join(ids, "doc_id", "left_semi"), shingle)
+def _outlines(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """rep, bits: of each of these texts a bitmap of its set, one bit per shingle by hash, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                cells = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                owner = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(x) for x in cells])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(cells))], ["id", "cell"])
+            out = []
+            for t in batch.column(1).to_pylist():
+                on = np.zeros(_BITS, bool)
+                on[(mix(shingle_set(t, shingle)) % np.uint64(_BITS)).astype(np.int64)] = True
+                out.append(np.packbits(on).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "bits"])
 
-    cells = sets.dropDuplicates(["id"]).mapInArrow(run, "id long, cell long")
-    once = cells.groupBy("cell").agg(F.min("id").alias("id"), F.count("*").alias("c")).filter("c = 1")
-    return once.groupBy("id").agg(F.count("*").alias("alone"))
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "rep long, bits binary").dropDuplicates(["rep"])
+
+
+def _between(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different groups that may reach the threshold, without forming all pairs as rows.
+
+    A bucket is cut into blocks of bounded size, by hash, and each row of the join is a pair of blocks. Inside, a bit that
+    only one of two bitmaps has is a shingle that the other set lacks, which bounds the intersection from above: exact, so no
+    link is lost, and sharp enough that few pairs below the threshold are left.
+    """
+    parts = F.ceil(F.col("c") / _BLOCK)
+    sized = left.join(left.groupBy("key").agg(F.count("*").alias("c")), "key")
+    member = F.struct("rep", "n", "g", "bits")
+    blocks = sized.withColumn("block", F.pmod(F.xxhash64("rep"), parts)).groupBy("key", "block").agg(F.collect_list(member).alias("x"))
+    pairs = blocks.join(blocks.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").filter("block <= other")
+
+    def columns(cell) -> tuple[np.ndarray, ...]:
+        rep, n, g = (np.asarray(cell.field(i).to_numpy(zero_copy_only=False)) for i in range(3))
+        bits = np.frombuffer(b"".join(cell.field(3).to_pylist()), np.uint64).reshape(len(rep), -1)
+        return rep, n, g, bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                rep, n, g, bits = columns(x.values)
+                rep2, n2, g2, bits2 = columns(y.values)
+                out = []
+                for i in range(len(rep)):
+                    ok = np.flatnonzero((g2 != g[i]) & (100 * np.minimum(n2, n[i]) >= percent * np.maximum(n2, n[i])))
+                    if len(ok):
+                        both = np.bitwise_count(bits2[ok] & bits[i]).sum(1, dtype=np.int64)
+                        most = np.minimum(n[i] - (np.bitwise_count(bits[i]).sum(dtype=np.int64) - both), n2[ok] - (np.bitwise_count(bits2[ok]).sum(1, dtype=np.int64) - both))
+                        ok = ok[100 * most >= percent * (n[i] + n2[ok] - most)]
+                        out.append(np.stack([np.maximum(rep[i], rep2[ok]), np.minimum(rep[i], rep2[ok])]))
+                if out:
+                    a, b = np.unique(np.concatenate(out, 1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -218,7 +257,7 @@ def _grouped(found: DataFrame) -> DataFrame:
     return written(components(found), "groups")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4, rounds: int = 2) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept (it is the one of its component that stays).
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of `shingle`-word shingles. A link at 0.8
@@ -234,7 +273,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size:
     shared = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("c")).filter("c > 1")
     # classes that share a bucket, each with the bucket's centre; size alone rules out some pairs but never some members
     buckets = written(bands.join(shared.select("key", "centre"), "key"), "buckets")
-    close = f"100 * least(n, m) >= {int(percent)} * greatest(n, m)"
 
     near = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     copies = member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -242,27 +280,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size:
     # first centre: of all buckets of a class, the smallest
     star = buckets.filter("rep != centre").groupBy("rep").agg(F.min("centre").alias("b")).withColumnRenamed("rep", "a")
     links = written(verified(star, near, shingle, percent), "links")
-    for step in ("centres", "between"):
-        groups = _grouped(links)
-        g = groups.withColumnRenamed("node", "rep")
-        placed = buckets.join(g, "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
+    opened = buckets
+    for step in range(rounds + 1):
+        g = _grouped(links).withColumnRenamed("node", "rep")
+        placed = opened.join(g, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("g"))
         mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key")
-        left = written(placed.join(mixed, "key", "left_semi"), "mixed")
-        if step == "centres":
-            # the smallest class of each group in a bucket is tried against the bucket's centre, and so is every member
-            # of the groups that are not the centre's
-            own = left.filter("rep = centre").select("key", F.col("g").alias("cg"), F.col("n").alias("m"))
-            pairs = left.filter("rep != centre").join(own, "key").filter("g != cg").filter(close).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-            pairs = pairs.join(star, ["a", "b"], "left_anti")
+        opened = written(placed.join(mixed, "key", "left_semi"), "mixed")
+        if step < rounds:
+            # another centre per bucket, chosen by hash: each class outside the centre's group is tried against it
+            other = opened.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("g").alias("h")), F.xxhash64("rep", F.lit(step))).alias("c"))
+            pairs = opened.join(other.select("key", "c.*"), "key").filter("g != h").filter(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
+            pairs = pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
         else:
-            # an intersection has only shingles that two of these texts hold: an exact bound, which leaves few pairs
-            alone = _shared_cells(left.select(F.col("rep").alias("doc_id")).distinct(), near, shingle).withColumnRenamed("id", "rep")
-            left = left.join(alone, "rep", "left").withColumn("i", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"100 * i >= {int(percent)} * n")
-            left = written(left.select("key", "rep", "n", "g", "i"), "open")
-            other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), F.col("i").alias("j"))
-            bound = f"100 * least(i, j) >= {int(percent)} * (n + m - least(i, j))"
-            pairs = left.join(other, "key").filter("g < h").filter(bound).select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        links = written(links.unionByName(verified(pairs, near, shingle, percent)), "links")
+            # no link is lost: what is still in different groups is compared
+            outlines = _outlines(opened.select(F.col("rep").alias("doc_id")).distinct(), near, shingle)
+            pairs = _between(opened.join(outlines, "rep"), percent)
+        links = written(links.unionByName(verified(written(pairs, "pairs"), near, shingle, percent)), "links")
     found = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     return (
         sigs.join(found, "doc_id", "left")
