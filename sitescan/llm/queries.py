@@ -10,6 +10,7 @@ from .decontamination import contained_items
 from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .spm import decode, encode
+from .toxicity import scored
 from .warc import through_warc
 
 #: The SentencePiece model of the registered queries.
@@ -71,6 +72,10 @@ GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -84,5 +89,5 @@ SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}

@@ -18,6 +18,7 @@ empty texts have no ids and decode to the empty text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +44,14 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         ends: dict[str, set[int]] = {}
         for p in self.ids:
-            ends.setdefault(p[-1], set()).add(len(p))
-        #: by last character, the lengths of the pieces that end in it, longest first
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: by last two characters, the lengths of the longer pieces that end in them, longest first
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
         self.unknown = min(scores) - 10.0
         # a boundary is certain before a run of U+2581 if no piece has one after another character
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cut = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if "\n" not in ends else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+        self.cut = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.text = pa.array([bytes([byte_ids.index(i)]) if i in set(byte_ids) else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split: dict[str, tuple[str, str]] = {}
@@ -125,44 +127,64 @@ class Vocabulary:
             self.pairs[a, b] = found
         return found
 
-    def search(self, text: str) -> Iterator[int]:
-        """Ids of a text (spaces already replaced), each given out as soon as it is certain."""
-        ids, ends, longest, bpe, scores, stays = self.ids, self.ends, self.longest, self.kind == "bpe", self.scores, self.stays
-        base = 0  # text position of index 0 of the window
-        last: list[int] = [-1]  # id of the piece that ends here; -2: a character without a piece
-        back: list[int] = [0]  # its length
-        score: list[float] = [0.0]
-        for end in range(1, len(text) + 1):
-            i, best, piece, size = end - base, None, -2, 1
-            for n in ends.get(text[end - 1], ()):
-                if n > i:
-                    continue
-                k = ids.get(text[end - n : end])
-                if k is None:
-                    continue
-                if bpe:
-                    p = last[i - n]
-                    if p < 0 or stays(p, k):
-                        piece, size, best = k, n, 0.0
-                        break
-                elif best is None or score[i - n] + scores[k] > best:
-                    piece, size, best = k, n, score[i - n] + scores[k]
+    def _walk(self, text: str, end: int, stop: int, base: int, last: list[int], back: list[int], score: list[float]) -> None:
+        """Extend the tables from position `end` to `stop`; index 0 of the tables is position `base`."""
+        ids, ends, pairs, stays = self.ids, self.ends, self.pairs, self.stays
+        if self.kind == "bpe":
+            while end < stop:
+                end += 1
+                i = end - base
+                piece, size = -2, 1
+                for n in ends.get(text[end - 2 : end], ()) if i > 1 else ():
+                    if n <= i:
+                        k = ids.get(text[end - n : end])
+                        if k is not None:
+                            p = last[i - n]
+                            if p < 0 or (pairs[p, k] if (p, k) in pairs else stays(p, k)):
+                                piece, size = k, n
+                                break
+                if piece < 0:
+                    piece = ids.get(text[end - 1], -2)
+                last.append(piece)
+                back.append(size)
+            return
+        for end in range(end + 1, stop + 1):
+            i = end - base
+            best, piece, size = score[i - 1] + self.unknown, -2, 1
+            for n in (1, *ends.get(text[end - 2 : end], ())) if i > 1 else (1,):
+                k = ids.get(text[end - n : end]) if n <= i else None
+                if k is not None and score[i - n] + self.scores[k] > best:
+                    best, piece, size = score[i - n] + self.scores[k], k, n
             last.append(piece)
             back.append(size)
-            score.append(best if best is not None else score[i - 1] + self.unknown)
-            if i >= 4 * longest:
-                live = set(range(i - longest + 1, i + 1))
-                while len(live) > 1:
-                    far = max(live)
-                    live.remove(far)
-                    live.add(far - back[far])
-                at = live.pop()
-                if at > 0:
-                    yield from self._path(text, base, at, last, back)
-                    base += at
-                    del last[:at], back[:at], score[:at]
-                    back[0] = 0
-        yield from self._path(text, base, len(last) - 1, last, back)
+            score.append(best)
+
+    def search(self, text: str) -> Iterator[int]:
+        """Ids of a text (spaces already replaced), each given out as soon as it is certain."""
+        longest, base, end = self.longest, 0, 0  # base: text position of index 0 of the window
+        last, back, score = [-1], [0], [0.0]  # of each position: id of the piece that ends here (-2: none), its length, the path's score
+        while True:
+            stop = min(len(text), base + 4 * longest)
+            self._walk(text, end, stop, base, last, back, score)
+            end = stop
+            if end == len(text):
+                yield from self._path(text, base, end - base, last, back)
+                return
+            live = set(range(end - base - longest + 1, end - base + 1))
+            while len(live) > 1:
+                far = max(live)
+                live.remove(far)
+                live.add(far - back[far])
+            at = live.pop()
+            if at > 0:
+                yield from self._path(text, base, at, last, back)
+                base += at
+                del last[:at], back[:at], score[:at]
+                back[0] = 0
+            else:  # no common boundary yet: look further
+                stop = min(len(text), end + longest)
+                self._walk(text, end, stop, base, last, back, score)
+                end = stop
 
     def _path(self, text: str, base: int, at: int, last: list[int], back: list[int]) -> list[int]:
         out: list[int] = []
@@ -183,8 +205,12 @@ class Vocabulary:
         for part in self.cut.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)):
             found = cache.get(part)
             if found is None:
-                found = np.fromiter(self.search(part), np.int32).tobytes()
-                if len(part) <= 64:
+                if len(part) > 64:
+                    found = np.fromiter(self.search(part), np.int32).tobytes()
+                else:
+                    last, back = [-1], [0]
+                    self._walk(part, 0, len(part), 0, last, back, [0.0])
+                    found = array("i", self._path(part, 0, len(part), last, back)).tobytes()
                     if len(cache) >= _CACHE:
                         cache.clear()
                     cache[part] = found
