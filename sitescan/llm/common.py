@@ -71,3 +71,14 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     for i in range(1, k):
         out = mix(out ^ h[i : n - k + 1 + i] + times_golden(i))
     return out
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights (the constant first) by Newton steps, lightly shrunk; for small, bounded training tables."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    keep = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+    return w

@@ -9,6 +9,9 @@ from .common import table
 from .decontamination import contained_items
 from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
+from .quality import scored as quality_scored
+from .secrets import findings, labelled_findings
+from .secrets import train as train_forest
 from .spm import decode, encode
 from .toxicity import scored
 from .warc import through_warc
@@ -76,6 +79,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return findings(docs, train_forest(labelled_findings(docs)))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_doc", "site_posterior", "path_posterior", "score", "keep")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_warc(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -89,5 +102,5 @@ SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op8_warc": op8_warc, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece}
 ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}

@@ -44,9 +44,9 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         ends: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        #: by last two characters, the lengths of the longer pieces that end in them, longest first
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        #: by last three characters, the lengths of the pieces of three and more that end in them, longest first
         self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
         self.unknown = min(scores) - 10.0
         # a boundary is certain before a run of U+2581 if no piece has one after another character
@@ -135,7 +135,7 @@ class Vocabulary:
                 end += 1
                 i = end - base
                 piece, size = -2, 1
-                for n in ends.get(text[end - 2 : end], ()) if i > 1 else ():
+                for n in (*ends.get(text[end - 3 : end], ()), 2) if i > 2 else (i,):
                     if n <= i:
                         k = ids.get(text[end - n : end])
                         if k is not None:
@@ -151,7 +151,7 @@ class Vocabulary:
         for end in range(end + 1, stop + 1):
             i = end - base
             best, piece, size = score[i - 1] + self.unknown, -2, 1
-            for n in (1, *ends.get(text[end - 2 : end], ())) if i > 1 else (1,):
+            for n in (1, 2, *ends.get(text[end - 3 : end], ())) if i > 2 else range(1, i + 1):
                 k = ids.get(text[end - n : end]) if n <= i else None
                 if k is not None and score[i - n] + self.scores[k] > best:
                     best, piece, size = score[i - n] + self.scores[k], k, n

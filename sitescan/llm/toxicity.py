@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, logistic_fit
 
 #: What a written character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
@@ -205,17 +205,6 @@ class Evidence:
         return [top[0], top[1] + top[2], float(np.log1p(sum(v > 2 for v in values)))]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights (the constant first) by Newton steps, lightly shrunk."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    keep = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-    return w
-
-
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000) -> tuple:
     """(character model, feature keys, toxic, total, base rate, curve) from rows whose crc32 of the id is not 1 modulo 3."""
     model = log_model(trigram_counts(docs))
@@ -267,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000) -> t
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (zip(*x, strict=True) if x else [()] * 4)], list("abcy"))
 
     fit = data.select("text", "fold", "toxic").mapInArrow(evidence, "a double, b double, c double, y double").toPandas().to_numpy()
-    return model, keys, t[0] + t[2], n[0] + n[2], base, _fit(fit[:, :3], fit[:, 3])
+    return model, keys, t[0] + t[2], n[0] + n[2], base, logistic_fit(fit[:, :3], fit[:, 3])
 
 
 def score(docs: DataFrame, trained: tuple) -> DataFrame:
