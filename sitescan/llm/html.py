@@ -41,6 +41,10 @@ NOT_ARTICLE = frozenset(
 )
 
 
+#: Parts over which the pages of one host are dealt.
+_SALT = 64
+
+
 def _marked(attributes: str) -> tuple[bool, bool]:
     """Whether attributes mark an element as no article, and as the article."""
     out = article = False
@@ -201,5 +205,8 @@ def extracted(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host().alias("host"))
-    rows = rows.join(templates(pages, least_pages, least_share), "host", "left").select("page_id", "url", "html", "template")
+    # the pages of a host are dealt over several tasks, each of which gets the host's short array
+    found = templates(pages, least_pages, least_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALT)).cast("int"))
+    rows = rows.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
