@@ -33,14 +33,16 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Log probabilities of the channel: look-alike, dropped mark, dropped repeat, dropped space, space as word border.
 _LIKE, _MARK, _REPEAT, _JOIN, _BORDER = -1.2, -1.5, -3.0, -1.0, -0.7
 _TAIL = ".,;:!?\"')]}»…"
-_N = 28  # border, a to z, anything else
+_N = 29  # border, a to z, other letters, digits and marks
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
-_TABLE = bytes(i - 96 if 97 <= i <= 122 else 0 if i in (9, 10, 11, 12, 13, 32) else 27 for i in range(256))
+_TABLE = bytes(i - 96 if 97 <= i <= 122 else 0 if i in (9, 10, 11, 12, 13, 32) else 27 if i > 127 else 28 for i in range(256))
 _CACHE = 500_000
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all character trigrams (border, a-z, other) over all words of all texts: 28^3 numbers, whatever the corpus."""
+    """Counts of all character trigrams (border, a-z, other letters) over all words of all texts: 29^3 numbers, whatever the corpus.
+
+    Trigrams with digits or marks are left out: the model is of what writers mean, not of how they hide it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
@@ -49,6 +51,8 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
                 if t:
                     s = np.frombuffer((" " + t.lower() + " ").encode("utf-8", "replace").translate(_TABLE), np.uint8).astype(np.int32)
                     total += np.bincount(s[:-2] * (_N * _N) + s[1:-1] * _N + s[2:], minlength=_N**3)
+            cube = total.reshape(_N, _N, _N)
+            cube[28] = cube[:, 28] = cube[:, :, 28] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "c"])
 
@@ -84,7 +88,7 @@ class Decoder:
             return out
         out = [(x, _CODE[x], _LIKE) for x in LOOKALIKES.get(c, "")]
         if c.isdigit():
-            out.append((c, 27, 0.0))
+            out.append((c, 28, 0.0))
             if i and token[i - 1] == c:
                 out.append(("", -1, _REPEAT))
         else:

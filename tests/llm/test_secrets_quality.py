@@ -1,0 +1,70 @@
+"""Secret scans and quality posteriors on small tables."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from sitescan.llm import quality, secrets
+
+KEY = hashlib.sha1(b"x").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    words = "river stone garden window morning letter paper music table green forest water light house summer winter".split()
+    docs = [(i, " ".join(words[(i * 7 + k * 3) % 16] for k in range(30)) + f" {i}") for i in range(60)]
+    return secrets.train(secrets.labelled_findings(spark.createDataFrame(docs, "doc_id long, text string")))
+
+
+def test_findings_and_redaction(spark, forest):
+    rows = [
+        (1, f'my token = "{KEY}" and again token = "{KEY}".', 5),
+        (2, "call 4952935900253052 or see morning-paper-stone-2024 now", 6),
+        (3, None, None),
+        (4, "", 0),
+        (5, "x" * 100_000 + f' password="{KEY}" ' + "y" * 100_000, 1),
+        (5, "plain", 2),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = secrets.findings(df, forest).collect()
+    hit = [(r.doc_id, r.ordinal) for r in got if r.is_secret]
+    assert sorted(hit) == [(1, 0), (1, 1), (5, 0)]
+    assert {r.secret_sha256 for r in got if r.is_secret} == {hashlib.sha256(KEY.encode()).hexdigest()}
+    out = {(r.doc_id, r.n_chars): r.text for r in secrets.redacted(df, forest).collect()}
+    assert out[1, len('my token = "<secret>" and again token = "<secret>".')] == 'my token = "<secret>" and again token = "<secret>".'
+    assert out[2, 6] == rows[1][1] and out[3, None] is None and out[4, 0] == "" and out[5, 2] == "plain"
+    assert secrets.redacted(df, forest).columns == df.columns
+    assert secrets.findings(df.limit(0), forest).count() == 0
+
+
+def test_forest_expression_is_the_trained_forest(spark):
+    assert secrets.train(spark.createDataFrame([("", KEY, "", 1)], "before string, secret string, after string, label int")) == "0.0D"
+
+
+def test_quality_posteriors_equal_plain_python(spark):
+    rows = []
+    for i in range(400):
+        site = f"s{i % 7}" if i % 11 else None
+        bad = i % 7 == 0 and i % 2
+        text = "BUY!! NOW!! BUY!! NOW!! $$$ ###" if bad else f"a calm text about river number {i} and the stone garden"
+        rows.append((i, text, "en" if i % 3 else "fr", site, 1))
+    rows += [(1000, None, None, None, 1), (1001, "", "en", "lonely", 1), (1001, "", "en", "lonely", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int").drop("score")
+    labels = spark.createDataFrame([(i, 0 if "!!" in t else 1, 0) for i, t, *_ in rows[:300]], "doc_id long, quality int, toxic int")
+    got = quality.scored(df, labels).collect()
+    assert len(got) == len(rows)
+    p = [(r.source or "", r.lang or "", r.p_doc) for r in got]
+    n, m = len(p), np.mean([x[2] for x in p])
+    v = m * (1 - m)
+    sites = {s: [x[2] for x in p if x[0] == s] for s in {x[0] for x in p}}
+    a = sum(len(x) * (np.mean(x) - m) ** 2 for x in sites.values())
+    tau = max(0, (a - (len(sites) - 1) * v) / (n - sum(len(x) ** 2 for x in sites.values()) / n))
+    k = min(1e6, max(1, v / tau - 1)) if tau else 1e6
+    post = {s: (sum(x) + k * m) / (len(x) + k) for s, x in sites.items()}
+    for r in got:
+        assert math.isclose(r.site_posterior, post[r.source or ""], rel_tol=1e-6)
+    kept = {r.doc_id: r.keep for r in got}
+    assert all(kept[i] == ("!!" not in t) for i, t, *_ in rows[:400])
+    assert quality.scored(df.limit(0), labels).count() == 0
