@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import logistic_fit
+from .common import logistic_fit, written
 
+_NAMES = list("abcdefgh")
 _UPPER = bytes(1 if 65 <= i <= 90 else 0 for i in range(256))
 _MARK = bytes(1 if i in b"!$%&*#|<>{}[]=^~@\\/_+" else 0 for i in range(256))
 _DIGIT = bytes(1 if 48 <= i <= 57 else 0 for i in range(256))
@@ -42,25 +43,46 @@ def _squares(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.abs(x[:, :5]))], 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 100_000) -> np.ndarray:
-    """Weights of the classifier from at most `most_labelled` labelled rows, chosen by hash (their shapes are 13 numbers each)."""
-    rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).dropna().dropDuplicates(["doc_id"])
-    n = rows.count()
-    if n > most_labelled:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most_labelled / n))
+def shapes(docs: DataFrame, site: Column, path: Column) -> DataFrame:
+    """doc_id, site, path and the shape (a to h) of every row: all that is needed of a text, in 64 bytes. Written once, as texts are
+    read for it, so neither training nor aggregation moves or reads a text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([shape(t) for t in batch.column(0).to_pylist()]).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1).cast(pa.float64())], list("abcdefghy"))
+            x = np.array([shape(t.as_py()) for t in batch.column(3)]).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in x.T)], ["doc_id", "site", "path", *_NAMES])
 
-    data = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id").select("text", "quality")
-    got = data.mapInArrow(run, ", ".join(f"{c} double" for c in "abcdefghy")).toPandas().to_numpy()
+    rows = docs.select(F.col("doc_id").cast("long"), site.alias("site"), path.alias("path"), F.col("text").cast("string"))
+    return written(rows.mapInArrow(run, "doc_id long, site string, path string, " + ", ".join(f"{c} double" for c in _NAMES)), "shapes")
+
+
+def train(seen: DataFrame, labels: DataFrame, most_labelled: int = 100_000) -> np.ndarray:
+    """Weights of the classifier from at most `most_labelled` labelled rows of `shapes`, chosen by hash: a few MB, which may be broadcast."""
+    rows = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).dropna().dropDuplicates(["doc_id"])
+    n = rows.count()
+    if n > most_labelled:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most_labelled / n))
+    got = seen.join(F.broadcast(rows), "doc_id").select(*(F.col(c).cast("float") for c in _NAMES), F.col("y").cast("float")).toPandas().to_numpy(float)
     if len(got) == 0 or got[:, 8].min() == got[:, 8].max():
         return np.zeros(14)
     return logistic_fit(_squares(got[:, :8]) * 10, got[:, 8])
 
 
+def _probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + _squares(x) * 10 @ weights[1:], -12, 12)))
+
+
+def judged(seen: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, site, path, p_doc of rows of `shapes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns[3:]]).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_probability(x, weights))], ["doc_id", "site", "path", "p_doc"])
+
+    return seen.mapInArrow(run, "doc_id long, site string, path string, p_doc double")
+
+
 def with_evidence(docs: DataFrame, weights: np.ndarray, out: str = "p_doc") -> DataFrame:
     """`docs` with the classifier's probability of good quality."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` double"
@@ -68,9 +90,8 @@ def with_evidence(docs: DataFrame, weights: np.ndarray, out: str = "p_doc") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([shape(t) for t in batch.column(at).to_pylist()]).reshape(-1, 8)
-            p = 1 / (1 + np.exp(-np.clip(weights[0] + _squares(x) * 10 @ weights[1:], -12, 12)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, out])
+            x = np.array([shape(t.as_py()) for t in batch.column(at)]).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_probability(x, weights))], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -97,19 +118,36 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     return both.select("site", "path", "site_posterior", "path_posterior"), m
 
 
-def scored(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """`docs` with p_doc, site_posterior, path_posterior, score and keep. Sites default to source, paths to source and lang."""
-    site = F.col("source") if site is None else site
-    path = F.col("lang") if path is None else path
-    weights = train(docs, labels)
-    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    # the aggregation reads only texts and the two keys, so the documents themselves are not shuffled
-    seen = with_evidence(docs.select(named(site).alias("site"), named(path).alias("path"), F.col("text").cast("string").alias("text")), weights).drop("text")
-    groups, m = posteriors(seen)
-    groups = groups.select(F.col("site").alias("_site"), F.col("path").alias("_path"), "site_posterior", "path_posterior")
+def _named(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None) -> tuple[np.ndarray, DataFrame, DataFrame, float]:
+    """Classifier weights, judged rows, group posteriors (both written) and the corpus' mean. Sites default to source, paths to lang within it."""
+    seen = shapes(docs, _named(F.col("source") if site is None else site), _named(F.col("lang") if path is None else path))
+    weights = train(seen, labels)
+    rows = written(judged(seen, weights), "judged")
+    groups, m = posteriors(rows)
+    return weights, rows, written(groups, "posteriors"), m
+
+
+def _score(rows: DataFrame, m: float, site_weight: float, threshold: float) -> DataFrame:
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.ln(clip(c) / (1 - clip(c)))
-    out = with_evidence(docs, weights)
-    out = out.join(groups, (named(site) == F.col("_site")) & (named(path) == F.col("_path"))).drop("_site", "_path")
     odds = logit(F.col("p_doc")) + site_weight * (logit(F.col("path_posterior")) - logit(F.lit(m)))
-    return out.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("score") >= threshold)
+    return rows.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("score") >= threshold)
+
+
+def scored(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """doc_id, site, path, p_doc, site_posterior, path_posterior, score and keep of every row of `docs`."""
+    _, rows, groups, m = fitted(docs, labels, site, path)
+    return _score(rows.join(groups, ["site", "path"]), m, site_weight, threshold)
+
+
+def kept(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that are good enough, with their columns."""
+    weights, _, groups, m = fitted(docs, labels, site, path)
+    groups = groups.withColumnsRenamed({"site": "_site", "path": "_path"})
+    own = (_named(F.col("source") if site is None else site) == F.col("_site")) & (_named(F.col("lang") if path is None else path) == F.col("_path"))
+    rows = with_evidence(docs, weights, "p_doc").join(groups, own)
+    return _score(rows, m, site_weight, threshold).filter("keep").select(*docs.columns)

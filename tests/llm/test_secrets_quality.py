@@ -55,7 +55,7 @@ def test_quality_posteriors_equal_plain_python(spark):
     labels = spark.createDataFrame([(i, 0 if "!!" in t else 1, 0) for i, t, *_ in rows[:300]], "doc_id long, quality int, toxic int")
     got = quality.scored(df, labels).collect()
     assert len(got) == len(rows)
-    p = [(r.source or "", r.lang or "", r.p_doc) for r in got]
+    p = [(r.site, r.path, r.p_doc) for r in got]
     n, m = len(p), np.mean([x[2] for x in p])
     v = m * (1 - m)
     sites = {s: [x[2] for x in p if x[0] == s] for s in {x[0] for x in p}}
@@ -64,7 +64,9 @@ def test_quality_posteriors_equal_plain_python(spark):
     k = min(1e6, max(1, v / tau - 1)) if tau else 1e6
     post = {s: (sum(x) + k * m) / (len(x) + k) for s, x in sites.items()}
     for r in got:
-        assert math.isclose(r.site_posterior, post[r.source or ""], rel_tol=1e-6)
+        assert math.isclose(r.site_posterior, post[r.site], rel_tol=1e-6)
     kept = {r.doc_id: r.keep for r in got}
     assert all(kept[i] == ("!!" not in t) for i, t, *_ in rows[:400])
+    left = quality.kept(df, labels)
+    assert left.columns == df.columns and left.count() == sum(r.keep for r in got)
     assert quality.scored(df.limit(0), labels).count() == 0
