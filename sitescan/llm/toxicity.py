@@ -36,7 +36,7 @@ _TAIL = ".,;:!?\"')]}»…"
 _N = 29  # border, a to z, other letters, digits and marks
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _TABLE = bytes(i - 96 if 97 <= i <= 122 else 0 if i in (9, 10, 11, 12, 13, 32) else 27 if i > 127 else 28 for i in range(256))
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -47,8 +47,8 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
+            for cell in batch.column(0):
+                if t := cell.as_py():
                     s = np.frombuffer((" " + t.lower() + " ").encode("utf-8", "replace").translate(_TABLE), np.uint8).astype(np.int32)
                     total += np.bincount(s[:-2] * (_N * _N) + s[1:-1] * _N + s[2:], minlength=_N**3)
             cube = total.reshape(_N, _N, _N)
@@ -217,7 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000) -> t
     n = rows.count()
     if n > most_labelled:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most_labelled / n))
-    data = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(rows, "doc_id")
+    # the labelled rows are bounded (a few MB at most), so they go to the documents and no text is shuffled
+    data = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id")
     size = {(r.fold, r.toxic): r.n for r in data.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, total = sum(v for (_, t), v in size.items() if t), sum(size.values())
     none = np.zeros(0)
@@ -270,7 +271,7 @@ def score(docs: DataFrame, trained: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, evidence = Reader(model), Evidence(keys, toxic, total, base)
         for batch in batches:
-            x = np.array([evidence.of(reader.words(t)) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
+            x = np.array([evidence.of(reader.words(t.as_py())) for t in batch.column(1)]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
