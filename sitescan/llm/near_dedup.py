@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int = 5, size: int = 128, rows: int = 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
             keys: list[np.ndarray] = []
             for a, b in _chunks(sets):
                 part = sets[a:b]
@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            cells = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["id", "cells"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, cells binary")
@@ -137,9 +137,9 @@ def _outlines(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(1):
                 on = np.zeros(_BITS, bool)
-                on[(mix(shingle_set(t, shingle)) % np.uint64(_BITS)).astype(np.int64)] = True
+                on[(mix(shingle_set(t.as_py(), shingle)) % np.uint64(_BITS)).astype(np.int64)] = True
                 out.append(np.packbits(on).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "bits"])
 

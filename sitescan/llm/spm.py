@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text: a lone surrogate, which no valid text has. It is written as U+2581's bytes.
 _LITERAL = "\udfff"
-_CACHE = 400_000
+#: Parts and pairs remembered by a worker: two generations of parts of this size each.
+_CACHE = 150_000
 _ROWS = 512
 
 
@@ -53,9 +54,10 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.text = pa.array([bytes([byte_ids.index(i)]) if i in set(byte_ids) else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (first id << 32) + second id
         self.split: dict[str, tuple[str, str]] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def load(path: str, kind: str = "bpe") -> Vocabulary:
@@ -104,12 +106,12 @@ class Vocabulary:
 
         Takes the merges back, the latest first: the two stay if no merge over their border would have come before it.
         """
-        found = self.pairs.get((a, b))
+        found = self.pairs.get((a << 32) + b)
         if found is None:
             left, right, limit, found = self.pieces[a], self.pieces[b], float("inf"), True
             if left[-1] == right[0] == SPACE:  # runs of spaces have equal scores: merge them as they are
                 found = self.merged(left + right) == [left, right]
-                self.pairs[a, b] = found
+                self.pairs[(a << 32) + b] = found
                 return found
             while True:
                 k = self.ids.get(left + right)
@@ -124,7 +126,9 @@ class Vocabulary:
                     limit, right = y + 0.5, self.halves(right)[0]
                 else:
                     break
-            self.pairs[a, b] = found
+            if len(self.pairs) >= 3 * _CACHE:
+                self.pairs.clear()
+            self.pairs[(a << 32) + b] = found
         return found
 
     def _walk(self, text: str, end: int, stop: int, base: int, last: list[int], back: list[int], score: list[float]) -> None:
@@ -140,7 +144,7 @@ class Vocabulary:
                         k = ids.get(text[end - n : end])
                         if k is not None:
                             p = last[i - n]
-                            if p < 0 or (pairs[p, k] if (p, k) in pairs else stays(p, k)):
+                            if p < 0 or (ok if (ok := pairs.get((p << 32) + k)) is not None else stays(p, k)):
                                 piece, size = k, n
                                 break
                 if piece < 0:
@@ -197,6 +201,13 @@ class Vocabulary:
             at -= back[at]
         return out[::-1]
 
+    def _search_whole(self, part: str) -> bytes:
+        if len(part) > 64:
+            return np.fromiter(self.search(part), np.int32).tobytes()
+        last, back = [-1], [0]
+        self._walk(part, 0, len(part), 0, last, back, [0.0])
+        return array("i", self._path(part, 0, len(part), last, back)).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids as int32 bytes. Parts between certain boundaries are searched once and remembered, in bounded number."""
         if not text:
@@ -205,14 +216,12 @@ class Vocabulary:
         for part in self.cut.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)):
             found = cache.get(part)
             if found is None:
-                if len(part) > 64:
-                    found = np.fromiter(self.search(part), np.int32).tobytes()
-                else:
-                    last, back = [-1], [0]
-                    self._walk(part, 0, len(part), 0, last, back, [0.0])
-                    found = array("i", self._path(part, 0, len(part), last, back)).tobytes()
+                found = self.older.get(part)
+                if found is None:
+                    found = self._search_whole(part)
+                if len(part) <= 64:
                     if len(cache) >= _CACHE:
-                        cache.clear()
+                        self.older, self.cache = cache, (cache := {})
                     cache[part] = found
             out.append(found)
         return b"".join(out)

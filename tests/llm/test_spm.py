@@ -33,8 +33,8 @@ def test_ids_equal_the_library(vocabulary):
 def test_pair_rule_equals_merging(vocabulary):
     for t in texts():
         vocabulary.encode(t)
-    for (a, b), stays in vocabulary.pairs.items():
-        p, q = vocabulary.pieces[a], vocabulary.pieces[b]
+    for key, stays in vocabulary.pairs.items():
+        p, q = vocabulary.pieces[key >> 32], vocabulary.pieces[key & 0xFFFFFFFF]
         assert stays == (vocabulary.merged(p + q) == [p, q])
 
 
