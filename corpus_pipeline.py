@@ -17,7 +17,7 @@ from sitescan.llm.queries import encoded
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return quality.scored(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
