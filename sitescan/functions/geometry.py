@@ -52,10 +52,16 @@ def quat_to_rotation(qw: Column, qx: Column, qy: Column, qz: Column) -> list[lis
     ]
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns that later steps take as they are: the optimizer doesn't write their expressions out wherever they are used,
+    which multiplies for long formulas. They come out of a generator of one row; nothing is shuffled."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def with_rotation(images: DataFrame) -> DataFrame:
     """`images` with r00 ... r22, so that the matrix is made once per camera and not once per point."""
     r = quat_to_rotation(*(F.col(c).cast("double") for c in ("qw", "qx", "qy", "qz")))
-    return images.select("*", *(r[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)))
+    return settled(images, **{f"r{i}{j}": r[i][j] for i in range(3) for j in range(3)})
 
 
 def pixel_of(point: Vector) -> list[Column]:

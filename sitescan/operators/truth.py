@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.functions.boxes import Box, box_area, clip_box, in_frame_share
-from sitescan.functions.geometry import add, cross, dot, norm, pixel_of, ray_plane, sub, times, unit, vector, view_angle, view_distance, with_rotation
+from sitescan.functions.geometry import add, cross, dot, norm, pixel_of, ray_plane, settled, sub, times, unit, vector, view_angle, view_distance, with_rotation
 
 from .lift import depth_at
 from .planes import plate_planes
@@ -32,19 +32,27 @@ def build_objects(points: DataFrame, images: DataFrame, marks: DataFrame, margin
     rows = boxes.join(planes, ["site_id", "photo", "box_id"]).join(with_rotation(images).drop("sweep", "width", "height"), ["site_id", "photo"])
     centre, normal = vector("px", "py", "pz"), vector("nx", "ny", "nz")
     x1, y1, x2, y2 = Box.of()
-    hit = lambda u, v: ray_plane(u, v, centre, normal)
-    full = rows.filter("kind = 'full'").withColumns({"tl": _xyz(hit(x1, y1)), "tr": _xyz(hit(x2, y1)), "br": _xyz(hit(x2, y2)), "bl": _xyz(hit(x1, y2))})
-    across, down = sub(_v(F.col("tr")), _v(F.col("tl"))), sub(_v(F.col("bl")), _v(F.col("tl")))
+    # one row per corner, so that the rays are computed once; gathered again to tl, tr, br, bl (a corner mark has its own only)
+    pixel = lambda no, u, v: F.struct(F.lit(no).alias("no"), u.alias("u"), v.alias("v"))
+    spots = F.when(F.col("kind") == "full", F.array(pixel(0, x1, y1), pixel(1, x2, y1), pixel(2, x2, y2), pixel(3, x1, y2))).otherwise(F.array(pixel(0, x1, y1)))
+    about = ["site_id", "object_id", "photo", "kind", "model", "location", "tx", "ty", "tz"]
+    hits = rows.withColumn("s", F.explode(spots)).select(*about, F.col("s.no").alias("no"), _xyz(ray_plane(F.col("s.u"), F.col("s.v"), centre, normal)).alias("at"))
+    marked = hits.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("no", "at"))).alias("c"))
+    at = lambda i: F.col("c")[i]["at"]
+    full = marked.filter("kind = 'full'")
+    across, down = sub(_v(at(1)), _v(at(0))), sub(_v(at(3)), _v(at(0)))
     template = full.groupBy("site_id", "model").agg(F.min_by(F.struct(_xyz(across).alias("w"), _xyz(down).alias("d")), "object_id").alias("t"))
-    corner = rows.filter("kind in ('tl', 'tr')").join(template, ["site_id", "model"]).withColumn("at", _xyz(hit(x1, y1)))
-    w, d, at = _v(F.col("t.w")), _v(F.col("t.d")), _v(F.col("at"))
-    corner = corner.withColumn("tl", F.when(F.col("kind") == "tl", F.col("at")).otherwise(_xyz(sub(at, w))))
-    tl = _v(F.col("tl"))
-    corner = corner.withColumns({"tr": _xyz(add(tl, w)), "bl": _xyz(add(tl, d)), "br": _xyz(add(add(tl, w), d))}).drop("t", "at")
+    full = full.select(*about, *(at(i).alias(k) for i, k in enumerate(("tl", "tr", "br", "bl"))))
+    corner = marked.filter("kind in ('tl', 'tr')").join(template, ["site_id", "model"])
+    w, d, hit = _v(F.col("t.w")), _v(F.col("t.d")), _v(at(0))
+    corner = corner.select(*about, *(F.when(F.col("kind") == "tl", h).otherwise(h - k).alias("a" + a) for a, h, k in zip("xyz", hit, w, strict=True)), *(v.alias(n + a) for n, vec in (("w", w), ("d", d)) for a, v in zip("xyz", vec, strict=True)))
+    tl, w, d = vector("ax", "ay", "az"), vector("wx", "wy", "wz"), vector("dx", "dy", "dz")
+    corner = corner.select(*about, _xyz(tl).alias("tl"), _xyz(add(tl, w)).alias("tr"), _xyz(add(add(tl, w), d)).alias("br"), _xyz(add(tl, d)).alias("bl"))
     both = full.unionByName(corner)
-    tl, tr, br, bl = (_v(F.col(k)) for k in ("tl", "tr", "br", "bl"))
-    mid = times(add(tl, br), F.lit(0.5))
-    n = unit(cross(sub(tr, tl), sub(bl, tl)))
+    both = settled(both, **{f"{k}{a}": F.col(k)[a] for k in ("tl", "tr", "br", "bl") for a in "xyz"})
+    tl, tr, br, bl = (vector(*(k + a for a in "xyz")) for k in ("tl", "tr", "br", "bl"))
+    both = settled(both, **dict(zip(("cx", "cy", "cz", "nx", "ny", "nz"), (*times(add(tl, br), F.lit(0.5)), *cross(sub(tr, tl), sub(bl, tl))), strict=True)))
+    mid, n = vector("cx", "cy", "cz"), unit(vector("nx", "ny", "nz"))
     out = F.when(dot(n, sub(vector("tx", "ty", "tz"), mid)) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     return both.select(
         "site_id", "object_id", "model", "location", F.col("photo").alias("marked_in"), F.array("tl", "tr", "br", "bl").alias("corners"),
@@ -62,14 +70,14 @@ def project_objects(objects: DataFrame, images: DataFrame, strict: bool = True)
     rows = o.join(with_rotation(images), "site_id")
     points = [_v(F.col("corners")[i]) for i in range(4)] + ([_v(F.col("center"))] if strict else [])
     seen = F.array(*(F.struct(*pixel_of(p)) for p in points))
-    rows = rows.withColumn("seen", seen).filter(F.forall("seen", lambda p: p.depth > 0.05))
+    rows = settled(rows, seen=seen).filter(F.forall("seen", lambda p: p.depth > 0.05))
     us, vs = F.transform(F.slice("seen", 1, 4), lambda p: p.u), F.transform(F.slice("seen", 1, 4), lambda p: p.v)
-    rows = rows.withColumns({"x1": F.array_min(us), "y1": F.array_min(vs), "x2": F.array_max(us), "y2": F.array_max(vs)})
+    rows = settled(rows, x1=F.array_min(us), y1=F.array_min(vs), x2=F.array_max(us), y2=F.array_max(vs))
     if not strict:
         return rows.select("site_id", "photo", "object_id", "x1", "y1", "x2", "y2")
     share = in_frame_share(Box.of(), F.col("width"), F.col("height"))
     camera, centre, normal = vector("tx", "ty", "tz"), _v(F.col("center")), _v(F.col("normal"))
-    rows = rows.withColumns({"in_frame": share, "distance_m": view_distance(camera, centre), "view_angle_deg": view_angle(camera, centre, normal), "depth": F.col("seen")[4]["depth"]})
+    rows = settled(rows, in_frame=share, distance_m=view_distance(camera, centre), view_angle_deg=view_angle(camera, centre, normal), depth=F.col("seen")[4]["depth"])
     clipped = clip_box(Box.of(), F.col("width"), F.col("height"))
     rows = rows.filter(box_area(clipped) > 0)
     return rows.select("site_id", "photo", "object_id", "model", "location", *clipped.named(), "in_frame", "distance_m", "view_angle_deg", "depth")
