@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581 of a text: a lone surrogate, which no valid text has. It is written as U+2581's bytes.
 _LITERAL = "\udfff"
 #: Parts and pairs remembered by a worker: two generations of parts of this size each.
-_CACHE = 150_000
+_CACHE = 250_000
 _ROWS = 512
 
 
@@ -52,6 +52,7 @@ class Vocabulary:
         self.unknown = min(scores) - 10.0
         # a boundary is certain before a run of U+2581 if no piece has one after another character
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.by_words = not inner
         self.cut = re.compile(".+" if inner else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.text = pa.array([bytes([byte_ids.index(i)]) if i in set(byte_ids) else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
         self.pairs: dict[int, bool] = {}  # by (first id << 32) + second id
@@ -126,7 +127,7 @@ class Vocabulary:
                     limit, right = y + 0.5, self.halves(right)[0]
                 else:
                     break
-            if len(self.pairs) >= 3 * _CACHE:
+            if len(self.pairs) >= 2 * _CACHE:
                 self.pairs.clear()
             self.pairs[(a << 32) + b] = found
         return found
@@ -208,23 +209,29 @@ class Vocabulary:
         self._walk(part, 0, len(part), 0, last, back, [0.0])
         return array("i", self._path(part, 0, len(part), last, back)).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a word with a space before it, which is not written, remembered among the recent ones."""
+        found = self.older.get(part)
+        if found is None:
+            found = b"".join(map(self._search_whole, self.cut.findall(SPACE + part)))
+        if len(part) <= 64:
+            if len(self.cache) >= _CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[part] = found
+        return found
+
     def encode(self, text: str | None) -> bytes:
-        """The ids as int32 bytes. Parts between certain boundaries are searched once and remembered, in bounded number."""
+        """The ids as int32 bytes. Words between single spaces are searched once and remembered, in bounded number."""
         if not text:
             return b""
-        cache, out = self.cache, []
-        for part in self.cut.findall(SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)):
-            found = cache.get(part)
-            if found is None:
-                found = self.older.get(part)
-                if found is None:
-                    found = self._search_whole(part)
-                if len(part) <= 64:
-                    if len(cache) >= _CACHE:
-                        self.older, self.cache = cache, (cache := {})
-                    cache[part] = found
-            out.append(found)
-        return b"".join(out)
+        if SPACE in text:
+            text = text.replace(SPACE, _LITERAL)
+        words = text.split(" ")
+        if self.by_words and "" not in words:
+            get, part = self.cache.get, self._part
+            return b"".join([get(w) or part(w) for w in words])
+        # runs of spaces are pieces of their own kind: cut where a boundary is certain
+        return b"".join(map(self._search_whole, self.cut.findall(SPACE + text.replace(" ", SPACE))))
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
