@@ -1,15 +1,19 @@
 """Secret scans with a random forest that removes false positives, with DataFrame and SQL functions only.
 
-Candidates are runs of 16 and more key characters with a digit, and private-key headers. Each is described by its length, its
+Candidates are private-key headers; values of any length and any symbols that an assignment gives to a credential; runs behind
+known prefixes; tokens of eight and more characters with small and capital letters, digits and symbols; and runs of 16 and more key
+characters, letters alone included, unless all are one letter. Each is described by its length, its
 character classes and the transitions between them, how much of it dictionary words cover, and the words and path around it. A
 random forest is trained from labelled findings; the trained trees become one SQL expression of nested CASEs, so that scanning
 is a projection: it reads a text once, shuffles nothing and runs wherever a column expression does.
 
 Labelled findings are any rows (before, secret, after, label). `labelled_findings` makes a bounded set from the documents' own words:
-keys of usual make, in and out of assignments, against slugs, dates, numbers, paths and placeholders in the same places.
+keys and passwords of usual make, in and out of assignments, against slugs, dates, numbers, paths, words and placeholders in the same
+places. Some are made from fixed words, so there is a forest whatever the documents' lengths and number.
 
 Null and empty texts have no findings and stay as they are (null as null). Nothing is cut off: all candidates of a whole text
-are judged. Rows that repeat are answered row by row. A secret of letters only, or shorter than 16, is not a candidate.
+are judged. Rows that repeat are answered row by row. Not a candidate is a value under 16 characters that no assignment, prefix or
+mix of all four kinds of characters marks; a plain word as a password is one, but looks to the forest like any word.
 """
 
 from __future__ import annotations
@@ -21,11 +25,23 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 _KEY = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{16,}}+={{0,2}}|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----"
 #: Words that mark an assignment of a credential, and words that placeholders, slugs and paths are made of.
-CREDENTIAL = "token|secret|passw|pwd|api_?key|apikey|auth|credential|private|access|bearer"
+CREDENTIAL = "token|secret|passw|passphrase|pwd|api[_ -]?key|[_-]key|auth|credential|private|access|bearer"
+_PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|xox[baprs]-|AIza|eyJ|sk[_-]|glpat-"
+_GIVEN = rf"(?<=(?:(?i:{CREDENTIAL})[\w.\-]{{0,24}}[\"'`\])]{{0,2}}\s{{0,3}}[=:>]{{1,2}}|(?i:bearer|authorization:\s?basic)\s)\s{{0,3}}"
+_STARTS = (
+    # values given to a credential, in quotes and without
+    rf"(?<=[=:>][\s\"'`]{{0,4}}|(?i:er|ic)\s{{1,4}})(?:{_GIVEN}[\"'`])[^\s\"'`<>]++(?=[\"'`])|{_GIVEN})(?![=:>])[^\s\"'`<>,;]*[^\s\"'`<>,;.:?()\[\]{{}}])",
+    rf"(?:{_PREFIX})[{_KEY}]{{4,}}+(?:\.[{_KEY}]{{2,}}+)*+={{0,2}}",
+    r"(?<!\S)(?=\S*[0-9])(?=\S*[!@#$%^*~+])(?=\S*[A-Z])(?=\S*[a-z])[^\s\"'`<>/:=?&,;()\[\]{}]{8,}+(?=[\s.,;:)]|\z)",
+    rf"(?=[+/_\-]*+[A-Za-z0-9])(?!([A-Za-z])\1*+(?![{_KEY}]))[{_KEY}]{{16,}}+={{0,2}}",
+)
+CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<![{_KEY}])(?:{'|'.join(_STARTS)})"
 COMMON = "example|sample|test|dummy|your|here|placeholder|changeme|token|secret|key|http|https|www|com|html|index|page|image|file|path|user|name|version|release|build|node|data|the|and|with|from"
+_WORDS = "river stone garden window morning letter paper music table green forest water light house summer winter people government between information"
 _AROUND = 48
 
 
@@ -52,9 +68,12 @@ def features(c: str, b: str, a: str) -> dict[str, str]:
         "variety": f"size(array_distinct(split({c}, ''))) / CAST(least(length({c}), 40) AS DOUBLE)",
         "dictionary": _share(c, f"(?i){COMMON}"),
         "longest_word": f"coalesce(array_max(transform(regexp_extract_all({c}, '[A-Za-z]+', 0), w -> length(w))), 0)",
-        "known_prefix": f"CAST({c} rlike '^(AKIA|ASIA|gh[pousr]_|xox[baprs]-|AIza|eyJ|sk[_-]|glpat-|-----BEGIN)' AS INT)",
+        "known_prefix": f"CAST({c} rlike '^({_PREFIX}|-----BEGIN)' AS INT)",
         "credential_before": f"CAST({b} rlike {_sql(f'(?i)({CREDENTIAL})')} AS INT)",
         "assigned": f"CAST({b} rlike {_sql('[=:]' + chr(92) + 's*' + quote + '?$')} AS INT)",
+        "symbols": _share(c, "[^A-Za-z0-9/+=._-]"),
+        "reference": f"CAST({c} rlike {_sql('[(){}<>]|' + chr(92) + '[|^[$%]')} AS INT)",
+        "capitals_first": f"CAST({c} rlike '^[A-Z][a-z]*$' AS INT)",
         "quoted_after": f"CAST({a} rlike {_sql('^' + quote)} AS INT)",
         "path_before": f"CAST({b} rlike '[/.]$' AS INT)",
         "path_after": f"CAST({a} rlike '^([.][A-Za-z]|[/@])' AS INT)",
@@ -63,11 +82,17 @@ def features(c: str, b: str, a: str) -> dict[str, str]:
 
 def labelled_findings(docs: DataFrame, most: int = 1000) -> DataFrame:
     """before, secret, after, label: a bounded set of findings made from at most about `most` documents, chosen by hash."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter("length(text) > 60")
+    rows = docs.select(F.col("text").cast("string").alias("text")).filter("length(text) > 0")
     n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, most / max(n, 1))))
-    rows = rows.select(F.expr("substring(text, 1, 4000)").alias("t")).select(F.split("t", r"\s+").alias("w"), F.sha2("t", 512).alias("h"), F.xxhash64("t").alias("r"))
-    rows = rows.filter("size(w) > 8").withColumn("w", F.expr("transform(w, x -> regexp_replace(x, '[^A-Za-z]', ''))"))
+    # a share of 2^53, so that any number of rows leaves a sample
+    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 53)) < int((1 << 53) * min(1.0, most / max(n, 1))))
+    rows = rows.select(F.expr("substring(text, 1, 4000)").alias("t"))
+    own = F.expr(f"array_join(transform(sequence(0, 19), i -> get(split('{_WORDS}', ' '), CAST(pmod(xxhash64(id, i), {len(_WORDS.split())}) AS INT))), ' ')")
+    rows = rows.unionByName(docs.sparkSession.range(0, 100, 1, 1).select(own.alias("t")))
+    rows = rows.select(F.split("t", r"\s+").alias("w"), F.sha2("t", 512).alias("h"), F.xxhash64("t").alias("r"))
+    rows = rows.withColumn("w", F.expr(f"filter(transform(w, x -> regexp_replace(x, '[^A-Za-z]', '')), x -> x <> '') || split('{_WORDS}', ' ')"))
+    rows = rows.withColumns({"mixed": F.expr("translate(base64(unhex(h)), '+/=', 'xyz')"), "letters": F.expr("translate(base64(unhex(h)), '+/=0123456789', 'xyzgkwqbvjtrm')")})
+    mixed, letters = "mixed", "letters"
     word = lambda i: f"w[{i}]"
     made = {
         1: [
@@ -76,6 +101,8 @@ def labelled_findings(docs: DataFrame, most: int = 1000) -> DataFrame:
             "concat('ghp_', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 1, 36))",
             "concat('sk_live_', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 5, 24))",
             "substring(base64(unhex(h)), 1, 40)", "concat(substring(base64(unhex(h)), 7, 42), '==')",
+            f"concat('AKIA', upper(substring({letters}, 1, 16)))", f"substring({letters}, 3, 40)", f"lower(substring({letters}, 9, 32))", f"upper(substring({letters}, 5, 24))",
+            f"concat(substring({mixed}, 1, 6), '$', substring({mixed}, 8, 5), '!', substring({mixed}, 14, 4))", f"concat(substring({mixed}, 21, 4), '@', pmod(r, 100), substring({mixed}, 27, 3), '#')",
         ],
         0: [
             f"concat_ws('-', {word(0)}, {word(1)}, {word(2)}, {word(3)}, '2024')", f"concat_ws('_', {word(1)}, {word(2)}, {word(3)}, pmod(r, 100))",
@@ -83,19 +110,31 @@ def labelled_findings(docs: DataFrame, most: int = 1000) -> DataFrame:
             "concat('2024-01-', 10 + pmod(r, 20), '-00-00-00')", f"concat('/', {word(0)}, '/', {word(1)}, '/', {word(2)}, '/', pmod(r, 1000))",
             "concat('your-token-here-', pmod(r, 1000))", "concat('example', repeat('x', 12), pmod(r, 10))", "concat(repeat('0', 14), pmod(r, 1000))",
             f"concat('image_', {word(0)}, '_file_', pmod(r, 10000))",
+            f"repeat(lower(substring({word(0)}, 1, 1)), CAST(16 + pmod(r, 100) AS INT))", f"repeat(upper(substring({word(1)}, 1, 1)), 300)",
+            f"concat_ws('-', {word(0)}, {word(1)}, {word(2)}, {word(3)})", f"concat_ws('/', {word(1)}, {word(2)}, {word(3)}, {word(0)})", f"concat({word(0)}, {word(2)}, {word(1)}, {word(3)})",
+            f"concat(initcap({word(0)}), initcap({word(1)}), initcap({word(2)}))", f"concat({word(0)}, '.', initcap({word(1)}), pmod(r, 100), '@', {word(2)}, '.com')",
         ],
+    }
+    # what stands in assignments only
+    given = {
+        1: [f"substring({mixed}, 3, 8)", f"substring({mixed}, 11, 12)", f"concat(substring({mixed}, 2, 5), '!', pmod(r, 100))", f"concat(initcap({word(0)}), pmod(r, 1000), '!')", f"lower(substring({letters}, 2, 12))", f"substring({letters}, 20, 10)",
+            f"concat(translate({word(1)}, 'aeios', '@3105'), pmod(r, 1000), '#')", f"concat(lower(substring({mixed}, 4, 3)), '^', substring({mixed}, 30, 3), '&', pmod(r, 10))"],
+        0: ["repeat(substring(h, 1, 1), 6)", word(0), word(1), f"lower({word(2)})", f"initcap({word(3)})", "pmod(r, 1000)", "pmod(r, 10)", "get(array('null', 'none', 'true', 'false', 'changeme', 'password', 'required', 'xxxxxx', '******', 'string'), CAST(pmod(r, 10) AS INT))",
+            f"concat('${{', upper({word(0)}), '_', upper({word(1)}), '}}')", f"concat('get_', lower({word(2)}), '()')", f"concat('config.', lower({word(1)}))", "'os.environ[TOKEN]'", f"concat('your_', lower({word(3)}))"],
     }
-    plain = [f"concat({word(4)}, ' ')", f"concat({word(5)}, ' ', {word(4)}, ' ')"]
-    keyed = ["concat('token = ', chr(34))", "'api_key: '", "'password='", "concat('secret: ', chr(39))"]
+    befores = ["concat('token = ', chr(34))", "'api_key: '", "'password='", "concat('secret: ', chr(39))", f"concat({word(4)}, ' ')", f"concat({word(5)}, ' ', {word(4)}, ' ')"]
     out = []
     for label, kinds in made.items():
         for at, kind in enumerate(kinds):
             # keys stand in assignments more often than not, other things now and then
-            befores = [keyed[at % 4], keyed[(at + 1) % 4], plain[at % 2]] if label else [plain[0], plain[1], keyed[at % 4]]
-            for b in befores:
-                end = "chr(34)" if "34" in b else "chr(39)" if "39" in b else "' '"
-                out.append(f"struct({b} AS before, {kind} AS secret, concat({end}, ' ', {word(6)}) AS after, {label} AS label)")
-    return rows.select(F.expr(f"inline(array({', '.join(out)}))")).filter("length(secret) >= 16")
+            places = [at % 4, (at + 1) % 4, 4 + at % 2] if label else [4, 5, at % 4]
+            out.append((kind, places, label))
+    out += [(kind, [0, 1, 2, 3], label) for label, kinds in given.items() for kind in kinds]
+    kinds = ", ".join(f"struct(CAST({kind} AS STRING) AS secret, array({', '.join(map(str, places))}) AS places, {label} AS label)" for kind, places, label in out)
+    rows = rows.select("w", F.expr(f"inline(array({kinds}))")).filter("secret <> ''")
+    rows = rows.select("w", "secret", "label", F.explode("places").alias("at"))
+    after = f"concat(CASE at WHEN 0 THEN chr(34) WHEN 3 THEN chr(39) ELSE ' ' END, ' ', {word(6)})"
+    return rows.selectExpr(f"get(array({', '.join(befores)}), at) AS before", "secret", f"{after} AS after", "label")
 
 
 def _trees(model) -> list[str]:
@@ -119,6 +158,8 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 7) -
     """The forest as one SQL expression over a struct f of features: the share of trees that vote for 'secret'."""
     rows = findings.select(F.col("secret").alias("c"), F.col("before").alias("b"), F.col("after").alias("a"), "label")
     rows = rows.select(*(F.expr(f"CAST({e} AS DOUBLE)").alias(k) for k, e in features('c', 'b', 'a').items()), F.col("label").cast("double").alias("label"))
+    # a bounded table that the forest reads once per level
+    rows = written(rows, "findings")
     kinds = rows.groupBy("label").count().count()
     if kinds < 2:
         return "0.0D"
