@@ -1,10 +1,11 @@
 """Chat formatting into windows of a token budget.
 
-Rows (conv_id, turn, role, text) become windows of whole turns. Prefix sums of the turns' tokens, computed by a window function, cut a
-conversation: a turn opens a new window when the running sum of new tokens, measured from the system turn on, enters the
-next budget. Each window repeats the system turn, if any, and up to `history` turns before its first new one, as far as half
-the budget allows; repeated turns carry no loss, so every assistant text is a target once. A turn longer than the
-budget has a window of its own.
+Rows (conv_id, turn, role, text) become windows of whole turns. Running sums of tokens, carried along the sorted turns, cut a
+conversation: a turn opens a new window when the window's tokens, repeated ones included, would exceed the budget with it.
+Each window repeats the system turn, if any, and up to `history` turns before its first new one, as far as half
+the budget and what the system turn and the first new one leave of it allow; repeated turns carry no loss, so every assistant
+text is a target once. A turn that does not fit beside the system turn has a window of its own with it, and only such a
+window is over the budget.
 
 A turn is written as <|im_start|>role\\ntext<|im_end|>\\n. Inside roles and texts "<|" becomes "<\\|", and a backslash run before a bar
 after "<" gets one more backslash, so control strings in texts can't be read as marks and unescaping is exact. Spans of
@@ -48,17 +49,14 @@ def _unrole(text: str) -> str:
     return re.sub(r"\\(n|\\)", lambda m: "\n" if m[1] == "n" else "\\", unescape(text))
 
 
-def turns(conversations: DataFrame, budget: int = 512) -> DataFrame:
-    """conv_id, no (from 0), role, text, tokens, window (the number of the budget in which the turn begins)."""
+def turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, no (from 0), role, text, tokens."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), text.alias("text"))
     # four characters count as a token, and a turn's marks as four tokens
     rows = rows.withColumn("tokens", F.ceil(F.char_length("text") / 4) + 4)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    new = F.when(F.col("role") == "system", F.lit(0)).otherwise(F.col("tokens"))
-    rows = rows.withColumn("no", F.row_number().over(order).cast("long") - 1)
-    before = F.sum(new).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - new
-    return rows.withColumn("window", F.floor(before / budget)).select("conv_id", "no", "role", "text", "tokens", "window")
+    return rows.withColumn("no", F.row_number().over(order).cast("long") - 1).select("conv_id", "no", "role", "text", "tokens")
 
 
 def windows(conversations: DataFrame, budget: int = 512, history: int = 2) -> DataFrame:
@@ -71,7 +69,7 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2) -> Da
             if not state.get("new"):
                 return
             parts, numbers, repeated, loss, at = [], [], [], [], 0
-            for no, role, text, old in [*((*t, True) for t in state["old"]), *((*t, False) for t in state["new"])]:
+            for no, role, text, _, old in [*((*t, True) for t in state["old"]), *((*t, False) for t in state["new"])]:
                 head, body = f"{START}{_role(role)}\n", escape(text)
                 if role == "assistant" and not old:
                     loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
@@ -89,22 +87,25 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2) -> Da
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "window", "formatted", "turn_no", "repeated", "loss"])
 
         for batch in batches:
-            for conv, no, role, text, tokens, window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, no, role, text, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state["conv"] != (conv,):
                     close()
-                    state |= {"conv": (conv,), "number": 0, "window": window, "old": [], "new": [], "system": None, "recent": []}
-                elif window != state["window"]:
+                    state |= {"conv": (conv,), "number": 0, "used": 0, "old": [], "new": [], "system": None, "recent": []}
+                # a window of the system turn alone is not closed: the next one would have to repeat it
+                elif state["used"] + tokens > budget and state["new"] != [state["system"]]:
                     close()
-                    old, left = [], budget // 2
+                    system = [state["system"]] if state["system"] else []
+                    used = sum(t[3] for t in system)
+                    old, left = [], min(budget // 2, budget - used - tokens)
                     for t in reversed(state["recent"]):
-                        left -= -(-len(t[2]) // 4) + 4
+                        left -= t[3]
                         if left < 0:
                             break
                         old.insert(0, t)
-                    system = [state["system"]] if state["system"] else []
-                    state |= {"window": window, "old": [*system, *old], "new": []}
-                turn = (no, role, text)
+                    state |= {"used": used + sum(t[3] for t in old), "old": [*system, *old], "new": []}
+                turn = (no, role, text, tokens)
                 state["new"].append(turn)
+                state["used"] += tokens
                 if role == "system":
                     state["system"] = state["system"] or turn
                 else:
@@ -113,7 +114,7 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2) -> Da
         close()
         yield flush()
 
-    rows = turns(conversations, budget)
+    rows = turns(conversations)
     # the window functions above have sorted each partition by conversation and turn already
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "no").mapInArrow(run, WINDOWS)
 

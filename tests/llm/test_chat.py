@@ -54,3 +54,18 @@ def test_windows_keep_system_turn_history_and_budget(spark):
         assert len(w.loss) == sum(r == "assistant" and not old for (r, _), old in zip(turns, w.repeated, strict=True))
     assert all(sorted(v) == list(range(len(v))) for v in seen.values())
     assert windows(df.limit(0)).count() == 0
+
+
+def test_windows_keep_the_budget(spark):
+    said = [(1, i, "user" if i % 2 else "assistant", "a" * 1984) for i in range(6)] + [(2, 0, "user", "b" * 24), (2, 1, "assistant", "c" * 7984), (2, 2, "user", "d" * 24)]
+    said += [(3, i, "system", "s" * 384) for i in range(40)] + [(4, i, "system" if i == 0 else "user", "t" * 700) for i in range(9)]
+    mixed = [(100 + c if c is not None else 99, *r) for c, *r in rows()]
+    made = {}
+    for budget, part in ((512, said), (64, mixed)):
+        for w in windows(spark.createDataFrame(part, "conv_id long, turn long, role string, text string"), budget=budget).collect():
+            turns = parse(w.formatted)
+            # what a window holds besides system turns: only one turn, without history, may be over the budget
+            others = [r != "system" for r, _ in turns]
+            assert sum(-(-len(t) // 4) + 4 for _, t in turns) <= budget or len(turns) == 1 or (turns[0][0] == "system" and len(turns) == 2), (w.conv_id, others)
+            made.setdefault(w.conv_id, []).append([n for n, old in zip(w.turn_no, w.repeated, strict=True) if not old])
+    assert made[1] == [[0], [1], [2], [3], [4], [5]] and made[2] == [[0], [1], [2]] and len(made[3]) == 10
