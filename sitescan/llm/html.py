@@ -41,13 +41,22 @@ NOT_ARTICLE = frozenset(
 )
 
 
+#: Words that may stand beside those in the name of a class, as in 'main-nav' or 'ad-container'.
+NEUTRAL = frozenset("site main primary secondary global left right top bottom list container wrapper wrap box area section block bar links buttons button form inner outer slot unit item items".split())
+
 #: Parts over which the pages of one host are dealt.
 _SALT = 64
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as no article, and as the article."""
-    out = article = False
+def _no_article(name: str) -> bool:
+    """Whether the whole name of a class or id says so: all its words do, or are neutral beside one that does."""
+    words = [w for w in re.split(r"[_\-]+", name) if w]
+    return any(w in NOT_ARTICLE for w in words) and all(w in NOT_ARTICLE or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def _marked(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes mark an element as no article, do so by class or id, and mark it as the article."""
+    out = named = article = False
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -56,12 +65,15 @@ def _marked(attributes: str) -> tuple[bool, bool]:
             out |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
             article |= value in ("main", "article")
         elif name in ("class", "id"):
-            out |= any(x in NOT_ARTICLE for x in re.split(r"[\s_\-]+", value))
-    return out, article
+            named |= any(map(_no_article, value.split()))
+    return out, named, article
+
 
+def walk(html: str | None, template: frozenset[int] | set[int] = frozenset(), spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], set[int]]:
+    """Blocks in page order as (text, stands in the article), and the hashes of the page's subtrees.
 
-def walk(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, bool]], set[int]]:
-    """Blocks in page order as (text, stands in the article), and the hashes of the page's subtrees."""
+    Class rules pass over html, body, main, the article and whatever holds one of them: elements that turn out to do so are `spared`,
+    by number, when the page is read once more. Articles inside a marked element count only if there is none outside."""
     blocks: list[tuple[str, bool]] = []
     hashes: set[int] = set()
     if not html:
@@ -70,6 +82,11 @@ def walk(html: str | None, template: frozenset[int] | set[int] = frozenset()) ->
     pieces: list[str] = []
     #: tag, dropped, in the article, index of its first event and block
     stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+    #: numbers of the elements around each open one that are dropped by class; of those that hold a body or main, and an article
+    named_around: list[tuple[int, ...]] = [()]
+    holds: set[int] = set()
+    holds_article: set[int] = set()
+    number, free = 0, False
 
     def flush() -> None:
         if pieces:
@@ -89,6 +106,7 @@ def walk(html: str | None, template: frozenset[int] | set[int] = frozenset()) ->
                         del blocks[block:]
                     hashes.add(h)
             stack.pop()
+            named_around.pop()
 
     def last(tags: frozenset[str] | set[str], stop: frozenset[str]) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -147,13 +165,28 @@ def walk(html: str | None, template: frozenset[int] | set[int] = frozenset()) ->
         if tag not in INLINE:
             flush()
             events.append("<" + tag)
-        out, article = _marked(attributes) if attributes else (False, False)
+        number += 1
+        out, named, article = _marked(attributes) if attributes else (False, False, False)
         _, dropped, inside, _, _ = stack[-1]
+        core = article or tag in ("article", "main", "body", "html")
+        around = named_around[-1]
+        if core:
+            if article and tag != "article" or tag in ("main", "body", "html"):
+                holds.update(around)
+            elif around:
+                holds_article.update(around)
+            else:
+                free = True
+        named = named and not core and number not in spared
+        named_around.append((*around, number) if named else around)
         article = inside or article or tag in ("article", "main")
-        dropped = dropped or out or tag in DROPPED or (tag == "header" and not inside)
+        dropped = dropped or out or named or tag in DROPPED or (tag == "header" and not inside)
         stack.append((tag, dropped, article, len(events) - (tag not in INLINE), len(blocks)))
     flush()
     close(1)
+    again = holds if free or holds else holds_article
+    if again and not spared:
+        return walk(html, template, frozenset(again))
     return blocks, hashes
 
 

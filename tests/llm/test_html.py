@@ -51,3 +51,14 @@ def test_repeated_paragraphs_of_an_article_stay(spark):
     rows = [(i, "http://h/", f"<article><p>same</p><p>{i}</p></article><div>foot</div>") for i in range(10)]
     got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == f"same\n\n{r.page_id}" for r in got)
+
+
+def test_class_rules_take_whole_names_and_spare_the_page():
+    assert main_text("<body class='no-sidebar'><p>a</p></body>") == "a"
+    assert main_text("<article class='post comments-open'><p>a</p></article>") == "a"
+    assert main_text("<html class='has-header'><body class='sidebar'><main id='search'><p>a</p></main></body></html>") == "a"
+    assert main_text("<div id='page' class='has-header'><div class='entry-header'><h1>h</h1></div><p>a</p></div>") == "h\n\na"
+    assert main_text("<div class='sidebar'><article><p>a</p></article></div>") == "a"
+    assert main_text("<div class='widget'><div class='share'><p>x</p></div><main><p>a</p></main></div>") == "a"
+    assert main_text("<article><p>a</p></article><div class='comments'><article><p>me too</p></article></div>") == "a"
+    assert main_text("<article><p>a</p><div class='main-nav'><p>n</p></div><div class='ad box'><p>b</p></div></article>") == "a"
