@@ -4,10 +4,13 @@ A page is read into its element tree. Every element that holds others or stands
 texts inside. Spark counts, per host, on how many different pages each hash occurs (copies of one page count once), and
 subtrees that recur on many of a host's pages are its template and are deleted. Elements whose tag, role or class says that they
 are no article (menus, forms, adverts, comments and the like) are deleted too, and where a page marks its article, only
-that is read. Paragraphs and headings inside a marked article are never taken for template: authors do repeat themselves.
+that is read. As authors do repeat themselves, a paragraph or heading inside a marked article is template only if it is on at least half
+of a host's pages and on `_LEAF_PAGES` of them.
 
-A template needs `least_pages` pages and a share `least_share` of the host's pages, so a host has at most (subtrees of a page) / share of
-them, however many pages it has; they travel with the join as one short array per host.
+Any other subtree needs `least_pages` pages and either a share `least_share` of the host's pages or ten times the square root of their
+number, whichever is less, so that the menu of a section counts on a large host too (20% of 2,500 pages, 1% of a million). On a
+host of 3 or 4 pages it must be on all of them; hosts of 1 or 2 pages have no template. The templates of a host grow at most with that
+square root; they travel with the join as one short array per host.
 
 Null and empty pages have an empty text. A null url belongs to the host ''. A tag, comment or script that the end of the page cuts
 off is dropped with what it would hold. Repeated rows are answered row by row; other columns are ignored.
@@ -44,6 +47,8 @@ NOT_ARTICLE = frozenset(
 #: Words that may stand beside those in the name of a class, as in 'main-nav' or 'ad-container'.
 NEUTRAL = frozenset("site main primary secondary global left right top bottom list container wrapper wrap box area section block bar links buttons button form inner outer slot unit item items".split())
 
+#: Pages of a host that must have a paragraph of their articles before it is taken for a notice.
+_LEAF_PAGES = 20
 #: Parts over which the pages of one host are dealt.
 _SALT = 64
 
@@ -100,8 +105,10 @@ def walk(html: str | None, template: frozenset[int] | set[int] = frozenset(), sp
             tag, _, article, first, block = stack[-1]
             if tag not in INLINE:
                 flush()
-                if len(events) > first + 1 and not (tag in LEAVES and article):
+                if len(events) > first + 1:
                     h = xxhash.xxh3_64_intdigest("\0".join(events[first:])) >> 1
+                    # leaves of an article are counted under negative hashes
+                    h = ~h if tag in LEAVES and article else h
                     if h in template:
                         del blocks[block:]
                     hashes.add(h)
@@ -213,9 +220,12 @@ def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3)
 
     rows = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html"))
     rows = rows.mapInArrow(run, "host string, page long, hashes array<long>").dropDuplicates(["host", "page"])
-    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min(3, least_pages))
     size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.join(size, "host").filter(F.col("n") >= least_share * F.col("pages"))
+    n, pages_of = F.col("n"), F.col("pages")
+    usual = (n >= least_pages) & (n >= F.least(least_share * pages_of, 10 * F.sqrt(pages_of)))
+    leaf = (n >= _LEAF_PAGES) & (2 * n >= pages_of)
+    often = counts.join(size, "host").filter(F.when(F.col("hash") < 0, leaf).when(pages_of < least_pages, n == pages_of).otherwise(usual))
     return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 

@@ -62,3 +62,13 @@ def test_class_rules_take_whole_names_and_spare_the_page():
     assert main_text("<div class='widget'><div class='share'><p>x</p></div><main><p>a</p></main></div>") == "a"
     assert main_text("<article><p>a</p></article><div class='comments'><article><p>me too</p></article></div>") == "a"
     assert main_text("<article><p>a</p><div class='main-nav'><p>n</p></div><div class='ad box'><p>b</p></div></article>") == "a"
+
+
+def test_notices_in_articles_and_sections_of_large_hosts_go(spark):
+    rows = [(i, "http://big/", f"<body>{'<div><p>Section menu</p><p>more</p></div>' if i % 4 == 0 else ''}<article><p>Our notice</p><p>{i}</p><p>{i // 2}</p></article><p>{i} end</p></body>") for i in range(3000)]
+    rows += [(9000 + i, "http://flat/", f"<body>{'<div><p>Section menu</p><p>more</p></div>' if i % 4 == 0 else ''}<div><p>text {i}</p><p>end</p></div></body>") for i in range(3000)]
+    rows += [(20_000 + i, "http://few/", f"<body><div><p>Shop</p><p>sells</p></div><div><p>{i}</p><p>x{i}</p></div></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{i}\n\n{i // 2}" for i in range(3000))
+    assert all(got[9000 + i] == f"text {i}" for i in range(3000))
+    assert all(got[20_000 + i] == f"{i}\n\nx{i}" for i in range(3))
