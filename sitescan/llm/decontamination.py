@@ -5,7 +5,8 @@ partitions: items are put into classes of doubling size, and for the class of up
 2L shingles every L, so any passage of L shingles lies in one window, and the sizes compared differ by a bounded factor however
 long the document is. Windows and items get a one-permutation MinHash sketch (the smallest hash in each of `bins` bins); a
 window and an item that agree in a bin make the pair a candidate, and candidates are verified on the exact shingle sets of
-the whole document and item. With 64 bins, a passage that holds 0.8 of an item is missed with a probability below 1e-6.
+the whole document and item. Items of up to 8 shingles are too small for sketches, as another shingle of the window can take the
+bin of the only one: all their shingles are looked up in the document's, which is exact.
 
 Items are the stated query set. They go to the tasks in blocks of a bounded number of shingles, each block against all documents, so
 documents are never shuffled. Nulls and empty texts have no shingles: they contain nothing and are contained in nothing. A text
@@ -27,6 +28,8 @@ from .common import shingles, word_hashes, words_of
 BLOCK_SHINGLES = 2_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FILTER = 1 << 22
+#: Up to so many shingles an item is looked up whole.
+_SMALL = 8
 
 
 class Items:
@@ -40,7 +43,7 @@ class Items:
         for i, text in rows:
             s = np.unique(shingles(word_hashes(words_of(text)), shingle))
             if len(s):
-                size = max(8, 1 << (len(s) - 1).bit_length())
+                size = max(_SMALL, 1 << (len(s) - 1).bit_length())
                 classes.setdefault(size, []).append((len(self.ids), s))
                 self.ids.append(i)
                 self.sets.append(s)
@@ -49,8 +52,8 @@ class Items:
         for size, members in classes.items():
             values, owners = [], []
             for number, s in members:
-                sketch = self.sketch(s, np.zeros(len(s), np.int64), 1)[0]
-                values.append(sketch[sketch != _NONE])
+                sketch = s if size == _SMALL else self.sketch(s, np.zeros(len(s), np.int64), 1)[0]
+                values.append(sketch if size == _SMALL else sketch[sketch != _NONE])
                 owners.append(np.full(len(values[-1]), number))
             v, o = np.concatenate(values), np.concatenate(owners)
             order = np.argsort(v, kind="stable")
@@ -70,7 +73,11 @@ class Items:
         if not len(h):
             return []
         candidates: set[int] = set()
+        out: list[tuple[int, int]] = []
         for size, (values, owners, seen) in self.classes.items():
+            if size == _SMALL:
+                out = self.looked_up(h, values, owners, seen)
+                continue
             parts = -(-len(h) // size)
             blocks = self.sketch(h, np.arange(len(h)) // size, parts)
             if parts > 1:
@@ -82,15 +89,24 @@ class Items:
                 for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
                     candidates.update(owners[a:b].tolist())
         if not candidates:
-            return []
+            return out
         whole = np.unique(h)
-        out = []
         for number in sorted(candidates):
             s = self.sets[number]
             both = len(np.intersect1d(s, whole, assume_unique=True))
             if 100 * both >= self.percent * len(s):
                 out.append((number, both))
-        return out
+        return sorted(out)
+
+    def looked_up(self, h: np.ndarray, values: np.ndarray, owners: np.ndarray, seen: np.ndarray) -> list[tuple[int, int]]:
+        """(number of the item, shared shingles) of the small items contained in a document of shingles `h`."""
+        h = np.unique(h[seen[(h & np.uint64(_FILTER - 1)).astype(np.int64)]])
+        lo, hi = np.searchsorted(values, h), np.searchsorted(values, h, side="right")
+        found = [owners[a:b] for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True)]
+        if not found:
+            return []
+        numbers, both = np.unique(np.concatenate(found), return_counts=True)
+        return [(n, b) for n, b in zip(numbers.tolist(), both.tolist(), strict=True) if 100 * b >= self.percent * len(self.sets[n])]
 
 
 def blocks(items: DataFrame, id_col: str, shingle: int, percent: int, bins: int) -> Iterator[Items]:

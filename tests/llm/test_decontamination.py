@@ -48,3 +48,16 @@ def test_pairs_equal_plain_sets(spark):
     assert sorted(r.doc_id for r in decontaminated(df, it).collect()) == sorted(d for d, _ in docs if d not in bad)
     assert decontaminated(df, it).columns == df.columns
     assert contained_items(df.limit(0), it).count() == 0 and contained_items(df, it.limit(0)).count() == 0
+
+
+def test_items_of_one_to_eight_shingles_are_never_missed(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(5 + i // 100))) for i in range(800)]
+    docs = []
+    for i, text in items:
+        w = [word() for _ in range(200)]
+        at = rnd.randrange(200)
+        docs.append((i, " ".join([*w[:at], text, *w[at:]])))
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i, 1 + i // 100, 1 + i // 100) for i in range(800)]
