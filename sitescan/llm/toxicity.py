@@ -3,7 +3,9 @@
 Channel: a writer meant plain letters and wrote look-alikes (1 for i or l, $ for s), put punctuation or spaces between letters,
 or repeated them. A token's characters form a lattice of what each may stand for; Viterbi search under a character
 trigram model, whose counts come from all words of the corpus, picks the likeliest reading. A token whose lattice has one
-path only (plain letters without repeats) is its own reading, so only doubtful tokens are searched, each once per worker.
+path only (plain letters without repeats) is its own reading, so only doubtful tokens are searched, each once per worker. Runs of
+two and more one-character tokens are read as one lattice, in which a letter repeated over spaces may be dropped; two and
+three neighbouring tokens of up to three characters are also read as one word.
 
 Classifier: toxic documents are marked by words, and by words of the same beginning. The share of toxic documents among
 those that have a word is shrunk towards that of its 7-, 6- and 5-letter beginnings and at last the base rate; a
@@ -16,6 +18,7 @@ base rate. Repeated rows are scored row by row. At most `most_labelled` rows are
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ _N = 29  # border, a to z, other letters, digits and marks
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _TABLE = bytes(i - 96 if 97 <= i <= 122 else 0 if i in (9, 10, 11, 12, 13, 32) else 27 if i > 127 else 28 for i in range(256))
 _CACHE = 200_000
+_LONG = re.compile(r"(\S)(?: \1){2,}(?=\s|\Z)")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -83,7 +87,7 @@ class Decoder:
         code = _CODE.get(c)
         if code or c.isalpha():
             out = [(c, code or 27, 0.0)]
-            if i and token[i - 1] == c:
+            if (i and token[i - 1] == c) or (i > 1 and token[i - 1] == " " and token[i - 2] == c):
                 out.append(("", -1, _REPEAT))
             return out
         out = [(x, _CODE[x], _LIKE) for x in LOOKALIKES.get(c, "")]
@@ -134,6 +138,38 @@ def trimmed(token: str) -> str:
     return token.strip(_TAIL)
 
 
+def spaced_runs(tokens: list[str], every: bool = False) -> Iterator[list[str]]:
+    """The runs of one-character tokens; with `every`, also all other tokens, each alone."""
+    run: list[str] = []
+    for t in tokens:
+        if len(t) == 1:
+            run.append(t)
+            continue
+        if run:
+            yield run
+            run = []
+        if every:
+            yield [t]
+    if run:
+        yield run
+
+
+def chunks(tokens: list[str]) -> set[str]:
+    """Two and three neighbouring tokens of up to three characters, put together; one-character tokens alone are runs."""
+    out: set[str] = set()
+    a = b = ""
+    for t in tokens:
+        if len(t) > 3:
+            a = b = ""
+            continue
+        if b and len(b) + len(t) > 3:
+            out.add(b + t)
+        if a and len(a) + len(b) + len(t) > 3:
+            out.add(a + b + t)
+        a, b = b, t
+    return out
+
+
 class Reader:
     """Restored distinct words of whole texts; readings of tokens are remembered, in bounded number."""
 
@@ -151,28 +187,36 @@ class Reader:
                 self.cache[token] = found
         return found
 
+    def run(self, run: list[str]) -> tuple[str, ...]:
+        """The words of a run of spaced characters; three and more equal ones in a row are two, of which one may be dropped."""
+        text = _LONG.sub(r"\1 \1", " ".join(run))
+        found = self.cache.get(text)
+        if found is None:
+            found = tuple(self.decoder.read(text)) if any(c.isalpha() for c in text) else tuple(run)
+            if len(text) <= 40:
+                if len(self.cache) >= _CACHE:
+                    self.cache.clear()
+                self.cache[text] = found
+        return found
+
     def words(self, text: str | None) -> set[str]:
         if not text:
             return set()
         tokens = text.lower().split()
         out: set[str] = set()
         read = self.token
-        if list(map(len, tokens)).count(1) >= 4:
-            run: list[str] = []
-            for t in [*tokens, ""]:
-                if len(t) == 1 and not (len(run) > 1 and run[-1] == run[-2] == t):
-                    run.append(t)
-                    continue
-                if len(run) >= 4:
-                    out.update(self.decoder.read(" ".join(run)))
-                run = []
+        for run in spaced_runs(tokens):
+            if len(run) > 1:
+                out.update(self.run(run))
+        for chunk in chunks(tokens):
+            out.update(read(chunk))
         for t in set(tokens):
             out.update(read(t))
         return out
 
     def restored(self, text: str | None) -> str:
-        """The text with every token replaced by its reading."""
-        return " ".join(w for t in (text or "").lower().split() for w in self.token(t))
+        """The text with every token and every run of spaced letters replaced by its reading."""
+        return " ".join(w for run in spaced_runs((text or "").lower().split(), every=True) for w in (self.run(run) if len(run) > 1 else self.token(run[0])))
 
 
 def features(word: str) -> list[int]:

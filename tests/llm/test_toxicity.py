@@ -61,3 +61,13 @@ def test_held_out_accuracy_and_edges(spark):
     assert got[900].predicted == got[901].predicted == 0 and got[902].predicted == 1
     none = tx.scored(df, lab.filter("toxic = 0")).collect()
     assert all(r.predicted == 0 for r in none)
+
+
+def test_restores_spaced_words_with_repeats_and_chunks(spark):
+    docs, _ = corpus()
+    reader = tx.Reader(tx.log_model(tx.trigram_counts(spark.createDataFrame(docs, "doc_id long, text string, lang string"))))
+    assert "stupid" in reader.words("the s t u u u p i d river") and "stupid" in reader.words("s t u u u u u u p i d")
+    assert "idiot" in reader.words("the id iot river") and "idiot" in reader.words("i d iot")
+    assert "of" in reader.words("river o f table")
+    assert reader.restored("the t r a s h table") == "the trash table"
+    assert reader.restored("river s t u u u p i d window") == "river stupid window"
