@@ -7,12 +7,14 @@ gzip magic, takes a candidate for a member only if its first bytes decode to a W
 decodes with a right checksum, and owns the records that start inside its range; the last may end beyond it.
 
 A null page is an empty payload, a null url leaves out the target, a null page_id an empty one. Rows that repeat a page_id
-give a record each. Line breaks in a url are percent-encoded. Columns other than page_id, url and html are ignored.
+give a record each. Length and digest of a response are those of the payload that was read; a record whose headers say something else
+stops the job with its name. Line breaks in a url are percent-encoded. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -123,13 +125,21 @@ def _fields(raw: bytes) -> tuple | None:
     if not found:
         return None
     h = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    block = block[: int(h.get("Content-Length", 0))]
+    size = int(h.get("Content-Length", 0))
+    whole = len(block) >= size
+    block = block[:size]
     http, _, payload = block.partition(b"\r\n\r\n")
     page = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-    length = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-    digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+    length = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    digest = h.get("WARC-Payload-Digest", "")
+    digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
     kind = h.get("WARC-Type")
-    return (page(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), kind, page(h.get("WARC-Refers-To")), base64.b32decode(digest).hex() if digest else None, length, payload if kind == "response" else None)
+    if kind == "response":
+        read = hashlib.sha1(payload).hexdigest()
+        if not whole or length not in (None, len(payload)) or digest not in (None, read):
+            raise ValueError(f"record {h.get('WARC-Record-ID')}: {len(payload)} bytes with SHA-1 {read}, but its headers say {length} and {digest}")
+        length, digest = len(payload), read
+    return (page(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), kind, page(h.get("WARC-Refers-To")), digest, length or 0, payload if kind == "response" else None)
 
 
 def records_in(source, start: int, end: int) -> Iterator[tuple]:

@@ -4,7 +4,9 @@ import gzip
 import hashlib
 import io
 
-from sitescan.llm.warc import plan_records, read_warc, records_in, through_warc, write_warc
+import pytest
+
+from sitescan.llm.warc import _record, plan_records, read_warc, records_in, through_warc, write_warc
 
 
 def pages():
@@ -48,3 +50,14 @@ def test_foreign_bytes_between_members():
 
 def test_empty(spark):
     assert through_warc(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lost_or_cut_payloads_are_reported():
+    digest = hashlib.sha1(b"payload").hexdigest()
+    whole = _record(5, "u", b"payload", digest, None)
+    got = [*records_in(io.BytesIO(gzip.compress(whole)), 0, 1)]
+    assert got[0][4:7] == (digest, 7, b"payload")
+    end = whole.index(b"payload\r\n")
+    for bad in (whole[: end + 3], whole[:end] + b"\r\n\r\n", whole[:end] + b"PAYLOAD\r\n\r\n", _record(5, "u", b"", digest, None)):
+        with pytest.raises(ValueError, match="urn:page:5"):
+            list(records_in(io.BytesIO(gzip.compress(bad)), 0, 1))
