@@ -3,10 +3,11 @@
 A logistic classifier reads the shape of a whole text. Its probabilities, summed per path and site by grouped aggregation over all
 documents, give each site and path a posterior mean that is shrunk, the sparser the more: paths towards their site, sites
 towards the corpus. How strongly comes from the data (method of moments of a beta-binomial). A document's score has the odds of
-its own evidence times the odds of its path against the corpus, the latter to the power `site_weight`.
+its own evidence times the odds of its path, taken without the document itself, against the corpus, the latter to the power `site_weight`.
 
 Nulls and empty texts have the shape of an empty text; null sites and paths are one group of their own. Repeated rows count
-and are answered row by row. Without labels of both classes every document has probability 1/2.
+and are answered row by row. Without labels of both classes every document has probability 1/2. An empty input gives no rows. `scored`
+reads doc_id, text and the columns of site and path and returns only its own; `kept` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import logistic_fit, written
+from .common import fresh, logistic_fit, slices, small_batches, written
 
 _NAMES = list("abcdefgh")
 _UPPER = bytes(1 if 65 <= i <= 90 else 0 for i in range(256))
@@ -48,10 +49,11 @@ def shapes(docs: DataFrame, site: Column, path: Column) -> DataFrame:
     read for it, so neither training nor aggregation moves or reads a text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             x = np.array([shape(t.as_py()) for t in batch.column(3)]).reshape(-1, 8)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in x.T)], ["doc_id", "site", "path", *_NAMES])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), site.alias("site"), path.alias("path"), F.col("text").cast("string"))
     return written(rows.mapInArrow(run, "doc_id long, site string, path string, " + ", ".join(f"{c} double" for c in _NAMES)), "shapes")
 
@@ -83,19 +85,6 @@ def judged(seen: DataFrame, weights: np.ndarray) -> DataFrame:
     return seen.mapInArrow(run, "doc_id long, site string, path string, p_doc double")
 
 
-def with_evidence(docs: DataFrame, weights: np.ndarray, out: str = "p_doc") -> DataFrame:
-    """`docs` with the classifier's probability of good quality."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` double"
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([shape(t.as_py()) for t in batch.column(at)]).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_probability(x, weights))], [*batch.schema.names, out])
-
-    return docs.mapInArrow(run, schema)
-
-
 def _strength(groups: DataFrame, of: str, n: str, mean: str, above: str, outer_n: str | Column, count: int, v: float) -> float:
     """How many documents' worth of the outer mean a group is given: within-group over between-group variance."""
     a, spread, k = groups.agg(F.sum(F.col(n) * (F.col(mean) - F.col(above)) ** 2), F.sum(F.col(n) - F.col(n) * F.col(n) / outer_n), F.count("*")).first()
@@ -103,8 +92,9 @@ def _strength(groups: DataFrame, of: str, n: str, mean: str, above: str, outer_n
     return min(1e6, max(1.0, v / between - 1)) if between else 1e6
 
 
-def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """Of rows (site, path, p_doc): site, path, site_posterior, path_posterior, by grouped aggregation; and the corpus' mean."""
+def posteriors(evidence: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Of rows (site, path, p_doc): site, path, site_posterior, path_posterior and the counts and sums (np, sp, ns, ss) that
+    they come from, by grouped aggregation; and the corpus' mean `m` with the strengths `ks` and `kp` of shrinking."""
     paths = evidence.groupBy("site", "path").agg(F.count("*").alias("np"), F.sum("p_doc").alias("sp")).withColumn("mp", F.col("sp") / F.col("np"))
     sites = paths.groupBy("site").agg(F.sum("np").alias("ns"), F.sum("sp").alias("ss")).withColumn("ms", F.col("ss") / F.col("ns"))
     n, s, k = sites.agg(F.sum("ns"), F.sum("ss"), F.count("*")).first()
@@ -115,39 +105,68 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     both = paths.join(sites, "site")
     kp = _strength(both, "path", "np", "mp", "ms", F.col("ns"), k, v)
     both = both.withColumn("path_posterior", (F.col("sp") + kp * F.col("site_posterior")) / (F.col("np") + kp))
-    return both.select("site", "path", "site_posterior", "path_posterior"), m
+    return both.select("site", "path", "site_posterior", "path_posterior", "np", "sp", "ns", "ss"), {"m": m, "ks": ks, "kp": kp}
 
 
 def _named(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None) -> tuple[np.ndarray, DataFrame, DataFrame, float]:
-    """Classifier weights, judged rows, group posteriors (both written) and the corpus' mean. Sites default to source, paths to lang within it."""
-    seen = shapes(docs, _named(F.col("source") if site is None else site), _named(F.col("lang") if path is None else path))
+def fitted(docs: DataFrame, labels: DataFrame, site: Column, path: Column) -> tuple[np.ndarray, DataFrame, DataFrame, dict[str, float]]:
+    """Classifier weights, judged rows, group posteriors (both written) and the numbers of `posteriors`."""
+    seen = shapes(docs, site, path)
     weights = train(seen, labels)
     rows = written(judged(seen, weights), "judged")
-    groups, m = posteriors(rows)
-    return weights, rows, written(groups, "posteriors"), m
+    groups, numbers = posteriors(rows)
+    return weights, rows, written(groups, "posteriors"), numbers
 
 
-def _score(rows: DataFrame, m: float, site_weight: float, threshold: float) -> DataFrame:
-    clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
-    logit = lambda c: F.ln(clip(c) / (1 - clip(c)))
-    odds = logit(F.col("p_doc")) + site_weight * (logit(F.col("path_posterior")) - logit(F.lit(m)))
-    return rows.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("score") >= threshold)
+def score_of(p: np.ndarray, group: np.ndarray, numbers: dict[str, float], site_weight: float) -> np.ndarray:
+    """Scores of documents of evidence `p` in groups of rows (np, sp, ns, ss), from each of which the document itself is taken out."""
+    n, s, n_site, s_site = group
+    m, ks, kp = numbers["m"], numbers["ks"], numbers["kp"]
+    site = (s_site - p + ks * m) / (n_site - 1 + ks)
+    path = (s - p + kp * site) / (n - 1 + kp)
+    p, path = (np.clip(x, 1e-6, 1 - 1e-6) for x in (p, path))
+    odds = np.log(p / (1 - p)) + site_weight * (np.log(path / (1 - path)) - np.log(m / (1 - m)))
+    return 1 / (1 + np.exp(-odds))
 
 
 def scored(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """doc_id, site, path, p_doc, site_posterior, path_posterior, score and keep of every row of `docs`."""
-    _, rows, groups, m = fitted(docs, labels, site, path)
-    return _score(rows.join(groups, ["site", "path"]), m, site_weight, threshold)
-
-
-def kept(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are good enough, with their columns."""
-    weights, _, groups, m = fitted(docs, labels, site, path)
-    groups = groups.withColumnsRenamed({"site": "_site", "path": "_path"})
-    own = (_named(F.col("source") if site is None else site) == F.col("_site")) & (_named(F.col("lang") if path is None else path) == F.col("_path"))
-    rows = with_evidence(docs, weights, "p_doc").join(groups, own)
-    return _score(rows, m, site_weight, threshold).filter("keep").select(*docs.columns)
+    """doc_id, site, path, p_doc, site_posterior, path_posterior, score and keep of every row of `docs`. Sites default to source, paths
+    to lang within it."""
+    site, path = _named(F.col("source") if site is None else site), _named(F.col("lang") if path is None else path)
+    _, rows, groups, numbers = fitted(docs, labels, site, path)
+    rows = rows.join(groups, ["site", "path"]).select("doc_id", "site", "path", "p_doc", "site_posterior", "path_posterior", "np", "sp", "ns", "ss")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([c.to_numpy() for c in batch.columns[6:]], float)
+            score = score_of(batch.column(3).to_numpy(), x, numbers, site_weight)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score), pa.array(score >= threshold)], [*batch.schema.names[:6], "score", "keep"])
+
+    return rows.mapInArrow(run, "doc_id long, site string, path string, p_doc double, site_posterior double, path_posterior double, score double, keep boolean")
+
+
+def kept(docs: DataFrame, labels: DataFrame, site: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5, most_groups: int = 200_000) -> DataFrame:
+    """The rows of `docs` that are good enough, with their columns, decided in one pass over the texts.
+
+    Up to `most_groups` sites and paths (48 bytes and their names each) are sent to the rows; more are joined, hot groups split by Spark.
+    """
+    site, path = _named(F.col("source") if site is None else site), _named(F.col("lang") if path is None else path)
+    weights, _, groups, numbers = fitted(docs, labels, site, path)
+    own, key = fresh(docs, "_path"), fresh(docs, "_site")
+    groups = groups.select(F.col("site").alias(key), F.col("path").alias(own), F.array(*(F.col(c).cast("double") for c in ("np", "sp", "ns", "ss"))).alias(group := fresh(docs, "_group")))
+    if groups.count() <= most_groups:
+        groups = F.broadcast(groups)
+    rows = docs.withColumns({key: site, own: path}).join(groups, [key, own]).select(*(F.col(f"`{c}`") for c in docs.columns), group)
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            p = _probability(np.array([shape(t.as_py()) for t in batch.column(at)]).reshape(-1, 8), weights)
+            x = batch.column(len(names)).flatten().to_numpy().reshape(-1, 4).T
+            good = score_of(p, x, numbers, site_weight) >= threshold
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(good))
+
+    return rows.mapInArrow(run, docs.schema)

@@ -1,6 +1,10 @@
-"""Extraction on small pages; templates against a plain count."""
+"""Extraction on small pages; templates against a plain count; the given pages against another parser."""
 
+import time
 from collections import Counter
+from html.parser import HTMLParser
+
+import pytest
 
 from sitescan.llm.html import extracted, main_text, templates, walk
 
@@ -41,9 +45,11 @@ def test_templates_are_deleted_per_host(spark):
     assert got[20, None] == "Our shop sells\n\ntext 0\n\nagain"
     assert got[22, "u"] == ""
     assert extracted(df).count() == len(site())
-    found = {r.host: set(r.template) for r in templates(df).collect()}
+    found = {(r.host, r.hash) for r in templates(df).collect()}
     count = Counter(h for html in {r[2] for r in site()[:12]} for h in walk(html)[1])
-    assert found == {"h.example": {h for h, n in count.items() if n >= 5 and n >= 0.3 * 12}}
+    assert found == {("h.example", h) for h, n in count.items() if n >= 5 and n >= 0.3 * 12}
+    # the same where templates are joined to the pages
+    assert sorted(extracted(df, most_shipped=0).collect(), key=str) == sorted(extracted(df).collect(), key=str)
     assert extracted(df.limit(0)).count() == 0
 
 
@@ -72,3 +78,63 @@ def test_notices_in_articles_and_sections_of_large_hosts_go(spark):
     assert all(got[i] == f"{i}\n\n{i // 2}" for i in range(3000))
     assert all(got[9000 + i] == f"text {i}" for i in range(3000))
     assert all(got[20_000 + i] == f"{i}\n\nx{i}" for i in range(3))
+
+
+def test_menus_with_changing_entries_are_templates(spark):
+    link = lambda i: f"<li><a href='/{i}'>entry {i}</a></li>"
+    rows = [(i, "http://h/", f"<body><div id='top'><ul>{''.join(link(7 * i + k) for k in range(3 + i % 3))}</ul></div><div><p>text {i}</p><p>end {i}</p></div><footer>f {i}</footer></body>") for i in range(40)]
+    got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"text {r.page_id}\n\nend {r.page_id}" and r.n_removed == 2 for r in got)
+
+
+def test_depth_costs_no_more_than_length():
+    for page in ("<div>" * 16_000 + "deep", "<i><div>" + "<b></i>" * 16_000, "<div class=ad>" * 8_000 + "<main>x</main>"):
+        began = time.process_time()
+        walk(page)
+        assert time.process_time() - began < 1
+
+
+class Articles(HTMLParser):
+    """The article's blocks of pages whose only parts are nav, div.ad, article and footer."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.now, self.inside = [], [], False
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "div", "ul", "li"):
+            self.cut()
+        elif tag == "br" and self.inside:
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.cut()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+
+def test_given_pages_against_another_parser(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    try:
+        pages = spark.read.parquet(path)
+    except Exception:
+        pytest.skip("no test data")
+    html = {r.page_id: r.html for r in pages.collect()}
+    removed = 0
+    for r in extracted(pages).collect():
+        other = Articles()
+        other.feed(html[r.page_id] or "")
+        other.close()
+        assert r.text == "\n\n".join(other.blocks)
+        removed += r.n_removed > 0
+    assert removed > len(html) / 2

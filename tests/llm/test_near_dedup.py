@@ -76,9 +76,8 @@ def test_signature_estimates_similarity():
 def test_bounds_between_groups_lose_no_pair(spark):
     data = [(i, t) for i, t in rows() if t and i < 80]
     sets = {i: nd.shingle_set(t, 2) for i, t in data}
-    ids = spark.createDataFrame([(i,) for i, _ in data], "doc_id long")
-    outlines = nd._outlines(ids, spark.createDataFrame(data, "doc_id long, text string"), 2)
-    left = outlines.selectExpr("1L as key", "rep", "rep as g", "bits").join(spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "rep long, n long"), "rep")
+    outlines = nd.outlines(spark.createDataFrame(data, "doc_id long, text string"), 2)
+    left = outlines.selectExpr("1L as key", "rep", "rep as g", "n", "bits")
     got = {(r.a, r.b) for r in nd._between(left, 80).collect()}
     for a in sets:
         for b in sets:
