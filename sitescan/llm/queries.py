@@ -14,7 +14,7 @@ from .near_dedup import near_duplicates
 from .quality import scored as quality_scored
 from .secrets import findings, labelled_findings
 from .secrets import train as train_forest
-from .spm import decode, encode
+from .spm import encode
 from .toxicity import scored
 from .warc import through_warc
 
@@ -45,7 +45,7 @@ FROM sets JOIN reach USING (doc_id) GROUP BY doc_id
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, text_sha256 of the decoded text and exact: decoding gave back the text (null: empty)."""
-    df = decode(encode(docs, model), model)
+    df = encode(docs, model, decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return df.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"), same.alias("exact"))
 

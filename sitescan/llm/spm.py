@@ -12,7 +12,8 @@ Memory is bounded by the window, whatever the text's length.
 
 Spaces become U+2581 and one is put in front, as in the model; nothing else is normalised. A character that no piece
 covers, and a literal U+2581, become the ids of their UTF-8 bytes, so decoding gives back every text exactly. Null and
-empty texts have no ids and decode to the empty text.
+empty texts have no ids and decode to the empty text. Rows that repeat are answered row by row; no rows give none. `encode` returns its own
+columns only, so others of the input may have any name; `decode` replaces a column that has its output's name.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 SPACE = "▁"
 #: Stands for a literal U+2581 of a text: a lone surrogate, which no valid text has. It is written as U+2581's bytes.
-_LITERAL = "\udfff"
-#: Parts and pairs remembered by a worker: two generations of parts of this size each.
-_CACHE = 250_000
-_ROWS = 512
+_LITERAL, _BARE = "\udfff", "\udffe"
+#: Remembered by a worker: two generations of windows of this size each, beginnings of windows of `_STEM` characters, and pairs.
+_CACHE, _STEM, _STEMS, _PAIRS = 100_000, 6, 80_000, 250_000
+_PAIR = (2,)
 
 
 class Vocabulary:
@@ -47,8 +50,8 @@ class Vocabulary:
         for p in self.ids:
             if len(p) > 2:
                 ends.setdefault(p[-3:], set()).add(len(p))
-        #: by last three characters, the lengths of the pieces of three and more that end in them, longest first
-        self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
+        #: by last three characters, the lengths of the pieces that end in them, longest first; 2 stands for any pair
+        self.ends = {c: (*sorted(n, reverse=True), 2) for c, n in ends.items()}
         self.unknown = min(scores) - 10.0
         # a boundary is certain before a run of U+2581 if no piece has one after another character
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -57,6 +60,7 @@ class Vocabulary:
         self.text = pa.array([bytes([byte_ids.index(i)]) if i in set(byte_ids) else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
         self.pairs: dict[int, bool] = {}  # by (first id << 32) + second id
         self.split: dict[str, tuple[str, str]] = {}
+        self.stems: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -127,37 +131,36 @@ class Vocabulary:
                     limit, right = y + 0.5, self.halves(right)[0]
                 else:
                     break
-            if len(self.pairs) >= 2 * _CACHE:
+            if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
             self.pairs[(a << 32) + b] = found
         return found
 
     def _walk(self, text: str, end: int, stop: int, base: int, last: list[int], back: list[int], score: list[float]) -> None:
         """Extend the tables from position `end` to `stop`; index 0 of the tables is position `base`."""
-        ids, ends, pairs, stays = self.ids, self.ends, self.pairs, self.stays
+        piece_id, ends, stays = self.ids.get, self.ends.get, self.stays
         if self.kind == "bpe":
-            while end < stop:
-                end += 1
+            known, add, put = self.pairs.get, last.append, back.append
+            for end in range(end + 1, stop + 1):
                 i = end - base
-                piece, size = -2, 1
-                for n in (*ends.get(text[end - 3 : end], ()), 2) if i > 2 else (i,):
+                for n in ends(text[end - 3 : end], _PAIR) if i > 2 else (i,):
                     if n <= i:
-                        k = ids.get(text[end - n : end])
+                        k = piece_id(text[end - n : end])
                         if k is not None:
                             p = last[i - n]
-                            if p < 0 or (ok if (ok := pairs.get((p << 32) + k)) is not None else stays(p, k)):
-                                piece, size = k, n
+                            if p < 0 or (ok if (ok := known((p << 32) + k)) is not None else stays(p, k)):
+                                add(k)
+                                put(n)
                                 break
-                if piece < 0:
-                    piece = ids.get(text[end - 1], -2)
-                last.append(piece)
-                back.append(size)
+                else:
+                    add(piece_id(text[end - 1], -2))
+                    put(1)
             return
         for end in range(end + 1, stop + 1):
             i = end - base
             best, piece, size = score[i - 1] + self.unknown, -2, 1
-            for n in (1, 2, *ends.get(text[end - 3 : end], ())) if i > 2 else range(1, i + 1):
-                k = ids.get(text[end - n : end]) if n <= i else None
+            for n in (1, *ends(text[end - 3 : end], _PAIR)) if i > 2 else range(1, i + 1):
+                k = piece_id(text[end - n : end]) if n <= i else None
                 if k is not None and score[i - n] + self.scores[k] > best:
                     best, piece, size = score[i - n] + self.scores[k], k, n
             last.append(piece)
@@ -166,14 +169,32 @@ class Vocabulary:
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of a text (spaces already replaced), each given out as soon as it is certain."""
+        for ids in self.commits(text):
+            yield from ids
+
+    def ids_of(self, text: str) -> bytes:
+        out = array("i")
+        for ids in self.commits(text):
+            out.extend(ids)
+        return out.tobytes()
+
+    def commits(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, those between two boundaries at a time."""
         longest, base, end = self.longest, 0, 0  # base: text position of index 0 of the window
         last, back, score = [-1], [0], [0.0]  # of each position: id of the piece that ends here (-2: none), its length, the path's score
+        if self.kind == "bpe" and len(text) > _STEM and (stem := self.stems.get(text[:_STEM])):
+            # the tables of a beginning do not depend on what follows
+            (last, back), end = map(list, stem), _STEM
         while True:
             stop = min(len(text), base + 4 * longest)
             self._walk(text, end, stop, base, last, back, score)
+            if base == end == 0 and stop > _STEM and self.kind == "bpe":
+                if len(self.stems) >= _STEMS:
+                    self.stems.clear()
+                self.stems[text[:_STEM]] = tuple(last[: _STEM + 1]), tuple(back[: _STEM + 1])
             end = stop
             if end == len(text):
-                yield from self._path(text, base, end - base, last, back)
+                yield self._path(text, base, end - base, last, back)
                 return
             live = set(range(end - base - longest + 1, end - base + 1))
             while len(live) > 1:
@@ -182,7 +203,7 @@ class Vocabulary:
                 live.add(far - back[far])
             at = live.pop()
             if at > 0:
-                yield from self._path(text, base, at, last, back)
+                yield self._path(text, base, at, last, back)
                 base += at
                 del last[:at], back[:at], score[:at]
                 back[0] = 0
@@ -202,36 +223,48 @@ class Vocabulary:
             at -= back[at]
         return out[::-1]
 
-    def _search_whole(self, part: str) -> bytes:
-        if len(part) > 64:
-            return np.fromiter(self.search(part), np.int32).tobytes()
-        last, back = [-1], [0]
-        self._walk(part, 0, len(part), 0, last, back, [0.0])
-        return array("i", self._path(part, 0, len(part), last, back)).tobytes()
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a word with a space before it, which is not written, remembered among the recent ones."""
-        found = self.older.get(part)
-        if found is None:
-            found = b"".join(map(self._search_whole, self.cut.findall(SPACE + part)))
-        if len(part) <= 64:
+    def _window(self, window: str) -> bytes:
+        """Ids of a window that follows a single space, remembered, if short, among the recent ones."""
+        if "\n" in window:
+            return self._windows(SPACE + window)
+        found = self.older.get(window)
+        return self._remember(window, self.ids_of(SPACE + window) if found is None else found)
+
+    def _windows(self, text: str) -> bytes:
+        """Ids of a text cut at all certain boundaries."""
+        if not self.by_words:
+            return self.ids_of(text)
+        out, get = [], self.cache.get
+        for w in self.cut.findall(text):
+            if w[0] == SPACE and w[1:2] not in ("", SPACE):
+                out.append(get(w[1:]) or self._window(w[1:]))
+            else:  # a mark that no text has keeps these apart from windows behind a space
+                key = _BARE + w
+                out.append(get(key) or self.older.get(key) or self._remember(key, self.ids_of(w)))
+        return b"".join(out)
+
+    def _remember(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
             if len(self.cache) >= _CACHE:
                 self.older, self.cache = self.cache, {}
-            self.cache[part] = found
-        return found
+            self.cache[key] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as int32 bytes. Words between single spaces are searched once and remembered, in bounded number."""
+        """The ids as int32 bytes.
+
+        Where no piece has U+2581 behind another character, all paths have a boundary before every run of spaces: the window closes
+        there, and its ids are committed. Windows between single spaces that were searched lately are not searched again."""
         if not text:
             return b""
         if SPACE in text:
             text = text.replace(SPACE, _LITERAL)
         words = text.split(" ")
         if self.by_words and "" not in words:
-            get, part = self.cache.get, self._part
-            return b"".join([get(w) or part(w) for w in words])
-        # runs of spaces are pieces of their own kind: cut where a boundary is certain
-        return b"".join(map(self._search_whole, self.cut.findall(SPACE + text.replace(" ", SPACE))))
+            get, window = self.cache.get, self._window
+            return b"".join([get(w) or window(w) for w in words])
+        # runs of spaces are pieces of their own kind
+        return self._windows(SPACE + text.replace(" ", SPACE))
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
@@ -244,39 +277,45 @@ def _vocabulary(path: str, kind: str) -> Vocabulary:
     return _loaded[path, kind]
 
 
-def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (as it came), ids array<int>."""
+def _encoded(v: Vocabulary, texts: list[str | None]) -> pa.ListArray:
+    ids = [v.encode(t) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _decoded(v: Vocabulary, ids: pa.ListArray) -> list[str]:
+    ids = ids.fill_null([]) if ids.null_count else ids
+    lens = ids.value_lengths().to_numpy()
+    pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), v.text.take(ids.flatten()))
+    # the space that encoding put in front goes again
+    return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in pc.binary_join(pieces, b"").to_pylist()]
+
+
+def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, text (as it came), ids array<int>; with `decoded`, also the text that these ids are decoded to, in the same pass."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model, kind)
-        for whole in batches:
-            for at in range(0, len(whole), _ROWS):
-                batch = whole.slice(at, _ROWS)
-                ids = [v.encode(t) for t in batch.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "text", "ids"])
+        for batch in slices(batches, 1):
+            ids = _encoded(v, batch.column(1).to_pylist())
+            more = [pa.array(_decoded(v, ids), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, *more], ["doc_id", "text", "ids", "decoded"][: 3 + decoded])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
-def decode(df: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids") -> DataFrame:
-    """All columns of `df`, and decoded: the text that its ids stand for. Ids outside the model raise an error."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, decoded string"
+def decode(df: DataFrame, model: str, kind: str = "bpe", ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """All columns of `df`, and `out`, in place of a column of that name: the text that its ids stand for. Ids outside the model raise an
+    error."""
+    small_batches(df.sparkSession)
+    df = df.drop(out)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model, kind)
-        for whole in batches:
-            for at in range(0, len(whole), _ROWS):
-                batch = whole.slice(at, _ROWS)
-                ids = batch.column(ids_col).fill_null([]) if batch.column(ids_col).null_count else batch.column(ids_col)
-                flat = ids.flatten()
-                lens = ids.value_lengths().to_numpy()
-                pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), v.text.take(flat))
-                joined = pc.binary_join(pieces, b"").to_pylist()
-                # the space that encoding put in front goes again
-                texts = [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in joined]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_decoded(v, batch.column(ids_col)), pa.string())], [*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
