@@ -8,7 +8,6 @@ returns the tokens of every document that is left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitescan.llm import decontamination, near_dedup, quality, secrets
 from sitescan.llm.common import table, written
@@ -22,8 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 and more."""
-    groups = near_dedup.near_duplicates(docs, shingle=5, percent=80)
-    return docs.join(groups.filter("not kept").select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.deduplicated(docs, shingle=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    return secrets.redacted(docs, secrets.train(secrets.labelled_findings(docs)))
+    return secrets.redacted(docs, secrets.trained(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,7 @@ from .fingerprints import edited_fingerprints
 from .html import extracted
 from .near_dedup import near_duplicates
 from .quality import scored as quality_scored
-from .secrets import findings, labelled_findings
-from .secrets import train as train_forest
+from .secrets import findings, trained
 from .spm import encode
 from .toxicity import scored
 from .warc import through_warc
@@ -83,7 +82,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return findings(docs, train_forest(labelled_findings(docs)))
+    return findings(docs, trained(docs))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

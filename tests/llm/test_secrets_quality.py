@@ -15,7 +15,7 @@ KEY = hashlib.sha1(b"x").hexdigest()
 def forest(spark):
     words = "river stone garden window morning letter paper music table green forest water light house summer winter".split()
     docs = [(i, " ".join(words[(i * 7 + k * 3) % 16] for k in range(30)) + f" {i}") for i in range(60)]
-    return secrets.train(secrets.labelled_findings(spark.createDataFrame(docs, "doc_id long, text string")))
+    return secrets.trained(spark.createDataFrame(docs, "doc_id long, text string"))
 
 
 def test_findings_and_redaction(spark, forest):
@@ -40,7 +40,44 @@ def test_findings_and_redaction(spark, forest):
 
 
 def test_forest_expression_is_the_trained_forest(spark):
-    assert secrets.train(spark.createDataFrame([("", KEY, "", 1)], "before string, secret string, after string, label int")) == "0.0D"
+    lex = secrets.Lexicon(("river", "stone"), (-3.0,) * 676)
+    assert secrets.train(spark.createDataFrame([("", KEY, "", 1)], "before string, secret string, after string, label int"), lex).votes("x") == "0.0D"
+    docs = spark.createDataFrame([(i, f"river stone garden {i} " * 9) for i in range(20)], "doc_id long, text string")
+    rows = secrets.described(secrets.labelled_findings(docs, most=20), lex).cache()
+    assert rows.count() >= 1000
+    model = secrets.fit(rows)
+    names = rows.columns[:-1]
+    forest = secrets._read(model, lex, 6)
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=names, outputCol="x").transform(rows)
+    got = data.selectExpr("x", f"array({', '.join(names)}) AS f").selectExpr("x", f"{forest.votes('f')} AS share").limit(1000).collect()
+    trees = model.trees
+    assert [round(r.share * len(trees)) for r in got] == [sum(t.predict(r.x) for t in trees) for r in got]
+    # the same findings in another order and other partitions give the same forest
+    assert secrets._read(secrets.fit(rows.repartition(3).orderBy("length")), lex, 6) == forest
+
+
+def test_lexicon_and_clashing_columns(spark, forest):
+    df = spark.createDataFrame([(1, f'a token = "{KEY}" and river river', "c", "p", "f")], "doc_id long, text string, _c string, _parts string, _f string")
+    lex = secrets.lexicon(df, most_words=3)
+    assert lex.words == ("river", "and", "token") and len(lex.follows) == 676
+    assert abs(sum(math.exp(v) for v in lex.follows[:26]) - 1) < 0.01
+    out = secrets.redacted(df, forest).first()
+    assert out["_c"] == "c" and out["_parts"] == "p" and out["_f"] == "f" and out["text"] == 'a token = "<secret>" and river river'
+
+
+def _path_strength(p, sites, post):
+    groups = {}
+    for s, q, x in p:
+        groups.setdefault((s, q), []).append(x)
+    m = np.mean([x[2] for x in p])
+    v = m * (1 - m)
+    mean = {s: np.mean(x) for s, x in sites.items()}
+    a = sum(len(x) * (np.mean(x) - mean[s]) ** 2 for (s, _), x in groups.items())
+    spread = sum(len(x) - len(x) ** 2 / len(sites[s]) for (s, _), x in groups.items())
+    between = max(0, (a - max(0, len(groups) - len(sites)) * v) / spread) if spread else 0
+    return min(1e6, max(1, v / between - 1)) if between else 1e6
 
 
 def test_quality_posteriors_equal_plain_python(spark):
@@ -51,7 +88,7 @@ def test_quality_posteriors_equal_plain_python(spark):
         text = "BUY!! NOW!! BUY!! NOW!! $$$ ###" if bad else f"a calm text about river number {i} and the stone garden"
         rows.append((i, text, "en" if i % 3 else "fr", site, 1))
     rows += [(1000, None, None, None, 1), (1001, "", "en", "lonely", 1), (1001, "", "en", "lonely", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int").drop("score")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int")
     labels = spark.createDataFrame([(i, 0 if "!!" in t else 1, 0) for i, t, *_ in rows[:300]], "doc_id long, quality int, toxic int")
     got = quality.scored(df, labels).collect()
     assert len(got) == len(rows)
@@ -68,7 +105,22 @@ def test_quality_posteriors_equal_plain_python(spark):
     kept = {r.doc_id: r.keep for r in got}
     assert all(kept[i] == ("!!" not in t) for i, t, *_ in rows[:400])
     left = quality.kept(df, labels)
-    assert left.columns == df.columns and left.count() == sum(r.keep for r in got)
+    assert left.columns == df.columns and left.count() == sum(r.keep for r in got) and all(r.score == 1 for r in left.collect())
+    # the same where groups are joined; p_doc and keep may be names of the input
+    other = quality.kept(df.withColumnsRenamed({"score": "p_doc"}), labels, most_groups=0)
+    assert sorted(str(r.doc_id) for r in other.collect()) == sorted(str(r.doc_id) for r in left.collect())
+    # scores, each document taken out of its path and site
+    kp = _path_strength(p, sites, post)
+    groups = {}
+    for s, q, x in p:
+        groups.setdefault((s, q), []).append(x)
+    logit = lambda x: math.log(x / (1 - x))
+    for r in got:
+        own, site = groups[r.site, r.path], sites[r.site]
+        outer = (sum(site) - r.p_doc + k * m) / (len(site) - 1 + k)
+        path = (sum(own) - r.p_doc + kp * outer) / (len(own) - 1 + kp)
+        assert math.isclose(r.path_posterior, (sum(own) + kp * post[r.site]) / (len(own) + kp), rel_tol=1e-6)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit(r.p_doc) - 0.5 * (logit(path) - logit(m)))), rel_tol=1e-6) and r.keep == (r.score >= 0.5)
     assert quality.scored(df.limit(0), labels).count() == 0
 
 
@@ -89,5 +141,5 @@ def test_candidates_of_every_make_are_judged(spark, forest):
 
 def test_training_does_not_depend_on_the_length_of_texts(spark):
     short = spark.createDataFrame([(1, f'key = "{KEY}"'), (2, "few words")], "doc_id long, text string")
-    assert secrets.train(secrets.labelled_findings(short)) != "0.0D"
+    assert secrets.trained(short).roots
     assert secrets.labelled_findings(short, most=0).filter("label = 1").count() > 0
