@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from math import floor, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,37 +15,65 @@ from sitescan.functions.boxes import Box, view_quality
 
 
 def greedy_clusters(xyz: np.ndarray, radius: float) -> np.ndarray:
-    """For points in order: the number of the nearest cluster whose per-axis median of members is within `radius`, or of a new one."""
-    members: list[list[int]] = []
-    centres = np.empty((0, 3))
+    """For points in order: the number of the nearest cluster (the first of equals) whose per-axis median of members is within `radius`, or
+    of a new one.
+
+    Centres are kept in cells of side `radius`, so only those of the 27 cells around a point are compared; members are kept sorted per axis,
+    so a median is two look-ups."""
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    members: list[list[list[float]]] = []
+    centres: list[tuple[float, float, float]] = []
+    near = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
     out = np.empty(len(xyz), np.int64)
-    for i, p in enumerate(xyz):
-        d = np.sqrt(((centres - p) ** 2).sum(1)) if members else np.empty(0)
-        k = int(d.argmin()) if len(d) else -1
-        if k >= 0 and d[k] <= radius:
-            members[k].append(i)
-            centres[k] = np.median(xyz[members[k]], axis=0)
+    place = lambda c: (floor(c[0] / radius), floor(c[1] / radius), floor(c[2] / radius))
+    for i, p in enumerate(map(tuple, xyz.tolist())):
+        cell, best, k = place(p), float("inf"), -1
+        for d in near:
+            for c in cells.get((cell[0] + d[0], cell[1] + d[1], cell[2] + d[2]), ()):
+                q = centres[c]
+                r = sqrt((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2)
+                if r < best or (r == best and c < k):
+                    best, k = r, c
+        if k >= 0 and best <= radius:
+            cells[place(centres[k])].remove(k)
+            for axis, v in zip(members[k], p, strict=True):
+                insort(axis, v)
+            half, odd = divmod(len(members[k][0]), 2)
+            centres[k] = tuple(a[half] if odd else (a[half - 1] + a[half]) / 2 for a in members[k])
         else:
             k = len(members)
-            members.append([i])
-            centres = np.vstack([centres, p])
+            members.append([[v] for v in p])
+            centres.append(p)
+        cells.setdefault(place(centres[k]), []).append(k)
         out[i] = k
     return out
 
 
-def blocks_of(sightings: DataFrame, radius: float, cell: float = 4.0) -> DataFrame:
+def blocks_of(sightings: DataFrame, radius: float, rounds: int = 1) -> DataFrame:
     """`sightings` with block: parts of a (site, class) that no cluster can cross, so that each is folded by a task of its own.
 
-    A cluster's centre stays inside the bounding box of its members. Along x the sightings are cut wherever two neighbours are
-    more than `radius` apart: boxes on both sides of such a gap are farther apart than any sighting may join.
-    Only gaps at `cell`-sized strips are looked for, which needs the extent of each strip and not an order of all rows.
+    A cluster's centre stays inside the bounding box of its members. Along an axis the sightings are cut wherever two neighbours are
+    more than `radius` apart: boxes on both sides of such a gap are farther apart than any sighting may join. Each part is cut along x, y and
+    z at once, and so are the parts that come of it, `rounds` times in all. Two points of one strip of width `radius` have no gap between them, so all
+    gaps are found from the extents of strips, without an order of all rows. Where sightings are dense along all axes nothing can be cut.
     """
-    strip = F.floor(F.col("x") / cell)
-    extent = sightings.groupBy("site_id", "cls", strip.alias("strip")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    order = W.partitionBy("site_id", "cls").orderBy("strip")
-    starts = F.coalesce((F.col("lo") - F.lag("hi").over(order) > radius).cast("int"), F.lit(0))
-    numbered = extent.withColumn("starts", starts).withColumn("block", F.sum("starts").over(order)).select("site_id", "cls", "strip", "block")
-    return sightings.withColumn("strip", strip).join(numbered, ["site_id", "cls", "strip"]).drop("strip")
+    place = [F.floor(F.col(a) / radius).alias("c" + a) for a in "xyz"]
+    # cells of side `radius` are cut in place of the sightings, which are joined once at the end
+    cells = sightings.groupBy("site_id", "cls", *place).agg(*(f(a).alias(n + a) for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    cells = cells.withColumn("block", F.lit(0).cast("long"))
+    part = ["site_id", "cls", "block"]
+    for n in range(rounds):
+        cells = cells.checkpoint() if n else cells
+        cut = cells
+        for a in "xyz":
+            extent = cells.groupBy(*part, "c" + a).agg(F.min("lo" + a).alias("lo"), F.max("hi" + a).alias("hi"))
+            order = W.partitionBy(*part).orderBy("c" + a)
+            starts = F.coalesce((F.col("lo") - F.lag("hi").over(order) > radius).cast("int"), F.lit(0))
+            extent = extent.withColumn("starts", starts).select(*part, "c" + a, F.sum("starts").over(order).alias("n" + a))
+            cut = cut.join(extent, [*part, "c" + a])
+        cells = cut.withColumn("block", F.xxhash64("block", "nx", "ny", "nz")).drop("nx", "ny", "nz")
+    cells = cells.select("site_id", "cls", "cx", "cy", "cz", "block")
+    return sightings.select("*", *place).join(cells, ["site_id", "cls", "cx", "cy", "cz"]).drop("cx", "cy", "cz")
 
 
 def cluster_sightings(sightings: DataFrame, radius: float = 0.15, blocked: bool = True) -> DataFrame:
@@ -83,9 +114,10 @@ def assets_from_clusters(clustered: DataFrame, keys: list[str] = ["site_id", "cl
 
 
 def number_assets(assets: DataFrame, order: tuple[str, ...] = ("block", "cluster")) -> DataFrame:
-    """`assets` with asset_id 'asset-01' ... per site, by class and rounded position, earlier clusters first on ties."""
+    """`assets` with asset_no (from 1) and asset_id 'asset-01' ... per site, by class and rounded position, earlier clusters first on
+    ties."""
     w = W.partitionBy("site_id").orderBy("cls", *(F.bround(F.col(a), 1) for a in "xyz"), *order)
-    return assets.withColumn("asset_id", F.format_string("asset-%02d", F.row_number().over(w)))
+    return assets.withColumn("asset_no", F.row_number().over(w).cast("long")).withColumn("asset_id", F.format_string("asset-%02d", "asset_no"))
 
 
 def best_view(clustered: DataFrame, keys: list[str], width: Column, height: Column, order: Column) -> DataFrame:

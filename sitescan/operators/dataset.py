@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitescan.functions.geometry import settled
+
 BOXES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
@@ -145,14 +147,16 @@ def warp_boxes(boxes: DataFrame, side: float = 640.0, least: float = 10.0, share
         w = c("h20") * x + c("h21") * y + c("h22")
         return F.try_divide(c("h00") * x + c("h01") * y + c("h02"), w), F.try_divide(c("h10") * x + c("h11") * y + c("h12"), w)
 
-    p = [through(c(x), c(y)) for x in ("x1", "x2") for y in ("y1", "y2")]
+    corners = [through(c(x), c(y)) for x in ("x1", "x2") for y in ("y1", "y2")]
+    given, boxes = boxes, settled(boxes, **{f"_p{k}{i}": v for k, q in enumerate(corners) for i, v in enumerate(q)})
+    p = [(c(f"_p{k}0"), c(f"_p{k}1")) for k in range(4)]
     lo = [F.least(*(q[i] for q in p)) for i in (0, 1)]
     hi = [F.greatest(*(q[i] for q in p)) for i in (0, 1)]
     clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(side))
     rows = boxes.withColumns({"_full": (hi[0] - lo[0]) * (hi[1] - lo[1]), "_x1": clip(lo[0]), "_y1": clip(lo[1]), "_x2": clip(hi[0]), "_y2": clip(hi[1])})
     w, h = c("_x2") - c("_x1"), c("_y2") - c("_y1")
     rows = rows.filter((w >= least) & (h >= least) & (w * h >= share * c("_full")))
-    keep = [n for n in boxes.columns if n not in ("x1", "y1", "x2", "y2")]
+    keep = [n for n in given.columns if n not in ("x1", "y1", "x2", "y2")]
     return rows.select(*keep, *(c("_" + n).alias(n) for n in ("x1", "y1", "x2", "y2")))
 
 

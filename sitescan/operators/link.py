@@ -38,12 +38,17 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, orde
 def link_register(assets: DataFrame, register: DataFrame, most: float = 0.3) -> DataFrame:
     """`assets` (asset_id, product, x, y, z) with entry_id, distance, registered, title.
 
-    The nearest of all entries counts, if within `most` and not taken by an earlier asset; who loses it does not get its second
-    nearest and becomes 'Unregistered <product>'.
+    The nearest of all entries counts (of equals the first in the register's file, if it has entry_order, else by entry_id), if within `most`
+    and not taken by an earlier asset (by asset_no, if there is one, else by asset_id); who loses it does not get its second nearest and
+    becomes 'Unregistered <product>'.
     """
-    got = nearest(assets, register, "asset_id", "entry_id", "entry_id", most)
-    first = F.row_number().over(W.partitionBy("site_id", "entry_id").orderBy("asset_id"))
-    won = got.withColumn("_n", first).filter("_n = 1").drop("_n")
+    got = nearest(assets, register, "asset_id", "entry_id", "entry_order" if "entry_order" in register.columns else "entry_id", most)
+    if "asset_no" in assets.columns:
+        got = got.join(assets.select("site_id", "asset_id", F.col("asset_no").alias("_by")), ["site_id", "asset_id"])
+    else:
+        got = got.withColumn("_by", F.col("asset_id"))
+    first = F.row_number().over(W.partitionBy("site_id", "entry_id").orderBy("_by"))
+    won = got.withColumn("_n", first).filter("_n = 1").drop("_n", "_by")
     names = register.select("site_id", "entry_id", "tag_name")
     out = assets.join(won, ["site_id", "asset_id"], "left").join(names, ["site_id", "entry_id"], "left")
     title = F.coalesce("tag_name", F.concat(F.lit("Unregistered "), F.col("product")))
@@ -68,13 +73,18 @@ def unlocated(objects: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def build_tags(linked: DataFrame, register: DataFrame) -> DataFrame:
-    """Nested tag records: asset, register entry (maintenance is null where unregistered), product and detection."""
-    extra = register.select("site_id", "entry_id", "panel", "panel_function", F.struct("last_inspection", "next_inspection", F.col("maintenance_note").alias("note")).alias("m"))
+    """Nested tag records: asset, register entry (maintenance is null where unregistered), product and detection.
+
+    nx, ny, nz (a surface's normal), best_photo and crop of `linked` are taken where it has them, else null."""
+    note = F.struct("last_inspection", "next_inspection", F.col("maintenance_note").alias("note"))
+    extra = register.select("site_id", "entry_id", "panel", "panel_function", "cabinet", note.alias("m"))
     rows = linked.join(extra, ["site_id", "entry_id"], "left")
+    own = lambda name: F.col(name) if name in linked.columns else F.lit(None).cast("string").alias(name)
+    normal = F.when(F.col("nx").isNotNull(), F.array("nx", "ny", "nz")) if "nx" in linked.columns else F.lit(None).cast("array<double>")
     return rows.select(
-        "site_id", F.col("asset_id").alias("id"), "title", "registered", "panel", "panel_function", "product", "manufacturer", "description", "documents",
-        F.when(F.col("registered"), F.col("m")).alias("maintenance"), F.array("x", "y", "z").alias("position_xyz"),
-        F.struct("sightings", F.size("sweeps").alias("scan_positions"), "mean_confidence").alias("detection"),
+        "site_id", F.col("asset_id").alias("id"), "title", "registered", "panel", "panel_function", "cabinet", "product", "manufacturer", "description", "documents",
+        F.when(F.col("registered"), F.col("m")).alias("maintenance"), F.array("x", "y", "z").alias("position_xyz"), normal.alias("normal_xyz"),
+        F.struct("sightings", F.size("sweeps").alias("scan_positions"), "mean_confidence", own("best_photo")).alias("detection"), own("crop"),
     )
 
 

@@ -68,6 +68,14 @@ def _clean(get) -> DataFrame:
     return nms.suppress(get("v_det"))
 
 
+@query(f"""WITH {_LOOSE}, wide AS (SELECT photo, truth_id, x1-30 AS x1, y1-30 AS y1, x2+10 AS x2, y2+10 AS y2 FROM v_truth), near AS (SELECT DISTINCT d.det_id FROM d JOIN wide t ON d.photo = t.photo WHERE {_iou('d', 't')} > 0.1)
+SELECT photo, det_id, truth_id, round(iou, 6) AS iou, truth_id IS NULL AND det_id NOT IN (SELECT det_id FROM near) AS false_alarm FROM m""")
+def match_loose_boxes(get):
+    """J3 with loose boxes: truth boxes, moved out, stand for loose projections."""
+    wide = get("v_truth").withColumns({"x1": F.col("x1") - 30, "y1": F.col("y1") - 30, "x2": F.col("x2") + 10, "y2": F.col("y2") + 10})
+    return matching.match_loose(_clean(get), get("v_truth"), wide).select("photo", "det_id", "truth_id", F.round("iou", 6).alias("iou"), "false_alarm")
+
+
 def _matched(get) -> DataFrame:
     return matching.match_loose(_clean(get), get("v_truth"))
 
@@ -299,11 +307,15 @@ def depth_at(get):
     return lift.depth_at(get("v_points"), get("v_images"), spots).select("photo", "box_id", F.round("depth_at", 6).alias("depth_at"))
 
 
-@query()
+_SPOT_POINTS = f"{_PIX}, q AS ({_SPOTS} v_plates), w AS (SELECT q.photo, q.box_id, p.x, p.y, p.z, p.depth FROM q JOIN pix p ON q.photo = p.photo AND p.u BETWEEN q.u-12 AND q.u+12 AND p.v BETWEEN q.v-12 AND q.v+12), f AS (SELECT photo, box_id, quantile_cont(depth, 0.25) AS front FROM w GROUP BY 1, 2)"
+
+
+@query(f"WITH {_SPOT_POINTS}, m AS (SELECT photo, box_id, count(*) AS n_points, round(median(x), 6) AS x, round(median(y), 6) AS y, round(median(z), 6) AS z FROM w JOIN f USING (photo, box_id) WHERE depth <= front + 0.05 GROUP BY 1, 2) SELECT q.photo, q.box_id, n_points, x, y, z FROM q LEFT JOIN m USING (photo, box_id)")
 def pixels_to_world(get):
     """A2."""
     spots = get("v_plates").select("site_id", "photo", "box_id", F.expr("(x1+x2)/2").alias("u"), F.expr("(y1+y2)/2").alias("v"))
-    return lift.pixels_to_world(get("v_points"), get("v_images"), spots)
+    got = lift.pixels_to_world(get("v_points"), get("v_images"), spots)
+    return got.select("photo", "box_id", "n_points", *(F.round(a, 6).alias(a) for a in "xyz"))
 
 
 @query()
@@ -312,12 +324,16 @@ def plane_normals(get):
     return planes.surface_normals(get("v_points"), get("v_images"), get("v_plates"), least=8)
 
 
-@query(f"WITH {cte('v_points')} SELECT sweep, count(*) AS n, round(avg(x), 6) AS px, round(covar_pop(x, y), 6) AS xy, round(covar_pop(z, z), 6) AS zz FROM v_points GROUP BY 1")
-def plane_moments(get):
-    """The moments behind A5."""
-    p = get("v_points")
-    m = p.groupBy("sweep").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("px"), F.round(F.covar_pop("x", "y"), 6).alias("xy"), F.round(F.covar_pop("z", "z"), 6).alias("zz"))
-    return m
+@query(f"WITH {cte('v_points')} SELECT sweep, count(*) AS n, round(avg(x), 6) AS px, round(avg(y), 6) AS py, round(avg(z), 6) AS pz, CAST(1 AS DOUBLE) AS length, true AS least FROM v_points GROUP BY 1")
+def fit_planes(get):
+    """A5: a normal has length 1, and moving along it varies no more than along any axis."""
+    p = get("v_points").select("sweep", "x", "y", "z")
+    fit = planes.fit_planes(p, ["sweep"])
+    along = sum((F.col("n" + a) * F.col(a) for a in "yz"), F.col("nx") * F.col("x"))
+    spread = p.join(fit.select("sweep", "nx", "ny", "nz"), "sweep").groupBy("sweep").agg(F.var_pop(along).alias("along"), *(F.var_pop(a).alias("v" + a) for a in "xyz"))
+    got = fit.join(spread, "sweep")
+    length = F.round(F.sqrt(sum((F.col("n" + a) * F.col("n" + a) for a in "yz"), F.col("nx") * F.col("nx"))), 6)
+    return got.select("sweep", "n", *(F.round("p" + a, 6).alias("p" + a) for a in "xyz"), length.alias("length"), (F.col("along") <= F.least("vx", "vy", "vz") + 1e-9).alias("least"))
 
 
 def _objects(get) -> DataFrame:
@@ -331,11 +347,24 @@ def _objects(get) -> DataFrame:
     )
 
 
-@query()
+_STRICT = f"""{cte('v_assets')}, {_PIX}, k AS (SELECT unnest([struct_pack(dy := -0.2::DOUBLE, dz := 0.2::DOUBLE, c := true), struct_pack(dy := 0.2::DOUBLE, dz := 0.2::DOUBLE, c := true), struct_pack(dy := 0.2::DOUBLE, dz := -0.2::DOUBLE, c := true), struct_pack(dy := -0.2::DOUBLE, dz := -0.2::DOUBLE, c := true), struct_pack(dy := 0::DOUBLE, dz := 0::DOUBLE, c := false)]) AS d),
+oq AS (SELECT r.photo, o.asset_id AS object_id, o.product AS model, d.c AS corner, o.x-tx AS a, o.y+d.dy-ty AS b, o.z+d.dz-tz AS c, r.* EXCLUDE (photo) FROM v_assets o CROSS JOIN k CROSS JOIN rot r),
+oe AS (SELECT photo, object_id, model, corner, -(r02*a+r12*b+r22*c) AS depth, cx+fx*(r00*a+r10*b+r20*c)/-(r02*a+r12*b+r22*c) AS u, cy-fy*(r01*a+r11*b+r21*c)/-(r02*a+r12*b+r22*c) AS v, sqrt(a*a+b*b+c*c) AS dist, -a/sqrt(a*a+b*b+c*c) AS cosine FROM oq),
+ob AS (SELECT photo, object_id, model, min(u) FILTER (corner) AS x1, min(v) FILTER (corner) AS y1, max(u) FILTER (corner) AS x2, max(v) FILTER (corner) AS y2, max(depth) FILTER (NOT corner) AS depth, max(dist) FILTER (NOT corner) AS dist, max(cosine) FILTER (NOT corner) AS cosine FROM oe GROUP BY ALL HAVING min(depth) > 0.05),
+oc AS (SELECT *, greatest(x1, 0) AS a1, greatest(y1, 0) AS b1, least(x2, 1024) AS a2, least(y2, 1024) AS b2, degrees(acos(greatest(-1, least(1, cosine)))) AS angle FROM ob),
+os AS (SELECT *, greatest(0, a2-a1)*greatest(0, b2-b1)/((x2-x1)*(y2-y1)) AS share FROM oc WHERE greatest(0, a2-a1)*greatest(0, b2-b1) > 0),
+seen AS (SELECT photo, object_id, model, a1, b1, a2, b2, depth, dist, angle, share, list_filter([CASE WHEN share < 0.95 THEN 'cut by photo edge' END, CASE WHEN angle > 65 THEN 'steep angle' END, CASE WHEN a2-a1 < 60 THEN 'small' END], lambda t: t IS NOT NULL) AS why FROM os WHERE angle < 85 AND share >= 0.2),
+shown AS (SELECT *, CASE WHEN len(why) = 0 THEN 'clear' ELSE 'hard: ' || array_to_string(why, ', ') END AS difficulty FROM seen)"""
+
+
+@query(f"""WITH {_STRICT}, hidden AS (SELECT s.photo, s.object_id FROM shown s JOIN pix p ON s.photo = p.photo AND abs(p.u-(a1+a2)/2) <= greatest(6, (a2-a1)/4) AND abs(p.v-(b1+b2)/2) <= greatest(6, (a2-a1)/4) GROUP BY s.photo, s.object_id, s.depth HAVING quantile_cont(p.depth, 0.25) < s.depth - 0.25)
+SELECT photo, object_id, model, CAST(round_even(a1, 0) AS INT) AS x1, CAST(round_even(b1, 0) AS INT) AS y1, CAST(round_even(a2, 0) AS INT) AS x2, CAST(round_even(b2, 0) AS INT) AS y2, CAST(round_even(angle, 0) AS INT) AS view_angle_deg, round(dist, 6) AS distance_m, difficulty FROM shown ANTI JOIN hidden USING (photo, object_id)""")
 def object_appearances(get):
     """J2 strict, P6 to P9, A4, A18's flat table."""
     boxes = truth.visibility_filter(truth.project_objects(_objects(get), get("v_images")))
-    return truth.appearances(truth.occlusion_filter(boxes, get("v_points"), get("v_images")))
+    seen = truth.occlusion_filter(boxes, get("v_points"), get("v_images"))
+    exact = seen.select("photo", "object_id", F.round("distance_m", 6).alias("distance_m"))
+    return truth.appearances(seen).select("photo", "object_id", "model", "x1", "y1", "x2", "y2", "view_angle_deg", "difficulty").join(exact, ["photo", "object_id"])
 
 
 @query(f"""WITH {cte('v_assets', 'v_images')}, {_R}, k AS (SELECT unnest([struct_pack(dy := -0.2::DOUBLE, dz := 0.2::DOUBLE), struct_pack(dy := 0.2::DOUBLE, dz := 0.2::DOUBLE), struct_pack(dy := 0.2::DOUBLE, dz := -0.2::DOUBLE), struct_pack(dy := -0.2::DOUBLE, dz := -0.2::DOUBLE)]) AS d),
@@ -348,8 +377,9 @@ def loose_projections(get):
     return p.select("photo", "object_id", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
 
 
-@query()
+@query(f"WITH {_STRICT} SELECT object_id, count(DISTINCT photo) AS photos, count(DISTINCT CASE WHEN difficulty = 'clear' THEN photo END) AS clear_photos, count(*) AS appearances FROM shown GROUP BY ROLLUP (object_id)")
 def truth_summary(get):
+    """A18."""
     boxes = truth.visibility_filter(truth.project_objects(_objects(get), get("v_images")))
     return truth.truth_summary(truth.appearances(boxes))
 
@@ -481,7 +511,8 @@ def assign_split(get):
     return dataset.assign_split(_files(get).select("name"))
 
 
-@query()
+@query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS name, md5('0|' || CAST(doc_id AS VARCHAR)) AS h FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY h, name) AS n, count(*) OVER () AS c FROM h),
+t AS (SELECT name, row_number() OVER (ORDER BY substr(md5(name), 1, 3), name) - 1 AS i, count(*) OVER () AS t, CAST(round_even(c*2.0, 0) AS BIGINT) AS items FROM r WHERE n > round_even(c*0.15, 0)) SELECT unnest(range(i, items, t)) AS k, name FROM t""")
 def assign_sources(get):
     """W8."""
     return dataset.assign_sources(dataset.assign_split(_files(get).select("name")))

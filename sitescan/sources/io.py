@@ -66,9 +66,10 @@ def write_detections(photos: DataFrame, dets: DataFrame, path: str) -> None:
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """Register entries with entry_id: a typed CSV whose dates are dates; entries are numbered by name and position."""
+    """Register entries with entry_id, a hash of name and position, and entry_order, which sorts as the lines of the files do."""
     rows = spark.read.schema(REGISTER).option("header", True).option("encoding", "UTF-8").csv(path)
-    return rows.withColumn("entry_id", F.md5(F.concat_ws("|", "tag_name", F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string"))))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", F.md5(F.concat_ws("|", "tag_name", F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string"))).alias("entry_id"), place.alias("entry_order"))
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
