@@ -1,12 +1,15 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
 A text is read as tokens: pieces of up to `piece` characters of its words, in lower case, so that white space and case do not
-matter and an edit changes only the tokens of one word. Karp-Rabin hashes of every run of `k` tokens are taken, and of every
-`window` consecutive hashes the smallest is selected, the rightmost of equals. A selected hash keeps its position, packed
+matter and an edit changes only the tokens of one word. Karp-Rabin hashes of every run of `k` tokens are taken (the values of a rolling
+hash; as a column expression has no state to roll, the `k` products are written out), and of every `window` consecutive hashes the smallest is selected, the rightmost of equals. A selected hash keeps its position, packed
 as hash << 31 | (2^31 - 1 - position), so that the smallest packed value is the smallest, rightmost hash.
 
 Two texts that share a run of at least `k + window - 1` tokens share a selected hash; hashes of runs shorter than `k` are never
 compared. A text of fewer than `k` tokens has one hash, of all its tokens; one without tokens (null, empty, blank) has none.
+
+Rows that repeat are answered row by row; no rows give none. `winnow` keeps all columns of the input, whatever their names, and replaces one
+named as its output; `edited_fingerprints` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -15,29 +18,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 _PRIME, _BASE, _TOP = 2**31 - 1, 1_000_003, 2**31 - 1
-#: Ids and buckets of this many neighbours are sorted together.
-_SPAN, _WIDE = 256, 65_536
+#: Rows in a bucket of neighbours, buckets in a range of buckets, cells of ids, and first rows of buckets that are sent to all tasks.
+_SPAN, _WIDE, _CELLS, _SENT = 256, 65_536, 256, 500_000
+_BUCKET = "shiftleft(CAST(_cell AS BIGINT), 40) + _sub"
 _NO_ID = -(2**63)
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = 4, window: int = 4, piece: int = 4) -> DataFrame:
     """`df` with `out`: the packed selected hashes (array<long>) in order of position, each once."""
     tokens = f"regexp_extract_all(lower(coalesce(`{text}`, '')), '[^\\\\x20\\\\x09-\\\\x0D]{{1,{piece}}}', 0)"
-    df = df.withColumn("_h", F.expr(f"transform({tokens}, t -> xxhash64(t) & 1073741823)"))
+    h, p = fresh(df, "_h"), fresh(df, "_p")
+    df = df.withColumn(h, F.expr(f"transform({tokens}, t -> xxhash64(t) & 1073741823)"))
     # sum of token * base^(k-1-i), modulo a prime; each product is below 2^61, so up to four may be added before reducing
-    terms = ["x" if i == 0 else f"get(_h, i + {i})" for i in range(k)]
+    terms = ["x" if i == 0 else f"get(`{h}`, i + {i})" for i in range(k)]
     total = "0L"
     for i, term in enumerate(terms):
         total = f"{total} + {term} * {pow(_BASE, k - 1 - i, _PRIME)}L"
         if i % 3 == 2 and i < k - 1:
             total = f"({total}) % {_PRIME}L"
-    packed = f"transform(_h, (x, i) -> shiftleft(({total}) % {_PRIME}L, 31) + ({_TOP}L - i))"
-    whole = f"array(shiftleft(xxhash64(_h) & {_TOP}L, 31) + {_TOP}L)"
-    df = df.withColumn("_p", F.expr(f"CASE WHEN size(_h) = 0 THEN _h WHEN size(_h) < {k} THEN {whole} ELSE slice({packed}, 1, size(_h) - {k - 1}) END"))
-    lowest = f"least({', '.join(['x', *(f'get(_p, i + {i})' for i in range(1, window))])})" if window > 1 else "x"
-    mins = f"slice(transform(_p, (x, i) -> {lowest}), 1, greatest(1, size(_p) - {window - 1}))"
-    return df.withColumn(out, F.expr(f"array_distinct({mins})")).drop("_h", "_p")
+    packed = f"transform(`{h}`, (x, i) -> shiftleft(({total}) % {_PRIME}L, 31) + ({_TOP}L - i))"
+    whole = f"array(shiftleft(xxhash64(`{h}`) & {_TOP}L, 31) + {_TOP}L)"
+    df = df.withColumn(p, F.expr(f"CASE WHEN size(`{h}`) = 0 THEN `{h}` WHEN size(`{h}`) < {k} THEN {whole} ELSE slice({packed}, 1, size(`{h}`) - {k - 1}) END"))
+    lowest = f"least({', '.join(['x', *(f'get(`{p}`, i + {i})' for i in range(1, window))])})" if window > 1 else "x"
+    mins = f"slice(transform(`{p}`, (x, i) -> {lowest}), 1, greatest(1, size(`{p}`) - {window - 1}))"
+    return df.withColumn(out, F.expr(f"array_distinct({mins})")).drop(h, p)
 
 
 def marks(packed: Column) -> Column:
@@ -62,7 +69,8 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _before(buckets: DataFrame) -> DataFrame:
-    """bucket, before: the bucket before each in a circle, found inside ranges of buckets and then between ranges."""
+    """bucket, before: the bucket before each in a circle, found inside ranges of buckets and then between ranges, of which there is one
+    for 16 million rows and one for each cell."""
     b = buckets.withColumn("r", F.floor(F.col("bucket") / _WIDE))
     ends = b.groupBy("r").agg(F.max("bucket").alias("end"))
     ends = ends.select("r", F.coalesce(F.lag("end").over(W.orderBy("r")), F.max("end").over(W.partitionBy())).alias("end"))
@@ -70,29 +78,54 @@ def _before(buckets: DataFrame) -> DataFrame:
     return inside.join(ends, "r").select("bucket", F.coalesce("before", "end").alias("before"))
 
 
+def _with_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` (_id, _t, ...) with bucket: about `_SPAN` neighbours in the order of _id and _t, whatever the ids are; and their number.
+
+    Quantiles cut the ids into cells, and counts say into how many equal parts of ids a cell is cut; an id with more than a cell's share of
+    the rows is a cell of its own, which is cut by _t. At most about 500 numbers pass through the driver."""
+    cuts, least, total = rows.agg(F.percentile_approx("_id", [i / _CELLS for i in range(_CELLS)], 10_000), F.min("_id"), F.count("*")).first()
+    cuts = cuts or [0]
+    bounds = sorted({least or 0, *cuts, *(c + 1 for i, c in enumerate(cuts[1:]) if c == cuts[i] < 2**63 - 1)})
+    cell = f"size(filter(array({', '.join(f'{b}L' if b != _NO_ID else f'({b + 1}L - 1L)' for b in bounds)}), b -> b <= _id)) - 1"
+    rows = rows.withColumn("_cell", F.expr(cell))
+    found = {r[0]: r for r in rows.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi")).collect()}
+    start, width, parts = [], [], []
+    for i in range(len(bounds)):
+        _, n, lo, hi = found.get(i, (i, 0, 0, 0))
+        parts.append(max(1, -(-n // _SPAN)))
+        start.append(float(lo))
+        width.append(max(1.0, (float(hi) - float(lo)) / parts[-1]) if hi > lo else 0.0)
+    doubles = lambda v: f"CAST(split('{','.join(map(repr, v))}', ',') AS array<double>)"
+    by_id = f"floor((CAST(_id AS DOUBLE) - get({doubles(start)}, _cell)) / get({doubles(width)}, _cell))"
+    by_text = f"floor((CAST(_t AS DOUBLE) / 18446744073709551616D + 0.5D) * get({doubles(parts)}, _cell))"
+    rows = rows.withColumn("_sub", F.expr(f"CASE WHEN get({doubles(width)}, _cell) > 0 THEN {by_id} ELSE {by_text} END"))
+    return rows.withColumn("bucket", F.expr(_BUCKET)).drop("_cell", "_sub"), total
+
+
 def beside_next(docs: DataFrame) -> tuple[DataFrame, W]:
     """Rows (bucket, guest, doc_id, text) such that each row that is no guest has its next document in its bucket.
 
-    The first document of each bucket of ids is also a guest of the bucket before it (of the last, for the first). Only these
+    The first document of each bucket is also a guest of the bucket before it (of the last, for the first). Only these
     copies and one row per bucket are needed beside a single shuffle of the documents.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    bucket = F.floor(F.col("_id") / _SPAN)
-    firsts = rows.groupBy(bucket.alias("bucket")).agg(F.min("_id").alias("_id"))
-    firsts = firsts.join(_before(firsts.select("bucket")), "bucket").select("_id", F.col("before").alias("bucket"))
-    # rows that repeat an id: the one with the least text is its bucket's first
-    guests = rows.join(firsts, "_id").groupBy("bucket", "_id").agg(F.min("text").alias("text"))
-    guests = guests.select("bucket", F.lit(1).alias("guest"), "_id", F.lit(None).cast("long").alias("doc_id"), "text")
-    own = rows.select(bucket.alias("bucket"), F.lit(0).alias("guest"), "_id", "doc_id", "text")
-    return own.unionByName(guests), W.partitionBy("bucket").orderBy("guest", "_id", "text")
+    rows, total = _with_buckets(rows.withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_t": F.xxhash64("text")}))
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("_id", "_t")).alias("f"))
+    firsts = firsts.join(_before(firsts.select("bucket")), "bucket").select("f._id", "f._t", F.col("before").alias("bucket"))
+    if total <= _SENT * _SPAN:
+        firsts = F.broadcast(firsts)
+    guests = rows.drop("bucket").join(firsts, ["_id", "_t"]).groupBy("bucket", "_id", "_t").agg(F.min("text").alias("text"))
+    guests = guests.select("bucket", F.lit(1).alias("guest"), "_id", "_t", F.lit(None).cast("long").alias("doc_id"), "text")
+    own = rows.select("bucket", F.lit(0).alias("guest"), "_id", "_t", "doc_id", "text")
+    return own.unionByName(guests), W.partitionBy("bucket").orderBy("guest", "_id", "_t", "text")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 4, piece: int = 4) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is replaced by the next document's beginning.
 
     Next is the next larger doc_id, after the last the first; a null id comes before all others; rows that repeat an id
-    follow each other by text. A document that is alone is its own next.
+    follow each other by a hash of their text, and then by text. A document that is alone is its own next. positions are those of the
+    fingerprint's hashes: how many tokens stand before each.
     """
     rows, order = beside_next(docs)
     rows = rows.withColumn("next", F.lead("text").over(order))
@@ -111,4 +144,5 @@ def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 4, piece: int
         likeness("a", "b").alias("near_edited"),
         likeness("a", "c").alias("near_next"),
         F.size("mark").cast("long").alias("n_marks"),
+        marks(F.col("mark"))["pos"].alias("positions"),
     )

@@ -240,7 +240,7 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4, rounds: int = 1) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept (it is the one of its component that stays).
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of `shingle`-word shingles. A link at 0.8
@@ -273,6 +273,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size:
         placed = opened.join(g, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("g"))
         mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key")
         opened = scratch.written(placed.join(mixed, "key", "left_semi"), "mixed")
+        if opened.isEmpty():
+            break
         if step < rounds:
             # another centre per bucket, chosen by hash: each class outside the centre's group is tried against it
             other = opened.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("g").alias("h")), F.xxhash64("rep", F.lit(step))).alias("c"))
@@ -293,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, size:
     )
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4, rounds: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = 128, rows: int = 4, rounds: int = 1) -> DataFrame:
     """The rows of `docs`, all columns, of the document that stays of each group.
 
     Rows with a null id stay. Of rows that repeat an id, which count as one document, the one with the least text stays."""

@@ -130,8 +130,10 @@ def features(c: str, b: str, a: str, lex: Lexicon) -> dict[str, str]:
 
 
 def labelled_findings(docs: DataFrame, most: int = 300) -> DataFrame:
-    """before, secret, after, label: a bounded set of findings made around words of at most `most` documents, those with the least hash."""
-    rows = docs.select(F.col("text").cast("string").alias("t")).filter("length(t) > 0").orderBy(F.xxhash64("t"), "t").limit(most)
+    """before, secret, after, label: a bounded set of findings made around words of about `most` documents, chosen by hash."""
+    rows = docs.select(F.col("text").cast("string").alias("t"))
+    # a share of 2^53, so that any number of rows leaves a sample
+    rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 53)) < int((1 << 53) * min(1.0, most / max(docs.count(), 1)))).filter("length(t) > 0").dropDuplicates(["t"])
     own = F.expr(f"array_join(transform(sequence(0, 19), i -> get(split('{_WORDS}', ' '), CAST(pmod(xxhash64(id, i), {len(_WORDS.split())}) AS INT))), ' ')")
     rows = rows.unionByName(docs.sparkSession.range(0, 100, 1, 1).select(own.alias("t")))
     rows = rows.select(F.expr(f"regexp_extract_all(t, '[A-Za-z]+', 0) || split('{_WORDS}', ' ')").alias("w"), F.sha2("t", 512).alias("h"), F.xxhash64("t").alias("r"))

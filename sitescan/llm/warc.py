@@ -6,15 +6,21 @@ task leaves nothing behind that is read. The reader cuts the listed files into b
 gzip magic, takes a candidate for a member only if its first bytes decode to a WARC version line and the whole member
 decodes with a right checksum, and owns the records that start inside its range; the last may end beyond it.
 
-A null page is an empty payload, a null url leaves out the target, a null page_id an empty one. Rows that repeat a page_id
-give a record each. Length and digest of a response are those of the payload that was read; a record whose headers say something else
-stops the job with its name. Line breaks in a url are percent-encoded. Columns other than page_id, url and html are ignored.
+A null page is an empty payload, a null url leaves out the target, a null page_id its header. Rows that repeat a page_id
+give a record each. Length and digest of a response are those of the payload that was read. The writer keeps a page's id in a header of its
+own, X-Page-ID; such a record whose other headers do not fit its payload stops the job with its name. Line breaks in a url are
+percent-encoded. Columns other than page_id, url and html are ignored; no rows give an empty archive.
+
+The reader takes archives of any writer: record ids are text, header names have any case and may be folded, digests any algorithm, and
+records of all types are returned. `intact` says whether a record is whole and has the payload that its digest stands for (null where
+that cannot be told: no digest, one of an unknown algorithm, or a record that says that it was cut off).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,27 +30,34 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+#: Digests in hexadecimal or base 32, by algorithm.
+_DIGESTS = {"sha1", "sha224", "sha256", "sha384", "sha512", "md5"}
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, record_id string, refers_to_id string, intact boolean, payload binary"
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def plan_records(pages: DataFrame, least_bytes: int = 1000, most_sent: int = 200_000) -> DataFrame:
     """page_id, url, payload, payload_digest (SHA-1, hexadecimal), refers_to: of equal payloads of at least `least_bytes` bytes the
-    one with the largest page_id is kept, the others refer to it."""
+    one with the largest page_id is kept, the others refer to it.
+
+    Only the digests that occur more than once travel: up to `most_sent` of them (48 bytes each) to the pages, more by a join."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
-    # counted before the shuffle, so a payload that a third of all pages share is one row; the join back is split by Spark
+    # counted before the shuffle, so a payload that a third of all pages share is one row; a join back is split by Spark
     shared = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(shared.filter("n > 1").drop("n"), "payload_digest", "left")
+    shared = written(shared.filter("n > 1").drop("n"), "shared")
+    if shared.count() <= most_sent:
+        shared = F.broadcast(shared)
+    rows = rows.join(shared, "payload_digest", "left")
     return rows.select("page_id", "url", "payload", "payload_digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def _record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    name = lambda i: f"<urn:uuid:{uuid.uuid4() if i is None else uuid.uuid5(uuid.NAMESPACE_OID, f'page {i}')}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
@@ -53,12 +66,14 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if page is not None:
+        head.append(f"X-Page-ID: {page}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers is None:
         block += payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers)}", f"X-Refers-To-Page-ID: {refers}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -120,26 +135,55 @@ def _member(buffer: bytearray, at: int, fill) -> tuple[bytes, int] | None:
         return None
 
 
+def _headers(raw: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; a line that starts with white space goes on the one before."""
+    lines = re.sub(rb"\r?\n[ \t]+", b" ", raw).decode("utf-8", "replace").splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in reversed(lines)) if _}
+
+
+def _digest(text: str | None) -> tuple[str | None, str | None]:
+    """Algorithm and hexadecimal value of a digest header; the value as it stands, without an algorithm, if it can't be read."""
+    kind, _, value = (text or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind in _DIGESTS:
+        size = hashlib.new(kind).digest_size
+        try:
+            if len(value) == 2 * size:
+                return kind, bytes.fromhex(value).hex()
+            return kind, base64.b32decode(value.upper() + "=" * (-len(value) % 8))[:size].hex()
+        except ValueError:
+            pass
+    return None, text or None
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}|-?9[0-9]{18}", text) else None
+
+
 def _fields(raw: bytes) -> tuple | None:
-    head, found, block = raw.partition(b"\r\n\r\n")
-    if not found:
+    m = re.search(rb"\r?\n\r?\n", raw)
+    if not m:
         return None
-    h = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    size = int(h.get("Content-Length", 0))
+    h = _headers(raw[: m.start()])
+    size = _number(h.get("content-length")) or 0
+    block = raw[m.end() : m.end() + size]
     whole = len(block) >= size
-    block = block[:size]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-    length = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-    digest = h.get("WARC-Payload-Digest", "")
-    digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-    kind = h.get("WARC-Type")
-    if kind == "response":
+    kind, payload, length = h.get("warc-type", "").lower(), block, None
+    if h.get("content-type", "").replace(" ", "").lower().startswith("application/http") and (http := re.search(rb"\r?\n\r?\n", block)):
+        payload, length = block[http.end() :], _number(_headers(block[: http.start()]).get("content-length"))
+    name, page = h.get("warc-record-id"), _number(h.get("x-page-id"))
+    algorithm, digest = _digest(h.get("warc-payload-digest"))
+    intact = None
+    if kind == "revisit":
+        intact = whole or None
+    else:
+        if algorithm and "warc-truncated" not in h:
+            intact = whole and hashlib.new(algorithm, payload).hexdigest() == digest
         read = hashlib.sha1(payload).hexdigest()
-        if not whole or length not in (None, len(payload)) or digest not in (None, read):
-            raise ValueError(f"record {h.get('WARC-Record-ID')}: {len(payload)} bytes with SHA-1 {read}, but its headers say {length} and {digest}")
+        if page is not None and (not whole or intact is False or length not in (None, len(payload))):
+            raise ValueError(f"record {name}: {len(payload)} bytes with SHA-1 {read}, but its headers say {length} and {digest}")
         length, digest = len(payload), read
-    return (page(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), kind, page(h.get("WARC-Refers-To")), digest, length or 0, payload if kind == "response" else None)
+    return (page, h.get("warc-target-uri"), kind, _number(h.get("x-refers-to-page-id")), digest, length, name, h.get("warc-refers-to"), intact, None if kind == "revisit" else payload)
 
 
 def records_in(source, start: int, end: int) -> Iterator[tuple]:
@@ -175,8 +219,9 @@ def records_in(source, start: int, end: int) -> Iterator[tuple]:
 
 
 def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
-    """All records of the listed archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload
-    (null for revisits, whose payload is stored with the record they refer to)."""
+    """All records of the archives listed with path and bytes: page_id and refers_to (of records with these headers), url, record_type,
+    payload_digest (SHA-1 of the payload; of revisits, what the header says), payload_bytes, record_id, refers_to_id, intact, payload (null for
+    revisits, whose payload is stored with the record they refer to)."""
     cuts = F.expr(f"explode(sequence(0L, greatest(bytes - 1, 0L), {int(split_bytes)}L))")
     ranges = manifest.filter("bytes > 0").select("path", "bytes", cuts.alias("start"))
     # ranges are a few bytes each; they are dealt out over the cluster so that no task reads a whole archive
@@ -191,7 +236,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                     held = 0
                     for row in records_in(f, start, min(start + split_bytes, size)):
                         rows.append(row)
-                        held += row[5]
+                        held += len(row[9] or b"")
                         if held > 8 << 20:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -202,12 +247,13 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def through_warc(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Write the pages to archives in the shared folder and read all their records back."""
+    small_batches(pages.sparkSession)
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_warc(write_warc(plan_records(pages, least_bytes), folder))

@@ -2,7 +2,13 @@
 
 import hashlib
 import random
+import re
+import struct
 
+import pytest
+import xxhash
+
+from sitescan.llm import fingerprints
 from sitescan.llm.fingerprints import edited_fingerprints, marks, winnow
 
 
@@ -55,3 +61,78 @@ def test_edges(spark):
     assert one[0].near_next == 1
     odd = spark.createDataFrame([(None, "a"), (1, None), (1, "b"), (1, "b")], "doc_id long, text string")
     assert edited_fingerprints(odd).count() == 4
+
+
+def plain(text, k=4, window=4):
+    """Selected (hash, position) of a text: a hash that rolls, and the rightmost smallest of each window."""
+    tokens = [xxhash.xxh64(t.encode(), seed=42).intdigest() & 1073741823 for t in re.findall(r"[^\x20\x09-\x0D]{1,4}", text.lower())]
+    if not tokens:
+        return []
+    if len(tokens) < k:
+        h = 42
+        for t in tokens:
+            h = xxhash.xxh64(struct.pack("<q", t), seed=h).intdigest()
+        return [(h & (2**31 - 1), 0)]
+    prime, base, h, hashes = 2**31 - 1, 1_000_003, 0, []
+    for i, t in enumerate(tokens):
+        h = (h * base + t - (tokens[i - k] * pow(base, k, prime) if i >= k else 0)) % prime
+        if i >= k - 1:
+            hashes.append(h)
+    out = []
+    for at in range(max(1, len(hashes) - window + 1)):
+        part = hashes[at : at + window]
+        pick = at + max(i for i, v in enumerate(part) if v == min(part))
+        if not out or out[-1][1] != pick:
+            out.append((hashes[pick], pick))
+    return out
+
+
+def alike(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_given_documents_against_plain_python(spark):
+    try:
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    except Exception:
+        pytest.skip("no test data")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in edited_fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    made = [plain(t) for _, t in rows]
+    for at, (i, t) in enumerate(rows):
+        after, q = rows[(at + 1) % len(rows)][1], len(t) // 4
+        edited = plain(t[: len(t) - q] + after[:q])
+        r = got[i]
+        assert r.fingerprint == "".join(f"{h:08X}" for h, _ in made[at]) and r.positions == [p for _, p in made[at]]
+        assert r.edited_fingerprint == "".join(f"{h:08X}" for h, _ in edited)
+        assert abs(r.near_edited - alike(made[at], edited)) < 1e-12 and abs(r.near_next - alike(made[at], made[(at + 1) % len(rows)])) < 1e-12
+
+
+def test_neighbours_of_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "_SPAN", 4)
+    rnd = random.Random(6)
+    for ids in (
+        [rnd.randrange(-(2**63), 2**63) for _ in range(300)],
+        [*range(250), 2**62, -(2**63), 2**63 - 1],
+        [5] * 200 + list(range(100)),
+        [None] * 150 + [2**63 - 1] * 20,
+    ):
+        rows = [(i, f"{at:03d} " + "x" * (at % 9)) for at, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        beside, order = fingerprints.beside_next(df)
+        from pyspark.sql import functions as F
+
+        got = beside.withColumn("next", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next").collect()
+        assert len(got) == len(rows)
+        # in a circle through all rows, by id
+        after = {(r.doc_id, r.text): r.next for r in got}
+        owner = {t: i for i, t in rows}
+        at, seen = rows[0][1], []
+        for _ in rows:
+            seen.append(at)
+            at = after[owner[at], at]
+        assert at == rows[0][1] and len(set(seen)) == len(rows)
+        low = [-(2**63) - 1 if owner[t] is None else owner[t] for t in seen]
+        assert sum(a > b for a, b in zip(low, [*low[1:], low[0]], strict=True)) <= 1

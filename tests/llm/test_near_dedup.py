@@ -1,15 +1,24 @@
 """Signatures, links and groups against plain Python on small sets."""
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
 
 from sitescan.llm import near_dedup as nd
 
 
+def plain_set(text, size):
+    """Distinct runs of `size` words, as tuples; the whole sequence where there are fewer words."""
+    lower = (text or "").translate({i: i + 32 for i in range(65, 91)})
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def grouped(rows, size, percent=80):
     """id -> (set size, smallest id reachable), by comparing all pairs."""
-    sets = {i: nd.shingle_set(t, size) for i, t in rows}
+    sets = {i: plain_set(t, size) for i, t in rows}
     up = {i: i for i in sets}
 
     def find(x):
@@ -20,8 +29,8 @@ def grouped(rows, size, percent=80):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if len(sets[a]) and len(sets[b]) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -86,6 +95,29 @@ def test_bounds_between_groups_lose_no_pair(spark):
                 assert (a, b) in got
 
 
+def test_a_set_of_millions_is_signed_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    elements = np.unique(rng.integers(0, 2**63, 3_000_000, dtype=np.uint64))
+    tracemalloc.start()
+    sig = nd.super_minhash(elements, np.zeros(len(elements), np.int64), 1)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    # the same as over parts, slot by slot the least
+    parts = [nd.super_minhash(p, np.zeros(len(p), np.int64), 1) for p in (elements[:50_000], elements[50_000:200_000], elements[200_000:])]
+    assert (sig == np.minimum.reduce(parts)).all()
+
+
+def test_rows_of_one_document_and_the_ones_that_stay(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, base, "a", 1), (3, base, "a", 1), (3, "other text of this very document here", "b", 2), (1, base + " end", "c", 3), (2, None, "d", 4), (None, base, "e", 5), (7, "", "f", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep string, kept int")
+    got = nd.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.rep) for r in got.collect()) == [("1", "c"), ("2", "d"), ("7", "f"), ("None", "e")]
+    twice = spark.createDataFrame([(1, "b b", "x", 1), (1, "a a", "y", 2), (1, "a a", "y", 2)], df.schema)
+    assert [r.text for r in nd.deduplicated(twice).collect()] == ["a a"]
+
+
 def test_empty_and_null_ids(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = nd.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")).collect()

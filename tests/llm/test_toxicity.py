@@ -71,3 +71,24 @@ def test_restores_spaced_words_with_repeats_and_chunks(spark):
     assert "of" in reader.words("river o f table")
     assert reader.restored("the t r a s h table") == "the trash table"
     assert reader.restored("river s t u u u p i d window") == "river stupid window"
+
+
+def test_one_double_letter_equals_the_search():
+    rng = np.random.default_rng(1)
+    decoder = tx.Decoder(np.log(rng.dirichlet(np.ones(29), (29, 29)) + 1e-4))
+    hit = 0
+    for _ in range(400):
+        word = "".join(rng.choice(list("abcdé"), rng.integers(2, 9)))
+        if tx._DOUBLE.search(word) and (one := decoder.one_double(word)) is not None:
+            assert [one] == decoder.read(word), word
+            hit += 1
+    assert hit > 100 and decoder.one_double("aaa") is None and decoder.one_double("aabb") is None
+
+
+def test_clashing_columns(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame([(i, t, "x", 7, 8.0) for i, t, _ in docs[:60]], "doc_id long, text string, words string, fold int, score double")
+    lab = spark.createDataFrame([(*r, "t") for r in labels[:60]], "doc_id long, quality int, toxic int, text string")
+    got = tx.scored(df, lab)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 60
+    assert tx.scored(df.limit(0), lab).count() == 0

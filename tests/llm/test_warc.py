@@ -41,7 +41,7 @@ def test_every_record_has_one_owner(spark, tmp_path):
 
 
 def test_foreign_bytes_between_members():
-    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:5>\r\nX-Page-ID: 5\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     data = b"\x1f\x8b\x08junk" + gzip.compress(b"no archive") + gzip.compress(record) + b"\x1f\x8b\x08\x00" + gzip.compress(record)
     for cut in range(0, len(data), 7):
         got = [*records_in(io.BytesIO(data), 0, cut), *records_in(io.BytesIO(data), cut, len(data))]
@@ -56,8 +56,29 @@ def test_lost_or_cut_payloads_are_reported():
     digest = hashlib.sha1(b"payload").hexdigest()
     whole = _record(5, "u", b"payload", digest, None)
     got = [*records_in(io.BytesIO(gzip.compress(whole)), 0, 1)]
-    assert got[0][4:7] == (digest, 7, b"payload")
+    assert got[0][4:6] == (digest, 7) and got[0][8:] == (True, b"payload")
     end = whole.index(b"payload\r\n")
     for bad in (whole[: end + 3], whole[:end] + b"\r\n\r\n", whole[:end] + b"PAYLOAD\r\n\r\n", _record(5, "u", b"", digest, None)):
-        with pytest.raises(ValueError, match="urn:page:5"):
+        with pytest.raises(ValueError, match="urn:uuid:"):
             list(records_in(io.BytesIO(gzip.compress(bad)), 0, 1))
+
+
+def test_archives_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = "<p>é</p>".encode()
+    sha256 = hashlib.sha256(body).hexdigest()
+    block = http + body
+    records = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-000000000001>\r\nContent-Type: application/warc-fields\r\nContent-Length: 14\r\n\r\nsoftware: any\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: request\r\nwarc-record-id: <urn:uuid:2>\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n",
+        b"WARC/1.1\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:uuid:3>\r\nWARC-Target-URI: http://h/\r\n a\r\nwarc-payload-digest: sha256:%s\r\nContent-Type: application/http;msgtype=response\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (sha256.encode(), len(block), block),
+        b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:4>\r\nWARC-Refers-To: <urn:uuid:3>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Payload-Digest: md5:%s\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % hashlib.md5(b"abd").hexdigest().encode(),
+    ]
+    data = b"".join(map(gzip.compress, records))
+    got = [*records_in(io.BytesIO(data), 0, len(data))]
+    assert [r[2] for r in got] == ["warcinfo", "request", "response", "revisit", "resource"]
+    assert [r[6] for r in got] == ["<urn:uuid:00000000-0000-4000-8000-000000000001>", *(f"<urn:uuid:{i}>" for i in (2, 3, 4, 5))]
+    assert [r[8] for r in got] == [None, None, True, True, False] and all(r[0] is None for r in got)
+    assert got[2][1] == "http://h/ a" and got[2][9] == body and got[2][4] == hashlib.sha1(body).hexdigest() and got[3][7] == "<urn:uuid:3>"
+    assert got[0][9] == b"software: any\n"
