@@ -29,7 +29,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,7 +219,7 @@ class Reader:
 
     def words(self, text: str | None) -> set:
         """What is kept of all tokens, runs and chunks of a text."""
-        tokens = (text or "").lower().split()
+        tokens = unicodedata.normalize("NFC", (text or "").lower()).split()
         runs, chunks = joined(tokens) if len(tokens) > 1 else ((), ())
         chunks = {*chunks, *tokens}
         get, read = self.cache.get, self.token
@@ -247,31 +246,34 @@ def _last(key: tuple, make):
     return _readers[key]
 
 
-def features(word: str) -> list[int]:
-    """64-bit keys of a word: its beginnings of 5, 6 and 7 letters and itself, from general to special."""
-    word = unicodedata.normalize("NFC", word)
-    return [xxhash.xxh3_64_intdigest(x) >> 1 for x in (*(f"^{word[:n]}" for n in (5, 6, 7) if len(word) > n), word + "$")]
+def features(word: str) -> list[str]:
+    """A word's beginnings of 5, 6 and 7 letters and, marked by '$', itself, from general to special."""
+    return [*(word[:n] for n in (5, 6, 7) if len(word) > n), word + "$"]
 
 
 class Evidence:
-    """Log-odds of words from counted features."""
+    """Log-odds of words from counted features.
 
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, total: np.ndarray, base: float, weight: float = 6.0):
-        self.stats = dict(zip(keys.tolist(), zip(toxic.tolist(), total.tolist(), strict=True), strict=True))
-        self.base, self.weight, self.cache = base, weight, {}
+    Whoever has a feature has the more general ones too, so the log-odds of every counted feature are worked out once, from general to
+    special, and a word has those of its most special counted feature."""
+
+    def __init__(self, keys: list[str], toxic: np.ndarray, total: np.ndarray, base: float, weight: float = 6.0):
+        p: dict[str, float] = {}
+        self.value: dict[str, float] = {}
+        for i in sorted(range(len(keys)), key=lambda i: (keys[i][-1] == "$", len(keys[i]))):
+            k = keys[i]
+            more = k[: min(7, len(k) - 2)] if k[-1] == "$" else k[:-1]
+            q = p[k] = (toxic[i] + weight * p.get(more, base)) / (total[i] + weight)
+            self.value[k] = max(0.0, float(np.log(q / (1 - q)) - np.log(base / (1 - base))))
 
     def word(self, word: str) -> float:
-        found = self.cache.get(word)
+        get, n = self.value.get, len(word)
+        found = get(word[:5]) if n > 5 else 0.0
         if found is None:
-            p = self.base
-            for k in features(word):
-                toxic, total = self.stats.get(k, (0, 0))
-                if total:
-                    p = (toxic + self.weight * p) / (total + self.weight)
-            found = max(0.0, float(np.log(p / (1 - p)) - np.log(self.base / (1 - self.base))))
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            self.cache[word] = found
+            return 0.0
+        for key in (word + "$", *(word[:k] for k in (7, 6) if n > k)):
+            if (special := get(key)) is not None:
+                return special
         return found
 
     def kept(self, words: list[str]) -> tuple[tuple[str, float], ...]:
@@ -315,40 +317,30 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
     none = np.zeros(0)
     if toxic in (0, total):
         base = min(max(toxic / total if total else 0.0, 1e-6), 1 - 1e-6)
-        return model, none.astype(np.int64), none, none, base, np.array([np.log(base / (1 - base)), 0, 0, 0])
+        return model, [], none, none, base, np.array([np.log(base / (1 - base)), 0, 0, 0])
 
-    def counted(part: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    def counted(part: DataFrame, wanted: set[str] | None) -> DataFrame:
         """k, fold, c: documents per feature and fold; of the wanted features, or of all."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keep = None if wanted is None else set(wanted.tolist())
-            known: dict[str, tuple[int, ...]] = {}
             for batch in slices(batches, 0):
-                seen: Counter = Counter()
+                seen: dict[int, Counter] = {}
                 for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found: set[int] = set()
-                    for w in t.split():
-                        f = known.get(w)
-                        if f is None:
-                            f = tuple(k for k in features(w) if keep is None or k in keep)
-                            if len(known) >= _CACHE:
-                                known.clear()
-                            known[w] = f
-                        found.update(f)
-                    seen.update((k, fold) for k in found)
-                keys = list(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([f for _, f in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["k", "fold", "c"])
-
-        return part.select("words", "fold").mapInArrow(run, "k long, fold int, c long").groupBy("k", "fold").agg(F.sum("c").alias("c"))
+                    found = {k for w in t.split() for k in features(w)}
+                    seen.setdefault(fold, Counter()).update(found if wanted is None else found & wanted)
+                for fold, counts in seen.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([fold] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["k", "fold", "c"])
+
+        return part.select("words", "fold").mapInArrow(run, "k string, fold int, c long").groupBy("k", "fold").agg(F.sum("c").alias("c"))
 
     # features of few toxic documents say nothing; the others are bounded by the number of labelled rows
     bad = counted(data.filter("toxic = 1"), None)
     bad = bad.groupBy("k").agg(F.sum(F.when(F.col("fold") == 0, F.col("c"))).alias("t0"), F.sum(F.when(F.col("fold") == 2, F.col("c"))).alias("t2"))
     bad = bad.na.fill(0).filter(F.col("t0") + F.col("t2") >= least_toxic).toPandas().sort_values("k")
-    keys = bad.k.to_numpy(np.int64)
-    good = {(k, f): c for k, f, c in counted(data.filter("toxic = 0"), keys).collect()}
+    keys = bad.k.tolist()
+    good = {(k, f): c for k, f, c in counted(data.filter("toxic = 0"), set(keys)).collect()}
     t = {0: bad.t0.to_numpy(np.float64), 2: bad.t2.to_numpy(np.float64)}
-    n = {f: t[f] + np.array([good.get((k, f), 0) for k in keys.tolist()], np.float64) for f in (0, 2)}
+    n = {f: t[f] + np.array([good.get((k, f), 0) for k in keys], np.float64) for f in (0, 2)}
     base = toxic / total
 
     # the curve is fitted on each fold with the counts of the other one

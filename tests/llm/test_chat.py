@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import pytest
+
 from sitescan.llm.chat import escape, parse, read_back, unescape, windows
 
 
@@ -69,3 +71,22 @@ def test_windows_keep_the_budget(spark):
             assert sum(-(-len(t) // 4) + 4 for _, t in turns) <= budget or len(turns) == 1 or (turns[0][0] == "system" and len(turns) == 2), (w.conv_id, others)
             made.setdefault(w.conv_id, []).append([n for n, old in zip(w.turn_no, w.repeated, strict=True) if not old])
     assert made[1] == [[0], [1], [2], [3], [4], [5]] and made[2] == [[0], [1], [2]] and len(made[3]) == 10
+
+
+def test_digests_of_the_given_conversations_equal_the_sql_twin(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from sitescan.llm.queries import OP2_SQL, op2_chat
+
+    folder = "/root/testdata/sf0.01"
+    try:
+        got = op2_chat(spark, folder).collect()
+    except Exception:
+        pytest.skip("no test data")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    want = sorted(c.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 FROM ({OP2_SQL})").fetchall())
+    assert sorted((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got) == want
+    # what is formatted is at least all turns with their marks
+    marks = len("<|im_start|>") + len("<|im_end|>") + 2
+    least = dict(c.execute(f"SELECT conv_id, sum(length(coalesce(role, '')) + length(coalesce(text, '')) + {marks}) FROM conversations GROUP BY 1").fetchall())
+    assert all(r.formatted_chars >= least[r.conv_id] for r in got if r.conv_id != -1)
