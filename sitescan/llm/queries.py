@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .quality import scored as quality_scored
 from .secrets import findings, trained
 from .spm import encode
+from .structure import damaged, repaired
 from .toxicity import scored
 from .warc import through_warc
 
@@ -125,5 +126,62 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece}
-ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL}
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda acc, b: xor(acc >> 8, list_reduce(list_prepend(xor(acc, b) & 255, range(8)),
+             lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))) % 20 AS kind
+  FROM conversations),
+after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM after),
+seen AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid FROM numbered),
+marked AS (
+  SELECT conv_id, turn, role, text, i, n, initial, prior,
+         CASE WHEN solid = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+moves(q, letter, initial, cost, nq, said) AS (VALUES
+  (0, 'K', 's', 0, 1, NULL), (0, 'K', 'u', 0, 2, NULL), (1, 'K', 'u', 0, 2, NULL), (2, 'K', 'a', 0, 3, NULL), (3, 'K', 'u', 0, 2, NULL),
+  (0, 'R', NULL, 1, 2, 'user:'), (1, 'R', NULL, 1, 2, 'user:'), (2, 'R', NULL, 1, 3, 'assistant:'), (3, 'R', NULL, 1, 2, 'user:'),
+  (0, 'D', NULL, 2, 0, NULL), (1, 'D', NULL, 2, 1, NULL), (2, 'D', NULL, 2, 2, NULL), (3, 'D', NULL, 2, 3, NULL)),
+opened(q, letters, cost, nq, said) AS (VALUES
+  (0, '', 0, 0, ''), (1, '', 0, 1, ''), (2, '', 0, 2, ''), (3, '', 0, 3, ''), (0, 'I', 5, 2, chr(10) || 'user:'), (1, 'I', 5, 2, chr(10) || 'user:'),
+  (2, 'I', 5, 3, chr(10) || 'assistant:'), (3, 'I', 5, 2, chr(10) || 'user:'), (0, 'II', 10, 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 'II', 10, 3, chr(10) || 'user:' || chr(10) || 'assistant:')),
+best(conv_id, i, q, cost, audit, said) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '' FROM numbered GROUP BY conv_id
+  UNION ALL
+  (SELECT b.conv_id, m.i, s.nq, b.cost + o.cost + s.cost + CASE WHEN m.fault = 't' AND s.letter <> 'D' THEN 5 ELSE 0 END, b.audit || o.letters || s.letter,
+          b.said || o.said || CASE s.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || m.role || ':' || m.text ELSE chr(10) || s.said || m.text END
+   FROM best b JOIN marked m ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = b.i + 1 JOIN opened o ON o.q = b.q JOIN moves s ON s.q = o.nq
+   WHERE CASE s.letter WHEN 'K' THEN s.initial = m.initial AND m.fault IN ('', 't') WHEN 'R' THEN m.fault IN ('', 't') ELSE true END
+   QUALIFY row_number() OVER (PARTITION BY b.conv_id, s.nq ORDER BY b.cost + o.cost + s.cost + CASE WHEN m.fault = 't' AND s.letter <> 'D' THEN 5 ELSE 0 END,
+                              b.audit || o.letters || s.letter) = 1)),
+ends AS (
+  SELECT b.conv_id, b.cost + o.cost AS cost, b.audit || o.letters AS audit, b.said || o.said AS said
+  FROM best b JOIN (SELECT conv_id, max(i) AS n FROM numbered GROUP BY conv_id) t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.n
+  JOIN opened o ON o.q = b.q AND o.nq IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + o.cost, b.audit || o.letters) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+       coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, CAST(coalesce(e.cost, 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit,
+       sha256(coalesce(substr(e.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece, "op12_structure": op12_structure}
+ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op12_structure": OP12_SQL}
