@@ -17,6 +17,7 @@ from .spm import encode
 from .structure import damaged, repaired
 from .toxicity import scored
 from .warc import through_warc
+from .whitening import components_of
 
 #: The SentencePiece model of the registered queries.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -183,5 +184,9 @@ LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e
 """
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece, "op12_structure": op12_structure}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece, "op12_structure": op12_structure, "op13_whitening": op13_whitening}
 ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op12_structure": OP12_SQL}
