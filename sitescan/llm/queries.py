@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import contained_items
 from .fingerprints import edited_fingerprints
 from .html import extracted
+from .licenses import license_report
 from .near_dedup import near_duplicates
 from .quality import scored as quality_scored
 from .secrets import findings, trained
@@ -127,6 +128,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")))
 
@@ -188,5 +193,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece, "op12_structure": op12_structure, "op13_whitening": op13_whitening}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_chat": op2_chat, "op3_html": op3_html, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_toxicity": op6_toxicity, "op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece, "op11_licenses": op11_licenses, "op12_structure": op12_structure, "op13_whitening": op13_whitening}
 ORACLES = {"op4_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_warc": OP8_SQL, "op12_structure": OP12_SQL}
