@@ -483,11 +483,28 @@ def number_assets(get):
     return A.number_assets(a, ("k",)).select("site_id", "k", "asset_id")
 
 
-@query()
+_FAR = "sqrt((c.cx-b[1].cx)*(c.cx-b[1].cx)+(c.cy-b[1].cy)*(c.cy-b[1].cy)+(c.cz-b[1].cz)*(c.cz-b[1].cz))"
+_FOLD = f"""{cte('v_clustered')}, o AS (SELECT site_id, cls, list([struct_pack(k := CAST(0 AS BIGINT), cx := x, cy := y, cz := z, xs := [x], ys := [y], zs := [z], ids := [struct_pack(photo := photo, det_id := det_id)])] ORDER BY conf DESC, photo, det_id) AS l FROM v_clustered GROUP BY 1, 2),
+f AS (SELECT site_id, cls, list_reduce(l, lambda acc, b: list_transform([list_min(list_transform(list_filter(acc, lambda c: {_FAR} <= 0.15), lambda c: struct_pack(d := {_FAR}, k := c.k))).k], lambda m:
+ CASE WHEN m IS NULL THEN list_append(acc, struct_pack(k := CAST(len(acc) AS BIGINT), cx := b[1].cx, cy := b[1].cy, cz := b[1].cz, xs := b[1].xs, ys := b[1].ys, zs := b[1].zs, ids := b[1].ids))
+ ELSE list_transform(acc, lambda c: CASE WHEN c.k = m THEN struct_pack(k := c.k, cx := list_median(list_concat(c.xs, b[1].xs)), cy := list_median(list_concat(c.ys, b[1].ys)), cz := list_median(list_concat(c.zs, b[1].zs)),
+  xs := list_concat(c.xs, b[1].xs), ys := list_concat(c.ys, b[1].ys), zs := list_concat(c.zs, b[1].zs), ids := list_concat(c.ids, b[1].ids)) ELSE c END) END)[1]) AS c FROM o),
+g AS (SELECT site_id, cls, unnest(c) AS c FROM f)"""
+
+
+@query(f"WITH {_FOLD} SELECT site_id, cls, c.ids[i].photo AS photo, c.ids[i].det_id AS det_id, c.k AS cluster, i - 1 AS join_no FROM (SELECT *, unnest(range(1, len(c.ids) + 1)) AS i FROM g)")
 def cluster_sightings(get):
-    """W3, in exact blocks."""
+    """W3."""
     s = get("v_clustered").select("site_id", "cls", "sweep", "photo", "det_id", "conf", "x", "y", "z")
-    return A.cluster_sightings(s, 0.15).select("site_id", "cls", "block", "photo", "det_id", "cluster", "join_no")
+    return A.cluster_sightings(s, 0.15).select("site_id", "cls", "photo", "det_id", "cluster", "join_no")
+
+
+@query(f"WITH {_FOLD} SELECT site_id, cls, c.k AS cluster, len(c.ids) AS members, round(c.cx, 6) AS x, round(c.cy, 6) AS y, round(c.cz, 6) AS z FROM g")
+def cluster_centres(get):
+    """W3 in tiles of 0.9 m: a class of a site is folded in many pieces, and settled between them."""
+    s = get("v_clustered").select("site_id", "cls", "photo", "det_id", "conf", "x", "y", "z")
+    got = A.cluster_sightings(s, 0.15, whole=500, tile=6)
+    return got.groupBy("site_id", "cls", "cluster").agg(F.count("*").alias("members"), *(F.round(F.median(a), 6).alias(a) for a in "xyz"))
 
 
 # training sets

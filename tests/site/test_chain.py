@@ -13,7 +13,7 @@ from sitescan.sources import io
 
 
 def test_late_assets_are_numbered_and_linked_in_order(spark):
-    a = spark.createDataFrame([(0, 1, 0, k, float(k), 0.0, 0.0) for k in range(120)], "site_id long, cls int, block long, cluster long, x double, y double, z double")
+    a = spark.createDataFrame([(0, 1, k, float(k), 0.0, 0.0) for k in range(120)], "site_id long, cls int, cluster long, x double, y double, z double")
     got = assets.number_assets(a).withColumn("product", F.lit("P"))
     assert got.filter("asset_no = 100").first().asset_id == "asset-100"
     # asset-11 (x = 10) and asset-100 (x = 99) reach for one entry
@@ -56,7 +56,7 @@ def test_boxes_become_tags(spark, tmp_path):
     dets.join(lifted, ["site_id", "photo", "det_id"]).write.parquet(f"file://{tmp_path}/sightings")
     assets.cluster_sightings(spark.read.parquet(f"file://{tmp_path}/sightings"), 0.15).write.parquet(f"file://{tmp_path}/clustered")
     clustered = spark.read.parquet(f"file://{tmp_path}/clustered")
-    keys = ["site_id", "cls", "block", "cluster"]
+    keys = ["site_id", "cls", "cluster"]
     found = assets.number_assets(assets.assets_from_clusters(clustered, keys)).join(assets.best_view(clustered, keys, F.lit(1024.0), F.lit(1024.0), F.col("join_no")), keys)
     found.write.parquet(f"file://{tmp_path}/assets")
     found = spark.read.parquet(f"file://{tmp_path}/assets")

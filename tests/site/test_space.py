@@ -92,27 +92,60 @@ def fold(points, radius):
     return out
 
 
-def test_blocks_give_the_same_clusters(spark):
-    rng = np.random.default_rng(5)
+SIGHTING = "site_id long, cls int, sweep int, photo string, det_id long, conf double, x double, y double, z double"
+
+
+def as_folded(got, rows, radius=0.15):
+    """Whether numbers and places in clusters are those of a fold of each class of a site as one piece."""
+    mine = {(r.site_id, r.cls, r.photo, r.det_id): (r.cluster, r.join_no) for r in got}
+    assert len(mine) == len(got) == len(rows)
+    for group in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == group), key=lambda r: (-r[5], r[3], r[4]))
+        sizes = {}
+        for r, k in zip(own, fold([np.array(r[6:]) for r in own], radius), strict=True):
+            assert mine[r[0], r[1], r[3], r[4]] == (k, sizes.get(k, 0)), r
+            sizes[k] = sizes.get(k, 0) + 1
+
+
+def sightings_of(rng, n, spread, sites=1, classes=2, digits=2, things=None):
     rows = []
-    for cls in range(2):
-        centres = rng.uniform(0, 30, (12, 3))
-        for i in range(150):
-            p = centres[rng.integers(12)] + rng.normal(0, 0.08, 3)
-            rows.append((0, cls, int(rng.integers(8)), f"p{i % 20}", i, round(float(rng.random()), 2), *map(float, p)))
-    df = spark.createDataFrame(rows, "site_id long, cls int, sweep int, photo string, det_id long, conf double, x double, y double, z double")
-    got = assets.cluster_sightings(df, 0.15).collect()
-    assert len(got) == 300 and len({(r.cls, r.block) for r in got}) > 4
-    for cls in range(2):
-        own = sorted((r for r in rows if r[1] == cls), key=lambda r: (-r[5], r[3], r[4]))
-        want = {}
-        for r, k in zip(own, fold([np.array(r[6:]) for r in own], 0.15), strict=True):
-            want.setdefault(k, set()).add(r[4])
-        mine = {}
-        for r in got:
-            if r.cls == cls:
-                mine.setdefault((r.block, r.cluster), set()).add(r.det_id)
-        assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
+    for i in range(n):
+        p = rng.uniform(0, spread, 3) if things is None else things[rng.integers(len(things))] + rng.normal(0, 0.05, 3)
+        rows.append((int(rng.integers(sites)), int(rng.integers(classes)), int(rng.integers(8)), f"p{i % 20}", i, round(float(rng.random()), digits), *map(float, p)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tiles_of_dense_rooms_give_the_clusters_of_one_fold(spark, seed):
+    """Rooms full of sightings, where no gap separates anything: small tiles, so that most clusters lie across borders."""
+    rng = np.random.default_rng(seed)
+    rows = sightings_of(rng, 900, 1.2, digits=1)
+    df = spark.createDataFrame(rows, SIGHTING)
+    as_folded(assets.cluster_sightings(df, 0.15, whole=50, tile=2).collect(), rows)
+
+
+def test_things_close_together(spark):
+    rng = np.random.default_rng(5)
+    rows = sightings_of(rng, 700, 0, sites=2, things=rng.uniform(0, 2, (60, 3))) + sightings_of(rng, 30, 9, sites=1, classes=1)[:0]
+    df = spark.createDataFrame(rows, SIGHTING)
+    whole = assets.cluster_sightings(df, 0.15)
+    as_folded(whole.collect(), rows)
+    as_folded(assets.cluster_sightings(df, 0.15, whole=0, tile=3).collect(), rows)
+
+
+def test_a_median_far_from_all_members_still_counts(spark):
+    """Members at two ends and a centre between them, in a tile where none of them lies."""
+    places = [(0.0, 0.0, 0.0), (0.14, 0.0, 0.0), (0.07, 0.13, 0.0), (0.07, 0.02, 0.1), (0.2, 0.06, 0.0), (0.31, 0.0, 0.0), (0.22, 0.1, 0.0), (0.15, 0.15, 0.15), (0.15, 0.15, 0.0), (0.1, 0.1, 0.1)] * 3
+    rows = [(0, 0, i, "p", i, 1 - i / 100, *(c + 0.013 * (i // 10) for c in p)) for i, p in enumerate(places)]
+    df = spark.createDataFrame(rows, SIGHTING)
+    as_folded(assets.cluster_sightings(df, 0.15, whole=1, tile=1).collect(), rows)
+
+
+def test_sightings_without_a_place_and_equal_ones(spark):
+    rows = [(0, 0, 1, "p", i, 0.5, 1.0, 1.0, 1.0) for i in range(40)]
+    df = spark.createDataFrame([*rows, (0, 0, 1, "q", 99, 0.9, None, 1.0, 1.0)], SIGHTING)
+    as_folded(assets.cluster_sightings(df, 0.15, whole=10, tile=1).collect(), rows)
+    assert assets.cluster_sightings(df.limit(0)).count() == 0
 
 
 def test_register_loser_gets_no_second(spark):
