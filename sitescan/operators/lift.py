@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitescan.functions.boxes import Box, shrink_box, widen_box
@@ -13,6 +14,11 @@ TILE = 128
 KEY = ["site_id", "photo", "box_id"]
 
 
+def box_window():
+    """A box's rows together. Box ids first: rows are then told apart by the first bytes that a sort compares."""
+    return W.partitionBy("box_id", "photo", "site_id")
+
+
 def points_in_boxes(pixels: DataFrame, boxes: DataFrame, tile: int = TILE) -> DataFrame:
     """Rows of `pixels` (site_id, photo, u, v, ...) joined with the boxes (site_id, photo, box_id, x1..y2, ...) that hold them, ends included.
 
@@ -33,9 +39,34 @@ def visible_points(points: DataFrame, images: DataFrame, boxes: DataFrame) -> Da
     return project_points(points, wanted).filter(in_frame())
 
 
+def with_quantile(rows: DataFrame, value: str, share: float, name: str) -> DataFrame:
+    """`rows` (KEY, `value`, ...) with `name`: the exact quantile of `value` among the rows of a box, between two neighbours where it falls between them.
+
+    Rows are sorted inside their box and the one or two that the quantile takes are picked by place, so nothing is held per box. Rows are dealt
+    out by box once, for all quantiles and medians of a plan. A box holds at most the points of one sweep; a task streams and, if need be, spills them.
+    """
+    rank, many = F.row_number().over(box_window().orderBy(value)) - 1, F.count("*").over(box_window())
+    at = F.lit(share) * (F.col("_many") - 1)
+    low = F.floor(at)
+    pick = lambda k: F.max(F.when(F.col("_rank") == k, F.col(value).cast("double"))).over(box_window())
+    rows = rows.withColumn("_rank", rank).withColumn("_many", many)
+    rows = rows.withColumns({"_low": pick(low), "_high": pick(F.ceil(at))})
+    between = F.when((low == at) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise((F.ceil(at) - at) * F.col("_low") + (at - low) * F.col("_high"))
+    return rows.withColumn(name, between).drop("_rank", "_many", "_low", "_high")
+
+
+def medians(rows: DataFrame, values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """KEY, n_points and the exact median of each of `values` per box, in the same manner: the mean of the middle row or two."""
+    for a in values:
+        rows = rows.withColumn("_" + a, F.row_number().over(box_window().orderBy(a)))
+    rows = rows.withColumn("n_points", F.count("*").over(box_window()))
+    n = F.col("n_points")
+    middle = lambda a: F.avg(F.when(F.col("_" + a).isin(F.floor((n + 1) / 2), F.floor(n / 2) + 1), F.col(a).cast("double"))).alias(a)
+    return rows.groupBy(*KEY).agg(F.first("n_points").alias("n_points"), *map(middle, values))
+
+
 def _front_median(rows: DataFrame, limit: str) -> DataFrame:
-    near = rows.filter(F.col("depth") <= F.col(limit) + 0.05)
-    return near.groupBy(*KEY).agg(F.count("*").alias("n_points"), *(F.median(F.col(a).cast("double")).alias(a) for a in "xyz"))
+    return medians(rows.filter(F.col("depth") <= F.col(limit) + 0.05))
 
 
 def lift_boxes(points: DataFrame, images: DataFrame, boxes: DataFrame, margin: float = 0.25, least: int = 5, widen: float = 4.0) -> DataFrame:
@@ -49,16 +80,12 @@ def lift_boxes(points: DataFrame, images: DataFrame, boxes: DataFrame, margin: f
     got = points_in_boxes(visible_points(points, images, boxes), wide)
     got = got.withColumn("inner", F.col("u").between(F.col("i1"), F.col("i2")) & F.col("v").between(F.col("j1"), F.col("j2")))
     got = got.select(*KEY, "x", "y", "z", "depth", "inner")
-    stats = got.groupBy(*KEY).agg(
-        F.count_if("inner").alias("n_inner"),
-        F.percentile(F.when(F.col("inner"), F.col("depth")), 0.25).alias("p_inner"),
-        F.percentile("depth", 0.25).alias("p_all"),
-    )
-    stats = stats.select(*KEY, (F.col("n_inner") >= least).alias("use_inner"), F.when(F.col("n_inner") >= least, F.col("p_inner")).otherwise(F.col("p_all")).alias("front"))
-    return _front_median(got.join(stats, KEY).filter("inner or not use_inner"), "front")
+    few = F.count_if("inner").over(box_window()) < least
+    got = got.withColumn("few", few).filter("inner or few")
+    return _front_median(with_quantile(got, "depth", 0.25, "front"), "front")
 
 
-def _squares(pixels: DataFrame, radius: F.Column) -> DataFrame:
+def _squares(pixels: DataFrame, radius: Column) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     return pixels.select(*KEY, (u - radius).alias("x1"), (v - radius).alias("y1"), (u + radius).alias("x2"), (v + radius).alias("y2"))
 
@@ -67,12 +94,11 @@ def pixels_to_world(points: DataFrame, images: DataFrame, pixels: DataFrame, rad
     """The rows of `pixels` (site_id, photo, box_id, u, v) with the front surface's median around each; null where no point is."""
     squares = _squares(pixels, F.lit(radius))
     got = points_in_boxes(visible_points(points, images, squares), squares).select(*KEY, "x", "y", "z", "depth")
-    front = got.groupBy(*KEY).agg(F.percentile("depth", 0.25).alias("front"))
-    return pixels.join(_front_median(got.join(front, KEY), "front"), KEY, "left")
+    return pixels.join(_front_median(with_quantile(got, "depth", 0.25, "front"), "front"), KEY, "left")
 
 
-def depth_at(points: DataFrame, images: DataFrame, pixels: DataFrame, radius: F.Column | float = 12.0) -> DataFrame:
+def depth_at(points: DataFrame, images: DataFrame, pixels: DataFrame, radius: Column | float = 12.0) -> DataFrame:
     """The rows of `pixels` with depth_at: the first quartile of depth in the square around each; null where no point is."""
-    squares = _squares(pixels, radius if isinstance(radius, F.Column) else F.lit(radius))
-    got = points_in_boxes(visible_points(points, images, squares), squares)
-    return pixels.join(got.groupBy(*KEY).agg(F.percentile("depth", 0.25).alias("depth_at")), KEY, "left")
+    squares = _squares(pixels, radius if isinstance(radius, Column) else F.lit(radius))
+    got = points_in_boxes(visible_points(points, images, squares), squares).select(*KEY, "depth")
+    return pixels.join(with_quantile(got, "depth", 0.25, "q").groupBy(*KEY).agg(F.first("q").alias("depth_at")), KEY, "left")

@@ -1,41 +1,61 @@
-"""Planes through groups of points: moments by Spark, the 3x3 eigenproblem of each group in batches."""
+"""Planes through groups of points: moments by Spark, then the 3x3 eigenproblem of each group in closed form, as columns."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from math import pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from sitescan.functions.boxes import Box, shrink_box
-from sitescan.functions.geometry import dot, sub, vector
-
-from .lift import KEY, points_in_boxes, visible_points
-
-
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def smallest_eigenvector(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.Series:
-    """Unit eigenvector of the smallest eigenvalue of symmetric 3x3 matrices; its largest component is positive."""
-    m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], -1).astype(float).reshape(-1, 3, 3)
-    bad = ~np.isfinite(m).all((1, 2))
-    m[bad] = np.eye(3)
-    v = np.linalg.eigh(m)[1][:, :, 0]
-    v *= np.sign(np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1))
-    return pd.Series([None if b else list(x) for x, b in zip(v, bad, strict=True)])
+from sitescan.functions.geometry import cross, dot, settled, sub, vector
+
+from .lift import KEY, box_window, points_in_boxes, visible_points, with_quantile
+
+#: Squared length of a cross product, against the fourth power of the matrix's spread, up to which no direction is told from the others.
+FLAT = 1e-12
+
+
+def with_normal(moments: DataFrame) -> DataFrame:
+    """`moments` (xx, yy, zz, xy, xz, yz, ...) with nx, ny, nz: the unit eigenvector of the smallest eigenvalue of the symmetric matrix, its largest
+    component positive; null where the two smaller eigenvalues are equal to rounding, as for points on a line.
+
+    The eigenvalue is the least root of the characteristic cubic by its cosine form, which is exact to rounding wherever that root stands
+    apart; the vector is the longest of the cross products of two rows of the matrix less the eigenvalue.
+    """
+    c = F.col
+    q = (c("xx") + c("yy") + c("zz")) / 3
+    rows = settled(moments, _q=q)
+    d = [c(a) - c("_q") for a in ("xx", "yy", "zz")]
+    xy, xz, yz = c("xy"), c("xz"), c("yz")
+    spread = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2 * (xy * xy + xz * xz + yz * yz)) / 6
+    det = d[0] * (d[1] * d[2] - yz * yz) - xy * (xy * d[2] - yz * xz) + xz * (xy * yz - d[1] * xz)
+    rows = settled(rows, _p2=spread, _det=det)
+    cosine = F.try_divide(c("_det"), 2 * c("_p2") * F.sqrt("_p2"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / 3 + 2 * pi / 3
+    rows = settled(rows, _least=c("_q") + 2 * F.sqrt("_p2") * F.cos(angle))
+    r = ((c("xx") - c("_least"), xy, xz), (xy, c("yy") - c("_least"), yz), (xz, yz, c("zz") - c("_least")))
+    pairs = [cross(r[0], r[1]), cross(r[0], r[2]), cross(r[1], r[2])]
+    sides = [F.struct(dot(v, v).alias("d"), *(x.alias(n) for x, n in zip(v, "abc", strict=True))) for v in pairs]
+    rows = settled(rows, _v=F.array_max(F.array(*sides)))
+    v = [c("_v")[n] for n in "abc"]
+    most = F.greatest(*map(F.abs, v))
+    sign = F.when(F.abs(v[0]) == most, F.signum(v[0])).when(F.abs(v[1]) == most, F.signum(v[1])).otherwise(F.signum(v[2]))
+    told = c("_v")["d"] > FLAT * c("_p2") * c("_p2")
+    length = F.when(told, sign / F.sqrt(c("_v")["d"]))
+    return rows.select(*moments.columns, *((x * length).alias("n" + a) for x, a in zip(v, "xyz", strict=True)))
 
 
 def fit_planes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, px, py, pz (centroid), nx, ny, nz (unit normal, of either sign). Covariances are centred, so millimetres count at ten metres."""
+    """keys, n, px, py, pz (centroid), nx, ny, nz (unit normal, of either sign; null where the points tell none). Covariances are centred, so millimetres
+    count at ten metres."""
     d = {a: F.col(a).cast("double") for a in "xyz"}
     moments = points.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *(F.avg(d[a]).alias(f"p{a}") for a in "xyz"),
         *(F.covar_pop(d[a], d[b]).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")),
     )
-    got = moments.withColumn("_n", smallest_eigenvector("xx", "yy", "zz", "xy", "xz", "yz"))
-    return got.select(*keys, "n", "px", "py", "pz", *(F.col("_n")[i].alias(f"n{a}") for i, a in enumerate("xyz")))
+    return with_normal(moments).select(*keys, "n", "px", "py", "pz", "nx", "ny", "nz")
 
 
 def plane_distance() -> F.Column:
@@ -58,8 +78,8 @@ def surface_normals(points: DataFrame, images: DataFrame, boxes: DataFrame, leas
     """The boxes' keys with nx, ny, nz of the surface nearest to the camera, facing it; null where a box holds fewer than `least` points."""
     b = boxes.select(*KEY, *Box.of().named())
     got = points_in_boxes(visible_points(points, images, b), b).select(*KEY, "x", "y", "z", "depth")
-    front = got.groupBy(*KEY).agg(F.count("*").alias("c"), F.percentile("depth", share).alias("front")).filter(F.col("c") >= least)
-    planes = fit_planes(got.join(front, KEY).filter("depth <= front"), KEY)
+    got = got.withColumn("c", F.count("*").over(box_window())).filter(F.col("c") >= least)
+    planes = fit_planes(with_quantile(got, "depth", share, "front").filter("depth <= front"), KEY)
     cams = images.select("site_id", "photo", "tx", "ty", "tz")
     planes = planes.join(cams, ["site_id", "photo"])
     away = dot(sub(vector("tx", "ty", "tz"), vector("px", "py", "pz")), vector("nx", "ny", "nz")) < 0

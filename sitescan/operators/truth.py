@@ -20,15 +20,15 @@ def _v(c: Column):
     return c["x"], c["y"], c["z"]
 
 
-def build_objects(points: DataFrame, images: DataFrame, marks: DataFrame, margin: float = 0.15) -> DataFrame:
+def build_objects(points: DataFrame, images: DataFrame, marks: DataFrame, margin: float = 0.15, near: float = 0.01) -> DataFrame:
     """site_id, object_id, model, location, marked_in, corners (tl, tr, br, bl), center, normal, width_m, height_m.
 
     Marks (site_id, object_id, photo, kind, x1, y1, x2, y2, model, location) are full boxes, whose corner rays are cut with the plane
     of the plate, or (kind 'tl' or 'tr') one corner x1, y1 with a box around it, which take the sides of the site's first full
-    mark of the same model.
+    mark of the same model. The plane goes through the points within `near` of a first plane; marks whose points tell no plane give no object.
     """
     boxes = marks.withColumn("box_id", F.col("object_id"))
-    planes = plate_planes(points, images, boxes, margin)
+    planes = plate_planes(points, images, boxes, margin, near).filter("nx is not null")
     rows = boxes.join(planes, ["site_id", "photo", "box_id"]).join(with_rotation(images).drop("sweep", "width", "height"), ["site_id", "photo"])
     centre, normal = vector("px", "py", "pz"), vector("nx", "ny", "nz")
     x1, y1, x2, y2 = Box.of()

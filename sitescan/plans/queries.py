@@ -318,10 +318,31 @@ def pixels_to_world(get):
     return got.select("photo", "box_id", "n_points", *(F.round(a, 6).alias(a) for a in "xyz"))
 
 
-@query()
+_CROSS = {"a": ("(xx-l)", "xy", "xz", "xy", "(yy-l)", "yz"), "b": ("(xx-l)", "xy", "xz", "xz", "yz", "(zz-l)"), "c": ("xy", "(yy-l)", "yz", "xz", "yz", "(zz-l)")}
+
+
+def _fitted(source: str, keys: str, to: str) -> str:
+    """CTEs from rows (keys, x, y, z) of `source` to `to` (keys, n, px, py, pz, nx, ny, nz), normals of either sign."""
+    side = "struct_pack(d := ({0})*({0})+({1})*({1})+({2})*({2}), x := {0}, y := {1}, z := {2})"
+    v = ", ".join(side.format(f"({q}*{w}-{r}*{u})", f"({r}*{t}-{p}*{w})", f"({p}*{u}-{q}*{t})") for p, q, r, t, u, w in _CROSS.values())
+    det = "(xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz)"
+    return f"""{to}1 AS (SELECT {keys}, count(*) AS n, avg(x) AS px, avg(y) AS py, avg(z) AS pz, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM {source} GROUP BY {keys}),
+{to}2 AS (SELECT *, (xx+yy+zz)/3 AS q FROM {to}1), {to}3 AS (SELECT *, ((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6 AS p FROM {to}2),
+{to}4 AS (SELECT *, q + 2*sqrt(p)*cos(acos(greatest(-1, least(1, ({det})/(2*p*sqrt(p)))))/3 + 2*pi()/3) AS l FROM {to}3 WHERE p > 0),
+{to}5 AS (SELECT *, list_max([{v}]) AS v FROM {to}4), {to} AS (SELECT {keys}, n, px, py, pz, v.x/sqrt(v.d) AS nx, v.y/sqrt(v.d) AS ny, v.z/sqrt(v.d) AS nz FROM {to}5 WHERE v.d > 1e-12*p*p)"""
+
+
+_HELD = "SELECT b.photo, b.box_id, p.x, p.y, p.z, p.depth FROM v_plates b JOIN pix p ON b.photo = p.photo"
+
+
+@query(f"""WITH {_PIX}, w AS ({_HELD} AND p.u BETWEEN b.x1 AND b.x2 AND p.v BETWEEN b.y1 AND b.y2), g AS (SELECT photo, box_id, quantile_cont(depth, 0.6) AS front FROM w GROUP BY 1, 2 HAVING count(*) >= 8),
+near AS (SELECT w.photo, w.box_id, w.x, w.y, w.z FROM w JOIN g USING (photo, box_id) WHERE depth <= front), {_fitted("near", "photo, box_id", "pl")},
+f AS (SELECT pl.*, CASE WHEN (tx-px)*nx + (ty-py)*ny + (tz-pz)*nz < 0 THEN -1 ELSE 1 END AS s FROM pl JOIN v_images USING (photo))
+SELECT b.photo, b.box_id, round(s*nx, 5) AS nx, round(s*ny, 5) AS ny, round(s*nz, 5) AS nz FROM v_plates b LEFT JOIN f USING (photo, box_id)""")
 def plane_normals(get):
     """A5, A6."""
-    return planes.surface_normals(get("v_points"), get("v_images"), get("v_plates"), least=8)
+    got = planes.surface_normals(get("v_points"), get("v_images"), get("v_plates"), least=8)
+    return got.select("photo", "box_id", *(F.round("n" + a, 5).alias("n" + a) for a in "xyz"))
 
 
 @query(f"WITH {cte('v_points')} SELECT sweep, count(*) AS n, round(avg(x), 6) AS px, round(avg(y), 6) AS py, round(avg(z), 6) AS pz, CAST(1 AS DOUBLE) AS length, true AS least FROM v_points GROUP BY 1")
@@ -384,11 +405,29 @@ def truth_summary(get):
     return truth.truth_summary(truth.appearances(boxes))
 
 
-@query()
+def _ray(u: str, v: str, i: int) -> str:
+    """Coordinates t{i}x, t{i}y, t{i}z where a pixel's ray meets the plane of the row."""
+    way = [f"(r{k}0*(({u})-cx)/fx - r{k}1*(({v})-cy)/fy - r{k}2)" for k in range(3)]
+    step = f"(((px-tx)*nx+(py-ty)*ny+(pz-tz)*nz)/({way[0]}*nx+{way[1]}*ny+{way[2]}*nz))"
+    return ", ".join(f"t{a}+{w}*{step} AS t{i}{a}" for a, w in zip("xyz", way, strict=True))
+
+
+_PLATE = "p.u BETWEEN b.x1+(b.x2-b.x1)*0.15 AND b.x2-(b.x2-b.x1)*0.15 AND p.v BETWEEN b.y1+(b.y2-b.y1)*0.15 AND b.y2-(b.y2-b.y1)*0.15"
+_SIDE = "sqrt((t{0}x-t{1}x)*(t{0}x-t{1}x)+(t{0}y-t{1}y)*(t{0}y-t{1}y)+(t{0}z-t{1}z)*(t{0}z-t{1}z))"
+
+
+@query(f"""WITH {_PIX}, w AS ({_HELD} AND {_PLATE}), {_fitted("w", "photo, box_id", "first")},
+near AS (SELECT w.photo, w.box_id, w.x, w.y, w.z FROM w JOIN first USING (photo, box_id) WHERE abs((x-px)*nx+(y-py)*ny+(z-pz)*nz) <= 1.5), {_fitted("near", "photo, box_id", "pl")},
+k AS (SELECT b.box_id AS object_id, {_ray("b.x1", "b.y1", 0)}, {_ray("b.x2", "b.y1", 1)}, {_ray("b.x2", "b.y2", 2)}, {_ray("b.x1", "b.y2", 3)}, tx, ty, tz FROM pl JOIN v_plates b USING (photo, box_id) JOIN rot r USING (photo)),
+o AS (SELECT *, {_SIDE.format(1, 0)} AS width_m, {_SIDE.format(3, 0)} AS height_m, (t0x+t2x)/2 AS x, (t0y+t2y)/2 AS y, (t0z+t2z)/2 AS z,
+ (t1y-t0y)*(t3z-t0z)-(t1z-t0z)*(t3y-t0y) AS mx, (t1z-t0z)*(t3x-t0x)-(t1x-t0x)*(t3z-t0z) AS my, (t1x-t0x)*(t3y-t0y)-(t1y-t0y)*(t3x-t0x) AS mz FROM k)
+SELECT object_id, round(width_m, 4) AS width_m, round(height_m, 4) AS height_m, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z,
+ round(CASE WHEN mx*(tx-x)+my*(ty-y)+mz*(tz-z) < 0 THEN -mz ELSE mz END / sqrt(mx*mx+my*my+mz*mz), 4) AS nz FROM o WHERE width_m < 5 AND height_m < 5""")
 def marked_objects(get):
-    """Objects from boxes of plates as marks."""
+    """Objects from boxes of plates as marks; the invented points are thin, so a plane goes through those within 1.5 m of the first."""
     marks = get("v_plates").withColumn("object_id", F.col("box_id")).withColumns({"kind": F.lit("full"), "model": F.lit("m"), "location": F.lit("room")}).drop("box_id")
-    return truth.build_objects(get("v_points"), get("v_images"), marks).select("site_id", "object_id", "width_m", "height_m", "center")
+    got = truth.build_objects(get("v_points"), get("v_images"), marks, near=1.5).filter("width_m < 5 and height_m < 5")
+    return got.select("object_id", *(F.round(c, 4).alias(n) for c, n in (("width_m", "width_m"), ("height_m", "height_m"), ("center.x", "x"), ("center.y", "y"), ("center.z", "z"), ("normal.z", "nz"))))
 
 
 @query(f"""WITH {cte('v_images')} SELECT sweep, CAST(list([CAST(face AS BIGINT), CAST(qw AS BIGINT), CAST(qx AS BIGINT)] ORDER BY face) AS VARCHAR) AS faces, min_by(tx, face) AS tx FROM v_images GROUP BY 1""")
