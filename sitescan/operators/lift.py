@@ -10,7 +10,7 @@ from sitescan.functions.boxes import Box, shrink_box, widen_box
 from sitescan.functions.geometry import in_frame, project_points
 
 #: Side of the pixel tiles that serve as equi-join keys.
-TILE = 128
+TILE = 64
 KEY = ["site_id", "photo", "box_id"]
 
 
