@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,67 +71,72 @@ def assign_sources(photos: DataFrame, factor: float = 2.0, name: str = "name") -
     return rows.select(F.explode(F.expr("sequence(i, items - 1, t)")).alias("k"), name)
 
 
-def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Perspective transforms (m x 3 x 3) that take the four corners src (m x 4 x 2) to dst, as one batch of 8 x 8 systems."""
-    m = len(src)
-    a = np.zeros((m, 8, 8))
-    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
-    a[:, 0::2, 0], a[:, 0::2, 1], a[:, 0::2, 2] = x, y, 1
-    a[:, 1::2, 3], a[:, 1::2, 4], a[:, 1::2, 5] = x, y, 1
-    a[:, 0::2, 6], a[:, 0::2, 7] = -u * x, -u * y
-    a[:, 1::2, 6], a[:, 1::2, 7] = -v * x, -v * y
-    h = np.linalg.solve(a, dst.reshape(m, 8, 1))[..., 0]
-    return np.concatenate([h, np.ones((m, 1))], 1).reshape(m, 3, 3)
-
-
-def warped(box: np.ndarray, h: np.ndarray, side: float, least: float = 10.0, share: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes (k x 4) through one transform, clipped to a side x side picture, and which of them stay."""
-    corners = np.stack([box[:, [0, 1]], box[:, [2, 1]], box[:, [2, 3]], box[:, [0, 3]]], 1)
-    p = np.concatenate([corners, np.ones((*corners.shape[:2], 1))], 2) @ h.T
-    p = p[..., :2] / p[..., 2:]
-    lo, hi = p.min(1), p.max(1)
-    full = np.prod(hi - lo, axis=1)
-    lo, hi = np.clip(lo, 0, side), np.clip(hi, 0, side)
-    size = hi - lo
-    return np.concatenate([lo, hi], 1), (size >= least).all(1) & (np.prod(size, axis=1) >= share * full)
-
-
-VARIATION = "site_id long, k long, name string, side double, x0 double, y0 double, homography array<double>, boxes " + BOXES
+def draw(number: int, *key: Column) -> Column:
+    """A number of [0, 1) that depends on `key` and `number` only: the first 48 bits of an MD5, so any task, order or engine draws the same."""
+    text = F.concat_ws("|", *(k.cast("string") for k in key), F.lit(str(number)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def to_square(quad: list[tuple[Column, Column]], side: float) -> list[Column]:
+    """h00 ... h22 of the perspective transform that takes four corners to those of a square of `side` (from its origin, along x first), h22 being 1:
+    the transform from the unit square to the corners has a closed form, and its adjugate leads back."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = quad
+    dx1, dx2, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
+    dy1, dy2, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
+    den = dx1 * dy2 - dx2 * dy1
+    g, h = F.try_divide(sx * dy2 - dx2 * sy, den), F.try_divide(dx1 * sy - sx * dy1, den)
+    a, b, d, e = x1 - x0 + g * x1, x3 - x0 + h * x3, y1 - y0 + g * y1, y3 - y0 + h * y3
+    last = a * e - b * d
+    back = [(e - y0 * h, x0 * h - b, b * y0 - x0 * e), (y0 * g - d, a - x0 * g, x0 * d - a * y0), (d * h - e * g, b * g - a * h, last)]
+    return [F.try_divide(v * (side if i < 2 else 1.0), last) for i, row in enumerate(back) for v in row]
+
+
+def warped(boxes: Column, h: list[Column], side: float, least: float = 10.0, share: float = 0.4) -> Column:
+    """An array of boxes through one transform: the box around the four corners, clipped to the square; small and much cut ones are dropped."""
+    to = lambda x, y: [F.try_divide(h[3 * i] * x + h[3 * i + 1] * y + h[3 * i + 2], h[6] * x + h[7] * y + h[8]) for i in (0, 1)]
+    corners = F.transform(boxes, lambda b: F.array(*(F.struct(*(v.alias(n) for v, n in zip(to(b[x], b[y]), "uv", strict=True))) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")))))
+    span = lambda c, f: (f(F.transform(c, lambda p: p["u"])), f(F.transform(c, lambda p: p["v"])))
+    spans = F.transform(corners, lambda c: F.struct(*(v.alias(n) for v, n in zip((*span(c, F.array_min), *span(c, F.array_max)), ("lou", "lov", "hiu", "hiv"), strict=True))))
+    clip = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(side))
+    cut = F.transform(spans, lambda s: F.struct(clip(s["lou"]).alias("x1"), clip(s["lov"]).alias("y1"), clip(s["hiu"]).alias("x2"), clip(s["hiv"]).alias("y2"), ((s["hiu"] - s["lou"]) * (s["hiv"] - s["lov"])).alias("full")))
+    sides = lambda b: (b["x2"] - b["x1"], b["y2"] - b["y1"])
+    stays = F.filter(cut, lambda b: (sides(b)[0] >= least) & (sides(b)[1] >= least) & (sides(b)[0] * sides(b)[1] >= share * b["full"]))
+    return F.transform(stays, lambda b: F.struct(*(b[c].alias(c) for c in ("x1", "y1", "x2", "y2"))))
 
 
 def plan_variations(items: DataFrame, seed: int = 0, jitter: float = 0.06, out_side: float = 640.0) -> DataFrame:
-    """For each item (site_id, k, name, width, height, boxes) a window, a perspective transform and the boxes it leaves.
+    """For each item (site_id, k, name, width, height, boxes) a window (side, x0, y0), a perspective transform and the boxes it leaves.
 
-    All draws come from a generator seeded by (seed, site_id, k), so a repeated task plans the same. A photo with boxes gets a window of 2.5
-    to 8 times a drawn box's longer side, within [320, shorter side of the photo], that holds the box's centre; one without
-    a window of 0.3 to 1 times the shorter side. Its four corners move by up to `jitter` of the side.
+    All draws are hashes of (seed, site_id, k), so a repeated task plans the same. A photo with boxes gets a window of 2.5
+    to 8 times a drawn box's longer side, within [320, shorter side of the photo], that holds the box as far as the photo lets it; one without
+    a window of 0.3 to 1 times the shorter side, anywhere. Its four corners move by up to `jitter` of the side. Columns only.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(r.site_id) & 0x7FFFFFFF, int(r.k)])
-                short = float(min(r.width, r.height))
-                boxes = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in (r.boxes if r.boxes is not None else [])], float).reshape(-1, 4)
-                if len(boxes):
-                    b = boxes[rng.integers(len(boxes))]
-                    side = float(np.clip(max(b[2] - b[0], b[3] - b[1]) * rng.uniform(2.5, 8.0), min(320.0, short), short))
-                    cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-                    x0, y0 = cx - side * rng.uniform(0.2, 0.8), cy - side * rng.uniform(0.2, 0.8)
-                else:
-                    side = short * rng.uniform(0.3, 1.0)
-                    x0, y0 = rng.uniform(0, max(r.width - side, 0)), rng.uniform(0, max(r.height - side, 0))
-                x0, y0 = float(np.clip(x0, 0, max(r.width - side, 0))), float(np.clip(y0, 0, max(r.height - side, 0)))
-                square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
-                src = np.array([x0, y0]) + square * side + rng.uniform(-jitter, jitter, (4, 2)) * side
-                h = homography(src[None], square[None] * out_side)[0]
-                got, ok = warped(boxes, h, out_side) if len(boxes) else (boxes, np.zeros(0, bool))
-                left = [dict(zip(("x1", "y1", "x2", "y2"), map(float, g), strict=True)) for g in got[ok]]
-                rows.append((r.site_id, r.k, r.name, side, x0, y0, h.ravel().tolist(), left))
-            yield pd.DataFrame(rows, columns=["site_id", "k", "name", "side", "x0", "y0", "homography", "boxes"])
-
-    return items.select("site_id", "k", "name", "width", "height", "boxes").mapInPandas(run, VARIATION)
+    c = F.col
+    u = lambda i: draw(i, F.lit(seed), c("site_id"), c("k"))
+    lowest = lambda *v: F.least(*v)
+    some = F.coalesce(F.size("boxes"), F.lit(0)) > 0
+    rows = items.select("site_id", "k", "name", *(c(n).cast("double").alias(n) for n in ("width", "height")), F.coalesce("boxes", F.array().cast(BOXES)).alias("boxes"))
+    rows = settled(rows, b=F.when(some, F.get("boxes", F.floor(u(0) * F.size("boxes")).cast("int"))), short=lowest(c("width"), c("height")))
+    longer = F.greatest(c("b.x2") - c("b.x1"), c("b.y2") - c("b.y1"))
+    near = lowest(F.greatest(longer * (2.5 + 5.5 * u(1)), F.lit(320.0)), c("short"))
+    rows = settled(rows, side=F.when(c("b").isNotNull(), near).otherwise(c("short") * (0.3 + 0.7 * u(1))))
+    half = c("side") / 2
+
+    def centre(lo: str, hi: str, size: str, draw_: Column) -> Column:
+        first, last = F.greatest(c(hi) - half, half), lowest(c(lo) + half, c(size) - half)
+        held = F.when(c(size) > c("side"), first + (last - first) * draw_).otherwise(c(size) / 2)
+        free = half + (c(size) - c("side")) * draw_
+        return F.when(c("b").isNotNull(), lowest(F.greatest(held, half), c(size) - half)).otherwise(free)
+
+    rows = settled(rows, x0=centre("b.x1", "b.x2", "width", u(2)) - half, y0=centre("b.y1", "b.y2", "height", u(3)) - half)
+    quad = {}
+    for i, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
+        for a, at, d, n in (("x", "x0", dx, 4 + 2 * i), ("y", "y0", dy, 5 + 2 * i)):
+            quad[f"q{a}{i}"] = c(at) + (float(d) + jitter * (2 * u(n) - 1)) * c("side")
+    rows = settled(rows, **quad)
+    rows = settled(rows, homography=F.array(*to_square([(c(f"qx{i}"), c(f"qy{i}")) for i in range(4)], out_side)))
+    left = warped(c("boxes"), [c("homography")[i] for i in range(9)], out_side)
+    return rows.select("site_id", "k", "name", "side", "x0", "y0", "homography", left.alias("boxes"))
 
 
 def warp_boxes(boxes: DataFrame, side: float = 640.0, least: float = 10.0, share: float = 0.4) -> DataFrame:
@@ -143,7 +144,7 @@ def warp_boxes(boxes: DataFrame, side: float = 640.0, least: float = 10.0, share
     cut ones are dropped. Column arithmetic only."""
     c = F.col
 
-    def through(x: F.Column, y: F.Column) -> tuple[F.Column, F.Column]:
+    def through(x: Column, y: Column) -> tuple[Column, Column]:
         w = c("h20") * x + c("h21") * y + c("h22")
         return F.try_divide(c("h00") * x + c("h01") * y + c("h02"), w), F.try_divide(c("h10") * x + c("h11") * y + c("h12"), w)
 

@@ -587,13 +587,48 @@ def label_photos(get):
     return dataset.label_photos(f, scan, web).select("name", "status", "reason")
 
 
-@query()
+def _drawn(i: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5('0|' || site_id || '|' || k || '|{i}'), 1, 12) AS BIGINT) AS DOUBLE)/281474976710656"
+
+
+def _middle(lo: str, hi: str, i: int) -> str:
+    first, last = f"greatest({hi} - side/2, side/2)", f"least({lo} + side/2, 1024 - side/2)"
+    held = f"CASE WHEN 1024 > side THEN {first} + ({last} - {first})*({_drawn(i)}) ELSE 512 END"
+    return f"CASE WHEN b IS NULL THEN side/2 + (1024 - side)*({_drawn(i)}) ELSE least(greatest({held}, side/2), 1024 - side/2) END - side/2"
+
+
+_QUAD = ", ".join(f"{a}0 + ({d}.0 + 0.06::DOUBLE*(2*({_drawn(n)})-1))*side AS q{a}{i}" for i, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))) for a, d, n in (("x", dx, 4 + 2 * i), ("y", dy, 5 + 2 * i)))
+_BACK = ("e-qy0*h", "qx0*h-b1", "b1*qy0-qx0*e", "qy0*g-d", "a-qx0*g", "qx0*d-a*qy0", "d*h-e*g", "b1*g-a*h")
+_VARIED = f"""{cte('v_det', 'v_photos')}, l AS (SELECT site_id, photo, list(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY x1, y1, x2, y2) AS boxes FROM v_det GROUP BY 1, 2),
+i AS (SELECT p.site_id, p.photo AS k, coalesce(l.boxes, []) AS boxes FROM v_photos p LEFT JOIN l USING (site_id, photo)),
+w0 AS (SELECT *, CASE WHEN len(boxes) > 0 THEN boxes[1 + CAST(floor(({_drawn(0)})*len(boxes)) AS BIGINT)] END AS b FROM i),
+w1 AS (SELECT *, CASE WHEN b IS NULL THEN 1024*(0.3::DOUBLE + 0.7::DOUBLE*({_drawn(1)})) ELSE least(greatest(greatest(b.x2-b.x1, b.y2-b.y1)*(2.5::DOUBLE + 5.5::DOUBLE*({_drawn(1)})), 320), 1024) END AS side FROM w0),
+w2 AS (SELECT *, {_middle("b.x1", "b.x2", 2)} AS x0, {_middle("b.y1", "b.y2", 3)} AS y0 FROM w1),
+w3 AS (SELECT *, {_QUAD} FROM w2), w4 AS (SELECT *, qx1-qx2 AS dx1, qx3-qx2 AS dx2, qx0-qx1+qx2-qx3 AS sx, qy1-qy2 AS dy1, qy3-qy2 AS dy2, qy0-qy1+qy2-qy3 AS sy FROM w3),
+w5 AS (SELECT *, (sx*dy2-dx2*sy)/(dx1*dy2-dx2*dy1) AS g, (dx1*sy-sx*dy1)/(dx1*dy2-dx2*dy1) AS h FROM w4),
+w6 AS (SELECT *, qx1-qx0+g*qx1 AS a, qx3-qx0+h*qx3 AS b1, qy1-qy0+g*qy1 AS d, qy3-qy0+h*qy3 AS e FROM w5),
+w7 AS (SELECT *, {", ".join(f"({v})*{640 if n < 6 else 1}/(a*e-b1*d) AS h{n}" for n, v in enumerate(_BACK))} FROM w6),
+c0 AS (SELECT site_id, k, j, boxes[j] AS o, h0, h1, h2, h3, h4, h5, h6, h7 FROM (SELECT *, unnest(range(1, len(boxes) + 1)) AS j FROM w7)),
+c1 AS (SELECT *, unnest([struct_pack(x := o.x1, y := o.y1), struct_pack(x := o.x2, y := o.y1), struct_pack(x := o.x2, y := o.y2), struct_pack(x := o.x1, y := o.y2)]) AS p FROM c0),
+c2 AS (SELECT site_id, k, j, (h0*p.x+h1*p.y+h2)/(h6*p.x+h7*p.y+1) AS u, (h3*p.x+h4*p.y+h5)/(h6*p.x+h7*p.y+1) AS v FROM c1),
+c3 AS (SELECT site_id, k, j, min(u) AS u1, min(v) AS v1, max(u) AS u2, max(v) AS v2 FROM c2 GROUP BY 1, 2, 3),
+c4 AS (SELECT *, greatest(0, least(u1, 640)) AS a1, greatest(0, least(v1, 640)) AS b1, greatest(0, least(u2, 640)) AS a2, greatest(0, least(v2, 640)) AS b2 FROM c3),
+c5 AS (SELECT site_id, k, count(*) AS kept, sum(a1+2*b1+3*a2+4*b2) AS places FROM c4 WHERE a2-a1 >= 10 AND b2-b1 >= 10 AND (a2-a1)*(b2-b1) >= 0.4*(u2-u1)*(v2-v1) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_VARIED} SELECT w7.site_id, w7.k, round(side, 6) AS side, round(x0, 6) AS x0, round(y0, 6) AS y0, {", ".join(f"round(h{n}, {5 if n in (2, 5) else 9 if n > 5 else 7}) AS h{n}" for n in range(8))}, coalesce(kept, 0) AS kept, round(coalesce(places, 0), 4) AS places
+FROM w7 LEFT JOIN c5 USING (site_id, k)""")
 def plan_variations(get):
-    """P20, P19's helper."""
+    """Windows, transforms and what is left of all boxes."""
     box = F.struct("x1", "y1", "x2", "y2")
     b = get("v_det").groupBy("site_id", "photo").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
     items = get("v_photos").join(b, ["site_id", "photo"], "left").select("site_id", F.col("photo").alias("k"), F.col("photo").cast("string").alias("name"), "width", "height", "boxes")
-    return dataset.plan_variations(items)
+    got = dataset.plan_variations(items)
+    places = F.aggregate("boxes", F.lit(0.0), lambda t, b: t + b.x1 + 2 * b.y1 + 3 * b.x2 + 4 * b.y2)
+    return got.select(
+        "site_id", "k", *(F.round(c, 6).alias(c) for c in ("side", "x0", "y0")), *(F.round(F.col("homography")[n], 5 if n in (2, 5) else 9 if n > 5 else 7).alias(f"h{n}") for n in range(8)),
+        F.size("boxes").cast("long").alias("kept"), F.round(places, 4).alias("places"),
+    )
 
 
 _H = "SELECT det_id, x1, y1, x2, y2, CAST(1 AS DOUBLE) + CAST(det_id%5 AS DOUBLE)/10 AS h00, CAST(0.05 AS DOUBLE) AS h01, CAST(det_id%40 AS DOUBLE) - 20 AS h02, CAST(-0.04 AS DOUBLE) AS h10, CAST(1.1 AS DOUBLE) AS h11, CAST(det_id%30 AS DOUBLE) - 25 AS h12, CAST(0.0003 AS DOUBLE) AS h20, CAST(0.0002 AS DOUBLE) AS h21, CAST(1 AS DOUBLE) AS h22 FROM"

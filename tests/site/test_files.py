@@ -69,8 +69,26 @@ def test_variations_stay_in_the_photo_and_repeat(spark):
         assert (320 <= r.side <= 3000) if k % 2 else r.boxes == []
         for b in r.boxes:
             assert 0 <= b.x1 and b.x2 <= 640 and b.x2 - b.x1 >= 10
-    h = dataset.homography(np.array([[[0, 0], [2, 0], [2, 2], [0, 2]]], float), np.array([[[1, 1], [3, 1], [3, 3], [1, 3]]], float))
-    assert np.allclose(h[0] @ [1, 1, 1], [2, 2, 1])
+        m = np.array(r.homography).reshape(3, 3)
+        middle = m @ [r.x0 + r.side / 2, r.y0 + r.side / 2, 1]
+        assert np.all(np.abs(middle[:2] / middle[2] - 320) < 0.12 * 640)
+
+
+def test_transform_takes_corners_to_the_square(spark):
+    rng = np.random.default_rng(2)
+    quads = np.array([[0, 0], [9, 0], [9, 9], [0, 9]]) + rng.uniform(-2, 2, (30, 4, 2))
+    df = spark.createDataFrame([tuple(map(float, q.ravel())) for q in quads], ", ".join(f"x{i} double, y{i} double" for i in range(4)))
+    got = df.select(F.array(*dataset.to_square([(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)], 640.0)).alias("h"), *df.columns).collect()
+    for r in got:
+        h = np.array(r.h).reshape(3, 3)
+        for i, want in enumerate(((0, 0), (640, 0), (640, 640), (0, 640))):
+            at = h @ [r[f"x{i}"], r[f"y{i}"], 1]
+            assert h[2, 2] == 1 and np.allclose(at[:2] / at[2], want, atol=1e-6)
+
+
+def test_draws_are_even_and_of_their_key(spark):
+    u = [r.u for r in spark.range(4000).select(dataset.draw(3, F.lit(0), F.col("id")).alias("u")).collect()]
+    assert 0 <= min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.02 and abs(np.std(u) - 12**-0.5) < 0.02 and len(set(u)) == 4000
 
 
 def test_pages_and_xml(spark):
