@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitescan.functions.boxes import Box, view_quality
-from sitescan.sources.shared import kept
+from sitescan.sources.shared import dealt, kept
 
 #: Sightings of a class of a site that are folded as one piece; larger ones are cut into tiles.
 WHOLE = 20_000
@@ -170,8 +170,7 @@ def _folded(rows: DataFrame, radius: float) -> DataFrame:
         if done:
             yield from pa.concat_tables(done).combine_chunks().to_batches()
 
-    dealt = rows.select(columns).repartition(*PLACE).sortWithinPartitions(*PLACE, *_order())
-    return dealt.mapInArrow(run, schema)
+    return dealt(rows.select(columns), *PLACE).sortWithinPartitions(*PLACE, *_order()).mapInArrow(run, schema)
 
 
 def _neighbours(state: DataFrame, radius: float, side: float) -> DataFrame:

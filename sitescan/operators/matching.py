@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from sitescan.functions.boxes import Box, box_iou
+from sitescan.sources.shared import dealt
+
+from .nms import box_lists, lists_of, ordered_boxes, places_only
 
 
 def _overlaps(dets: DataFrame, truth: DataFrame, least: float, strict: bool) -> DataFrame:
@@ -36,42 +36,50 @@ def match_loose(dets: DataFrame, truth: DataFrame, loose: DataFrame | None = Non
 
 def exclusive(dets: np.ndarray, truth: np.ndarray, least: float) -> list[int]:
     """For boxes in order, the index of the truth box each takes, or -1. Of equal overlaps the highest index is taken."""
-    free = list(range(len(truth)))
-    out = []
     area = lambda b: np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
-    for d in dets:
-        if not free:
-            out.append(-1)
-            continue
-        t = truth[free]
-        w = np.maximum(np.minimum(d[2], t[:, 2]) - np.maximum(d[0], t[:, 0]), 0)
-        h = np.maximum(np.minimum(d[3], t[:, 3]) - np.maximum(d[1], t[:, 1]), 0)
-        iou = w * h / (area(d) + area(t) - w * h + 1e-9)
-        best = len(iou) - 1 - int(np.argmax(iou[::-1]))
-        out.append(free.pop(best) if iou[best] >= least else -1)
-    return out
+    at, many = 0, len(truth)
+    out: list[int] = []
+    taken = np.zeros(many, bool)
+    while at < len(dets) and not taken.all():
+        d = dets[at : at + max(1, (1 << 20) // many), None]
+        w = np.maximum(np.minimum(d[..., 2], truth[:, 2]) - np.maximum(d[..., 0], truth[:, 0]), 0)
+        h = np.maximum(np.minimum(d[..., 3], truth[:, 3]) - np.maximum(d[..., 1], truth[:, 1]), 0)
+        iou = w * h / (area(d) + area(truth) - w * h + 1e-9)
+        for row in iou:
+            row[taken] = -1.0
+            best = many - 1 - int(np.argmax(row[::-1]))
+            if row[best] < least or taken[best]:
+                best = -1
+            else:
+                taken[best] = True
+            out.append(best)
+        at += len(iou)
+    return out + [-1] * (len(dets) - len(out))
 
 
 def match_exclusive(dets: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
     """Every detection with the truth_id it takes (null: none) and correct: strongest first, each takes the best box that no
-    stronger one has taken. All detections take part; confidence is cut afterwards."""
-    box = lambda *first: F.struct(*first, *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    d = dets.groupBy("site_id", "photo").agg(F.array_sort(F.collect_list(box((-F.col("conf")).alias("o"), F.col("det_id")))).alias("d"))
-    t = truth.groupBy("site_id", "photo").agg(F.array_sort(F.collect_list(box(F.col("truth_id")))).alias("t"))
-
-    @pandas_udf("array<struct<det_id:long,truth_id:long>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        xy = lambda rows: np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in rows], float).reshape(-1, 4)
-        for ds, ts in batches:
-            out = []
-            for a, b in zip(ds, ts, strict=True):
-                b = [] if b is None else b
-                took = exclusive(xy(a), xy(b), least)
-                out.append([{"det_id": int(x["det_id"]), "truth_id": int(b[i]["truth_id"]) if i >= 0 else None} for x, i in zip(a, took, strict=True)])
-            yield pd.Series(out, dtype=object)
-
-    got = d.join(t, ["site_id", "photo"], "left").select("site_id", "photo", F.inline(run("d", "t")))
-    return dets.join(got, ["site_id", "photo", "det_id"]).withColumn("correct", F.col("truth_id").isNotNull())
+    stronger one has taken. All detections take part; confidence is cut afterwards. Both sides are shuffled once, by photo."""
+    box = F.struct("truth_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    t = dealt(truth.select("site_id", "photo", box.alias("t")), "site_id", "photo").groupBy("site_id", "photo").agg(F.array_sort(F.collect_list("t")).alias("t"))
+
+    def run(ds: pa.Array, ts: pa.Array) -> pa.Array:
+        ends, ids, x = box_lists(ds, "det_id")
+        truth_ends, truth_ids, y = box_lists(ts, "truth_id")
+        took = np.full(len(ids), -1, np.int64)
+        for i in range(len(ends) - 1):
+            lo, hi, first, last = ends[i], ends[i + 1], truth_ends[i], truth_ends[i + 1]
+            if last > first:
+                got = np.array(exclusive(x[lo:hi], y[first:last], least), np.int64)
+                took[lo:hi] = np.where(got >= 0, got + first, -1)
+        free = took < 0
+        found = truth_ids[np.where(free, 0, took)] if len(truth_ids) else np.zeros(len(ids), np.int64)
+        return lists_of(pa.array(found, pa.int64(), mask=free), np.diff(ends))
+
+    taken = F.arrow_udf(run, "array<long>")
+    rows = ordered_boxes(dets).join(t, ["site_id", "photo"], "left").withColumn("took", taken(places_only(F.col("boxes")), F.col("t")))
+    out = rows.select(F.posexplode("boxes").alias("n", "b"), "took").select("b.row.*", F.get("took", F.col("n")).alias("truth_id"))
+    return out.withColumn("correct", F.col("truth_id").isNotNull())
 
 
 def found(matched: DataFrame) -> DataFrame:

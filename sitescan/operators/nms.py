@@ -1,66 +1,85 @@
-"""Suppression of repeated boxes per photo: an ordered fold, so it runs over arrays of a photo's boxes in Arrow batches."""
+"""Suppression of repeated boxes per photo: an ordered fold, so it runs over arrays of a photo's boxes, of many photos per Arrow batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from sitescan.sources.shared import dealt
 
 EPS = 1e-9
 
 
-def kept_order(x: np.ndarray, iou: float | None, inside: float | None) -> list[int]:
-    """Positions kept of boxes (k x 4) in their order: overlap first, then containment among what overlap has left."""
+def box_lists(column: pa.Array, ident: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column of box structs: where each list starts and ends, all ids, and all boxes (n x 4). Nothing is unpacked row by row."""
+    flat = column.flatten()
+    sizes = np.zeros(len(column), np.int64)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes[valid] = column.value_lengths().drop_null().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ids = flat.field(ident).to_numpy(zero_copy_only=False)
+    return ends, ids, np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")]).astype(float)
 
-    def fold(order: list[int], hit) -> list[int]:
-        kept: list[int] = []
-        for i in order:
-            if not kept or not hit(i, np.array(kept)).any():
-                kept.append(i)
-        return kept
 
-    area = np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
+def lists_of(values: pa.Array, sizes: list[int] | np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-    def inter(i: int, k: np.ndarray) -> np.ndarray:
-        w = np.minimum(x[i, 2], x[k, 2]) - np.maximum(x[i, 0], x[k, 0])
-        h = np.minimum(x[i, 3], x[k, 3]) - np.maximum(x[i, 1], x[k, 1])
-        return np.maximum(w, 0) * np.maximum(h, 0)
-
-    order = list(range(len(x)))
-    if iou is not None:
-        # without a term in the denominator; 0/0 is no overlap
-        order = fold(order, lambda i, k: (both := inter(i, k)) > iou * (area[i] + area[k] - both))
-    if inside is not None:
-        order = fold(order, lambda i, k: inter(i, k) / (area[i] + EPS) > inside)
+
+def kept_order(x: np.ndarray, iou: float | None, inside: float | None) -> np.ndarray:
+    """Positions kept of boxes (k x 4) in their order: overlap first, then containment among what overlap has left. Each kept box strikes out
+    later ones at once."""
+    area = np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
+    order = np.arange(len(x))
+    for most, share in ((iou, False), (inside, True)):
+        if most is None:
+            continue
+        open_, at = order, 0
+        while at < len(open_) - 1:
+            i, rest = open_[at], open_[at + 1 :]
+            w = np.minimum(x[i, 2], x[rest, 2]) - np.maximum(x[i, 0], x[rest, 0])
+            h = np.minimum(x[i, 3], x[rest, 3]) - np.maximum(x[i, 1], x[rest, 1])
+            both = np.maximum(w, 0) * np.maximum(h, 0)
+            # without a term in the denominator; 0/0 is no overlap
+            hit = both / (area[rest] + EPS) > most if share else both > most * (area[i] + area[rest] - both)
+            at += 1
+            if hit.any():
+                open_ = np.concatenate([open_[:at], rest[~hit]])
+        order = open_
     return order
 
 
+def ordered_boxes(boxes: DataFrame) -> DataFrame:
+    """site_id, photo, boxes: all rows of a photo as one array, strongest first, ties by det_id; each holds its place and its whole `row`."""
+    one = F.struct((-F.col("conf")).alias("o"), "det_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.struct(*(F.col(f"`{c}`") for c in boxes.columns)).alias("row"))
+    rows = dealt(boxes.select("site_id", "photo", one.alias("one")), "site_id", "photo")
+    return rows.groupBy("site_id", "photo").agg(F.array_sort(F.collect_list("one")).alias("boxes"))
+
+
+def places_only(boxes: Column) -> Column:
+    """What a fold needs of `ordered_boxes`."""
+    return F.transform(boxes, lambda b: F.struct(*(b[c].alias(c) for c in ("det_id", "x1", "y1", "x2", "y2"))))
+
+
 def suppressor(iou: float | None, inside: float | None):
-    """A pandas UDF from arrays of sorted box structs to the det_ids kept, in order."""
+    """An Arrow UDF from arrays of sorted box structs to the places kept, in order."""
 
-    @pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for boxes in s:
-                x = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in boxes], float).reshape(-1, 4)
-                out.append([int(boxes[i]["det_id"]) for i in kept_order(x, iou, inside)])
-            yield pd.Series(out, dtype=object)
+    def run(boxes: pa.Array) -> pa.Array:
+        ends, _, x = box_lists(boxes, "det_id")
+        kept = [kept_order(x[lo:hi], iou, inside) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        places = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        return lists_of(pa.array(places.astype(np.int32)), [len(k) for k in kept])
 
-    return run
+    return F.arrow_udf(run, "array<int>")
 
 
 def suppress(boxes: DataFrame, iou: float | None = 0.5, inside: float | None = 0.7) -> DataFrame:
     """Rows (site_id, photo, det_id, ...) left by overlap (> iou with a stronger kept box) and containment (> inside of a kept
-    one), strongest first, ties by det_id; class-agnostic."""
-    one = F.struct((-F.col("conf")).alias("o"), "det_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    photos = boxes.groupBy("site_id", "photo").agg(F.array_sort(F.collect_list(one)).alias("boxes"))
-    kept = photos.select("site_id", "photo", F.explode(suppressor(iou, inside)("boxes")).alias("det_id"))
-    return boxes.join(kept, ["site_id", "photo", "det_id"], "left_semi")
+    one), strongest first, ties by det_id; class-agnostic. Boxes are shuffled once, with all their columns."""
+    photos = ordered_boxes(boxes)
+    kept = photos.withColumn("kept", suppressor(iou, inside)(places_only(F.col("boxes"))))
+    return kept.select(F.inline(F.transform("kept", lambda i: F.get("boxes", i)["row"])))
 
 
 def nms(boxes: DataFrame, iou: float = 0.5) -> DataFrame:

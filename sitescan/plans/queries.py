@@ -723,3 +723,26 @@ def arriving_photos(get):
     classes = get("v_det").select("cls").distinct().withColumn("product", F.lit("p"))
     got = stream.detect_photos(_arriving(get), classes, none)
     return got.groupBy("photo").agg(F.count("*").alias("n"), F.round(F.sum("conf"), 3).alias("conf"))
+
+
+_SUBMITTED = f"""{_CLEAN}, n AS (SELECT photo, det_id AS id, row_number() OVER (PARTITION BY photo ORDER BY det_id) - 1 AS det_id FROM v_det),
+s AS (SELECT d.site_id, d.photo, n.det_id, d.x1, d.y1, d.x2, d.y2, round(d.conf, 3) AS conf, d.cls, d.conf AS raw, d.det_id AS id, least(CAST(1 AS DOUBLE), CAST(6000 AS DOUBLE)/CASE WHEN d.photo%2 = 0 THEN 4096 ELSE 9000 END) AS shrink FROM d JOIN n ON n.photo = d.photo AND n.id = d.det_id),
+b AS (SELECT *, round_even(x1/shrink, 0) AS a1, round_even(y1/shrink, 0) AS b1, round_even(x2/shrink, 0) AS a2, round_even(y2/shrink, 0) AS b2 FROM s)"""
+
+
+@query(f"""WITH {_SUBMITTED} SELECT CAST(photo AS VARCHAR) AS photo, det_id, a1 AS x1, b1 AS y1, a2 AS x2, b2 AS y2, conf, 'relay ' || cls AS product, CASE WHEN cls < 2 THEN 'maker' END AS manufacturer, CASE WHEN cls < 2 THEN 1 + cls ELSE 0 END AS n_documents,
+CASE WHEN cls = 0 AND conf >= 0.25 AND least(a2-a1, b2-b1) >= 60 THEN CASE WHEN id%4 = 0 THEN 'REF' WHEN id%4 = 1 THEN 'REF,615' ELSE '' END END AS keywords FROM b""")
+def submitted_photos(get):
+    """Photos of 4,096 and 9,000 pixels, the latter shrunk, with products, documents and words on their plates."""
+    said = F.when(F.col("det_id") % 4 == 0, "ref").when(F.col("det_id") % 4 == 1, "Ref 615").otherwise("none")
+    texts = F.array(F.struct(said.alias("text"), F.lit(0.9).alias("conf")), F.struct(F.lit("615").alias("text"), F.lit(0.1).alias("conf")))
+    box = F.struct(F.col("det_id").alias("o"), *(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2", "conf", "cls")), texts.alias("texts"))
+    b = get("v_det").groupBy("site_id", "photo").agg(F.transform(F.array_sort(F.collect_list(box)), lambda x: F.struct(*(x[c].alias(c) for c in ("x1", "y1", "x2", "y2", "conf", "cls", "texts")))).alias("boxes"))
+    side = F.when(F.col("photo") % 2 == 0, 4096).otherwise(9000)
+    photos = b.select("site_id", F.col("photo").cast("string").alias("photo"), side.alias("width"), F.lit(1024).alias("height"), "boxes")
+    classes = get("v_det").select("cls").distinct().withColumn("product", F.concat(F.lit("relay "), F.col("cls")))
+    documents = F.transform(F.sequence(F.lit(0), F.col("cls")), lambda i: F.struct(F.concat(F.lit("d"), i).alias("doc_id")))
+    words = F.when(F.col("cls") == 0, F.array(F.lit("REF"), F.lit("615"))).otherwise(F.array().cast("array<string>"))
+    products = classes.filter("cls < 2").select(F.col("product").alias("name"), F.lit("maker").alias("manufacturer"), F.lit("text").alias("description"), documents.alias("documents"), words.alias("ocr_keywords"))
+    got = stream.detect_photos(photos, classes, products)
+    return got.select("photo", "det_id", "x1", "y1", "x2", "y2", "conf", "product", "manufacturer", F.size("documents").alias("n_documents"), F.array_join("keywords", ",").alias("keywords"))

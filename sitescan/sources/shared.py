@@ -29,3 +29,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out by keys over as many tasks as the session shuffles to. Where a step does much for few bytes (a fold in Python), Spark would
+    otherwise put its tasks together by their bytes. Groups by these keys need no shuffle of their own."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitescan.functions.boxes import fit_scale
 from sitescan.functions.text import keyword_check
 from sitescan.operators.link import link_products
-from sitescan.operators.nms import suppressor
+from sitescan.operators.nms import places_only, suppressor
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double,conf:double,cls:int,texts:array<struct<text:string,conf:double>>>"
 PHOTOS = f"site_id long, photo string, width int, height int, boxes array<{BOX}>"
@@ -24,9 +24,8 @@ def detect_photos(photos: DataFrame, classes: DataFrame, products: DataFrame, io
     shrink = fit_scale(F.col("width"), F.col("height"))
     numbered = F.transform("boxes", lambda b, i: F.struct((-b.conf).alias("o"), i.cast("long").alias("det_id"), *(b[c].alias(c) for c in ("x1", "y1", "x2", "y2", "conf", "cls", "texts"))))
     rows = photos.withColumn("sorted", F.array_sort(numbered)).withColumn("shrink", shrink)
-    plain = F.transform("sorted", lambda b: F.struct(b.o.alias("o"), b.det_id.alias("det_id"), b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")))
-    rows = rows.withColumn("kept", suppressor(iou, inside)(plain))
-    rows = rows.withColumn("b", F.explode(F.filter("sorted", lambda b: F.array_contains("kept", b.det_id))))
+    rows = rows.withColumn("kept", suppressor(iou, inside)(places_only(F.col("sorted"))))
+    rows = rows.withColumn("b", F.explode(F.transform("kept", lambda i: F.get("sorted", i))))
     rows = rows.select("site_id", "photo", F.col("b.det_id").alias("det_id"), *(F.bround(F.col("b." + c) / F.col("shrink"), 0).alias(c) for c in ("x1", "y1", "x2", "y2")), F.round("b.conf", 3).alias("conf"), F.col("b.cls").alias("cls"), F.col("b.texts").alias("texts"))
     rows = rows.join(classes.select("cls", "product"), "cls", "left")
     linked = link_products(rows, products)
