@@ -275,11 +275,11 @@ def number_assets(assets: DataFrame, order: tuple[str, ...] = ("cluster",)) -> D
 
 
 def best_view(clustered: DataFrame, keys: list[str], width: Column, height: Column, order: Column) -> DataFrame:
-    """keys, best_photo, best_box (whole pixels), best_conf of the member of the highest view quality, the first on ties."""
+    """keys, best_photo, best_det, best_box (whole pixels), best_conf of the member of the highest view quality, the first on ties."""
     q = view_quality(Box.of(), F.col("conf"), width, height)
     box = F.array(*(F.bround(c, 0).cast("int") for c in ("x1", "y1", "x2", "y2")))
-    best = F.max_by(F.struct("photo", box.alias("box"), "conf"), F.struct(q, -order)).alias("b")
-    return clustered.groupBy(*keys).agg(best).select(*keys, F.col("b.photo").alias("best_photo"), F.col("b.box").alias("best_box"), F.col("b.conf").alias("best_conf"))
+    best = F.max_by(F.struct("photo", "det_id", box.alias("box"), "conf"), F.struct(q, -order)).alias("b")
+    return clustered.groupBy(*keys).agg(best).select(*keys, F.col("b.photo").alias("best_photo"), F.col("b.det_id").alias("best_det"), F.col("b.box").alias("best_box"), F.col("b.conf").alias("best_conf"))
 
 
 def cluster_summary(clustered: DataFrame, keys: list[str] = ["site_id", "cls", "cluster"], least_sweeps: int = 5) -> DataFrame:  # noqa: B006
@@ -287,3 +287,24 @@ def cluster_summary(clustered: DataFrame, keys: list[str] = ["site_id", "cls", "
     c = clustered.groupBy(*keys).agg(F.count_distinct("sweep").alias("s"), F.count("*").alias("n")).withColumn("ok", F.col("s") >= least_sweeps)
     bad = ~F.col("ok")
     return c.groupBy("site_id").agg(F.count_if("ok").alias("kept"), F.count_if(bad).alias("rejected"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("rejected_sightings"), F.array_sort(F.collect_list(F.when(bad, F.col("s")))).alias("rejected_sweeps"))
+
+
+def asset_records(assets: DataFrame, best: DataFrame, classes: DataFrame, normals: DataFrame | None = None, keys: list[str] = ["site_id", "cls", "cluster"]) -> DataFrame:  # noqa: B006
+    """The records of located assets, as they are written and as links measure from: positions, normals, spreads and confidences of three digits.
+
+    `assets` are numbered ones with members, `best` their best views, `classes` (cls, product), `normals` (site_id, photo, box_id: det_id of the best view,
+    nx, ny, nz), if there are any. Columns: site_id, asset_id, asset_no, product, class_id, x, y, z, nx, ny, nz, sightings, sweeps, mean_confidence,
+    max_confidence, spread_m, best_photo, best_box, seen_in (photo, box, conf).
+    """
+    three = lambda c: F.round(c, 3)
+    rows = assets.join(best, keys).join(classes.select("cls", "product"), "cls", "left")
+    if normals is not None:
+        n = normals.select("site_id", F.col("photo").alias("best_photo"), F.col("box_id").alias("best_det"), *(three(F.col(a)).alias(a) for a in ("nx", "ny", "nz")))
+        rows = rows.join(n, ["site_id", "best_photo", "best_det"], "left")
+    else:
+        rows = rows.withColumns({a: F.lit(None).cast("double") for a in ("nx", "ny", "nz")})
+    seen = F.transform("seen_in", lambda m: F.struct(m.photo.alias("photo"), F.array(m.x1, m.y1, m.x2, m.y2).alias("box"), F.round(m.conf, 3).alias("conf")))
+    return rows.select(
+        "site_id", "asset_id", "asset_no", "product", F.col("cls").alias("class_id"), *(three(F.col(a)).alias(a) for a in "xyz"), "nx", "ny", "nz", "sightings", "sweeps",
+        "mean_confidence", "max_confidence", three(F.col("spread_m")).alias("spread_m"), "best_photo", "best_box", seen.alias("seen_in"),
+    )

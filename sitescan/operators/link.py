@@ -94,3 +94,21 @@ def find_document(products: DataFrame, doc_ids: DataFrame) -> DataFrame:
     found = docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("product_id", "pos"))
     return found.withColumn("_n", n).filter("_n = 1").drop("_n", "pos")
+
+
+def site_report(linked: DataFrame, register: DataFrame, compared: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
+    """One record per site of a run: assets, registered ones, register_entries_not_found (tag names in order of the file, if it has entry_order, else of
+    entry_id) and, where objects are known, objects, located and missing (object ids in order). Lists hold what is missing, never what was found."""
+    order = F.col("entry_order") if "entry_order" in register.columns else F.col("entry_id")
+    lost = entries_not_found(register, linked).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag_name"))).alias("e"))
+    sites = linked.select("site_id").union(register.select("site_id")).distinct()
+    counts = linked.groupBy("site_id").agg(F.count("*").alias("assets"), F.count_if("registered").alias("registered"))
+    none = F.array().cast("array<string>")
+    out = sites.join(counts, "site_id", "left").join(lost, "site_id", "left")
+    out = out.select("site_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("assets", "registered")), F.coalesce(F.transform("e", lambda x: x.tag_name), none).alias("register_entries_not_found"))
+    if objects is None:
+        return out
+    gone = unlocated(objects, compared).groupBy("site_id").agg(F.array_sort(F.collect_list(F.col("object_id").cast("string"))).alias("missing"))
+    total = objects.groupBy("site_id").agg(F.count("*").alias("objects"))
+    out = out.join(total, "site_id", "left").join(gone, "site_id", "left").withColumns({"objects": F.coalesce("objects", F.lit(0).cast("long")), "missing": F.coalesce("missing", none)})
+    return out.withColumn("located", F.col("objects") - F.size("missing"))

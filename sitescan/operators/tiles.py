@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,21 +36,46 @@ def plan_tiles(images: DataFrame, scales: F.Column | None = None, tile: int = 10
     return rows.select("site_id", "photo", "width", "height", "scale", "x0", "y0", size("sw", "x0").alias("tile_w"), size("sh", "y0").alias("tile_h"))
 
 
-def predict_tiles(tiles: DataFrame, predictor: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], partitions: int | None = None, batch: int = 16) -> DataFrame:
-    """Boxes of a caller's model. `predictor()` is called once per task and gives a function from a batch of tiles to rows
-    (row, x1, y1, x2, y2, conf, cls), `row` being the tile's number in its batch."""
+#: Models of this worker by name; the oldest goes where there are more than MOST_MODELS.
+_MODELS: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+MOST_MODELS = 4
+
+
+def worker_model(name: str, predictor: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The model of this Python worker, made at its first use: workers serve many tasks, so it is loaded once each."""
+    if name not in _MODELS:
+        while len(_MODELS) >= MOST_MODELS:
+            del _MODELS[next(iter(_MODELS))]
+        _MODELS[name] = predictor()
+    return _MODELS[name]
+
+
+def predict_tiles(tiles: DataFrame, predictor: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], partitions: int | None = None, batch: int = 16, name: str | None = None) -> DataFrame:
+    """Boxes of a caller's model. `predictor()` gives a function from a batch of tiles to rows (row, x1, y1, x2, y2, conf, cls), `row` being the tile's
+    number in its batch. It is called once per Python worker and kept under `name` (none: a name of this call's own). Batches hold `batch` tiles wherever
+    Arrow's batches end; only a task's last one may hold fewer."""
     if partitions:
         tiles = tiles.repartition(partitions)
     names = tiles.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema) + ", x1 double, y1 double, x2 double, y2 double, conf double, cls int"
+    name = name or uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = predictor()
+        model = worker_model(name, predictor)
+
+        def found(part: pd.DataFrame) -> pd.DataFrame:
+            boxes = model(part)
+            return part.loc[boxes["row"], names].reset_index(drop=True).join(boxes.drop(columns="row").reset_index(drop=True))
+
+        rest: pd.DataFrame | None = None
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch].reset_index(drop=True)
-                boxes = model(part)
-                yield part.loc[boxes["row"], names].reset_index(drop=True).join(boxes.drop(columns="row").reset_index(drop=True))
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            whole = len(frame) - len(frame) % batch
+            for at in range(0, whole, batch):
+                yield found(frame.iloc[at : at + batch].reset_index(drop=True))
+            rest = frame.iloc[whole:] if whole < len(frame) else None
+        if rest is not None:
+            yield found(rest.reset_index(drop=True))
 
     return tiles.mapInPandas(run, schema)
 

@@ -14,7 +14,7 @@ from sitescan.functions.boxes import Box
 from sitescan.functions.text import keyword_check
 from sitescan.operators import assets as A
 from sitescan.operators import cloud, dataset, lift, link, matching, metrics, nms, planes, tiles, truth
-from sitescan.sources import ingest, io
+from sitescan.sources import ingest, io, shared
 from sitescan.streaming import stream
 
 from .views import cte, spark_view
@@ -746,3 +746,207 @@ def submitted_photos(get):
     products = classes.filter("cls < 2").select(F.col("product").alias("name"), F.lit("maker").alias("manufacturer"), F.lit("text").alias("description"), documents.alias("documents"), words.alias("ocr_keywords"))
     got = stream.detect_photos(photos, classes, products)
     return got.select("photo", "det_id", "x1", "y1", "x2", "y2", "conf", "product", "manufacturer", F.size("documents").alias("n_documents"), F.array_join("keywords", ",").alias("keywords"))
+
+
+# files: each query writes its rows as files of the shared folder and reads them back
+
+
+@query("SELECT c_name AS photo, c_custkey AS id, row_number() OVER (ORDER BY c_name) AS rank FROM customer")
+def sorted_photos(get):
+    """Photos by name, written in order; a row's rank is its place in the files."""
+    rows = get("customer").select(F.col("c_name").alias("photo"), F.col("c_custkey").alias("id"))
+    path = shared.new_path(rows.sparkSession, "sorted-photos")
+    io.write_sorted(rows, path, "photo")
+    return io.read_sorted(rows.sparkSession, path)
+
+
+@query("SELECT 0 AS site_id, c_custkey % 7 AS kind, c_custkey AS object_id, row_number() OVER (ORDER BY c_custkey % 7, c_custkey) AS rank FROM customer")
+def sorted_objects(get):
+    """Objects by kind and id."""
+    rows = get("customer").select(F.lit(0).alias("site_id"), (F.col("c_custkey") % 7).alias("kind"), F.col("c_custkey").alias("object_id"))
+    path = shared.new_path(rows.sparkSession, "sorted-objects")
+    io.write_sorted(rows, path, "kind", "object_id")
+    return io.read_sorted(rows.sparkSession, path)
+
+
+@query(f"""WITH {cte('v_det', 'v_photos')}, b AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY det_id) - 1 AS n FROM v_det)
+SELECT p.site_id, p.photo, b.n AS det_id, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2, round(conf, 3) AS conf, cls, CASE WHEN cls IS NOT NULL THEN 'relay ' || cls END AS product FROM v_photos p LEFT JOIN b ON p.photo = b.photo""")
+def detection_files(get):
+    """A document per photo, photos without boxes among them, and the names of classes."""
+    name = F.col("photo").cast("string").alias("photo")
+    photos, dets = get("v_photos").select("site_id", name), get("v_det").withColumn("photo", F.col("photo").cast("string"))
+    classes = get("v_det").select("cls", F.concat(F.lit("relay "), "cls").alias("product")).distinct()
+    path = shared.new_path(photos.sparkSession, "detections")
+    io.write_detections(photos, dets, path, classes, "w.pt")
+    got, names, kinds = io.read_detections(photos.sparkSession, path, lines=True)
+    rows = names.join(got, ["site_id", "photo"], "left").join(kinds, ["site_id", "cls"], "left")
+    return rows.select("site_id", F.col("photo").cast("long").alias("photo"), "det_id", "x1", "y1", "x2", "y2", "conf", "cls", "product")
+
+
+@query(f"WITH {cte('v_images')} SELECT site_id, format('sweep{{:02d}}_face{{:d}}.jpg', sweep, face) AS photo, sweep, face, width, height, fx, fy, cx, cy, qw, qx, qy, qz, round(tx, 9) AS tx, round(ty, 9) AS ty, round(tz, 9) AS tz FROM v_images")
+def pose_files(get):
+    """S3: cameras as a pose document per site."""
+    i = get("v_images").withColumn("file", geo.photo_name(F.col("sweep"), F.col("face")))
+    one = F.struct("file", "sweep", "face", "width", "height", "fx", "fy", "cx", "cy", F.array("qw", "qx", "qy", "qz").alias("rotation_wxyz"), F.array("tx", "ty", "tz").alias("translation_xyz"))
+    turn = F.struct(F.col("sweep").alias("index"), F.format_string("s%d", "sweep").alias("name"), F.lit(7).cast("long").alias("points"), F.array("qw", "qx", "qy", "qz").alias("rotation_wxyz"), F.array("tx", "ty", "tz").alias("translation_xyz"))
+    docs = i.groupBy("site_id").agg(F.collect_list(turn).alias("sweeps"), F.collect_list(one).alias("images"))
+    path = shared.new_path(i.sparkSession, "poses")
+    io.write_records(docs, path)
+    _, images = io.read_poses(i.sparkSession, path)
+    return images.withColumns({a: F.round(a, 9) for a in ("tx", "ty", "tz")})
+
+
+_ENTRIES = "SELECT s_name AS tag_name, 'P, ' || s_suppkey AS panel, 'feeder \"' || s_suppkey%7 || '\"' AS panel_function, 'C' || s_suppkey%9 AS cabinet, x, y, z, DATE '2024-01-01' + CAST(s_suppkey%300 AS INT) AS last_inspection, CASE WHEN s_suppkey%3 = 0 THEN NULL ELSE DATE '2025-01-01' + CAST(s_suppkey%200 AS INT) END AS next_inspection, CASE WHEN s_suppkey%5 = 0 THEN NULL ELSE 'note é' || s_suppkey END AS maintenance_note FROM supplier JOIN v_register ON entry_id = s_suppkey"
+
+
+@query(f"WITH {cte('v_register')} SELECT * REPLACE (CAST(last_inspection AS VARCHAR) AS last_inspection, CAST(next_inspection AS VARCHAR) AS next_inspection) FROM ({_ENTRIES})")
+def register_files(get):
+    """The register as CSV, with quotes, commas and missing cells."""
+    rows = get("supplier").sparkSession.sql(_ENTRIES.replace("supplier", "{s}").replace("v_register", "{r}").replace('\\"', '"'), s=get("supplier"), r=get("v_register"))
+    path = shared.new_path(rows.sparkSession, "register")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    got = io.read_register(rows.sparkSession, path).drop("entry_id", "entry_order")
+    return got.withColumns({c: F.col(c).cast("string") for c in ("last_inspection", "next_inspection")})
+
+
+@query("""WITH p AS (SELECT 'relay ' || s_suppkey%70 AS name, format('folder=p{:06d}', s_suppkey) AS product_id, s_name AS manufacturer, s_suppkey%3 AS n FROM supplier)
+SELECT name, product_id, manufacturer, n AS n_documents, CASE WHEN n > 0 THEN 'doc-0' END AS first_document FROM p QUALIFY row_number() OVER (PARTITION BY name ORDER BY product_id DESC) = 1""")
+def product_files(get):
+    """A document per product folder; of equal names the later file counts."""
+    k = F.col("s_suppkey")
+    doc = lambda i: F.struct(F.lit("t").alias("title"), F.lit("pdf").alias("type"), F.concat(F.lit("doc-"), i).alias("doc_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("embed_url"))
+    docs = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < k % 3), doc)
+    rows = get("supplier").select(F.format_string("p%06d", k).alias("folder"), F.concat(F.lit("relay "), k % 70).alias("name"), F.col("s_name").alias("manufacturer"), F.lit("s").alias("series"), F.lit("d").alias("description"), F.array(F.lit("REF")).alias("ocr_keywords"), docs.alias("documents"))
+    path = shared.new_path(rows.sparkSession, "products")
+    rows.repartition("folder").write.partitionBy("folder").json(path)
+    got = io.read_products(rows.sparkSession, path)
+    return got.select("name", "product_id", "manufacturer", F.size("documents").alias("n_documents"), F.get("documents", F.lit(0))["doc_id"].alias("first_document"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) || '.jpg' AS name, CASE WHEN c_custkey%5 > 0 THEN c_custkey%5 - 1 END AS n, CASE WHEN c_custkey%5 > 1 THEN CAST(c_custkey%8 AS DOUBLE)/8 END AS x1 FROM customer""")
+def photo_label_files(get):
+    """Label documents of web photos, with comments, empty lists and photos left out on purpose."""
+    k = F.col("c_custkey")
+    one = F.array((k % 8).cast("double") / 8, F.lit(0.5), F.lit(0.75), F.lit(1.0))
+    text = F.when(k % 5 == 0, F.lit("null")).otherwise(F.to_json(F.array_repeat(one, (k % 5 - 1).cast("int"))))
+    entry = F.concat(F.lit('"'), k.cast("string"), F.lit('.jpg": '), text)
+    docs = get("customer").groupBy((k % 40).alias("part")).agg(F.concat(F.lit('{"_comment": "c", '), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value"))
+    path = shared.new_path(docs.sparkSession, "photo-labels")
+    docs.repartition("part").write.partitionBy("part").text(path)
+    got = io.read_photo_labels(docs.sparkSession, path + "/*")
+    return got.select("name", F.when(F.col("boxes").isNotNull(), F.size("boxes")).alias("n"), F.get("boxes", F.lit(0))[0].alias("x1"))
+
+
+@query(f"WITH {_STRICT} SELECT photo, object_id, model, CAST(round_even(a1, 0) AS INT) AS x1, CAST(round_even(b2, 0) AS INT) AS y2, CAST(round_even(angle, 0) AS INT) AS view_angle_deg, difficulty FROM shown")
+def truth_files(get):
+    """Objects as JSON and appearances as CSV, put together again."""
+    objects = _objects(get)
+    seen = truth.appearances(truth.visibility_filter(truth.project_objects(objects, get("v_images"))))
+    path = shared.new_path(objects.sparkSession, "truth")
+    io.write_ground_truth(objects, seen, path)
+    back = objects.sparkSession.read.option("header", True).schema(seen.schema).csv(f"{path}/appearances").drop("model")
+    models = objects.sparkSession.read.schema(objects.schema).json(f"{path}/objects").select("object_id", "model")
+    return back.join(models, "object_id").select("photo", "object_id", "model", "x1", "y2", "view_angle_deg", "difficulty")
+
+
+# from clusters to records, tags and a report
+
+#: Places and confidences moved a little, so that no third digit stands on the edge of rounding.
+_MOVED = {"x": "x + CAST(0.00017 AS DOUBLE)*(det_id%13)", "y": "y + CAST(0.00019 AS DOUBLE)*(det_id%11)", "z": "z + CAST(0.00023 AS DOUBLE)*(det_id%7)", "conf": "conf + CAST(0.000013 AS DOUBLE)*(det_id%17)"}
+_KEPT = _KEEP.replace("v_clustered AS (", "raw AS (", 1).replace(", c AS (", f", v_clustered AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _MOVED.items())}) FROM raw), c AS (", 1)
+_RECORD = f"""{_KEPT}, s AS (SELECT v.*, sqrt((v.x-px)*(v.x-px)+(v.y-py)*(v.y-py)+(v.z-pz)*(v.z-pz)) AS off, (x2-x1)*(y2-y1)*conf*CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 1022 OR y2 >= 1022 THEN CAST(0.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS q FROM c JOIN v_clustered v USING (site_id, cls, cluster)),
+b AS (SELECT site_id, cls, cluster, photo AS best_photo, x1 AS bx FROM s QUALIFY row_number() OVER (PARTITION BY site_id, cls, cluster ORDER BY q DESC, join_no) = 1),
+g AS (SELECT site_id, cls, cluster, round(max(off), 3) AS spread_m, CAST(list(photo ORDER BY join_no) AS VARCHAR) AS photos, round(sum(round(conf, 3)), 3) AS confs FROM s GROUP BY 1, 2, 3),
+r AS (SELECT c.site_id, format('asset-{{:02d}}', row_number() OVER (PARTITION BY c.site_id ORDER BY c.cls, round_even(px, 1), round_even(py, 1), round_even(pz, 1), c.cluster)) AS asset_id, row_number() OVER (PARTITION BY c.site_id ORDER BY c.cls, round_even(px, 1), round_even(py, 1), round_even(pz, 1), c.cluster) AS asset_no,
+ 'relay ' || c.cls AS product, c.cls AS class_id, round(px, 3) AS x, round(py, 3) AS y, round(pz, 3) AS z, sightings, sweeps, round(mc, 3) AS mean_confidence, round(xc, 3) AS max_confidence, spread_m, best_photo, CAST(bx AS INT) AS bx, photos, confs
+ FROM c JOIN g USING (site_id, cls, cluster) JOIN b USING (site_id, cls, cluster) WHERE sweeps >= 5)"""
+
+
+def _records(get) -> DataFrame:
+    clustered = get("v_clustered").withColumns({c: F.expr(e) for c, e in _MOVED.items()})
+    best = A.best_view(clustered, _KEYS, F.lit(1024.0), F.lit(1024.0), F.col("join_no"))
+    classes = clustered.select("cls", F.concat(F.lit("relay "), "cls").alias("product")).distinct()
+    return A.asset_records(A.number_assets(A.assets_from_clusters(clustered, _KEYS)), best, classes)
+
+
+@query(f"WITH {_RECORD} SELECT * FROM r")
+def asset_records(get):
+    """Records of assets, written as JSON and read back."""
+    rows = _records(get)
+    path = shared.new_path(rows.sparkSession, "assets")
+    io.write_records(rows, path)
+    got = rows.sparkSession.read.schema(rows.schema).json(path)
+    ids = F.concat(F.lit("["), F.array_join(F.transform("seen_in", lambda m: m.photo.cast("string")), ", "), F.lit("]"))
+    confs = F.round(F.aggregate("seen_in", F.lit(0.0), lambda t, m: t + m.conf), 3)
+    return got.select("site_id", "asset_id", "asset_no", "product", "class_id", "x", "y", "z", "sightings", F.size("sweeps").cast("long").alias("sweeps"), "mean_confidence", "max_confidence", "spread_m", "best_photo", F.col("best_box")[0].alias("bx"), ids.alias("photos"), confs.alias("confs"))
+
+
+_LINKED = f"""{_RECORD}, {cte('v_register')}, near AS (SELECT r.site_id, r.asset_id, r.asset_no, e.entry_id, sqrt((r.x-e.x)*(r.x-e.x)+(r.y-e.y)*(r.y-e.y)+(r.z-e.z)*(r.z-e.z)) AS distance FROM r JOIN v_register e ON r.site_id = e.site_id),
+first AS (SELECT * FROM near WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY site_id, asset_id ORDER BY distance, entry_id) = 1),
+won AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY site_id, entry_id ORDER BY asset_no) = 1)"""
+
+
+def _linked(get) -> DataFrame:
+    return link.link_register(_records(get), get("v_register"), 2.0)
+
+
+@query(f"""WITH {_LINKED} SELECT r.site_id, r.asset_id AS id, coalesce(e.tag_name, 'Unregistered ' || r.product) AS title, w.entry_id IS NOT NULL AS registered, CASE WHEN w.entry_id IS NOT NULL THEN 'P' || w.entry_id END AS panel, r.product, CASE WHEN class_id = 0 THEN 'maker' END AS manufacturer,
+ CASE WHEN class_id = 0 THEN 'd0' END AS document, CASE WHEN w.entry_id IS NOT NULL THEN 'n' || w.entry_id END AS note, r.x, r.y, r.z, sightings, sweeps AS scan_positions, mean_confidence, CAST(best_photo AS VARCHAR) AS best_photo
+FROM r LEFT JOIN won w USING (site_id, asset_id) LEFT JOIN v_register e ON e.site_id = r.site_id AND e.entry_id = w.entry_id""")
+def tag_records(get):
+    """Tags of located assets within 2 m of an entry, written as JSON and read back."""
+    register = get("v_register").select("*", F.concat(F.lit("P"), "entry_id").alias("panel"), F.lit("f").alias("panel_function"), F.lit("c").alias("cabinet"), F.lit(None).cast("date").alias("last_inspection"), F.lit(None).cast("date").alias("next_inspection"), F.concat(F.lit("n"), "entry_id").alias("maintenance_note"))
+    products = register.sparkSession.range(1).select(F.lit("relay 0").alias("name"), F.lit("maker").alias("manufacturer"), F.lit("text").alias("description"), F.array(F.struct(F.lit("d0").alias("doc_id"))).alias("documents"))
+    linked = link.link_products(link.link_register(_records(get), register, 2.0), products).withColumn("best_photo", F.col("best_photo").cast("string"))
+    tags = link.build_tags(linked, register)
+    path = shared.new_path(register.sparkSession, "tags")
+    io.write_records(tags, path)
+    t = register.sparkSession.read.schema(tags.schema).json(path)
+    return t.select(
+        "site_id", "id", "title", "registered", "panel", "product", "manufacturer", F.get("documents", F.lit(0))["doc_id"].alias("document"), F.col("maintenance.note").alias("note"), *(F.col("position_xyz")[i].alias(a) for i, a in enumerate("xyz")),
+        F.col("detection.sightings").alias("sightings"), F.col("detection.scan_positions").cast("long").alias("scan_positions"), F.col("detection.mean_confidence").alias("mean_confidence"), F.col("detection.best_photo").alias("best_photo"),
+    )
+
+
+@query(f"""WITH {_LINKED}, o AS (SELECT site_id, entry_id AS object_id, x, y, z FROM v_register), near_o AS (SELECT r.site_id, r.asset_id, o.object_id, sqrt((r.x-o.x)*(r.x-o.x)+(r.y-o.y)*(r.y-o.y)+(r.z-o.z)*(r.z-o.z)) AS d FROM r JOIN o ON r.site_id = o.site_id),
+hit AS (SELECT DISTINCT site_id, object_id FROM (SELECT * FROM near_o WHERE d < 1 QUALIFY row_number() OVER (PARTITION BY site_id, asset_id ORDER BY d, object_id) = 1))
+SELECT s.site_id, (SELECT count(*) FROM r WHERE r.site_id = s.site_id) AS assets, (SELECT count(*) FROM won WHERE won.site_id = s.site_id) AS registered,
+ (SELECT coalesce(string_agg(tag_name, ',' ORDER BY entry_id), '') FROM v_register e WHERE e.site_id = s.site_id AND entry_id NOT IN (SELECT entry_id FROM won WHERE won.site_id = s.site_id)) AS not_found,
+ (SELECT count(*) FROM o WHERE o.site_id = s.site_id) AS objects, (SELECT count(*) FROM hit WHERE hit.site_id = s.site_id) AS located
+FROM (SELECT site_id FROM r UNION SELECT site_id FROM v_register) s""")
+def site_reports(get):
+    """What a run found and what it did not, per site; register entries stand for objects, too."""
+    objects = get("v_register").select("site_id", F.col("entry_id").alias("object_id"), "x", "y", "z")
+    linked = _linked(get)
+    got = link.site_report(linked, get("v_register"), link.compare_to_truth(_records(get), objects, 1.0), objects)
+    return got.select("site_id", "assets", "registered", F.array_join("register_entries_not_found", ",").alias("not_found"), "objects", F.col("located").cast("long").alias("located"))
+
+
+def _predictor():
+    """A model of arithmetic: one box per tile, of its photo, scale and place."""
+
+    def boxes(tiles):
+        k = tiles["photo"] * 131 + tiles["x0"] * 7 + tiles["y0"] * 3 + (tiles["scale"] * 4).astype("int64") * 17
+        w, h = tiles["tile_w"].astype("float64"), tiles["tile_h"].astype("float64")
+        x, y = (k % 13) * w / 16, (k % 11) * h / 16
+        return tiles.assign(row=range(len(tiles)), x1=x, y1=y, x2=x + w / 4, y2=y + h / 4, conf=(100 + k % 850) / 1000, cls=(k % 3).astype("int32"))[["row", "x1", "y1", "x2", "y2", "conf", "cls"]]
+
+    return boxes
+
+
+_TILES = ORACLES["plan_tiles"].removeprefix("WITH ")
+_PREDICTED = f"""{_TILES.replace("\nSELECT site_id, photo, scale, CAST(x0 AS INT) AS x0", ",\nt AS (SELECT w AS width, h AS height, site_id, photo, scale, CAST(x0 AS INT) AS x0")}),
+kk AS (SELECT *, photo*131 + x0*7 + y0*3 + CAST(scale*4 AS BIGINT)*17 AS n FROM t), m AS (SELECT *, CAST(n%13*tile_w AS DOUBLE)/16 AS x1, CAST(n%11*tile_h AS DOUBLE)/16 AS y1, CAST(100 + n%850 AS DOUBLE)/1000 AS conf, CAST(n%3 AS INT) AS cls FROM kk),
+pp AS (SELECT *, x1 + CAST(tile_w AS DOUBLE)/4 AS x2, y1 + CAST(tile_h AS DOUBLE)/4 AS y2 FROM m),
+u AS (SELECT site_id, photo, (x1+x0)/scale AS x1, (y1+y0)/scale AS y1, (x2+x0)/scale AS x2, (y2+y0)/scale AS y2, conf, cls FROM pp WHERE (x1 >= 4 OR x0 = 0) AND (y1 >= 4 OR y0 = 0) AND (x2 <= tile_w-4 OR x0+tile_w >= width*scale-1) AND (y2 <= tile_h-4 OR y0+tile_h >= height*scale-1)),
+ud AS (SELECT *, row_number() OVER (PARTITION BY site_id, photo ORDER BY conf DESC, x1, y1, x2, y2, cls) - 1 AS det_id FROM u), {_LISTS.replace("v_det", "ud")}, {_NMS}, {_CONTAINED}"""
+
+
+@query(f"WITH {_PREDICTED} SELECT site_id, photo, det_id, round(x1, 6) AS x1, round(y2, 6) AS y2, conf, cls FROM (SELECT site_id, photo, unnest(l, recursive := true) FROM clean)")
+def predicted_boxes(get):
+    """P10 to P12, section 2.10, W1, W2: from photos over tiles and a model to clean boxes."""
+    photos = get("v_photos").select("site_id", "photo", F.expr("CAST(500 + photo*97%3600 AS INT) AS width"), F.expr("CAST(400 + photo*53%3600 AS INT) AS height"))
+    found = tiles.untile_boxes(tiles.predict_tiles(tiles.plan_tiles(photos, tiles.scales_for()), _predictor, name="arithmetic"))
+    order = W.partitionBy("site_id", "photo").orderBy(F.col("conf").desc(), "x1", "y1", "x2", "y2", "cls")
+    clean = nms.suppress(found.withColumn("det_id", (F.row_number().over(order) - 1).cast("long")))
+    return clean.select("site_id", "photo", "det_id", F.round("x1", 6).alias("x1"), F.round("y2", 6).alias("y2"), "conf", "cls")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POINTS = "site_id long, sweep int, idx long, x float, y float, z float, r short, g short, b short"
@@ -47,27 +48,64 @@ def detections_of(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return dets, photos.select("site_id", "photo"), classes
 
 
-def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return detections_of(spark.read.schema(DETECTIONS).option("multiLine", True).json(path))
+def read_detections(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of one document per file or, with `lines`, one per line (as `write_detections` writes them); documents of a site are put together."""
+    return detections_of(spark.read.schema(DETECTIONS).option("multiLine", not lines).json(path))
 
 
-def detections_json(photos: DataFrame, dets: DataFrame) -> DataFrame:
-    """site_id, json: photo -> list of [x1, y1, x2, y2, conf, cls] rounded to three digits; photos without boxes keep an empty list."""
+def _rounded_lists(photos: DataFrame, dets: DataFrame) -> DataFrame:
+    """site_id, photo, rows: a photo's boxes as [x1, y1, x2, y2, conf, cls] of three digits; photos without boxes keep an empty list."""
     row = F.array(*(F.round(c, 3) for c in ("x1", "y1", "x2", "y2", "conf")), F.col("cls").cast("double"))
     lists = dets.groupBy("site_id", "photo").agg(F.transform(F.array_sort(F.collect_list(F.struct("det_id", row.alias("row")))), lambda r: r.row).alias("rows"))
     full = photos.select("site_id", "photo").join(lists, ["site_id", "photo"], "left")
-    full = full.withColumn("rows", F.coalesce("rows", F.array().cast("array<array<double>>")))
+    return full.withColumn("rows", F.coalesce("rows", F.array().cast("array<array<double>>")))
+
+
+def detections_json(photos: DataFrame, dets: DataFrame) -> DataFrame:
+    """site_id, json: photo -> list of boxes, one document per site, for tools that want it whole; a large site is written by `write_detections`."""
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("photo", "rows"))))
-    return full.groupBy("site_id").agg(F.to_json(entries).alias("json"))
+    return _rounded_lists(photos, dets).groupBy("site_id").agg(F.to_json(entries).alias("json"))
+
+
+def write_detections(photos: DataFrame, dets: DataFrame, path: str, classes: DataFrame | None = None, weights: str | None = None) -> None:
+    """JSON lines of one document per photo (site_id, weights, classes, detections), so that no site is ever one row. `classes` (cls, product) are
+    few; each site has them once, in a document without photos, as readers put a site's documents together."""
+    lists = _rounded_lists(photos, dets)
+    docs = lists.select("site_id", F.lit(weights).cast("string").alias("weights"), F.create_map("photo", "rows").alias("detections"))
+    if classes is not None:
+        named = lists.select("site_id").distinct().crossJoin(F.broadcast(classes.agg(F.map_from_entries(F.collect_list(F.struct(F.col("cls").cast("string"), "product"))).alias("classes"))))
+        docs = docs.unionByName(named.withColumn("weights", F.lit(weights).cast("string")), allowMissingColumns=True)
+    docs.write.mode("overwrite").json(path)
+
+
+def write_sorted(rows: DataFrame, path: str, *by: str) -> None:
+    """`rows` as Parquet files in one total order: ranges of `by` are sorted apart and the files' names give the order of the ranges."""
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def read_sorted(spark: SparkSession, path: str, rank: str = "rank") -> DataFrame:
+    """Rows of `write_sorted` with their place in the order, from 1: rows before their file, and their number in it. Only a count per file goes to
+    all tasks."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = sizes.select("_file", (F.sum("_n").over(W.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return rows.join(before, "_file").withColumn(rank, F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
+def store_points(points: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """A table of points bucketed by (site_id, sweep) and sorted in each bucket: joins with cameras and other tables bucketed alike need no shuffle,
+    and as rows of a sweep lie together, the bounds kept per row group let a scan of some sweeps skip the others."""
+    points.write.mode("overwrite").bucketBy(buckets, "site_id", "sweep").sortBy("site_id", "sweep", "idx").option("path", path).saveAsTable(name)
 
 
-def write_detections(photos: DataFrame, dets: DataFrame, path: str) -> None:
-    detections_json(photos, dets).write.mode("overwrite").partitionBy("site_id").text(path)
+def store_images(images: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Cameras bucketed like the points of their sweep."""
+    images.write.mode("overwrite").bucketBy(buckets, "site_id", "sweep").sortBy("site_id", "sweep").option("path", path).saveAsTable(name)
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
     """Register entries with entry_id, a hash of name and position, and entry_order, which sorts as the lines of the files do."""
-    rows = spark.read.schema(REGISTER).option("header", True).option("encoding", "UTF-8").csv(path)
+    rows = spark.read.schema(REGISTER).option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", True).csv(path)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
     return rows.select("*", F.md5(F.concat_ws("|", "tag_name", F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string"))).alias("entry_id"), place.alias("entry_order"))
 

@@ -80,8 +80,8 @@ def test_boxes_become_tags(spark, tmp_path):
     io.write_cloud(thin, f"file://{tmp_path}/cloud")
     assert spark.read.parquet(f"file://{tmp_path}/cloud").count() == 72000
     io.write_detections(dets.select("site_id", "photo").distinct(), dets, f"file://{tmp_path}/dets")
-    lines = [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/dets").select("value").collect()]
-    assert {p for x in lines for p in x} == {f"s{s}" for s in range(6)} and sum(len(v) for x in lines for v in x.values()) == 12
+    lines = [json.loads(r.value)["detections"] for r in spark.read.text(f"file://{tmp_path}/dets").collect()]
+    assert all(len(x) == 1 for x in lines) and {p for x in lines for p in x} == {f"s{s}" for s in range(6)} and sum(len(v) for x in lines for v in x.values()) == 12
 
 
 def test_truth_and_labels_are_written_and_read(spark, tmp_path):
