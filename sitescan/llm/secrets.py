@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives, with DataFrame and SQL functions only.
 
-Candidates are private-key headers; values of any length and any symbols that an assignment gives to a credential; runs behind
-known prefixes; tokens of eight and more characters with small and capital letters, digits and symbols; and runs of 16 and more key
+Candidates are whole blocks of private keys; values of any length and any symbols that an assignment gives to a credential; runs behind
+known prefixes; passwords in addresses; tokens of eight and more characters with small and capital letters, digits and symbols; and runs of 16 and more key
 characters, letters alone included, unless all are one letter. Each is described by its length, its character classes and the turns
 between them, how likely its letters follow each other in the corpus' words, how much of it dictionary words cover, and the words and
 path around it. The dictionary is the `most_words` commonest words of all documents, the transitions are those of its letters. A
@@ -10,11 +10,12 @@ scanning is a projection: it reads a text once, shuffles nothing and runs wherev
 
 Labelled findings are any rows (before, secret, after, label). `labelled_findings` makes a bounded set around words of the documents:
 keys and passwords of usual make, in and out of assignments, against slugs, dates, numbers, paths, words and placeholders in the same
-places. Some are made from fixed words, so there is a forest whatever the documents' lengths and number.
+places, and against hashes, ids, digests and pictures where no credential is named. Hexadecimal runs and UUIDs count as keys only where one is. Some are made from fixed words, so there is a forest whatever the documents' lengths and number.
 
 Null and empty texts have no findings and stay as they are (null as null). Nothing is cut off: all candidates of a whole text
 are judged. Rows that repeat are answered row by row; no rows give none. `with_findings` and `redacted` keep all columns of the input, whatever
-their names, and replace those named as their outputs. Not a candidate is a value under 16 characters that no assignment, prefix or
+their names, and replace those named as their outputs. The name of a credential may have 255 characters between its word and the sign of assignment.
+Not a candidate is a value under 16 characters that no assignment, prefix or
 mix of all four kinds of characters marks; a plain word as a password is one, but looks to the forest like any word.
 """
 
@@ -39,22 +40,32 @@ CREDENTIAL = "token|secret|passw|passphrase|pwd|api[_ -]?key|[_-]key|auth|creden
 _PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|xox[baprs]-|AIza|eyJ|sk[_-]|glpat-"
 _QUOTE = "[\"'`]"
 _VALUE = rf"(?:(?<={_QUOTE})[^\s\"'`<>]++(?={_QUOTE})|(?<!{_QUOTE})(?![=:>\"'`])[^\s\"'`<>,;]*[^\s\"'`<>,;.:?()\[\]{{}}])"
-#: What stands before the value in a match: a sign of assignment or the word bearer.
-_HEAD = rf"^(?:[=:>]{{1,2}}\s{{0,3}}(?:(?i:basic|bearer|token)\s{{1,3}})?{_QUOTE}?|(?:[bB]earer|BEARER)\s{{1,3}})"
+#: What stands before the value in a match: a sign of assignment, the word bearer, or the user of an address.
+_HEAD = rf"^(?:://[^\s/:@\"'<>]*:|[=:>]{{1,2}}\s*(?:(?i:basic|bearer|token)\s+)?{_QUOTE}?|(?:[bB]earer|BEARER)\s+)"
+#: Characters of a name between the word of a credential and its sign: Java looks back over a stated length only.
+_NAME = 255
 # each kind starts with a character or a border that prose seldom has, so that most places of a text are passed at once
 _KINDS = (
-    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    # a block of a private key, to its end if it has one
+    "-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:[^\\-]*+-----END [A-Z0-9 ]*+-----)?",
+    # the password in an address
+    r"://[^\s/:@\"'<>]*+:[^\s/@\"'<>]++(?=@)",
     # values given to a credential, in quotes and without
-    rf"[=:>]{{1,2}}(?<=(?i:{CREDENTIAL})[\w.\-]{{0,24}}[\"'`\])]{{0,2}}\s{{0,3}}[=:>]{{1,2}})\s{{0,3}}(?:(?i:basic|bearer|token)\s{{1,3}})?{_QUOTE}?{_VALUE}",
-    rf"(?:[bB]earer|BEARER)(?<!\w.{{6}})\s{{1,3}}{_VALUE}",
-    rf"(?<![{_KEY}])(?:(?=e)eyJ[{_KEY}]{{4,}}+(?:\.[{_KEY}]{{2,}}+){{0,8}}|(?=[{_KEY}]{{16}})(?=[+/_\-]*+[A-Za-z0-9])(?!([A-Za-z])\1*+(?![{_KEY}]))[{_KEY}]{{16,}}+|(?=[Agxs])(?:{_PREFIX})[{_KEY}]{{4,}}+)={{0,2}}",
+    rf"[=:>]{{1,2}}(?<=(?i:{CREDENTIAL})[\w.\-]{{0,{_NAME}}}[\"'`\])]{{0,2}}\s{{0,20}}[=:>]{{1,2}})\s*+(?:(?i:basic|bearer|token)\s++)?{_QUOTE}?{_VALUE}",
+    rf"(?:[bB]earer|BEARER)(?<!\w.{{6}})\s++{_VALUE}",
+    rf"(?<![{_KEY}])(?:(?=e)eyJ[{_KEY}]{{4,}}+(?:\.[{_KEY}]{{2,}}+)*+|(?=[{_KEY}]{{16}})(?=[+/_\-]*+[A-Za-z0-9])(?!([A-Za-z])\1*+(?![{_KEY}]))[{_KEY}]{{16,}}+|(?=[Agxs])(?:{_PREFIX})[{_KEY}]{{4,}}+)={{0,2}}",
 )
 #: Tokens of all four kinds of characters; only texts with digits and symbols can have one.
 _MIXED = r"(?<!\S)(?=[^\s!@#$%^*~+]*+[!@#$%^*~+])(?=\S*[0-9])(?=\S*[A-Z])(?=\S*[a-z])[^\s\"'`<>/:=?&,;()\[\]{}]{8,}+(?=[\s.,;:)]|\z)"
 # each kind starts with a character or a border that prose seldom has, so that most places of a text are passed at once
-CANDIDATE = "|".join((*_KINDS[:3], _MIXED, *_KINDS[3:]))
+CANDIDATE = "|".join((*_KINDS[:4], _MIXED, *_KINDS[4:]))
 _PLAIN = "|".join(_KINDS)
 COMMON = "example|sample|test|dummy|your|here|placeholder|changeme|token|secret|key|http|https|www|com|html|index|page|image|file|path|user|name|version|release|build|node|data|the|and|with|from"
+#: Makes that hashes, numbers of builds and ids have as well as keys have; words that name them; the user of an address; a credential's sign.
+_HASH = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|sha[0-9]{1,3}-[A-Za-z0-9+/]+={0,2})$"
+_HASHED = r"(?i)(?:commit|sha-?[0-9]*|md5|digest|checksum|revision|hash|etag|integrity|[ug]uid|base64|fingerprint|tree|parent|blob)[\"']?[^A-Za-z0-9]{0,4}$"
+_USER = r"://[^\s/:@]*:$"
+_GIVEN = rf"(?:(?i:{CREDENTIAL})[\w.\-]*[\"'`\])]{{0,2}}\s*[=:>]{{1,2}}\s*(?:(?i:basic|bearer|token)\s+)?|(?i:bearer)\s+)[\"'`]?$"
 #: Slots of the dictionary.
 _SLOTS = 4096
 _WORDS = "river stone garden window morning letter paper music table green forest water light house summer winter people government between information"
@@ -124,12 +135,16 @@ def features(c: str, b: str, a: str, lex: Lexicon) -> dict[str, str]:
         "reference": f"CAST({c} rlike {_sql('[(){}<>]|' + chr(92) + '[|^[$%]')} AS INT)",
         "capitals_first": f"CAST({c} rlike '^[A-Z][a-z]*$' AS INT)",
         "quoted_after": f"CAST({a} rlike {_sql('^' + quote)} AS INT)",
+        "plain_hash": f"CAST({c} rlike {_sql(_HASH)} AS INT)",
+        "named_hash": f"CAST({b} rlike {_sql(_HASHED)} AS INT)",
+        "in_address": f"CAST({b} rlike {_sql(_USER)} AS INT)",
+        "assigned_credential": f"CAST({b} rlike {_sql(_GIVEN)} AS INT)",
         "path_before": f"CAST({b} rlike '[/.]$' AS INT)",
         "path_after": f"CAST({a} rlike '^([.][A-Za-z]|[/@])' AS INT)",
     }
 
 
-def labelled_findings(docs: DataFrame, most: int = 300) -> DataFrame:
+def labelled_findings(docs: DataFrame, most: int = 150) -> DataFrame:
     """before, secret, after, label: a bounded set of findings made around words of about `most` documents, chosen by hash."""
     rows = docs.select(F.col("text").cast("string").alias("t"))
     # a share of 2^53, so that any number of rows leaves a sample
@@ -142,17 +157,23 @@ def labelled_findings(docs: DataFrame, most: int = 300) -> DataFrame:
     rows = rows.withColumns({"mixed": F.expr("translate(base64(unhex(h)), '+/=', 'xyz')"), "letters": F.expr("translate(base64(unhex(h)), '+/=0123456789', 'xyzgkwqbvjtrm')")})
     mixed, letters = "mixed", "letters"
     word = lambda i: f"w[{i}]"
+    uuid = "concat_ws('-', substring(h, 1, 8), substring(h, 9, 4), substring(h, 13, 4), substring(h, 17, 4), substring(h, 21, 12))"
     made = {
         1: [
-            "substring(h, 1, 40)", "substring(h, 9, 32)", "upper(substring(h, 3, 40))", "substring(h, 1, 64)",
             "concat('AKIA', upper(substring(translate(base64(unhex(h)), '+/=', 'xyz'), 1, 16)))",
             "concat('ghp_', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 1, 36))",
             "concat('sk_live_', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 5, 24))",
+            "concat('glpat-', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 9, 20))", "concat('xoxb-', pmod(r, 1000000000000), '-', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 9, 24))",
+            "concat('AIza', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 3, 35))", "concat('gho_', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 8, 36))", "concat('eyJ', substring(translate(base64(unhex(h)), '+/=', 'xyz'), 2, 60))",
+            "concat('-----BEGIN RSA PRIVATE KEY-----', chr(10), base64(unhex(repeat(h, CAST(1 + pmod(r, 9) AS INT)))), chr(10), '-----END RSA PRIVATE KEY-----')", "concat('-----BEGIN PRIVATE KEY-----', chr(10), substring(base64(unhex(h)), 1, 30), '==', chr(10), '-----END PRIVATE KEY-----')", "'-----BEGIN EC PRIVATE KEY-----'",
             "substring(base64(unhex(h)), 1, 40)", "concat(substring(base64(unhex(h)), 7, 42), '==')",
             f"concat('AKIA', upper(substring({letters}, 1, 16)))", f"substring({letters}, 3, 40)", f"lower(substring({letters}, 9, 32))", f"upper(substring({letters}, 5, 24))",
             f"concat(substring({mixed}, 1, 6), '$', substring({mixed}, 8, 5), '!', substring({mixed}, 14, 4))", f"concat(substring({mixed}, 21, 4), '@', pmod(r, 100), substring({mixed}, 27, 3), '#')",
         ],
         0: [
+            # hashes, ids and pictures
+            "substring(h, 1, 40)", "substring(h, 9, 32)", "upper(substring(h, 3, 40))", "substring(h, 1, 64)", "h", "substring(h, 1, 40)", "substring(h, 1, 64)",
+            uuid, f"upper({uuid})", "concat('iVBORw0KGgoAAAANSUhEUg', base64(unhex(repeat(h, 6))))", "base64(unhex(repeat(h, 3)))", "concat('sha512-', base64(unhex(h)))",
             f"concat_ws('-', {word(0)}, {word(1)}, {word(2)}, {word(3)}, '2024')", f"concat_ws('_', {word(1)}, {word(2)}, {word(3)}, pmod(r, 100))",
             f"concat({word(0)}, {word(1)}, {word(2)}, pmod(r, 10), {word(3)})", "lpad(CAST(abs(r % 1000000000000000) AS STRING), 16, '4')",
             "concat('2024-01-', 10 + pmod(r, 20), '-00-00-00')", f"concat('/', {word(0)}, '/', {word(1)}, '/', {word(2)}, '/', pmod(r, 1000))",
@@ -165,19 +186,24 @@ def labelled_findings(docs: DataFrame, most: int = 300) -> DataFrame:
     }
     # what stands in assignments only
     given = {
-        1: [f"substring({mixed}, 3, 8)", f"substring({mixed}, 11, 12)", f"concat(substring({mixed}, 2, 5), '!', pmod(r, 100))", f"concat(initcap({word(0)}), pmod(r, 1000), '!')", f"lower(substring({letters}, 2, 12))", f"substring({letters}, 20, 10)",
+        1: ["substring(h, 1, 40)", "substring(h, 9, 32)", "upper(substring(h, 3, 40))", "substring(h, 1, 64)", uuid, "substring(h, 5, 20)", f"concat(lower({word(0)}), pmod(r, 10))", f"concat(lower({word(2)}), pmod(r, 10000))", f"concat({word(3)}, '_', pmod(r, 1000))", f"concat(lower({word(1)}), 1 + pmod(r, 9))", f"concat(lower({word(4)}), pmod(r, 100))", f"concat(initcap({word(5)}), pmod(r, 100))",
+            f"substring({mixed}, 3, 8)", f"substring({mixed}, 11, 12)", f"concat(substring({mixed}, 2, 5), '!', pmod(r, 100))", f"concat(initcap({word(0)}), pmod(r, 1000), '!')", f"lower(substring({letters}, 2, 12))", f"substring({letters}, 20, 10)",
             f"concat(translate({word(1)}, 'aeios', '@3105'), pmod(r, 1000), '#')", f"concat(lower(substring({mixed}, 4, 3)), '^', substring({mixed}, 30, 3), '&', pmod(r, 10))"],
         0: ["repeat(substring(h, 1, 1), 6)", word(0), word(1), f"lower({word(2)})", f"initcap({word(3)})", "pmod(r, 1000)", "pmod(r, 10)", "get(array('null', 'none', 'true', 'false', 'changeme', 'password', 'required', 'xxxxxx', '******', 'string'), CAST(pmod(r, 10) AS INT))",
             f"concat('${{', upper({word(0)}), '_', upper({word(1)}), '}}')", f"concat('get_', lower({word(2)}), '()')", f"concat('config.', lower({word(1)}))", "'os.environ[TOKEN]'", f"concat('your_', lower({word(3)}))"],
     }
-    befores = ["concat('token = ', chr(34))", "'api_key: '", "'password='", "concat('secret: ', chr(39))", f"concat({word(4)}, ' ')", f"concat({word(5)}, ' ', {word(4)}, ' ')"]
+    named = "get(array('commit ', 'image@sha256:', 'sha256:', 'md5 = ', 'checksum: ', 'revision ', 'etag: \"', 'uuid: ', 'integrity=\"', 'data:image/png;base64,', 'tree ', 'id: '), CAST(pmod(xxhash64(secret), 12) AS INT))"
+    befores = [
+        "concat('token = ', chr(34))", "'api_key: '", "'password='", "concat('secret: ', chr(39))", f"concat({word(4)}, ' ')", f"concat({word(5)}, ' ', {word(4)}, ' ')",
+        f"concat({word(4)}, ' ', {named})", f"concat('postgres://', lower({word(5)}), ':')", f"concat('auth_key_of_', lower({word(4)}), '_', lower({word(5)}), ' = ')",
+    ]
     out = []
     for label, kinds in made.items():
         for at, kind in enumerate(kinds):
             # keys stand in assignments more often than not, other things now and then
-            places = [at % 4, (at + 1) % 4, 4 + at % 2] if label else [4, 5, at % 4]
+            places = [at % 4, (at + 1) % 4, 4, 5, 6] if label and at < 11 else [at % 4, (at + 1) % 4, 4 + at % 2] if label else [4, 5, 6] if at < 12 else [4, 5, at % 4]
             out.append((kind, places, label))
-    out += [(kind, [0, 1, 2, 3], label) for label, kinds in given.items() for kind in kinds]
+    out += [(kind, [0, 1, 2, 3, 8] + [7] * label, label) for label, kinds in given.items() for kind in kinds]
     kinds = ", ".join(f"struct(CAST({kind} AS STRING) AS secret, array({', '.join(map(str, places))}) AS places, {label} AS label)" for kind, places, label in out)
     rows = rows.select("w", F.expr(f"inline(array({kinds}))")).filter("secret <> ''")
     rows = rows.select("w", "secret", "label", F.explode("places").alias("at"))
@@ -247,7 +273,7 @@ def train(findings: DataFrame, lex: Lexicon, trees: int = 24, depth: int = 6, se
     return Forest((), (), depth, lex) if model is None else _read(model, lex, depth)
 
 
-def trained(docs: DataFrame, most: int = 300, most_words: int = 5000) -> Forest:
+def trained(docs: DataFrame, most: int = 150, most_words: int = 5000) -> Forest:
     """The forest for these documents: their dictionary, and findings made around their words."""
     return train(labelled_findings(docs, most), lexicon(docs, most_words))
 
