@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitescan.functions.boxes import Box, view_quality
-from sitescan.sources.shared import dealt, kept
+from sitescan.sources.shared import dealt, forget, kept
 
 #: Sightings of a class of a site that are folded as one piece; larger ones are cut into tiles.
 WHOLE = 20_000
@@ -210,12 +210,14 @@ def _settled_tiles(rows: DataFrame, radius: float, side: float) -> DataFrame:
             changed = now.join(was, PLACE, "full").filter(~(F.col("seal").eqNullSafe(F.col("seal0")) & F.col("many").eqNullSafe(F.col("many0")))).select(*PLACE)
         changed = kept(changed, "changed")
         if changed.isEmpty():
+            forget(near, seen, changed)
             return state
         again = state.drop("p0", "d0", "join_no").join(changed, PLACE, "left_semi")
         both = again.withColumns({"p0": F.lit(None).cast(state.schema["p0"].dataType), "d0": F.lit(None).cast(state.schema["d0"].dataType)})
         both = both.unionByName(near.join(changed, PLACE, "left_semi").select(*both.columns))
         fresh = again.join(_folded(both, radius), keys)
-        state = kept(state.join(changed, PLACE, "left_anti").unionByName(fresh.select(*state.columns)), "clusters")
+        before, state = state, kept(state.join(changed, PLACE, "left_anti").unionByName(fresh.select(*state.columns)), "clusters")
+        forget(before, seen, changed)
         seen = near
 
 
@@ -240,8 +242,11 @@ def cluster_sightings(sightings: DataFrame, radius: float = 0.15, whole: int = W
     if tiled:
         side = tile * radius
         cut = small.join(large, ["site_id", "cls"], "left_semi").select("*", *(F.floor(F.col(a) / side).alias("t" + a) for a in "xyz"))
-        got = got.unionByName(_settled_tiles(kept(cut, "tiled-sightings"), radius, side).select(*keys, "p0", "d0", "join_no"))
+        cut = kept(cut, "tiled-sightings")
+        settled = _settled_tiles(cut, radius, side)
+        got = got.unionByName(settled.select(*keys, "p0", "d0", "join_no"))
     got = kept(got, "clusters")
+    forget(large, *((cut, settled) if tiled else ()))
     openers = got.filter("join_no = 0").select(*name).join(small.select(F.col("site_id"), F.col("cls"), F.col("photo").alias("p0"), F.col("det_id").alias("d0"), "conf"), name)
     # one row per cluster: the things of one class on one site
     order = W.partitionBy("site_id", "cls").orderBy(F.col("conf").desc_nulls_last(), "p0", "d0")

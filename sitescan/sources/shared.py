@@ -28,7 +28,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table of the shared folder: its lineage is cut, and a lost executor costs only the tasks that it ran."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of `kept` that no later step reads."""
+    for df in tables:
+        if df is not None:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
