@@ -4,7 +4,9 @@ Each record is a gzip member of its own. The writer's tasks put archives, under
 that all executors share; only the files of attempts that ended well are listed in the manifest, so a lost or repeated
 task leaves nothing behind that is read. The reader cuts the listed files into byte ranges. A task scans its range for the
 gzip magic, takes a candidate for a member only if its first bytes decode to a WARC version line and the whole member
-decodes with a right checksum, and owns the records that start inside its range; the last may end beyond it.
+decodes with a right checksum, and owns the records that start inside its range; the last may end beyond it. A payload may itself hold
+archives, whose members look like records where a range starts inside it; so of archives with more than one range it is first found where
+the records of each range end (a number for each range), and a range is read only from where all records that start before it end.
 
 A null page is an empty payload, a null url leaves out the target, a null page_id its header. Rows that repeat a page_id
 give a record each. Length and digest of a response are those of the payload that was read. The writer keeps a page's id in a header of its
@@ -28,12 +30,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 #: Digests in hexadecimal or base 32, by algorithm.
 _DIGESTS = {"sha1", "sha224", "sha256", "sha384", "sha512", "md5"}
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, record_id string, refers_to_id string, intact boolean, payload binary"
@@ -160,10 +164,8 @@ def _number(text: str | None) -> int | None:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}|-?9[0-9]{18}", text) else None
 
 
-def _fields(raw: bytes) -> tuple | None:
-    m = re.search(rb"\r?\n\r?\n", raw)
-    if not m:
-        return None
+def _fields(raw: bytes) -> tuple:
+    m = _HEAD_END.search(raw)
     h = _headers(raw[: m.start()])
     size = _number(h.get("content-length")) or 0
     block = raw[m.end() : m.end() + size]
@@ -186,8 +188,8 @@ def _fields(raw: bytes) -> tuple | None:
     return (page, h.get("warc-target-uri"), kind, _number(h.get("x-refers-to-page-id")), digest, length, name, h.get("warc-refers-to"), intact, None if kind == "revisit" else payload)
 
 
-def records_in(source, start: int, end: int) -> Iterator[tuple]:
-    """The records of an open archive that start in [start, end)."""
+def members_in(source, start: int, end: int) -> Iterator[tuple[bytes, int]]:
+    """The members of an open archive that start in [start, end) and hold a record's headers: decoded, and where they end."""
     source.seek(start)
     buffer, base, at = bytearray(), start, start
 
@@ -207,34 +209,68 @@ def records_in(source, start: int, end: int) -> Iterator[tuple]:
         if at >= end:
             return
         found = _member(buffer, i, fill)
-        row = _fields(found[0]) if found else None
-        if row is None:
+        if found is None or not _HEAD_END.search(found[0]):
             at += 1
             continue
-        yield row
         at += found[1]
+        yield found[0], at
         if at - base > _READ:
             del buffer[: at - base]
             base = at
 
 
+def records_in(source, start: int, end: int) -> Iterator[tuple]:
+    """The records of an open archive that start in [start, end); `start` must not lie inside a record."""
+    return (_fields(raw) for raw, _ in members_in(source, start, end))
+
+
+def _entered(ranges: DataFrame, split_bytes: int) -> DataFrame:
+    """`ranges` (path, bytes, start) with enter: where the range's own records may begin, which is behind all records that start before it.
+
+    What a range finds inside a record of an earlier range ends inside that record too, so the latest end of the earlier ranges is right even
+    where they took such members for records. The last range of an archive is not looked at, and an archive of one range not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, starts = (batch.column(i).to_pylist() for i in range(2))
+            exits = []
+            for path, start in zip(paths, starts, strict=True):
+                fs, name = pafs.FileSystem.from_uri(path)
+                exit_ = 0
+                with fs.open_input_file(name) as f:
+                    for _, exit_ in members_in(f, start, start + split_bytes):
+                        pass
+                exits.append(exit_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exits, pa.int64())], ["path", "start", "exit"])
+
+    followed = ranges.filter(F.col("start") + split_bytes < F.col("bytes")).select("path", "start")
+    exits = _dealt(followed).mapInArrow(run, "path string, start long, exit long")
+    before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    return ranges.join(exits, ["path", "start"], "left").withColumn("enter", F.greatest("start", F.max("exit").over(before))).drop("exit")
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges are a few bytes each; they are dealt out over the cluster so that no task reads a whole archive."""
+    return ranges.repartition(max(1, ranges.sparkSession.sparkContext.defaultParallelism * 2), "path", "start")
+
+
 def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """All records of the archives listed with path and bytes: page_id and refers_to (of records with these headers), url, record_type,
     payload_digest (SHA-1 of the payload; of revisits, what the header says), payload_bytes, record_id, refers_to_id, intact, payload (null for
     revisits, whose payload is stored with the record they refer to)."""
     cuts = F.expr(f"explode(sequence(0L, greatest(bytes - 1, 0L), {int(split_bytes)}L))")
-    ranges = manifest.filter("bytes > 0").select("path", "bytes", cuts.alias("start"))
-    # ranges are a few bytes each; they are dealt out over the cluster so that no task reads a whole archive
-    ranges = ranges.repartition(max(1, ranges.sparkSession.sparkContext.defaultParallelism * 2), "path", "start")
+    ranges = manifest.select("path", "bytes").distinct().filter("bytes > 0").select("path", "bytes", cuts.alias("start"))
+    stop = F.least(F.col("start") + split_bytes, F.col("bytes"))
+    ranges = _entered(ranges, split_bytes).select("path", "start", "enter", stop.alias("stop")).filter("enter < stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, _, enter, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, name = pafs.FileSystem.from_uri(path)
                 with fs.open_input_file(name) as f:
                     rows: list[tuple] = []
                     held = 0
-                    for row in records_in(f, start, min(start + split_bytes, size)):
+                    for row in records_in(f, enter, stop):
                         rows.append(row)
                         held += len(row[9] or b"")
                         if held > 8 << 20:
@@ -243,7 +279,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return ranges.mapInArrow(run, RECORDS)
+    return _dealt(ranges).mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -3,9 +3,12 @@
 import gzip
 import hashlib
 import io
+import random
+import uuid
 
 import pytest
 
+from sitescan.llm.common import shared_dir
 from sitescan.llm.warc import _record, plan_records, read_warc, records_in, through_warc, write_warc
 
 
@@ -82,3 +85,35 @@ def test_archives_of_other_writers():
     assert [r[8] for r in got] == [None, None, True, True, False] and all(r[0] is None for r in got)
     assert got[2][1] == "http://h/ a" and got[2][9] == body and got[2][4] == hashlib.sha1(body).hexdigest() and got[3][7] == "<urn:uuid:3>"
     assert got[0][9] == b"software: any\n"
+
+
+def stored(payload, page, url="u"):
+    """A record as a member that holds its payload as it is, so that members inside it can be seen from outside."""
+    return gzip.compress(_record(page, url, payload, hashlib.sha1(payload).hexdigest(), None), 0)
+
+
+def test_archives_inside_payloads_are_no_records(spark, tmp_path):
+    inner = b"".join(stored(b"deep" * n, 100 + n) for n in (5, 60, 1))
+    middle = stored(b"x" * 300 + inner + b"y" * 200 + inner, 200) + stored(b"plain", 201)
+    data = stored(b"first", 1) + stored(middle + b"z" * 100 + middle, 2) + b"\x1f\x8b\x08 no member" + stored(middle, 3) + stored(b"last" * 50, 4)
+    assert data.count(inner) > 4
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data))], "path string, bytes long")
+    for split in (1 << 20, 4000, 1000, 450, 97):
+        got = [(r.page_id, r.payload_digest) for r in read_warc(manifest, split).collect()]
+        want = [(1, b"first"), (2, middle + b"z" * 100 + middle), (3, middle), (4, b"last" * 50)]
+        assert sorted(got) == [(i, hashlib.sha1(p).hexdigest()) for i, p in want], split
+    # a file listed twice is still read once
+    assert read_warc(manifest.union(manifest), 450).count() == 4
+
+
+def test_megabytes_and_digests_that_are_joined(spark):
+    rnd = random.Random(8)
+    big = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyzé 漢<>/", k=3_000_000))
+    df = spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", "s" * 999), (4, "w", "s" * 999)], "page_id long, url string, html string")
+    df = plan_records(df, most_sent=0)
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    got = {r.page_id: r for r in read_warc(write_warc(df, folder), 700_000).collect()}
+    assert {i: r.record_type for i, r in got.items()} == {1: "revisit", 2: "response", 3: "response", 4: "response"}
+    assert got[1].refers_to == 2 and bytes(got[2].payload).decode() == big
+    assert got[1].payload_digest == got[2].payload_digest == hashlib.sha1(big.encode()).hexdigest()
