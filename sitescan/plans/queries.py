@@ -391,11 +391,11 @@ def object_appearances(get):
 @query(f"""WITH {cte('v_assets', 'v_images')}, {_R}, k AS (SELECT unnest([struct_pack(dy := -0.2::DOUBLE, dz := 0.2::DOUBLE), struct_pack(dy := 0.2::DOUBLE, dz := 0.2::DOUBLE), struct_pack(dy := 0.2::DOUBLE, dz := -0.2::DOUBLE), struct_pack(dy := -0.2::DOUBLE, dz := -0.2::DOUBLE)]) AS d),
 q AS (SELECT r.photo, o.asset_id AS object_id, o.x-tx AS a, o.y+d.dy-ty AS b, o.z+d.dz-tz AS c, r.* EXCLUDE (photo) FROM v_assets o CROSS JOIN k CROSS JOIN rot r),
 e AS (SELECT photo, object_id, -(r02*a+r12*b+r22*c) AS depth, r00*a+r10*b+r20*c AS ex, r01*a+r11*b+r21*c AS ey, fx, fy, cx, cy FROM q)
-SELECT photo, object_id, round(min(cx+fx*ex/depth), 4) AS x1, round(max(cy-fy*ey/depth), 4) AS y2 FROM e GROUP BY 1, 2 HAVING min(depth) > 0.05""")
+SELECT photo, object_id, round(min(cx+fx*ex/depth), 4) AS x1, round(min(cy-fy*ey/depth), 4) AS y1, round(max(cx+fx*ex/depth), 4) AS x2, round(max(cy-fy*ey/depth), 4) AS y2 FROM e GROUP BY 1, 2 HAVING min(depth) > 0.05""")
 def loose_projections(get):
     """J2 loose."""
     p = truth.project_objects(_objects(get), get("v_images"), strict=False)
-    return p.select("photo", "object_id", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"))
+    return p.select("photo", "object_id", *(F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query(f"WITH {_STRICT} SELECT object_id, count(DISTINCT photo) AS photos, count(DISTINCT CASE WHEN difficulty = 'clear' THEN photo END) AS clear_photos, count(*) AS appearances FROM shown GROUP BY ROLLUP (object_id)")
@@ -422,12 +422,12 @@ k AS (SELECT b.box_id AS object_id, {_ray("b.x1", "b.y1", 0)}, {_ray("b.x2", "b.
 o AS (SELECT *, {_SIDE.format(1, 0)} AS width_m, {_SIDE.format(3, 0)} AS height_m, (t0x+t2x)/2 AS x, (t0y+t2y)/2 AS y, (t0z+t2z)/2 AS z,
  (t1y-t0y)*(t3z-t0z)-(t1z-t0z)*(t3y-t0y) AS mx, (t1z-t0z)*(t3x-t0x)-(t1x-t0x)*(t3z-t0z) AS my, (t1x-t0x)*(t3y-t0y)-(t1y-t0y)*(t3x-t0x) AS mz FROM k)
 SELECT object_id, round(width_m, 4) AS width_m, round(height_m, 4) AS height_m, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z,
- round(CASE WHEN mx*(tx-x)+my*(ty-y)+mz*(tz-z) < 0 THEN -mz ELSE mz END / sqrt(mx*mx+my*my+mz*mz), 4) AS nz FROM o WHERE width_m < 5 AND height_m < 5""")
+ {", ".join(f"round(CASE WHEN mx*(tx-x)+my*(ty-y)+mz*(tz-z) < 0 THEN -m{a} ELSE m{a} END / sqrt(mx*mx+my*my+mz*mz), 4) AS n{a}" for a in "xyz")} FROM o WHERE width_m < 5 AND height_m < 5""")
 def marked_objects(get):
     """Objects from boxes of plates as marks; the invented points are thin, so a plane goes through those within 1.5 m of the first."""
     marks = get("v_plates").withColumn("object_id", F.col("box_id")).withColumns({"kind": F.lit("full"), "model": F.lit("m"), "location": F.lit("room")}).drop("box_id")
     got = truth.build_objects(get("v_points"), get("v_images"), marks, near=1.5).filter("width_m < 5 and height_m < 5")
-    return got.select("object_id", *(F.round(c, 4).alias(n) for c, n in (("width_m", "width_m"), ("height_m", "height_m"), ("center.x", "x"), ("center.y", "y"), ("center.z", "z"), ("normal.z", "nz"))))
+    return got.select("object_id", *(F.round(c, 4).alias(n) for c, n in (("width_m", "width_m"), ("height_m", "height_m"), ("center.x", "x"), ("center.y", "y"), ("center.z", "z"), ("normal.x", "nx"), ("normal.y", "ny"), ("normal.z", "nz"))))
 
 
 @query(f"""WITH {cte('v_images')} SELECT sweep, CAST(list([CAST(face AS BIGINT), CAST(qw AS BIGINT), CAST(qx AS BIGINT)] ORDER BY face) AS VARCHAR) AS faces, min_by(tx, face) AS tx FROM v_images GROUP BY 1""")
@@ -473,15 +473,15 @@ def _products(get) -> DataFrame:
     return p.join(d, "product_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<title:string,doc_id:string>>")))
 
 
-_PROD = "prod AS (SELECT p_name AS name, min(p_brand) AS manufacturer, min(p_partkey) AS product_id FROM part GROUP BY 1)"
+_PROD = "prod AS (SELECT p_name AS name, min(p_brand) AS manufacturer, min(p_type) AS description, min(p_partkey) AS product_id FROM part GROUP BY 1)"
 
 
-@query(f"WITH {_PROD} SELECT l.l_orderkey, l.l_linenumber, p.p_name AS product, g.manufacturer, CASE WHEN s.s_suppkey IS NULL THEN 0 ELSE 1 END AS n_documents FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN prod g ON g.name = p.p_name LEFT JOIN supplier s ON s.s_suppkey = g.product_id")
+@query(f"WITH {_PROD} SELECT l.l_orderkey, l.l_linenumber, p.p_name AS product, g.manufacturer, g.description, coalesce(s.s_name || ' doc-' || (s.s_suppkey % 40), '') AS documents FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN prod g ON g.name = p.p_name LEFT JOIN supplier s ON s.s_suppkey = g.product_id")
 def link_products(get):
     """J5."""
     rows = get("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(get("part").select("p_partkey", F.col("p_name").alias("product")), "p_partkey")
     got = link.link_products(rows, _products(get))
-    return got.select("l_orderkey", "l_linenumber", "product", "manufacturer", F.size("documents").alias("n_documents"))
+    return got.select("l_orderkey", "l_linenumber", "product", "manufacturer", "description", F.array_join(F.transform("documents", lambda d: F.concat_ws(" ", d.title, d.doc_id)), ",").alias("documents"))
 
 
 @query(f"WITH {_PROD}, d AS (SELECT 'doc-' || (s_suppkey % 40) AS doc_id, s_suppkey AS product_id, s_name AS title FROM supplier JOIN prod ON product_id = s_suppkey) SELECT doc_id, product_id, title FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY product_id) = 1")
@@ -495,17 +495,17 @@ _KEYS = ["site_id", "cls", "cluster"]
 _KEEP = f"""{cte('v_clustered')}, c AS (SELECT site_id, cls, cluster, sum(conf*x)/sum(conf) AS px, sum(conf*y)/sum(conf) AS py, sum(conf*z)/sum(conf) AS pz, count(*) AS sightings, count(DISTINCT sweep) AS sweeps, avg(conf) AS mc, max(conf) AS xc FROM v_clustered GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {_KEEP} SELECT c.site_id, c.cls, c.cluster, round(px, 6) AS x, sightings, sweeps, round(xc, 3) AS max_confidence, round(max(sqrt((v.x-px)*(v.x-px)+(v.y-py)*(v.y-py)+(v.z-pz)*(v.z-pz))), 6) AS spread_m FROM c JOIN v_clustered v ON c.site_id = v.site_id AND c.cls = v.cls AND c.cluster = v.cluster WHERE sweeps >= 5 GROUP BY ALL""")
+@query(f"""WITH {_KEEP} SELECT c.site_id, c.cls, c.cluster, round(px, 6) AS x, round(py, 6) AS y, round(pz, 6) AS z, CAST(list(v.photo ORDER BY join_no) AS VARCHAR) AS photos, CAST(list(CAST(v.y2 AS INT) ORDER BY join_no) AS VARCHAR) AS bottoms, sightings, sweeps, round(xc, 3) AS max_confidence, round(max(sqrt((v.x-px)*(v.x-px)+(v.y-py)*(v.y-py)+(v.z-pz)*(v.z-pz))), 6) AS spread_m FROM c JOIN v_clustered v ON c.site_id = v.site_id AND c.cls = v.cls AND c.cluster = v.cluster WHERE sweeps >= 5 GROUP BY ALL""")
 def assets_from_clusters(get):
     """A8."""
     got = A.assets_from_clusters(get("v_clustered"), _KEYS)
-    return got.select(*_KEYS, F.round("x", 6).alias("x"), "sightings", F.size("sweeps").cast("long").alias("sweeps"), "max_confidence", F.round("spread_m", 6).alias("spread_m"))
+    return got.select(*_KEYS, *(F.round(a, 6).alias(a) for a in "xyz"), *(F.col("seen_in." + c).cast("string").alias(n) for c, n in (("photo", "photos"), ("y2", "bottoms"))), "sightings", F.size("sweeps").cast("long").alias("sweeps"), "max_confidence", F.round("spread_m", 6).alias("spread_m"))
 
 
-@query(f"WITH {_KEEP} SELECT site_id, count(*) FILTER (sweeps >= 5) AS kept, count(*) FILTER (sweeps < 5) AS rejected, CAST(coalesce(sum(sightings) FILTER (sweeps < 5), 0) AS BIGINT) AS rejected_sightings FROM c GROUP BY 1")
+@query(f"WITH {_KEEP} SELECT site_id, count(*) FILTER (sweeps >= 5) AS kept, count(*) FILTER (sweeps < 5) AS rejected, CAST(coalesce(sum(sightings) FILTER (sweeps < 5), 0) AS BIGINT) AS rejected_sightings, CAST(coalesce(list(sweeps ORDER BY sweeps) FILTER (sweeps < 5), []) AS VARCHAR) AS rejected_sweeps FROM c GROUP BY 1")
 def cluster_summary(get):
     """A9."""
-    return A.cluster_summary(get("v_clustered"), _KEYS).select("site_id", "kept", "rejected", "rejected_sightings")
+    return A.cluster_summary(get("v_clustered"), _KEYS).select("site_id", "kept", "rejected", "rejected_sightings", F.col("rejected_sweeps").cast("string").alias("rejected_sweeps"))
 
 
 @query(f"WITH {cte('v_clustered')} SELECT site_id, cls, cluster, photo AS best_photo, CAST(x1 AS INT) AS bx, conf AS best_conf FROM v_clustered QUALIFY row_number() OVER (PARTITION BY site_id, cls, cluster ORDER BY (x2-x1)*(y2-y1)*conf*CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 1022 OR y2 >= 1022 THEN CAST(0.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END DESC, join_no) = 1")
@@ -515,10 +515,10 @@ def best_view(get):
     return got.select(*_KEYS, "best_photo", F.col("best_box")[0].alias("bx"), "best_conf")
 
 
-@query(f"WITH {cte('v_assets')} SELECT site_id, asset_id AS k, format('asset-{{:02d}}', row_number() OVER (PARTITION BY site_id ORDER BY product, floor(x*10), asset_id)) AS asset_id FROM v_assets")
+@query(f"WITH {cte('v_assets')} SELECT site_id, asset_id AS k, format('asset-{{:02d}}', row_number() OVER (PARTITION BY site_id ORDER BY product, round_even(x, 1), round_even(y, 1), round_even(z, 1), asset_id)) AS asset_id FROM v_assets")
 def number_assets(get):
-    """W4, over places cut to tenths."""
-    a = get("v_assets").select("site_id", F.col("asset_id").alias("k"), F.col("product").alias("cls"), (F.floor(F.col("x") * 10) / 10).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    """W4."""
+    a = get("v_assets").select("site_id", F.col("asset_id").alias("k"), F.col("product").alias("cls"), "x", "y", "z")
     return A.number_assets(a, ("k",)).select("site_id", "k", "asset_id")
 
 
@@ -683,11 +683,13 @@ def signatures(get):
     return get("pages").select("page_id", (F.substring(c, 1, 2) == F.lit(b"<!")).alias("ok"), io.check_signature(c, "pdf").alias("pdf"))
 
 
-@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) - octet_length(encode(coalesce(text, '')))//1024*4 - CASE WHEN octet_length(encode(coalesce(text, '')))%1024 > 0 THEN least(4, octet_length(encode(coalesce(text, '')))%1024) ELSE 0 END AS payload FROM documents")
+# pages of 1024 bytes end in four of checksum
+@query("""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, md5(coalesce(list_aggregate([substr(h, CAST(2048*i+1 AS BIGINT), CASE WHEN length(h) > 2048*i+2048 THEN 2040 ELSE greatest(0, least(2040, length(h)-2048*i-8)) END) FOR i IN range((length(h)+2047)//2048)], 'string_agg', ''), '')) AS payload FROM h""")
 def page_payload(get):
-    """Bytes of texts as paged files."""
+    """Texts as paged files, without the ends of their pages."""
     d = get("documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.lit(0).cast("long").alias("offset"), F.lit(1 << 40).alias("length"))
-    return ingest.page_payload(d).select("doc_id", F.octet_length("payload").cast("long").alias("payload"))
+    return ingest.page_payload(d).select("doc_id", F.md5(F.hex("payload").cast("binary")).alias("payload"))
 
 
 @query(f"WITH {cte('v_images')} SELECT sweep, CAST(face AS INT) AS face, format('sweep{{:02d}}_face{{:d}}.jpg', sweep, face) AS photo, round(tx, 6) AS tx, round(fx, 3) AS fx FROM v_images WHERE sweep IN (SELECT sweep FROM v_images)")
