@@ -8,6 +8,8 @@ as hash << 31 | (2^31 - 1 - position), so that the smallest packed value is the
 Two texts that share a run of at least `k + window - 1` tokens share a selected hash; hashes of runs shorter than `k` are never
 compared. A text of fewer than `k` tokens has one hash, of all its tokens; one without tokens (null, empty, blank) has none.
 
+A text is one row: its tokens, hashes and fingerprint are arrays of one task, about a hundred bytes for each token of a very long text.
+
 Rows that repeat are answered row by row; no rows give none. `winnow` keeps all columns of the input, whatever their names, and replaces one
 named as its output; `edited_fingerprints` returns its own columns only.
 """
@@ -18,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 _PRIME, _BASE, _TOP = 2**31 - 1, 1_000_003, 2**31 - 1
-#: Rows in a bucket of neighbours, buckets in a range of buckets, cells of ids, and first rows of buckets that are sent to all tasks.
-_SPAN, _WIDE, _CELLS, _SENT = 256, 65_536, 256, 500_000
-_BUCKET = "shiftleft(CAST(_cell AS BIGINT), 40) + _sub"
+#: Rows in a bucket of neighbours, cells of ids, and rows of buckets that are sent to all tasks.
+_SPAN, _CELLS, _SENT = 256, 256, 500_000
+#: A bucket's number: its cell, its place there (24 bits), then `_LEVELS` finer places of `_FINE` bits; ranges of buckets leave out `_RANGE` bits.
+_FINE, _LEVELS, _RANGE = 14, 2, 44
+_BUCKET = f"shiftleft(shiftleft(CAST(_cell AS BIGINT), 24) + _sub, {_FINE * _LEVELS})"
 _NO_ID = -(2**63)
 
 
@@ -71,7 +75,7 @@ def likeness(a: str, b: str) -> Column:
 def _before(buckets: DataFrame) -> DataFrame:
     """bucket, before: the bucket before each in a circle, found inside ranges of buckets and then between ranges, of which there is one
     for 16 million rows and one for each cell."""
-    b = buckets.withColumn("r", F.floor(F.col("bucket") / _WIDE))
+    b = buckets.withColumn("r", F.shiftright("bucket", _RANGE))
     ends = b.groupBy("r").agg(F.max("bucket").alias("end"))
     ends = ends.select("r", F.coalesce(F.lag("end").over(W.orderBy("r")), F.max("end").over(W.partitionBy())).alias("end"))
     inside = b.withColumn("before", F.lag("bucket").over(W.partitionBy("r").orderBy("bucket")))
@@ -79,10 +83,11 @@ def _before(buckets: DataFrame) -> DataFrame:
 
 
 def _with_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
-    """`rows` (_id, _t, ...) with bucket: about `_SPAN` neighbours in the order of _id and _t, whatever the ids are; and their number.
+    """`rows` (_id, _t, ...) with bucket: about `_SPAN` neighbours in the order of _id and _t; and their number.
 
     Quantiles cut the ids into cells, and counts say into how many equal parts of ids a cell is cut; an id with more than a cell's share of
-    the rows is a cell of its own, which is cut by _t. At most about 500 numbers pass through the driver."""
+    the rows is a cell of its own, which is cut by _t. Where ids crowd inside a cell, as those of many shards do, `_finer` cuts again. At most
+    about 500 numbers pass through the driver."""
     cuts, least, total = rows.agg(F.percentile_approx("_id", [i / _CELLS for i in range(_CELLS)], 10_000), F.min("_id"), F.count("*")).first()
     cuts = cuts or [0]
     bounds = sorted({least or 0, *cuts, *(c + 1 for i, c in enumerate(cuts[1:]) if c == cuts[i] < 2**63 - 1)})
@@ -98,8 +103,38 @@ def _with_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
     doubles = lambda v: f"CAST(split('{','.join(map(repr, v))}', ',') AS array<double>)"
     by_id = f"floor((CAST(_id AS DOUBLE) - get({doubles(start)}, _cell)) / get({doubles(width)}, _cell))"
     by_text = f"floor((CAST(_t AS DOUBLE) / 18446744073709551616D + 0.5D) * get({doubles(parts)}, _cell))"
-    rows = rows.withColumn("_sub", F.expr(f"CASE WHEN get({doubles(width)}, _cell) > 0 THEN {by_id} ELSE {by_text} END"))
-    return rows.withColumn("bucket", F.expr(_BUCKET)).drop("_cell", "_sub"), total
+    if any(w == 0 and n > 1 for w, n in zip(width, parts, strict=True)):
+        place = f"CASE WHEN get({doubles(width)}, _cell) > 0 THEN {by_id} ELSE {by_text} END"
+    else:  # the texts need not be read to know the buckets
+        place = f"CASE WHEN get({doubles(width)}, _cell) > 0 THEN {by_id} ELSE 0L END"
+    rows = rows.withColumn("_sub", F.expr(place)).withColumn("bucket", F.expr(_BUCKET)).drop("_cell", "_sub")
+    for level in range(1, _LEVELS + 1):
+        found = _finer(rows, _FINE * (_LEVELS - level))
+        if found is None:
+            break
+        rows = found
+    return rows, total
+
+
+def _finer(rows: DataFrame, bits: int) -> DataFrame | None:
+    """`rows` with the buckets of more than `4 * _SPAN` rows cut into equal parts of the ids in them, those of one id by _t, and rows that are equal
+    in both dealt round; None if there are none. Parts are told apart at `bits` of the bucket's number."""
+    large = written(rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > 4 * _SPAN), "crowded")
+    count = large.count()
+    if count == 0:
+        return None
+    sent = F.broadcast if count <= _SENT else (lambda df: df)
+    ends = rows.join(sent(large), "bucket").groupBy("bucket").agg(F.count("*").alias("_n"), *(f(c).alias(c + e) for c in ("_id", "_t") for f, e in ((F.min, "lo"), (F.max, "hi"))))
+    ends = written(ends.withColumn("_n", F.expr(f"least({2**_FINE - 1}L, ceil(_n / {_SPAN}))")), "crowded-ends")
+    exact = lambda c: f"CAST({c} AS DECIMAL(20, 0))"
+    share = lambda c: f"CAST({exact(c)} - {exact(c + 'lo')} AS DOUBLE) / (CAST({exact(c + 'hi')} - {exact(c + 'lo')} AS DOUBLE) + 1D)"
+    part = f"CAST(floor(_n * CASE WHEN _idhi > _idlo THEN {share('_id')} ELSE {share('_t')} END) AS BIGINT)"
+    if ends.filter("_idhi = _idlo and _thi = _tlo").isEmpty():
+        dealt = rows
+    else:  # any of equal rows may stand for any other, so it does not matter which of them a bucket gets
+        dealt, part = rows.withColumn("_m", F.monotonically_increasing_id()), f"CASE WHEN _idhi = _idlo AND _thi = _tlo THEN _m % _n ELSE {part} END"
+    out = dealt.join(sent(ends), "bucket", "left")
+    return out.withColumn("bucket", F.expr(f"bucket + coalesce(shiftleft({part}, {bits}), 0L)")).select(*rows.columns)
 
 
 def beside_next(docs: DataFrame) -> tuple[DataFrame, W]:
@@ -112,9 +147,10 @@ def beside_next(docs: DataFrame) -> tuple[DataFrame, W]:
     rows, total = _with_buckets(rows.withColumns({"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_t": F.xxhash64("text")}))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("_id", "_t")).alias("f"))
     firsts = firsts.join(_before(firsts.select("bucket")), "bucket").select("f._id", "f._t", F.col("before").alias("bucket"))
+    wanted = firsts.select("_id", "_t").distinct()
     if total <= _SENT * _SPAN:
-        firsts = F.broadcast(firsts)
-    guests = rows.drop("bucket").join(firsts, ["_id", "_t"]).groupBy("bucket", "_id", "_t").agg(F.min("text").alias("text"))
+        wanted = F.broadcast(wanted)
+    guests = rows.drop("bucket").join(wanted, ["_id", "_t"]).groupBy("_id", "_t").agg(F.min("text").alias("text")).join(firsts, ["_id", "_t"])
     guests = guests.select("bucket", F.lit(1).alias("guest"), "_id", "_t", F.lit(None).cast("long").alias("doc_id"), "text")
     own = rows.select("bucket", F.lit(0).alias("guest"), "_id", "_t", "doc_id", "text")
     return own.unionByName(guests), W.partitionBy("bucket").orderBy("guest", "_id", "_t", "text")
@@ -123,7 +159,7 @@ def beside_next(docs: DataFrame) -> tuple[DataFrame, W]:
 def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 4, piece: int = 4) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is replaced by the next document's beginning.
 
-    Next is the next larger doc_id, after the last the first; a null id comes before all others; rows that repeat an id
+    Next is the next larger doc_id, after the last the first; a null id counts as the smallest of all ids, -2^63; rows that repeat an id
     follow each other by a hash of their text, and then by text. A document that is alone is its own next. positions are those of the
     fingerprint's hashes: how many tokens stand before each.
     """

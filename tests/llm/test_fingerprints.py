@@ -118,6 +118,7 @@ def test_neighbours_of_odd_ids(spark, monkeypatch):
         [*range(250), 2**62, -(2**63), 2**63 - 1],
         [5] * 200 + list(range(100)),
         [None] * 150 + [2**63 - 1] * 20,
+        [(shard << 33) + n for shard in range(5) for n in range(60)] + [2**62 + n for n in range(40)],
     ):
         rows = [(i, f"{at:03d} " + "x" * (at % 9)) for at, i in enumerate(ids)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -136,3 +137,29 @@ def test_neighbours_of_odd_ids(spark, monkeypatch):
         assert at == rows[0][1] and len(set(seen)) == len(rows)
         low = [-(2**63) - 1 if owner[t] is None else owner[t] for t in seen]
         assert sum(a > b for a, b in zip(low, [*low[1:], low[0]], strict=True)) <= 1
+
+
+def test_buckets_stay_small(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "_CELLS", 4)
+    monkeypatch.setattr(fingerprints, "_SPAN", 16)
+    n = F.col("id")
+    for ids in (n, F.xxhash64(n), F.shiftleft(n % 40, 33) + n, F.lit(None).cast("long"), F.when(n % 2 == 0, 7).otherwise(n), F.shiftleft(n % 3, 60) + F.shiftleft(n % 7, 30) + n):
+        docs = spark.range(0, 6000, 1, 4).select(ids.alias("doc_id"), F.concat(F.lit("text "), (n % 4000).cast("string")).alias("text"))
+        beside, _ = fingerprints.beside_next(docs)
+        assert beside.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 4 * 16 + 2
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "_SPAN", 16)
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same").alias("text"))
+    other = spark.range(50).select("id", F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"))
+    beside, order = fingerprints.beside_next(same.union(other))
+    assert beside.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 4 * 16 + 2
+    got = beside.withColumn("next", F.lead("text").over(order)).filter("guest = 0").groupBy("text", "next").count().collect()
+    after = {(r.text, r.next): r["count"] for r in got}
+    assert after["one and the same", "one and the same"] == 2999 and after["one and the same", "other 0"] == 1 and after["other 49", "one and the same"] == 1
+    assert sum(after.values()) == 3050
