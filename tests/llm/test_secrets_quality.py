@@ -174,3 +174,15 @@ def test_training_does_not_depend_on_the_length_of_texts(spark):
     short = spark.createDataFrame([(1, f'key = "{KEY}"'), (2, "few words")], "doc_id long, text string")
     assert secrets.trained(short).roots
     assert secrets.labelled_findings(short, most=0).filter("label = 1").count() > 0
+
+
+def test_quality_sample_of_labels_is_bounded_and_not_empty(spark):
+    from pyspark.sql import functions as F
+
+    from sitescan.llm import quality
+
+    n = F.col("id")
+    seen = spark.range(4000).select(n.alias("doc_id"), *((F.pmod(F.xxhash64(n, F.lit(i)), F.lit(100)) / 100 + n % 2 / 2).alias(c) for i, c in enumerate(quality._NAMES)))
+    labels = spark.range(3_000_000).select(n.alias("doc_id"), (n % 2).alias("quality"))
+    assert quality.train(seen, labels, most_labelled=1_500_000).any()
+    assert quality.train(seen, labels, most_labelled=0).tolist() == [0.0] * 14
