@@ -6,7 +6,8 @@ trigram model, whose counts come from all words of the corpus, picks the likelie
 path only (plain letters without repeats) is its own reading, and one of plain letters with one double letter has two readings, which
 differ in a few trigrams; all others are searched, each once as long as it is remembered. Runs of
 two and more one-character tokens are read as one lattice, in which a letter repeated over spaces may be dropped; two and
-three neighbouring tokens of up to three characters are also read as one word.
+three neighbouring tokens of up to three characters are also read as one word. The tokens of all texts of a batch are numbered
+and settled together: those that are their own reading as arrays, the others one by one.
 
 Classifier: toxic documents are marked by words, and by words of the same beginning. The share of toxic documents among
 those that have a word is shrunk towards that of its 7-, 6- and 5-letter beginnings and at last the base rate; a
@@ -25,10 +26,12 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +57,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
-        for batch in batches:
-            for cell in batch.column(0):
-                if t := cell.as_py():
-                    s = np.frombuffer((" " + t.lower() + " ").encode("utf-8", "replace").translate(_TABLE), np.uint8).astype(np.int32)
-                    total += np.bincount(s[:-2] * (_N * _N) + s[1:-1] * _N + s[2:], minlength=_N**3)
+        for batch in slices(batches, 0):
+            # the mark between two texts stands in all trigrams that reach from one into the other
+            texts = "0".join(f" {t.lower()} " for t in batch.column(0).to_pylist() if t)
+            s = np.frombuffer(texts.encode("utf-8", "replace").translate(_TABLE), np.uint8).astype(np.int32)
+            total += np.bincount(s[:-2] * (_N * _N) + s[1:-1] * _N + s[2:], minlength=_N**3)
             cube = total.reshape(_N, _N, _N)
             cube[28] = cube[:, 28] = cube[:, :, 28] = 0
         at = np.flatnonzero(total)
@@ -169,35 +172,60 @@ def spaced_runs(tokens: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def joined(tokens: list[str]) -> tuple[set[str], set[str]]:
-    """Runs of two and more one-character tokens, with their spaces, three and more equal characters in a row written as two; and two
-    and three neighbouring tokens of up to three characters, put together."""
-    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    short = n <= 3
-    two = short[:-1] & short[1:]
-    three = two[:-1] & short[2:]
-    chunks = {tokens[i] + tokens[i + 1] for i in np.flatnonzero(two & (n[:-1] + n[1:] > 3)).tolist()}
-    chunks.update(tokens[i] + tokens[i + 1] + tokens[i + 2] for i in np.flatnonzero(three & (n[:-2] + n[1:-1] + n[2:] > 3)).tolist())
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], n == 1, [False]]).astype(np.int8)))
-    runs = {_LONG.sub(r"\1 \1", " ".join(tokens[a:b])) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > 1}
-    return runs, chunks
+def joined(tokens: list[str], text: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """What neighbouring tokens of a text may be together, and the number of that text: runs of two and more one-character tokens, with
+    their spaces, three and more equal characters in a row written as two; and two and three tokens of up to three characters, put together."""
+    n = np.fromiter(map(len, tokens), np.int32, len(tokens))
+    same = text[:-1] == text[1:]
+    two = (n[:-1] <= 3) & (n[1:] <= 3) & same
+    at2 = np.flatnonzero(two & (n[:-1] + n[1:] > 3))
+    at3 = np.flatnonzero(two[:-1] & two[1:] & (n[:-2] + n[1:-1] + n[2:] > 3))
+    # pairs of neighbours inside a run, and where they begin and end
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], (n[:-1] == 1) & (n[1:] == 1) & same, [False]]).astype(np.int8)))
+    out = [tokens[i] + tokens[i + 1] for i in at2.tolist()]
+    out += [tokens[i] + tokens[i + 1] + tokens[i + 2] for i in at3.tolist()]
+    out += [_LONG.sub(r"\1 \1", " ".join(tokens[a : b + 1])) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return out, text[np.concatenate([at2, at3, edge[::2]])]
+
+
+def numbered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All tokens, runs and chunks of texts: the numbers of their texts and their own, and what they are."""
+    tokens, found, n = [], [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        found = unicodedata.normalize("NFC", (t or "").lower()).split()
+        tokens += found
+        n[i] = len(found)
+    text = np.repeat(np.arange(len(texts)), n)
+    del found
+    more, of = joined(tokens, text)
+    tokens += more
+    coded = pa.array(tokens, pa.string()).dictionary_encode()
+    return np.concatenate([text, of]), coded.indices.to_numpy(), coded.dictionary
+
+
+def doubled(tokens: list[str]) -> np.ndarray:
+    """Whether a character stands twice in a row in each token."""
+    s = np.frombuffer("\n".join(tokens).encode("utf-32-le"), np.uint32)
+    out = np.zeros(len(tokens) + 1, bool)
+    out[np.searchsorted(np.flatnonzero(s == 10), np.flatnonzero(s[:-1] == s[1:]))] = True
+    return out[:-1]
 
 
 class Reader:
-    """Restored words of whole texts. What is kept of a token's words is up to `keep`; it is remembered, in bounded number."""
+    """Restored words of whole texts. What was searched for is remembered, in bounded number."""
 
-    def __init__(self, model: np.ndarray, keep=tuple):
-        self.decoder, self.keep, self.cache, self.runs = Decoder(model), keep, {}, {}
+    def __init__(self, model: np.ndarray):
+        self.decoder, self.cache, self.runs = Decoder(model), {}, {}
 
-    def _remember(self, cache: dict, key: str, words: list[str]) -> tuple:
-        found = self.keep(words)
+    def _remember(self, cache: dict, key: str, words: list[str]) -> tuple[str, ...]:
+        found = tuple(words)
         if len(key) <= 40:
             if len(cache) >= _CACHE:
                 cache.clear()
             cache[key] = found
         return found
 
-    def token(self, token: str) -> tuple:
+    def token(self, token: str) -> tuple[str, ...]:
         found = self.cache.get(token)
         if found is None:
             plain = trimmed(token)
@@ -210,24 +238,40 @@ class Reader:
             found = self._remember(self.cache, token, words)
         return found
 
-    def run(self, run: str) -> tuple:
+    def run(self, run: str) -> tuple[str, ...]:
         """The words of a run of spaced characters."""
         found = self.runs.get(run)
         if found is None:
             found = self._remember(self.runs, run, self.decoder.read(run) if any(c.isalpha() for c in run) else run.split())
         return found
 
-    def words(self, text: str | None) -> set:
-        """What is kept of all tokens, runs and chunks of a text."""
-        tokens = unicodedata.normalize("NFC", (text or "").lower()).split()
-        runs, chunks = joined(tokens) if len(tokens) > 1 else ((), ())
-        chunks = {*chunks, *tokens}
-        get, read = self.cache.get, self.token
-        found = [read(t) if (f := get(t)) is None else f for t in chunks]
-        out = {w for words in found if words for w in words}
-        for r in runs:
-            out.update(self.run(r))
-        return out
+    def readings(self, tokens: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of tokens and runs, by token, and how many each has."""
+        plain = np.fromiter(map(str.isalpha, tokens), bool, len(tokens)) & ~doubled(tokens)
+        count = plain.astype(np.int64)
+        rest = np.flatnonzero(~plain)
+        found = [self.run(t) if " " in t else self.token(t) for t in compress(tokens, (~plain).tolist())]
+        count[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        words, last = [], 0
+        for i, w in zip(rest.tolist(), found, strict=True):
+            words += tokens[last:i]
+            words += w
+            last = i + 1
+        return words + tokens[last:], count
+
+    def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Numbers of texts and of words of all tokens, runs and chunks, and the distinct words. A word may come again in a text."""
+        text, token, tokens = numbered(texts)
+        words, count = self.readings(tokens.to_numpy(zero_copy_only=False).tolist())
+        word = pa.array(words, pa.string()).dictionary_encode()
+        n = count[token]
+        at = np.repeat((np.cumsum(count) - count)[token] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.repeat(text, n), word.indices.to_numpy()[at], word.dictionary
+
+    def words(self, text: str | None) -> set[str]:
+        """The words of a text."""
+        return set(self.words_of([text])[2].to_pylist())
 
     def restored(self, text: str | None) -> str:
         """The text with every token and every run of spaced letters replaced by its reading."""
@@ -251,6 +295,17 @@ def features(word: str) -> list[str]:
     return [*(word[:n] for n in (5, 6, 7) if len(word) > n), word + "$"]
 
 
+def features_at(words: pa.Array, keys: pa.Array) -> np.ndarray:
+    """A row for each of `features`: the places in `keys` of these features of all words, -1 where a word or `keys` has none."""
+    n = pc.utf8_length(words).to_numpy()
+    at = [np.flatnonzero(n > k) for k in (5, 6, 7)] + [np.arange(len(words))]
+    begin = [pc.utf8_slice_codeunits(words.take(pa.array(i)), 0, k) for i, k in zip(at, (5, 6, 7), strict=False)]
+    found = pc.index_in(pa.concat_arrays([*begin, pc.binary_join_element_wise(words, "$", "")]), value_set=keys)
+    out = np.full((4, len(words)), -1)
+    out[np.repeat(np.arange(4), [len(i) for i in at]), np.concatenate(at)] = pc.fill_null(found, -1).to_numpy()
+    return out
+
+
 class Evidence:
     """Log-odds of words from counted features.
 
@@ -259,36 +314,48 @@ class Evidence:
 
     def __init__(self, keys: list[str], toxic: np.ndarray, total: np.ndarray, base: float, weight: float = 6.0):
         p: dict[str, float] = {}
-        self.value: dict[str, float] = {}
+        self.keys = pa.array(keys, pa.string())
         for i in sorted(range(len(keys)), key=lambda i: (keys[i][-1] == "$", len(keys[i]))):
             k = keys[i]
             more = k[: min(7, len(k) - 2)] if k[-1] == "$" else k[:-1]
-            q = p[k] = (toxic[i] + weight * p.get(more, base)) / (total[i] + weight)
-            self.value[k] = max(0.0, float(np.log(q / (1 - q)) - np.log(base / (1 - base))))
-
-    def word(self, word: str) -> float:
-        get, n = self.value.get, len(word)
-        found = get(word[:5]) if n > 5 else 0.0
-        if found is None:
-            return 0.0
-        for key in (word + "$", *(word[:k] for k in (7, 6) if n > k)):
-            if (special := get(key)) is not None:
-                return special
-        return found
-
-    def kept(self, words: list[str]) -> tuple[tuple[str, float], ...]:
-        """The words that are evidence at all, with their log-odds."""
-        return tuple((w, e) for w in words if (e := self.word(w)))
-
-    def of(self, words: Iterable[str]) -> list[float]:
-        return strongest(map(self.word, words))
-
-
-def strongest(values: Iterable[float]) -> list[float]:
-    """The strongest word, the next two, and how many are strong."""
-    values = sorted(filter(None, values), reverse=True)
-    top = [*values[:3], 0.0, 0.0, 0.0]
-    return [top[0], top[1] + top[2], float(np.log1p(sum(v > 2 for v in values)))]
+            p[k] = (toxic[i] + weight * p.get(more, base)) / (total[i] + weight)
+        q = np.array([p[k] for k in keys])
+        #: by key, and 0 for no key
+        self.value = np.append(np.maximum(0.0, np.log(q / (1 - q)) - np.log(base / (1 - base))), 0.0)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = features_at(words, self.keys)
+        best = at[0]
+        for special in at[1:]:
+            best = np.where(special >= 0, special, best)
+        return self.value[best]
+
+
+def strongest(text: np.ndarray, word: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the value of its strongest word, of the next two, and how many are strong; each word of a text counts once."""
+    text, word, value = (x[value > 0] for x in (text, word, value))
+    once = np.unique(text * (word.max(initial=0) + 1) + word, return_index=True)[1]
+    text, value = text[once], value[once]
+    order = np.lexsort((-value, text))
+    text, value = text[order], np.append(value[order], [0.0] * 3)
+    start, stop = np.searchsorted(text, np.arange(n)), np.searchsorted(text, np.arange(n), "right")
+    top = [np.where(start + k < stop, value[start + k], 0.0) for k in range(3)]
+    return np.column_stack([top[0], top[1] + top[2], np.log1p(np.bincount(text[value[:-3] > 2], minlength=n))])
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of numbers once, in ascending order."""
+    size = b.max(initial=0) + 1
+    return np.divmod(np.unique(a * size + b), size)
+
+
+def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of texts and of their words, and the distinct words, of texts whose words stand between single spaces."""
+    lists = pc.split_pattern(texts.cast(pa.string()), " ")
+    word = lists.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    some = pc.not_equal(word.dictionary, "").to_numpy(zero_copy_only=False)[word.indices.to_numpy()]
+    return text[some], word.indices.to_numpy()[some], word.dictionary
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, least_toxic: int = 3) -> tuple:
@@ -305,8 +372,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _last(key, lambda: Reader(model))
         for batch in slices(batches, 0):
-            words = [" ".join(reader.words(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *batch.columns[1:]], ["words", "fold", "toxic"])
+            text, word, words = reader.words_of(batch.column(0).to_pylist())
+            text, word = pairs(text, word)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()), words.take(pa.array(word)))
+            yield pa.RecordBatch.from_arrays([pc.binary_join(lists, " "), *batch.columns[1:]], ["words", "fold", "toxic"])
 
     # the labelled rows are bounded (16 bytes each), so they go to the documents and no text is shuffled
     data = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id").select("text", "fold", "toxic")
@@ -319,36 +388,50 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
         base = min(max(toxic / total if total else 0.0, 1e-6), 1 - 1e-6)
         return model, [], none, none, base, np.array([np.log(base / (1 - base)), 0, 0, 0])
 
-    def counted(part: DataFrame, wanted: set[str] | None) -> DataFrame:
-        """k, fold, c: documents per feature and fold; of the wanted features, or of all."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 0):
-                seen: dict[int, Counter] = {}
-                for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = {k for w in t.split() for k in features(w)}
-                    seen.setdefault(fold, Counter()).update(found if wanted is None else found & wanted)
-                for fold, counts in seen.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([fold] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["k", "fold", "c"])
-
-        return part.select("words", "fold").mapInArrow(run, "k string, fold int, c long").groupBy("k", "fold").agg(F.sum("c").alias("c"))
+    def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            seen: dict[int, Counter] = {}
+            for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(fold, Counter()).update({k for w in t.split() for k in features(w)})
+            for fold, counts in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([fold] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["k", "fold", "c"])
+
+    def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, counts = pa.array(keys, pa.string()), {f: np.zeros(len(keys), np.int64) for f in (0, 2)}
+        for batch in slices(batches, 0):
+            text, word, words = spaced(batch.column(0))
+            at = features_at(words, wanted)[:, word]
+            text, at = pairs(np.broadcast_to(text, at.shape)[at >= 0], at[at >= 0])
+            fold = batch.column(1).to_numpy()[text]
+            for f, c in counts.items():
+                c += np.bincount(at[fold == f], minlength=len(keys))
+        for f, c in counts.items():
+            some = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), f, np.int32)), pa.array(c[some])], ["k", "fold", "c"])
+
+    def summed(rows: DataFrame, run, k: str) -> DataFrame:
+        """k, fold, c: documents per feature and fold."""
+        return rows.select("words", "fold").mapInArrow(run, f"k {k}, fold int, c long").groupBy("k", "fold").agg(F.sum("c").alias("c"))
 
     # features of few toxic documents say nothing; the others are bounded by the number of labelled rows
-    bad = counted(data.filter("toxic = 1"), None)
+    bad = summed(data.filter("toxic = 1"), all_features, "string")
     bad = bad.groupBy("k").agg(F.sum(F.when(F.col("fold") == 0, F.col("c"))).alias("t0"), F.sum(F.when(F.col("fold") == 2, F.col("c"))).alias("t2"))
     bad = bad.na.fill(0).filter(F.col("t0") + F.col("t2") >= least_toxic).toPandas().sort_values("k")
     keys = bad.k.tolist()
-    good = {(k, f): c for k, f, c in counted(data.filter("toxic = 0"), set(keys)).collect()}
     t = {0: bad.t0.to_numpy(np.float64), 2: bad.t2.to_numpy(np.float64)}
-    n = {f: t[f] + np.array([good.get((k, f), 0) for k in keys], np.float64) for f in (0, 2)}
+    n = {f: t[f].copy() for f in (0, 2)}
+    for k, f, c in summed(data.filter("toxic = 0"), counted_features, "long").collect():
+        n[f][k] += c
     base = toxic / total
 
     # the curve is fitted on each fold with the counts of the other one
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {f: Evidence(keys, t[2 - f], n[2 - f], base) for f in (0, 2)}
         for batch in slices(batches, 0):
-            x = [[*by[f].of(s.split()), y] for s, f, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x, strict=True)], list("abcy"))
+            text, word, words = spaced(batch.column(0))
+            value = np.where(batch.column(1).to_numpy()[text] == 0, by[0].of(words)[word], by[2].of(words)[word])
+            x = strongest(text, word, value, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(2).cast(pa.float64())], list("abcy"))
 
     fit = data.mapInArrow(evidence, "a double, b double, c double, y double").toPandas().to_numpy()
     scratch.drop(data)
@@ -361,9 +444,10 @@ def score(docs: DataFrame, trained: tuple) -> DataFrame:
     key = ("scorer", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _last(key, lambda: Reader(model, Evidence(keys, toxic, total, base).kept))
+        reader, evidence = _last(key, lambda: (Reader(model), Evidence(keys, toxic, total, base)))
         for batch in slices(batches, 1):
-            x = np.array([strongest([e for _, e in reader.words(t.as_py())]) for t in batch.column(1)]).reshape(-1, 3)
+            text, word, words = reader.words_of(batch.column(1).to_pylist())
+            x = strongest(text, word, evidence.of(words)[word], batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
