@@ -42,6 +42,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Log probabilities of the channel: look-alike, dropped mark, dropped repeat, dropped space, space as word border.
 _LIKE, _MARK, _REPEAT, _JOIN, _BORDER = -1.2, -1.5, -3.0, -1.0, -0.7
 _TAIL = ".,;:!?\"')]}»…"
+_AROUND = _TAIL + "([{«"
+_ROWS = 4096  # texts of a slice of a batch; bytes bound it first, unless texts are short
 _N = 29  # border, a to z, other letters, digits and marks
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 _TABLE = bytes(i - 96 if 97 <= i <= 122 else 0 if i in (9, 10, 11, 12, 13, 32) else 27 if i > 127 else 28 for i in range(256))
@@ -57,7 +59,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N**3, np.int64)
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, _ROWS):
             # the mark between two texts stands in all trigrams that reach from one into the other
             texts = "0".join(f" {t.lower()} " for t in batch.column(0).to_pylist() if t)
             s = np.frombuffer(texts.encode("utf-8", "replace").translate(_TABLE), np.uint8).astype(np.int32)
@@ -151,7 +153,7 @@ def doubtful(token: str) -> bool:
 
 def trimmed(token: str) -> str:
     """Without quotes and punctuation around it and without runs of one mark at its end."""
-    token = token.strip(_TAIL + "([{«")
+    token = token.strip(_AROUND)
     while len(token) > 2 and token[-1] == token[-2] and not token[-1].isalnum():
         token = token.rstrip(token[-1])
     return token.strip(_TAIL)
@@ -207,7 +209,7 @@ def doubled(tokens: list[str]) -> np.ndarray:
     """Whether a character stands twice in a row in each token."""
     s = np.frombuffer("\n".join(tokens).encode("utf-32-le"), np.uint32)
     out = np.zeros(len(tokens) + 1, bool)
-    out[np.searchsorted(np.flatnonzero(s == 10), np.flatnonzero(s[:-1] == s[1:]))] = True
+    out[np.searchsorted(np.flatnonzero(s == 10), np.flatnonzero((s[:-1] == s[1:]) & (s[1:] != 10)))] = True
     return out[:-1]
 
 
@@ -247,17 +249,18 @@ class Reader:
 
     def readings(self, tokens: list[str]) -> tuple[list[str], np.ndarray]:
         """The words of tokens and runs, by token, and how many each has."""
-        plain = np.fromiter(map(str.isalpha, tokens), bool, len(tokens)) & ~doubled(tokens)
+        bare = [t.strip(_AROUND) for t in tokens]
+        plain = np.fromiter(map(str.isalpha, bare), bool, len(bare)) & ~doubled(bare)
         count = plain.astype(np.int64)
         rest = np.flatnonzero(~plain)
         found = [self.run(t) if " " in t else self.token(t) for t in compress(tokens, (~plain).tolist())]
         count[rest] = np.fromiter(map(len, found), np.int64, len(found))
         words, last = [], 0
         for i, w in zip(rest.tolist(), found, strict=True):
-            words += tokens[last:i]
+            words += bare[last:i]
             words += w
             last = i + 1
-        return words + tokens[last:], count
+        return words + bare[last:], count
 
     def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Numbers of texts and of words of all tokens, runs and chunks, and the distinct words. A word may come again in a text."""
@@ -314,6 +317,7 @@ class Evidence:
 
     def __init__(self, keys: list[str], toxic: np.ndarray, total: np.ndarray, base: float, weight: float = 6.0):
         p: dict[str, float] = {}
+        toxic, total = toxic.tolist(), total.tolist()
         self.keys = pa.array(keys, pa.string())
         for i in sorted(range(len(keys)), key=lambda i: (keys[i][-1] == "$", len(keys[i]))):
             k = keys[i]
@@ -324,7 +328,10 @@ class Evidence:
         self.value = np.append(np.maximum(0.0, np.log(q / (1 - q)) - np.log(base / (1 - base))), 0.0)
 
     def of(self, words: pa.Array) -> np.ndarray:
-        at = features_at(words, self.keys)
+        return self.at(features_at(words, self.keys))
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        """The log-odds of words by `features_at`."""
         best = at[0]
         for special in at[1:]:
             best = np.where(special >= 0, special, best)
@@ -371,7 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _last(key, lambda: Reader(model))
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, _ROWS):
             text, word, words = reader.words_of(batch.column(0).to_pylist())
             text, word = pairs(text, word)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()), words.take(pa.array(word)))
@@ -389,7 +396,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
         return model, [], none, none, base, np.array([np.log(base / (1 - base)), 0, 0, 0])
 
     def all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, _ROWS):
             seen: dict[int, Counter] = {}
             for t, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(fold, Counter()).update({k for w in t.split() for k in features(w)})
@@ -398,7 +405,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
 
     def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, counts = pa.array(keys, pa.string()), {f: np.zeros(len(keys), np.int64) for f in (0, 2)}
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, _ROWS):
             text, word, words = spaced(batch.column(0))
             at = features_at(words, wanted)[:, word]
             text, at = pairs(np.broadcast_to(text, at.shape)[at >= 0], at[at >= 0])
@@ -427,9 +434,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 200_000, leas
     # the curve is fitted on each fold with the counts of the other one
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {f: Evidence(keys, t[2 - f], n[2 - f], base) for f in (0, 2)}
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, _ROWS):
             text, word, words = spaced(batch.column(0))
-            value = np.where(batch.column(1).to_numpy()[text] == 0, by[0].of(words)[word], by[2].of(words)[word])
+            at = features_at(words, by[0].keys)
+            value = np.where(batch.column(1).to_numpy()[text] == 0, by[0].at(at)[word], by[2].at(at)[word])
             x = strongest(text, word, value, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(2).cast(pa.float64())], list("abcy"))
 
@@ -445,7 +453,7 @@ def score(docs: DataFrame, trained: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, evidence = _last(key, lambda: (Reader(model), Evidence(keys, toxic, total, base)))
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, _ROWS):
             text, word, words = reader.words_of(batch.column(1).to_pylist())
             x = strongest(text, word, evidence.of(words)[word], batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
