@@ -5,12 +5,16 @@ from __future__ import annotations
 from math import pi
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitescan.functions.boxes import Box, shrink_box
-from sitescan.functions.geometry import cross, dot, settled, sub, vector
+from sitescan.functions.geometry import cross, dot, ray_plane, settled, sub, vector, with_rotation
 
-from .lift import KEY, box_window, points_in_boxes, visible_points, with_quantile
+from .lift import KEY, SIDES, box_window, by_shape, count_of, points_in_boxes, visible_points, with_quantile
+
+#: A box's keys in the order of `box_window`, so that rows sorted for one need no other sort.
+BOX = KEY[::-1]
 
 #: Squared length of a cross product, against the fourth power of the matrix's spread, up to which no direction is told from the others.
 FLAT = 1e-12
@@ -48,13 +52,24 @@ def with_normal(moments: DataFrame) -> DataFrame:
 
 def fit_planes(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, px, py, pz (centroid), nx, ny, nz (unit normal, of either sign; null where the points tell none). Covariances are centred, so millimetres
-    count at ten metres."""
+    count at ten metres. A row stands for n points, without n for one."""
     d = {a: F.col(a).cast("double") for a in "xyz"}
-    moments = points.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *(F.avg(d[a]).alias(f"p{a}") for a in "xyz"),
-        *(F.covar_pop(d[a], d[b]).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")),
-    )
+    pairs = ("xx", "yy", "zz", "xy", "xz", "yz")
+    if "n" not in points.columns:
+        moments = points.groupBy(*keys).agg(
+            F.count("*").alias("n"),
+            *(F.avg(d[a]).alias(f"p{a}") for a in "xyz"),
+            *(F.covar_pop(d[a], d[b]).alias(a + b) for a, b in pairs),
+        )
+    else:
+        own, n = W.partitionBy(*keys), F.col("n")
+        rows = points.select(*keys, "n", *(d[a].alias(a) for a in "xyz"), F.sum("n").over(own).alias("_n"), *((F.sum(n * d[a]).over(own) / F.sum("n").over(own)).alias(f"p{a}") for a in "xyz"))
+        off = {a: F.col(a) - F.col(f"p{a}") for a in "xyz"}
+        moments = rows.groupBy(*keys).agg(
+            F.first("_n").alias("_n"),
+            *(F.first(f"p{a}").alias(f"p{a}") for a in "xyz"),
+            *((F.sum(n * off[a] * off[b]) / F.first("_n")).alias(a + b) for a, b in pairs),
+        ).withColumnRenamed("_n", "n")
     return with_normal(moments).select(*keys, "n", "px", "py", "pz", "nx", "ny", "nz")
 
 
@@ -65,23 +80,43 @@ def plane_distance() -> F.Column:
 def refit_planes(points: DataFrame, keys: list[str], near: float = 0.01) -> DataFrame:
     """Planes fitted twice: the second time to the points within `near` of the first."""
     first = fit_planes(points, keys).drop("n")
-    return fit_planes(points.join(first, keys).filter(plane_distance() <= near).select(*keys, "x", "y", "z"), keys)
+    return fit_planes(points.join(first, keys).filter(plane_distance() <= near).select(*points.columns), keys)
+
+
+def plate_planes(points: DataFrame, images: DataFrame, boxes: DataFrame, shapes: DataFrame, margin: float = 0.15, near: float = 0.01) -> DataFrame:
+    """Planes by KEY of the plates in boxes of different shape (KEY, x1..y2, m), each shrunk by `margin`; `boxes` say which photos count."""
+    inner = shapes.select(*KEY, "m", *shrink_box(Box.of(), margin).named())
+    got = points_in_boxes(visible_points(points, images, boxes), inner)
+    return refit_planes(got.select(*BOX, "x", "y", "z", count_of(got).alias("n")), BOX, near)
 
 
-def plate_planes(points: DataFrame, images: DataFrame, boxes: DataFrame, margin: float = 0.15, near: float = 0.01) -> DataFrame:
-    """Planes of the plates in boxes (site_id, photo, box_id, x1..y2), each shrunk by `margin`."""
-    inner = boxes.select(*KEY, *shrink_box(Box.of(), margin).named())
-    return refit_planes(points_in_boxes(visible_points(points, images, inner), inner).select(*KEY, "x", "y", "z"), KEY, near)
+def plate_corners(points: DataFrame, images: DataFrame, boxes: DataFrame, margin: float = 0.15, near: float = 0.01) -> DataFrame:
+    """The rows of `boxes` (site_id, photo, box_id, x1..y2, ...) whose points tell a plane, with tl, tr, br, bl, where the rays of their corners meet it,
+    and tx, ty, tz of the camera. All is worked out once for boxes of equal sides."""
+
+    def found(shapes: DataFrame) -> DataFrame:
+        planes = plate_planes(points, images, boxes, shapes, margin, near).filter("nx is not null").drop("n")
+        rows = shapes.join(planes, KEY).join(with_rotation(images), ["site_id", "photo"])
+        x1, y1, x2, y2 = Box.of()
+        corners = {"tl": (x1, y1), "tr": (x2, y1), "br": (x2, y2), "bl": (x1, y2)}
+        at = {k: ray_plane(*uv, vector("px", "py", "pz"), vector("nx", "ny", "nz")) for k, uv in corners.items()}
+        return rows.select(*KEY, *SIDES, "tx", "ty", "tz", *(F.struct(*(c.alias(a) for c, a in zip(v, "xyz", strict=True))).alias(k) for k, v in at.items()))
+
+    return by_shape(boxes, SIDES, found, "left").filter("tl is not null")
 
 
 def surface_normals(points: DataFrame, images: DataFrame, boxes: DataFrame, least: int = 20, share: float = 0.6) -> DataFrame:
     """The boxes' keys with nx, ny, nz of the surface nearest to the camera, facing it; null where a box holds fewer than `least` points."""
-    b = boxes.select(*KEY, *Box.of().named())
-    got = points_in_boxes(visible_points(points, images, b), b).select(*KEY, "x", "y", "z", "depth")
-    got = got.withColumn("c", F.count("*").over(box_window())).filter(F.col("c") >= least)
-    planes = fit_planes(with_quantile(got, "depth", share, "front").filter("depth <= front"), KEY)
-    cams = images.select("site_id", "photo", "tx", "ty", "tz")
-    planes = planes.join(cams, ["site_id", "photo"])
-    away = dot(sub(vector("tx", "ty", "tz"), vector("px", "py", "pz")), vector("nx", "ny", "nz")) < 0
-    flipped = [F.when(away, -F.col(n)).otherwise(F.col(n)).alias(n) for n in ("nx", "ny", "nz")]
-    return boxes.select(*KEY).join(planes.select(*KEY, *flipped), KEY, "left")
+
+    def found(shapes: DataFrame) -> DataFrame:
+        got = points_in_boxes(visible_points(points, images, boxes), shapes)
+        got = got.select(*KEY, "x", "y", "z", "depth", count_of(got).alias("n"))
+        # the window that finds the quantile sorts by depth; so does this one
+        whole = box_window().orderBy("depth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        got = got.withColumn("c", F.sum("n").over(whole)).filter(F.col("c") >= least).drop("c")
+        planes = fit_planes(with_quantile(got, "depth", share, "front").filter("depth <= front").select(*BOX, "x", "y", "z", "n"), BOX)
+        planes = planes.join(images.select("site_id", "photo", "tx", "ty", "tz"), ["site_id", "photo"])
+        away = dot(sub(vector("tx", "ty", "tz"), vector("px", "py", "pz")), vector("nx", "ny", "nz")) < 0
+        return planes.select(*KEY, *(F.when(away, -F.col(n)).otherwise(F.col(n)).alias(n) for n in ("nx", "ny", "nz")))
+
+    return by_shape(boxes.select(*KEY, *SIDES), SIDES, found, "left").drop(*SIDES)

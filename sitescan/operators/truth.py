@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.functions.boxes import Box, box_area, clip_box, in_frame_share
-from sitescan.functions.geometry import add, cross, dot, norm, pixel_of, ray_plane, settled, sub, times, unit, vector, view_angle, view_distance, with_rotation
+from sitescan.functions.geometry import add, cross, dot, norm, pixel_of, settled, sub, times, unit, vector, view_angle, view_distance, with_rotation
 
 from .lift import depth_at
-from .planes import plate_planes
+from .planes import plate_corners
 
 
 def _xyz(v) -> Column:
@@ -27,24 +27,13 @@ def build_objects(points: DataFrame, images: DataFrame, marks: DataFrame, margin
     of the plate, or (kind 'tl' or 'tr') one corner x1, y1 with a box around it, which take the sides of the site's first full
     mark of the same model. The plane goes through the points within `near` of a first plane; marks whose points tell no plane give no object.
     """
-    boxes = marks.withColumn("box_id", F.col("object_id"))
-    planes = plate_planes(points, images, boxes, margin, near).filter("nx is not null")
-    rows = boxes.join(planes, ["site_id", "photo", "box_id"]).join(with_rotation(images).drop("sweep", "width", "height"), ["site_id", "photo"])
-    centre, normal = vector("px", "py", "pz"), vector("nx", "ny", "nz")
-    x1, y1, x2, y2 = Box.of()
-    # one row per corner, so that the rays are computed once; gathered again to tl, tr, br, bl (a corner mark has its own only)
-    pixel = lambda no, u, v: F.struct(F.lit(no).alias("no"), u.alias("u"), v.alias("v"))
-    spots = F.when(F.col("kind") == "full", F.array(pixel(0, x1, y1), pixel(1, x2, y1), pixel(2, x2, y2), pixel(3, x1, y2))).otherwise(F.array(pixel(0, x1, y1)))
     about = ["site_id", "object_id", "photo", "kind", "model", "location", "tx", "ty", "tz"]
-    hits = rows.withColumn("s", F.explode(spots)).select(*about, F.col("s.no").alias("no"), _xyz(ray_plane(F.col("s.u"), F.col("s.v"), centre, normal)).alias("at"))
-    marked = hits.groupBy(*about).agg(F.array_sort(F.collect_list(F.struct("no", "at"))).alias("c"))
-    at = lambda i: F.col("c")[i]["at"]
-    full = marked.filter("kind = 'full'")
-    across, down = sub(_v(at(1)), _v(at(0))), sub(_v(at(3)), _v(at(0)))
+    marked = plate_corners(points, images, marks.withColumn("box_id", F.col("object_id")), margin, near)
+    full = marked.filter("kind = 'full'").select(*about, "tl", "tr", "br", "bl")
+    across, down = sub(_v(F.col("tr")), _v(F.col("tl"))), sub(_v(F.col("bl")), _v(F.col("tl")))
     template = full.groupBy("site_id", "model").agg(F.min_by(F.struct(_xyz(across).alias("w"), _xyz(down).alias("d")), "object_id").alias("t"))
-    full = full.select(*about, *(at(i).alias(k) for i, k in enumerate(("tl", "tr", "br", "bl"))))
     corner = marked.filter("kind in ('tl', 'tr')").join(template, ["site_id", "model"])
-    w, d, hit = _v(F.col("t.w")), _v(F.col("t.d")), _v(at(0))
+    w, d, hit = _v(F.col("t.w")), _v(F.col("t.d")), _v(F.col("tl"))
     corner = corner.select(*about, *(F.when(F.col("kind") == "tl", h).otherwise(h - k).alias("a" + a) for a, h, k in zip("xyz", hit, w, strict=True)), *(v.alias(n + a) for n, vec in (("w", w), ("d", d)) for a, v in zip("xyz", vec, strict=True)))
     tl, w, d = vector("ax", "ay", "az"), vector("wx", "wy", "wz"), vector("dx", "dy", "dz")
     corner = corner.select(*about, _xyz(tl).alias("tl"), _xyz(add(tl, w)).alias("tr"), _xyz(add(add(tl, w), d)).alias("br"), _xyz(add(tl, d)).alias("bl"))

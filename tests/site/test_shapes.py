@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitescan.operators import lift
+from sitescan.operators import lift, planes, truth
 
 IMAGES = "site_id long, photo string, sweep int, face int, width int, height int, fx double, fy double, cx double, cy double, qw double, qx double, qy double, qz double, tx double, ty double, tz double"
 BOXES = "site_id long, photo string, box_id long, x1 double, y1 double, x2 double, y2 double"
@@ -66,3 +66,19 @@ def test_parts_of_a_box_count_together(spark, wall):
     boxes = spark.createDataFrame([(0, "a", 1, *a), (0, "a", 2, *a), (0, "a", 2, *a), (0, "a", 3, *a), (0, "a", 3, *b), (0, "a", 4, 900.0, 0.0, 100.0, 9.0), (0, "a", 5, None, 0.0, 1.0, 1.0), (0, "b", 6, *a)], BOXES)
     got = {r.box_id: r.n_points for r in lift.lift_boxes(points, cams, boxes).collect()}
     assert got == {1: lifted(rows, a)[0], 2: 2 * lifted(rows, a)[0], 3: lifted(rows, a)[0] + lifted(rows, b)[0]}
+
+
+def test_equal_marks_are_fitted_once(spark, wall, monkeypatch):
+    points, cams, rows = wall
+    seen = counted(monkeypatch, planes)
+    marks = spark.createDataFrame([(0, i, "a", "full" if i < 50 else "tr", *SHAPES[i % 2], "m", "room") for i in range(60)], "site_id long, object_id long, photo string, kind string, x1 double, y1 double, x2 double, y2 double, model string, location string")
+    got = {r.object_id: r for r in truth.build_objects(points, cams, marks, near=1.0).collect()}
+    assert sum(seen) < 200 and len(got) == 60
+    for i in range(2, 50):
+        assert (got[i].corners, got[i].width_m) == (got[i % 2].corners, got[i % 2].width_m)
+    own = inside(rows, (275.0, 275.0, 625.0, 625.0))
+    normal = np.linalg.svd(own - own.mean(0))[2][2]
+    assert abs(normal @ [got[0].normal[a] for a in "xyz"]) == pytest.approx(1, abs=1e-9)
+    for c in got[0].corners:
+        assert (np.array([c.x, c.y, c.z]) - own.mean(0)) @ normal == pytest.approx(0, abs=1e-9)
+    assert got[50].width_m == pytest.approx(got[0].width_m) and list(got[50].corners[1]) == pytest.approx(list(got[0].corners[0]))
