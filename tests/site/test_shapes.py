@@ -82,3 +82,15 @@ def test_equal_marks_are_fitted_once(spark, wall, monkeypatch):
     for c in got[0].corners:
         assert (np.array([c.x, c.y, c.z]) - own.mean(0)) @ normal == pytest.approx(0, abs=1e-9)
     assert got[50].width_m == pytest.approx(got[0].width_m) and list(got[50].corners[1]) == pytest.approx(list(got[0].corners[0]))
+
+
+def test_equal_boxes_have_one_normal(spark, wall, monkeypatch):
+    points, cams, rows = wall
+    seen = counted(monkeypatch, planes)
+    boxes = spark.createDataFrame([(0, "a", i, *SHAPES[i % 2]) for i in range(40)] + [(0, "a", 99, 0.0, 0.0, 1.0, 1.0)], BOXES)
+    got = {r.box_id: (r.nx, r.ny, r.nz) for r in planes.surface_normals(points, cams, boxes).collect()}
+    assert sum(seen) < 200 and len(got) == 41 and got[99] == (None, None, None)
+    own = inside(rows, SHAPES[0])
+    own = own[-own[:, 2] <= np.percentile(-own[:, 2], 60)]
+    normal = np.linalg.svd(own - own.mean(0))[2][2]
+    assert all(abs(normal @ got[i]) == pytest.approx(1, abs=1e-9) and got[i] == got[0] for i in range(0, 40, 2))
