@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescan.functions.boxes import Box, box_area, clip_box, in_frame_share
 from sitescan.functions.geometry import add, cross, dot, norm, pixel_of, settled, sub, times, unit, vector, view_angle, view_distance, with_rotation
 
+from sitescan.sources.shared import dealt
+
 from .lift import depth_at
 from .planes import plate_corners
 
@@ -49,6 +53,25 @@ def build_objects(points: DataFrame, images: DataFrame, marks: DataFrame, margin
     )
 
 
+def for_shapes(objects: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `find` gives for objects (site_id, object_id, ...), worked out once for all objects of a site with equal corners, center and normal.
+
+    `find` gets one object of each shape, without model and location, under an id of its own, and returns rows with site_id and that object_id; each
+    comes back for every object of the shape, with the object's own id, model and location.
+    """
+    shape = [F.coalesce(c, F.lit(None).cast(objects.schema[c].dataType)).alias(c) for c in ("corners", "center", "normal")]
+    rows = objects.select("site_id", "object_id", "model", "location", *shape)
+    ident = F.struct(F.min("object_id").alias("least"), F.xxhash64("corners", "center", "normal").alias("hash"))
+    ids = rows.groupBy("site_id", "corners", "center", "normal").agg(ident.alias("_shape"))
+    nothing = [F.lit(None).cast(objects.schema[c].dataType).alias(c) for c in ("model", "location")]
+    found = find(dealt(ids.select("site_id", F.col("_shape").alias("object_id"), *nothing, "corners", "center", "normal"), "site_id", "object_id"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("corners", "center", "normal")]
+    whose = rows.alias("a").join(ids.alias("b"), [F.col("a.site_id") == F.col("b.site_id"), *on]).select("a.site_id", "_shape", "object_id", "model", "location")
+    own = [c for c in ("object_id", "model", "location") if c in found.columns]
+    back = found.withColumnRenamed("object_id", "_shape").drop("model", "location")
+    return back.join(whose, ["site_id", "_shape"]).select(*(c if c in own else back[c] for c in found.columns))
+
+
 def project_objects(objects: DataFrame, images: DataFrame, strict: bool = True) -> DataFrame:
     """Every object's corners in every photo of its site, as a box (site_id, photo, object_id, x1..y2, depth of the centre, ...).
 
@@ -95,23 +118,29 @@ def difficulty() -> Column:
     return F.when(F.size(reasons) == 0, "clear").otherwise(F.concat(F.lit("hard: "), F.array_join(reasons, ", ")))
 
 
-def appearances(boxes: DataFrame) -> DataFrame:
-    """The flat table of appearances: pixels and degrees rounded to whole numbers, halves to even."""
+def appearances(boxes: DataFrame, *more: str) -> DataFrame:
+    """The flat table of appearances: pixels and degrees rounded to whole numbers, halves to even. Columns `more` are taken as they are."""
     pixel = lambda c: F.bround(c, 0).cast("int")
     return boxes.select(
         "site_id", "photo", "object_id", "model", "location", *(pixel(c).alias(c) for c in ("x1", "y1", "x2", "y2")),
         F.bround(F.col("x2") - F.col("x1"), 0).cast("int").alias("width_px"), F.bround("distance_m", 2).alias("distance_m"),
-        pixel("view_angle_deg").alias("view_angle_deg"), F.bround("in_frame", 2).alias("in_frame"), difficulty().alias("difficulty"),
+        pixel("view_angle_deg").alias("view_angle_deg"), F.bround("in_frame", 2).alias("in_frame"), difficulty().alias("difficulty"), *more,
     )
 
 
 def ground_truth(points: DataFrame, images: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(objects, appearances) from marked plates."""
     objects = build_objects(points, images, marks)
-    boxes = visibility_filter(project_objects(objects, images))
-    return objects, appearances(occlusion_filter(boxes, points, images))
+    seen = lambda shapes: occlusion_filter(visibility_filter(project_objects(shapes, images)), points, images)
+    return objects, for_shapes(objects, lambda shapes: appearances(seen(shapes)))
 
 
 def truth_summary(rows: DataFrame) -> DataFrame:
-    """object_id (null: all), photos, clear_photos, appearances."""
-    return rows.rollup("object_id").agg(F.count_distinct("site_id", "photo").alias("photos"), F.count_distinct(F.when(F.col("difficulty") == "clear", F.struct("site_id", "photo"))).alias("clear_photos"), F.count("*").alias("appearances"))
+    """object_id (null: all), photos, clear_photos, appearances. Rows of an object in a photo become one before photos are counted."""
+    clear = F.col("difficulty") == "clear"
+    pairs = rows.groupBy("object_id", "site_id", "photo").agg(F.count("*").alias("n"), F.count_if(clear).alias("c"))
+    known = F.col("site_id").isNotNull() & F.col("photo").isNotNull()
+    counts = [F.count_if(known).alias("photos"), F.count_if(F.col("c") > 0).alias("clear_photos"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("appearances")]
+    own = pairs.groupBy("object_id").agg(*counts)
+    photos = pairs.groupBy("site_id", "photo").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return own.unionByName(photos.agg(F.lit(None).cast(rows.schema["object_id"].dataType).alias("object_id"), *counts))

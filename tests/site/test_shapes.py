@@ -1,12 +1,16 @@
 """Equal boxes, equal places and equal objects are worked on once; results are those of every single one."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sitescan.operators import lift, planes, truth
+from sitescan.plans.queries import QUERIES
 
 IMAGES = "site_id long, photo string, sweep int, face int, width int, height int, fx double, fy double, cx double, cy double, qw double, qx double, qy double, qz double, tx double, ty double, tz double"
+SF = "/root/testdata/sf0.1"
 BOXES = "site_id long, photo string, box_id long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -94,3 +98,31 @@ def test_equal_boxes_have_one_normal(spark, wall, monkeypatch):
     own = own[-own[:, 2] <= np.percentile(-own[:, 2], 60)]
     normal = np.linalg.svd(own - own.mean(0))[2][2]
     assert all(abs(normal @ got[i]) == pytest.approx(1, abs=1e-9) and got[i] == got[0] for i in range(0, 40, 2))
+
+
+def test_objects_of_one_shape_are_projected_once(spark, wall):
+    _, cams, _ = wall
+    one = lambda x, n: ([(x, 0.2, -4.0), (x + 0.4, 0.2, -4.0), (x + 0.4, -0.2, -4.0), (x, -0.2, -4.0)], (x + 0.2, 0.0, -4.0), n)
+    shapes = [one(0.0, (0.0, 0.0, 1.0)), one(1.0, (0.0, 0.0, 1.0)), one(1.0, None)]
+    rows = [(s, i, f"m{i % 2}", "room", *shapes[i % 3]) for i in range(30) for s in (0, 1)]
+    xyz = "struct<x:double,y:double,z:double>"
+    objects = spark.createDataFrame(rows, f"site_id long, object_id long, model string, location string, corners array<{xyz}>, center {xyz}, normal {xyz}")
+    for strict in (True, False):
+        asked = []
+
+        def found(few, strict=strict, asked=asked):
+            asked.append(few.count())
+            return truth.project_objects(few, cams, strict)
+
+        got, want = truth.for_shapes(objects, found), truth.project_objects(objects, cams, strict)
+        assert got.columns == want.columns and asked == [6] and want.count() == 30
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["object_appearances"])
+def test_queries_project_each_shape_once(spark, name, monkeypatch):
+    asked, project = [], truth.project_objects
+    monkeypatch.setattr(truth, "project_objects", lambda objects, *more, **named: asked.append(objects.count()) or project(objects, *more, **named))
+    QUERIES[name](spark, SF)
+    assert asked == [2400]  # of 15,000 objects
