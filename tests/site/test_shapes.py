@@ -120,9 +120,16 @@ def test_objects_of_one_shape_are_projected_once(spark, wall):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["object_appearances", "loose_projections"])
+@pytest.mark.parametrize("name", ["object_appearances", "loose_projections", "truth_summary"])
 def test_queries_project_each_shape_once(spark, name, monkeypatch):
     asked, project = [], truth.project_objects
     monkeypatch.setattr(truth, "project_objects", lambda objects, *more, **named: asked.append(objects.count()) or project(objects, *more, **named))
     QUERIES[name](spark, SF)
     assert asked == [2400]  # of 15,000 objects
+
+
+def test_summary_counts_photos_once(spark):
+    rows = [(0, "a", 1, "clear"), (0, "a", 1, "hard: small"), (0, "b", 1, "hard: small"), (1, "a", 1, "clear"), (0, "a", 2, "hard: small"), (None, "a", 2, "clear"), (0, "a", None, "clear")]
+    got = {(r.object_id, r.photos, r.clear_photos, r.appearances) for r in truth.truth_summary(spark.createDataFrame(rows, "site_id long, photo string, object_id long, difficulty string")).collect()}
+    assert got == {(1, 3, 2, 4), (2, 1, 1, 2), (None, 1, 1, 1), (None, 3, 3, 7)}
+    assert [tuple(r) for r in truth.truth_summary(spark.createDataFrame([], "site_id long, photo string, object_id long, difficulty string")).collect()] == [(None, 0, 0, 0)]
