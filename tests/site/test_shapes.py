@@ -120,7 +120,7 @@ def test_objects_of_one_shape_are_projected_once(spark, wall):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["object_appearances", "loose_projections", "truth_summary"])
+@pytest.mark.parametrize("name", ["object_appearances", "loose_projections", "truth_summary", "truth_files"])
 def test_queries_project_each_shape_once(spark, name, monkeypatch):
     asked, project = [], truth.project_objects
     monkeypatch.setattr(truth, "project_objects", lambda objects, *more, **named: asked.append(objects.count()) or project(objects, *more, **named))
