@@ -20,19 +20,23 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, orde
     """site_id, left_id, right_id, distance: the nearest right row of each left row, if within `most`; of equals the first by `order`.
 
     Positions are put into cells of side `most`; a right row is listed under its 27 neighbours, so an equi-join finds every pair
-    within reach, and what is farther is no match anyway.
+    within reach, and what is farther is no match anyway. Rows at one place are looked up once, and of right rows there only the first by `order` can
+    be nearest. Spark takes the listed rows for no larger than their table, so they are kept from being broadcast.
     """
     cell = lambda d, a: F.floor(F.col(d + a) / most)
+    at = lambda d: ["site_id", *(d + a for a in AXES)]
     l_ = left.select("site_id", left_id, *(F.col(a).cast("double").alias("l" + a) for a in AXES))
     r_ = right.select("site_id", right_id, F.col(order).alias("_order"), *(F.col(a).cast("double").alias("r" + a) for a in AXES))
-    l_ = l_.withColumns({"c" + a: cell("l", a) for a in AXES})
+    r_ = r_.groupBy(*at("r")).agg(F.min(F.struct("_order", right_id)).alias("_first"))
+    places = l_.select(*at("l")).distinct().withColumns({"c" + a: cell("l", a) for a in AXES})
     for a in AXES:
         r_ = r_.withColumn("c" + a, F.explode(F.array(*(cell("r", a) + k for k in (-1, 0, 1)))))
-    pairs = l_.join(r_, ["site_id", *("c" + a for a in AXES)])
+    pairs = places.join(r_.hint("merge"), ["site_id", *("c" + a for a in AXES)])
     pairs = pairs.withColumn("distance", F.sqrt(sum((F.col("l" + a) - F.col("r" + a)) ** 2 for a in AXES)))
     pairs = pairs.filter(F.col("distance") < most if strict else F.col("distance") <= most)
-    best = F.min_by(F.struct(right_id, "distance"), F.struct("distance", "_order")).alias("b")
-    return pairs.groupBy("site_id", left_id).agg(best).select("site_id", left_id, "b.*")
+    best = pairs.groupBy(*at("l")).agg(F.min(F.struct("distance", "_first")).alias("b"))
+    rows = l_.join(best, at("l")).groupBy("site_id", left_id).agg(F.min("b").alias("b"))
+    return rows.select("site_id", left_id, F.col(f"b._first.{right_id}").alias(right_id), "b.distance")
 
 
 def link_register(assets: DataFrame, register: DataFrame, most: float = 0.3) -> DataFrame:
