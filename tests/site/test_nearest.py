@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["link_register", "entries_not_found"])
+@pytest.mark.parametrize("name", ["link_register", "entries_not_found", "compare_to_truth"])
 def test_listed_cells_are_not_broadcast(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
