@@ -50,6 +50,39 @@ def kept_order(x: np.ndarray, iou: float | None, inside: float | None) -> np.nda
     return order
 
 
+#: Boxes of a photo up to which all its pairs are told at once, and pairs that are held at a time.
+SMALL, PAIRS = 64, 1 << 20
+
+
+def kept_boxes(x: np.ndarray, ends: np.ndarray, iou: float | None, inside: float | None) -> np.ndarray:
+    """Which boxes (n x 4) are kept where list i goes from ends[i] to ends[i + 1]; as `kept_order` of each list. Photos with equally many boxes go
+    together, so the steps of Python grow with the boxes of a photo, not with the photos."""
+    kept, sizes = np.ones(len(x), bool), np.diff(ends)
+    for k in np.unique(sizes[sizes > 1]).tolist():
+        starts = ends[:-1][sizes == k]
+        if k > SMALL:
+            for lo in starts.tolist():
+                kept[lo : lo + k] = False
+                kept[lo + kept_order(x[lo : lo + k], iou, inside)] = True
+            continue
+        step = max(1, PAIRS // (k * k))
+        for at in range(0, len(starts), step):
+            places = starts[at : at + step, None] + np.arange(k)
+            x1, y1, x2, y2 = np.moveaxis(x[places], 2, 0)
+            area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+            pair = lambda f, a: f(a[:, :, None], a[:, None, :])
+            both = np.maximum(pair(np.minimum, x2) - pair(np.maximum, x1), 0) * np.maximum(pair(np.minimum, y2) - pair(np.maximum, y1), 0)
+            open_ = np.ones(places.shape, bool)
+            for most, share in ((iou, False), (inside, True)):
+                if most is None:
+                    continue
+                hit = both / (area[:, None, :] + EPS) > most if share else both > most * (area[:, :, None] + area[:, None, :] - both)
+                for i in range(k - 1):
+                    open_[:, i + 1 :] &= ~(open_[:, i, None] & hit[:, i, i + 1 :])
+            kept[places] = open_
+    return kept
+
+
 def ordered_boxes(boxes: DataFrame) -> DataFrame:
     """site_id, photo, boxes: all rows of a photo as one array, strongest first, ties by det_id; each holds its place and its whole `row`."""
     one = F.struct((-F.col("conf")).alias("o"), "det_id", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.struct(*(F.col(f"`{c}`") for c in boxes.columns)).alias("row"))
@@ -67,9 +100,10 @@ def suppressor(iou: float | None, inside: float | None):
 
     def run(boxes: pa.Array) -> pa.Array:
         ends, _, x = box_lists(boxes, "det_id")
-        kept = [kept_order(x[lo:hi], iou, inside) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        places = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        return lists_of(pa.array(places.astype(np.int32)), [len(k) for k in kept])
+        kept = kept_boxes(x, ends, iou, inside)
+        places = np.arange(len(x)) - np.repeat(ends[:-1], np.diff(ends))
+        upto = np.concatenate([[0], np.cumsum(kept)])
+        return lists_of(pa.array(places[kept].astype(np.int32)), np.diff(upto[ends]))
 
     return F.arrow_udf(run, "array<int>")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,34 +52,51 @@ def worker_model(name: str, predictor: Callable[[], Callable[[pd.DataFrame], pd.
     return _MODELS[name]
 
 
+#: What a model returns of each box, beside its tile's number.
+FOUND = {"x1": np.float64, "y1": np.float64, "x2": np.float64, "y2": np.float64, "conf": np.float64, "cls": np.int32}
+#: Boxes of about so many tiles leave a worker in one Arrow batch.
+TOGETHER = 4096
+
+
 def predict_tiles(tiles: DataFrame, predictor: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], partitions: int | None = None, batch: int = 16, name: str | None = None) -> DataFrame:
-    """Boxes of a caller's model. `predictor()` gives a function from a batch of tiles to rows (row, x1, y1, x2, y2, conf, cls), `row` being the tile's
-    number in its batch. It is called once per Python worker and kept under `name` (none: a name of this call's own). Batches hold `batch` tiles wherever
-    Arrow's batches end; only a task's last one may hold fewer."""
+    """Boxes of a caller's model. `predictor()` gives a function from a batch of tiles to rows (row, x1, y1, x2, y2, conf, cls), as a frame or as a mapping
+    of arrays, `row` being the tile's number in its batch. It is called once per Python worker and kept under `name` (none: a name of this call's own).
+    Batches hold `batch` tiles wherever Arrow's batches end; only a task's last one may hold fewer. Tiles and boxes are kept in Arrow around the model."""
     if partitions:
         tiles = tiles.repartition(partitions)
-    names = tiles.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema) + ", x1 double, y1 double, x2 double, y2 double, conf double, cls int"
     name = name or uuid.uuid4().hex
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_model(name, predictor)
 
-        def found(part: pd.DataFrame) -> pd.DataFrame:
-            boxes = model(part)
-            return part.loc[boxes["row"], names].reset_index(drop=True).join(boxes.drop(columns="row").reset_index(drop=True))
-
-        rest: pd.DataFrame | None = None
-        for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            whole = len(frame) - len(frame) % batch
-            for at in range(0, whole, batch):
-                yield found(frame.iloc[at : at + batch].reset_index(drop=True))
-            rest = frame.iloc[whole:] if whole < len(frame) else None
-        if rest is not None:
-            yield found(rest.reset_index(drop=True))
-
-    return tiles.mapInPandas(run, schema)
+        def found(part: pa.Table) -> list[pa.RecordBatch]:
+            frame, at, got = part.to_pandas(), [], {c: [] for c in FOUND}
+            for lo in range(0, len(frame), batch):
+                some = frame.iloc[lo : lo + batch]
+                some.index = pd.RangeIndex(len(some))
+                boxes = model(some)
+                at.append(np.asarray(boxes["row"], np.int64) + lo)
+                for c, kind in FOUND.items():
+                    got[c].append(np.asarray(boxes[c], kind))
+            rows = part.take(pa.array(np.concatenate(at)))
+            for c, kind in FOUND.items():
+                rows = rows.append_column(c, pa.array(np.concatenate(got[c]), pa.from_numpy_dtype(kind), from_pandas=True))
+            return rows.combine_chunks().to_batches()
+
+        rest: list[pa.RecordBatch] = []
+        for got in batches:
+            rest.append(got)
+            many = sum(map(len, rest))
+            if many >= max(TOGETHER, batch):
+                part = pa.Table.from_batches(rest)
+                whole = many - many % batch
+                yield from found(part.slice(0, whole))
+                rest = part.slice(whole).to_batches()
+        if sum(map(len, rest)):
+            yield from found(pa.Table.from_batches(rest))
+
+    return tiles.mapInArrow(run, schema)
 
 
 def untile_boxes(boxes: DataFrame, margin: float = 4.0) -> DataFrame:
