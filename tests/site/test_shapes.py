@@ -133,3 +133,21 @@ def test_summary_counts_photos_once(spark):
     got = {(r.object_id, r.photos, r.clear_photos, r.appearances) for r in truth.truth_summary(spark.createDataFrame(rows, "site_id long, photo string, object_id long, difficulty string")).collect()}
     assert got == {(1, 3, 2, 4), (2, 1, 1, 2), (None, 1, 1, 1), (None, 3, 3, 7)}
     assert [tuple(r) for r in truth.truth_summary(spark.createDataFrame([], "site_id long, photo string, object_id long, difficulty string")).collect()] == [(None, 0, 0, 0)]
+
+
+def spots_of(spark):
+    places = [(500.0, 500.0), (420.0, 580.0), (3.0, 3.0)]
+    return places, spark.createDataFrame([(0, "a", i, *places[i % 3]) for i in range(60)] + [(0, "a", 7, 420.0, 580.0)], "site_id long, photo string, box_id long, u double, v double")
+
+
+def test_equal_pixels_are_looked_up_once(spark, wall, monkeypatch):
+    points, cams, rows = wall
+    seen = counted(monkeypatch, lift)
+    places, spots = spots_of(spark)
+    got = lift.pixels_to_world(points, cams, spots, 150.0).collect()
+    assert len(got) == 61 and sum(seen) < 100
+    for r in got:
+        own = inside(rows, (r.u, r.v, r.u, r.v), 150.0)
+        front = own[-own[:, 2] <= np.percentile(-own[:, 2], 25) + 0.05] if len(own) else own
+        assert r.n_points == (len(front) * (2 if r.box_id == 7 else 1) or None)
+        assert r.n_points is None or np.allclose(np.median(front, 0), [r.x, r.y, r.z])
