@@ -151,3 +151,14 @@ def test_equal_pixels_are_looked_up_once(spark, wall, monkeypatch):
         front = own[-own[:, 2] <= np.percentile(-own[:, 2], 25) + 0.05] if len(own) else own
         assert r.n_points == (len(front) * (2 if r.box_id == 7 else 1) or None)
         assert r.n_points is None or np.allclose(np.median(front, 0), [r.x, r.y, r.z])
+
+
+def test_equal_pixels_have_one_depth(spark, wall, monkeypatch):
+    points, cams, rows = wall
+    seen = counted(monkeypatch, lift)
+    places, spots = spots_of(spark)
+    got = lift.depth_at(points, cams, spots, F.when(F.col("u") > 450, 60.0).otherwise(90.0)).collect()
+    assert len(got) == 61 and sum(seen) < 60
+    for r in got:
+        own = inside(rows, (r.u, r.v, r.u, r.v), 60.0 if r.u > 450 else 90.0)
+        assert (r.depth_at is None) == (not len(own)) and (r.depth_at is None or r.box_id == 7 or r.depth_at == pytest.approx(np.percentile(-own[:, 2], 25)))
