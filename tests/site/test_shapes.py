@@ -162,3 +162,14 @@ def test_equal_pixels_have_one_depth(spark, wall, monkeypatch):
     for r in got:
         own = inside(rows, (r.u, r.v, r.u, r.v), 60.0 if r.u > 450 else 90.0)
         assert (r.depth_at is None) == (not len(own)) and (r.depth_at is None or r.box_id == 7 or r.depth_at == pytest.approx(np.percentile(-own[:, 2], 25)))
+
+
+def test_equal_boxes_are_counted_once(spark, wall, monkeypatch):
+    points, cams, rows = wall
+    seen = counted(monkeypatch, lift)
+    boxes = spark.createDataFrame([(0, "a", i, *SHAPES[i % 3]) for i in range(60)] + [(0, "a", 4, *SHAPES[0]), (0, "a", 99, 0.0, 0.0, 1.0, 1.0)], BOXES)
+    got = {r.box_id: (r.n_points, round(r.depth, 9)) for r in lift.box_counts(points, cams, boxes).collect()}
+    own = [inside(rows, s) for s in SHAPES]
+    want = {i: (len(own[i % 3]), -own[i % 3][:, 2].max()) for i in range(60) if len(own[i % 3])}
+    want[4] = len(own[0]) + len(own[1]), min(-own[0][:, 2].max(), -own[1][:, 2].max())
+    assert got == want and sum(seen) < 300
